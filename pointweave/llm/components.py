@@ -1,0 +1,53 @@
+"""Connected components of an edge table by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+
+
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Every child has one parent and no parent is a child."""
+    roles = edges.select(F.col("child").alias("node"), F.lit(1).alias("as_child"), F.lit(0).alias("as_parent")).unionAll(
+        edges.select("parent", F.lit(0), F.lit(1))
+    )
+    seen = roles.groupBy("node").agg(F.sum("as_child").alias("c"), F.max("as_parent").alias("p"))
+    return seen.where((F.col("c") > 1) | ((F.col("c") > 0) & (F.col("p") > 0))).isEmpty()
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(child, parent) for every node that is not the least of its component; parent is that least node.
+
+    edges: two columns a, b of one orderable type; repeats, loops and nulls are dropped. Each round reattaches the
+    neighbours of a node to the least node around it: first those above the node, then those below. Rounds are
+    written to the shared folder; their number grows with the logarithm of the longest path. The least neighbour
+    comes from a partial aggregate, so a node with very many edges has them nowhere in one group.
+    """
+    out = materialize(
+        edges.where(F.col("a") != F.col("b"))
+        .select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent"))
+        .distinct()
+    )
+    for _ in range(max_rounds):
+        if _is_forest_of_stars(out):
+            return out
+        both = out.select(F.col("child").alias("u"), F.col("parent").alias("v")).unionAll(
+            out.select(F.col("parent"), F.col("child"))
+        )
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = (
+            both.join(least, "u")
+            .where(F.col("v") > F.col("u"))
+            .select(F.col("v").alias("child"), F.col("m").alias("parent"))
+            .distinct()
+        )
+        least = large.groupBy("child").agg(F.min("parent").alias("m"))
+        small = large.join(least, "child")
+        out = materialize(
+            small.select("child", F.col("m").alias("parent"))
+            .unionAll(small.where(F.col("parent") != F.col("m")).select(F.col("parent").alias("child"), "m"))
+            .distinct()
+        )
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, sharding
+from . import mixing, ngram_join, quality_rules, sharding
 
 
 def queries() -> dict:
     return {
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_byte_shards": sharding.op5_byte_shards,
+        "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_line_rules": quality_rules.op8_line_rules,
     }
 
@@ -17,5 +18,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_mix_sources": mixing.SQL,
         "op5_byte_shards": sharding.SQL,
+        "op7_ngram_join": ngram_join.SQL,
         "op8_line_rules": quality_rules.SQL,
     }
