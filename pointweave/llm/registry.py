@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_join, quality_rules, sharding
+from . import mixing, ngram_join, pii, quality_model, quality_rules, sharding
 
 
 def queries() -> dict:
     return {
+        "op2_byte_cnn": quality_model.op2_byte_cnn,
+        "op3_pii_spans": pii.op3_pii_spans,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_byte_shards": sharding.op5_byte_shards,
         "op7_ngram_join": ngram_join.op7_ngram_join,
@@ -16,6 +18,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_pii_spans": pii.SQL,
         "op4_mix_sources": mixing.SQL,
         "op5_byte_shards": sharding.SQL,
         "op7_ngram_join": ngram_join.SQL,
