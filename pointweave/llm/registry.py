@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_join, pii, quality_model, quality_rules, sharding
+from . import decontaminate, mixing, ngram_join, pii, quality_model, quality_rules, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_template_windows": decontaminate.op1_template_windows,
         "op2_byte_cnn": quality_model.op2_byte_cnn,
         "op3_pii_spans": pii.op3_pii_spans,
         "op4_mix_sources": mixing.op4_mix_sources,

@@ -17,6 +17,8 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
+_CORE = np.zeros(256, bool)
+_CORE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _M = np.uint64(0xD6E8FEB86659FD93)
 _S = np.uint64(32)
@@ -64,6 +66,16 @@ def word_spans(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
+def core_spans(d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words that hold a letter or digit, then of their part from the first such to the last."""
+    s, e = word_spans(d)
+    places = np.flatnonzero(_CORE[d])
+    a, b = np.searchsorted(places, s), np.searchsorted(places, e)
+    has = b > a
+    s, e, a, b = s[has], e[has], a[has], b[has]
+    return (s, e, places[a], places[b - 1] + 1) if len(s) else (s, e, s, e)
+
+
 def hash_spans(d: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte span."""
     padded = np.concatenate([d, np.zeros(8, np.uint8)])
