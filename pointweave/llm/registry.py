@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, ngram_join, pii, quality_model, quality_rules, sharding
+from . import decontaminate, mixing, ngram_join, pii, quality_model, quality_rules, sharding, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_pii_spans": pii.op3_pii_spans,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_byte_shards": sharding.op5_byte_shards,
+        "op10_severity": toxicity.op10_severity,
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_line_rules": quality_rules.op8_line_rules,
     }
