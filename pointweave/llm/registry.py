@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, ngram_join, pii, quality_model, quality_rules, sharding, toxicity
+from . import chat, decontaminate, mixing, ngram_join, pii, quality_model, quality_rules, sharding, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_byte_shards": sharding.op5_byte_shards,
         "op10_severity": toxicity.op10_severity,
+        "op6_chat_repair": chat.op6_chat_repair,
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_line_rules": quality_rules.op8_line_rules,
     }
