@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and the ASCII controls 09 to 0D.
-WORD_BREAKS = " \t\n\x0b\x0c\r"
+WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -50,13 +50,12 @@ def let(value: Column, body) -> Column:
 
 def words(text: Column) -> Column:
     """Words of a text as an array; a null text has none."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), WORD_BREAKS[1:], " " * (len(WORD_BREAKS) - 1))
-    return F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
 
 
-def count_of(text: Column, chars: str) -> Column:
-    """How many characters of text are among chars."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def count_of(text: Column, pattern: str) -> Column:
+    """How many matches of a pattern a text has."""
+    return F.regexp_count(text, F.lit(pattern))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -5,80 +5,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAKS, count_of, let, words
+from .common import WORD, count_of, let, table, words
 
 #: Fixed values of the base statistics.
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 #: Phrases of licence lines, consent banners and page furniture.
 BOILERPLATE = (
-    "licensed under|all rights reserved|terms of (use|service)|privacy policy|accept cookies|uses cookies"
-    "|click here|sign up for|subscribe to|enable javascript|read more|share this"
+    "(^|[^a-z])(licensed under|all rights reserved|terms of (use|service)|privacy policy|accept cookies|uses cookies"
+    "|click here|sign up for|subscribe to|enable javascript|read more|share this)"
 )
 TERMINAL = r"[.!?:;,)\]\"']\s*$"
 MAX_LOST_PERCENT = 50
+BARS, MARKS = "[|>]", "[#*$%&<]"
 
 
 def base_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words; a null text counts as empty.
 
-    Positions of repeated 3-word windows come from sorting the windows of one document inside its row,
-    so nothing is shuffled whatever the size of a document.
+    Everything happens inside the row of a document, so nothing is shuffled whatever the size of a document. Hashes of
+    the 3-word windows tell whether any can repeat; only then are the windows themselves sorted to find which do.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = df.withColumn("_text", text).withColumn("_words", words(F.col("_text")))
+    out = df.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_words", words(F.col("_text")))
     w = F.col("_words")
+    heads = F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0)))
+    hashes = F.transform(heads, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
     windows = F.transform(
-        F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))),
-        lambda x, i: F.struct(F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)).alias("w"), i.alias("i")),
+        heads, lambda x, i: F.struct(F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)).alias("w"), i.alias("i"))
     )
-    out = out.withColumn("_windows", F.sort_array(windows))
-    s = F.col("_windows")
 
-    def twice(x: Column, k: Column) -> Column:
-        same = lambda j: F.coalesce(F.get(s, j)["w"] == x["w"], F.lit(False))
-        return F.when(same(k - 1) | same(k + 1), F.array(x["i"], x["i"] + 1, x["i"] + 2)).otherwise(
-            F.array().cast("array<int>")
+    def covered(s: Column) -> Column:
+        same = lambda x, j: F.coalesce(F.get(s, j)["w"] == x["w"], F.lit(False))
+        spots = F.transform(
+            F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)
         )
+        return F.size(F.array_distinct(F.flatten(spots)))
 
-    lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: F.length(F.translate(x, WORD_BREAKS, "")) > 0)
+    repeats = let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
+    lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike(WORD))
     return out.select(
         *df.columns,
         F.size(w).cast("long").alias("n_words"),
-        F.length(F.translate(F.col("_text"), WORD_BREAKS, "")).cast("long").alias("word_chars"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         count_of(F.col("_text"), SYMBOLS).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        F.size(F.array_distinct(F.flatten(F.transform(s, twice)))).cast("long").alias("n_repeat_words"),
+        F.when(repeats, let(F.sort_array(windows), covered)).otherwise(0).cast("long").alias("n_repeat_words"),
     )
 
 
-def line_verdict(line: Column) -> Column:
-    """Name of the first rule that a line fails, or null.
+def line_verdict(line: Column, n: Column) -> Column:
+    """Name of the first rule that a line of n words fails, or null.
 
-    navigation: bars or angle brackets between most words; punctuation: symbols or doubled exclamation marks
-    on most words, or a line of three words and more without any sentence punctuation at its end and without
-    lower-case prose; boilerplate: licence and page-furniture phrases.
+    navigation: bars or closing angle brackets between most words; boilerplate: licence and page-furniture phrases;
+    punctuation: symbols or doubled exclamation marks on most words, or three words and more in capitals only without
+    any sentence punctuation at the end.
     """
-    n = F.size(words(line))
-    bars = count_of(line, "|>")
-    bangs = F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("!")))
     return (
-        F.when((bars >= 2) & (bars * 3 >= n), "navigation")
+        F.when(let(count_of(line, BARS), lambda bars: (bars >= 2) & (bars * 3 >= n)), "navigation")
         .when(F.lower(line).rlike(BOILERPLATE), "boilerplate")
-        .when(count_of(line, "#*$%&<") * 2 > n, "punctuation")
-        .when(bangs * 2 > n, "punctuation")
+        .when(count_of(line, MARKS) * 2 > n, "punctuation")
+        .when(count_of(line, "!!") * 2 > n, "punctuation")
         .when((n >= 3) & ~line.rlike(TERMINAL) & (F.upper(line) == line) & (F.lower(line) != line), "punctuation")
     )
 
 
 def clean_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with clean_text (failed lines removed) and lost_words, the words that went with them."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
     judged = F.transform(
-        F.split(text, "\n"),
-        lambda x: F.struct(x.alias("line"), F.size(words(x)).alias("n"), line_verdict(x).alias("rule")),
+        F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"),
+        lambda x: let(
+            count_of(x, WORD), lambda n: F.struct(x.alias("line"), n.alias("n"), line_verdict(x, n).alias("rule"))
+        ),
     )
     out = df.withColumn("_lines", judged)
     lines = F.col("_lines")
@@ -87,9 +86,7 @@ def clean_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
         F.array_join(F.transform(F.filter(lines, lambda x: x["rule"].isNull()), lambda x: x["line"]), "\n").alias(
             "clean_text"
         ),
-        F.aggregate(
-            lines, F.lit(0), lambda a, x: a + F.when(x["rule"].isNotNull() & (x["n"] > 0), x["n"]).otherwise(0)
-        )
+        F.aggregate(lines, F.lit(0), lambda a, x: a + F.when(x["rule"].isNotNull(), x["n"]).otherwise(0))
         .cast("long")
         .alias("lost_words"),
     )
@@ -111,8 +108,6 @@ def quality_rules(df: DataFrame, text_col: str = "text", max_lost_percent: int =
 
 
 def op8_line_rules(spark, sf_dir) -> DataFrame:
-    from .common import table
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -140,9 +135,9 @@ WITH d AS (
   SELECT doc_id, unnest(all_lines) AS l FROM w
 ), j AS (
   SELECT doc_id, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n,
-         length(l) - length(translate(l, '|>', '')) AS bars,
-         length(l) - length(translate(l, '#*$%&<', '')) AS sym,
-         length(l) - length(replace(l, '!!', '!')) AS bangs
+         len(regexp_extract_all(l, '{BARS}')) AS bars,
+         len(regexp_extract_all(l, '{MARKS}')) AS sym,
+         len(regexp_extract_all(l, '!!')) AS bangs
   FROM l
 ), lost AS (
   SELECT doc_id, sum(n) AS lost FROM j WHERE
@@ -152,7 +147,7 @@ WITH d AS (
 ), s AS (
   SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words,
          CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
-         CAST(length(t) - length(translate(t, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols,
+         CAST(len(regexp_extract_all(t, '{SYMBOLS}')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
          CAST(coalesce(lost.lost, 0) AS BIGINT) AS lost_words
