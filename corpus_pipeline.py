@@ -1,3 +1,71 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""Corpus pipeline: quality, near duplicates, decontamination, mixing and shards of `documents`.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
+one's docs. Stages work on every row that their predecessor kept; all but the last return the columns of docs.
+Filters keep rows with a null doc_id; rows that share a doc_id are kept or dropped together.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pointweave.llm import decontaminate, mixing, ngram_join, quality_model, sharding
+from pointweave.llm.common import broadcast_if_small, materialize, table
+
+#: Doc ids to drop that are broadcast at most; more of them are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id is not among ids (one column, _gone)."""
+    gone = broadcast_if_small(materialize(ids.distinct()), BROADCAST_IDS)
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the byte network takes for good ones."""
+    scored = quality_model.quality_scores(docs, table(spark, sf_dir, "labels"), docs.columns)
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each component of the n-gram join."""
+    joined = ngram_join.ngram_jaccard_join(docs)
+    return _without(docs, joined.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item, as it is or re-parameterised."""
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.select(F.col("doc_id").alias("_gone")))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; one taken in part counts from half of its words."""
+    mixed = mixing.mix(docs, mixing.word_count(F.col("text")))
+    return mixing.repeat_rows(mixed, docs.columns)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every repetition: doc_id, size, text_crc32, shard, slot."""
+    return sharding.shard_by_bytes(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixture", mixture),
+    ("shards", shards),
+]
+
+#: No SQL expresses the quality network; tests hold the pipeline against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return docs
