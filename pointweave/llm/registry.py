@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, ngram_join, pii, quality_model, quality_rules, sharding, toxicity
+import corpus_pipeline
+
+from . import chat, decontaminate, mixing, ngram_join, pii, quality_model, quality_rules, secrets, sharding, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +14,8 @@ def queries() -> dict:
         "op3_pii_spans": pii.op3_pii_spans,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_byte_shards": sharding.op5_byte_shards,
+        "pipeline": corpus_pipeline.run,
+        "op9_secret_forest": secrets.op9_secret_forest,
         "op10_severity": toxicity.op10_severity,
         "op6_chat_repair": chat.op6_chat_repair,
         "op7_ngram_join": ngram_join.op7_ngram_join,
