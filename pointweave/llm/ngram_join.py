@@ -6,8 +6,8 @@ Level 1, over the cluster. The pivots are the one-shingle sets {s}. d(x, {s}) =
 all others, so the Voronoi region of x is that of its first shingle in one fixed order of all shingles, rare ones
 first. x with d(x, y) <= r lacks at most |x| - ceil((1 - r)|x|) of its shingles in y: that is the width of the window
 within which x is replicated as a boundary document to the next regions, and two linked documents always meet in one.
-Counts of the shingles that repeat within a task's blocks, summed over all documents, give the order; it steers the
-size of regions and never the result. Regions that hold two different sets or more are glued to cells where they share
+The order comes from counts over all documents: shingles that repeat within a task's blocks go last, the others by the
+frequencies of their words. It steers the size of regions and never the result. Regions that hold two different sets or more are glued to cells where they share
 a set, so that afterwards a document's text travels to one place only.
 
 Level 2, within a cell. Documents are pivots: every document goes to the region of its nearest pivot and, where
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize, shuffle_partitions, table
 from .components import connected_components
-from .tokens import mix64, shingle_sets
+from .tokens import WORD_BUCKETS, mix64, shingle_sets
 
 WORDS = 4
 PERCENT = 85
@@ -39,6 +39,10 @@ FREQUENT = 1 << 18
 #: Shingles of a cell that one task joins; larger cells are dealt in blocks of that size.
 CELL_SHINGLES = 1 << 20
 BROADCAST_ROWS = 1_000_000
+#: Members up to which the pairs of a region are looked at one by one.
+PAIRED = 64
+#: Steps of a word's level for a doubling of its frequency; levels are far below LAST, where frequent shingles start.
+LEVEL_STEPS, LAST = 4, 1 << 32
 
 _SIGN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,27 +57,28 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """A row (n, sig1, sig2) for each document, and a row (shingle, count) for each shingle frequent in a block."""
+    """Rows (n, sig1, sig2) of documents, (shingle, count) of shingles frequent in a block, (bucket, count) of words."""
 
     def run(batches):
         schema = pa.schema(
             [("doc_id", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()),
-             ("shingle", pa.int64()), ("count", pa.int64())]
+             ("shingle", pa.int64()), ("bucket", pa.int64()), ("count", pa.int64())]
         )
         none = lambda k: pa.nulls(k, pa.int64())
         held, many = [], 0
+        word_count = np.zeros(WORD_BUCKETS, np.int64)
 
         def counted():
             if not held:
-                return pa.RecordBatch.from_arrays([none(0)] * 6, schema=schema)
+                return pa.RecordBatch.from_arrays([none(0)] * 7, schema=schema)
             s, c = np.unique(np.concatenate(held), return_counts=True)
             s, c = s[c >= COUNT_LEAST], c[c >= COUNT_LEAST]
-            return pa.RecordBatch.from_arrays([*[none(len(s))] * 4, pa.array(_long(s)), pa.array(c)], schema=schema)
+            return pa.RecordBatch.from_arrays([*[none(len(s))] * 4, pa.array(_long(s)), none(len(s)), pa.array(c)], schema=schema)
 
         for batch in batches:
             k = batch.num_rows
             n, a, b = np.zeros(k, np.int64), np.zeros(k, np.uint64), np.zeros(k, np.uint64)
-            for row, s in shingle_sets(batch.column("text"), size):
+            for row, s, _ in shingle_sets(batch.column("text"), size, count=word_count):
                 n[row] = len(s)
                 if len(s):
                     a[row], b[row] = _signature(s)
@@ -83,12 +88,16 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
                     yield counted()
                     held, many = [], 0
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(_long(a)), pa.array(_long(b)), none(k), none(k)],
+                [batch.column("doc_id"), pa.array(n), pa.array(_long(a)), pa.array(_long(b)), *[none(k)] * 3],
                 schema=schema,
             )
         yield counted()
+        seen = np.flatnonzero(word_count)
+        yield pa.RecordBatch.from_arrays(
+            [*[none(len(seen))] * 5, pa.array(seen), pa.array(word_count[seen])], schema=schema
+        )
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig1 long, sig2 long, shingle long, count long")
+    return docs.mapInArrow(run, "doc_id long, n long, sig1 long, sig2 long, shingle long, bucket long, count long")
 
 
 def boundary_width(n: int, percent: int) -> int:
@@ -96,57 +105,78 @@ def boundary_width(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def region_rows(docs: DataFrame, size: int, percent: int, frequent) -> DataFrame:
-    """(pivot, sig): each different set in the regions of its first shingles."""
+def region_rows(docs: DataFrame, size: int, percent: int, statistics) -> DataFrame:
+    """(pivot, sig, n, place): each different set of n shingles in the regions of its first ones.
+
+    place: how many shingles of the set come before the pivot.
+    """
 
     def run(batches):
-        known, order = frequent.value
+        known, order, levels = statistics.value
         seen: set[int] = set()
         for batch in batches:
-            pivots, sigs, widths = [], [], []
-            for _, s in shingle_sets(batch.column("text"), size):
+            pivots, sigs, sizes, widths = [], [], [], []
+            for _, s, level in shingle_sets(batch.column("text"), size, levels):
                 if not len(s) or (sig := _signature(s)[0]) in seen:
                     continue
                 seen.add(sig)
-                k = boundary_width(len(s), percent)
+                last = level
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    often = known[at] == s
-                    first = s[~often][:k]
-                    if len(first) < k:
-                        rest, rank = s[often], order[at[often]]
-                        first = np.concatenate([first, rest[np.argsort(rank, kind="stable")][: k - len(first)]])
-                else:
-                    first = s[:k]
-                pivots.append(first)
+                    last = np.where(known[at] == s, LAST + order[at], level)
+                pivots.append(s[np.argsort(last, kind="stable")[: boundary_width(len(s), percent)]])
                 sigs.append(sig)
-                widths.append(len(first))
+                sizes.append(len(s))
+                widths.append(len(pivots[-1]))
             if pivots:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_long(np.concatenate(pivots))), pa.array(_long(np.repeat(np.array(sigs, np.uint64), widths)))],
-                    names=["pivot", "sig"],
-                )
+                    [
+                        pa.array(_long(np.concatenate(pivots))),
+                        pa.array(_long(np.repeat(np.array(sigs, np.uint64), widths))),
+                        pa.array(np.repeat(np.array(sizes, np.int32), widths)),
+                        pa.array(np.concatenate([np.arange(w, dtype=np.int32) for w in widths])),
+                    ],
+                    names=["pivot", "sig", "n", "place"],
+                )
 
-    return docs.mapInArrow(run, "pivot long, sig long")
+    return docs.mapInArrow(run, "pivot long, sig long, n int, place int")
 
 
-def region_links(rows: DataFrame) -> DataFrame:
-    """(a, b): each set of a region with the region's least set; rows must be dealt by pivot."""
+def region_links(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of sets that may link, as far as their sizes and the place of a common pivot tell.
+
+    If a pivot is the first that two sets share, they share no more than what follows it in either. Regions of more
+    than PAIRED sets are glued whole instead, which can only add candidates. rows must be dealt by pivot.
+    """
 
     def run(batches):
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        got = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
         if not got:
             return
-        pivot, sig = (np.concatenate(x) for x in zip(*got, strict=True))
+        pivot, sig, n, place = (np.concatenate(x) for x in zip(*got, strict=True))
         at = np.lexsort((sig, pivot))
-        pivot, sig = pivot[at], sig[at]
-        start = np.append(True, pivot[1:] != pivot[:-1])
-        least = sig[np.flatnonzero(start)][np.cumsum(start) - 1]
-        other = least != sig
-        pairs = np.unique(np.stack([least[other], sig[other]]), axis=1)
+        pivot, sig, n, place = pivot[at], sig[at], n[at].astype(np.int64), place[at]
+        fresh = np.append(True, (pivot[1:] != pivot[:-1]) | (sig[1:] != sig[:-1]))
+        pivot, sig, n, place = pivot[fresh], sig[fresh], n[fresh], place[fresh]
+        start = np.flatnonzero(np.append(True, pivot[1:] != pivot[:-1]))
+        members = np.diff(np.append(start, len(pivot)))
+        large = np.repeat(members > PAIRED, members)
+        least = sig[np.repeat(start, members)]
+        glued = large & (least != sig)
+        a, b = [least[glued]], [sig[glued]]
+        small = np.flatnonzero(~large & (np.repeat(members, members) > 1))
+        pivot, sig, n, left = pivot[small], sig[small], n[small], n[small] - place[small]
+        for lag in range(1, PAIRED):
+            same = np.flatnonzero(pivot[lag:] == pivot[:-lag])
+            if not len(same):
+                break
+            x, y = same, same + lag
+            may = (100 + percent) * np.minimum(left[x], left[y]) >= percent * (n[x] + n[y])
+            a.append(sig[x[may]])
+            b.append(sig[y[may]])
+        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
         for k in range(0, pairs.shape[1], 100_000):
-            a, b = pairs[:, k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs[:, k : k + 100_000]], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -220,7 +250,7 @@ def join_cells(rows: DataFrame, size: int, percent: int) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, sets = [], []
-        for row, s in shingle_sets(pa.array(pdf["text"], pa.string()), size):
+        for row, s, _ in shingle_sets(pa.array(pdf["text"], pa.string()), size):
             if len(s) and _long([_signature(s)[0]])[0] == pdf["sig"].iloc[row]:
                 ids.append(pdf["doc_id"].iloc[row])
                 sets.append(s)
@@ -248,7 +278,11 @@ def ngram_jaccard_join(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     sketched = materialize(sketch(docs, size))
-    docs_sketch = sketched.where("shingle IS NULL")
+    docs_sketch = sketched.where("n IS NOT NULL")
+    word_count = np.zeros(WORD_BUCKETS)
+    for r in sketched.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("c")).collect():
+        word_count[r["bucket"]] = r["c"]
+    levels = np.round(LEVEL_STEPS * np.log2(word_count + 1)).astype(np.int64)
     top = (
         sketched.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("count").alias("c"))
         .orderBy(F.desc("c"), "shingle").limit(FREQUENT).toPandas()
@@ -258,10 +292,10 @@ def ngram_jaccard_join(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     order = np.empty(len(rank), np.int64)
     order[rank] = np.arange(len(rank))
     by_hash = np.argsort(known)
-    frequent = spark.sparkContext.broadcast((known[by_hash], order[by_hash]))
+    statistics = spark.sparkContext.broadcast((known[by_hash], order[by_hash], levels))
 
-    rows = region_rows(docs, size, percent, frequent).repartition(shuffle_partitions(spark), "pivot")
-    stars = connected_components(region_links(rows))
+    rows = region_rows(docs, size, percent, statistics).repartition(shuffle_partitions(spark), "pivot")
+    stars = connected_components(region_links(rows, percent))
     cells = stars.select(F.col("child").alias("sig"), F.col("parent").alias("cell")).unionAll(
         stars.select("parent", "parent").distinct()
     )

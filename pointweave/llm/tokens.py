@@ -105,18 +105,40 @@ def windows(h: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-def shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle hashes): a shorter sequence of words is one shingle, no words give none."""
+#: Buckets in which words are counted.
+WORD_BUCKETS = 1 << 14
+
+
+def word_buckets(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(50)).astype(np.int64)
+
+
+def shingle_sets(texts: pa.Array, size: int, levels: np.ndarray | None = None, count: np.ndarray | None = None):
+    """(row, sorted distinct shingle hashes, their levels): a shorter text is one shingle, no words give none.
+
+    levels: a level for each word bucket; a shingle's level is the sum over its words (None without levels).
+    count: gets the number of words in each bucket added.
+    """
     for i, j, d, starts in pieces(texts):
         d = lower(d)
         s, e = word_spans(d)
         h = hash_spans(d, s, e)
+        if count is not None:
+            count += np.bincount(word_buckets(h), minlength=WORD_BUCKETS)
         w = windows(h, size)
+        if levels is not None and len(w):
+            level = levels[word_buckets(h)]
+            level = sum(level[k : k + len(w)] for k in range(size))
         first = np.searchsorted(s, starts)
         for row, a, b in zip(range(i, j), first, np.append(first[1:], len(s)), strict=True):
             if b - a >= size:
-                yield row, np.unique(w[a : b - size + 1])
+                mine = w[a : b - size + 1]
+                if levels is None:
+                    yield row, np.unique(mine), None
+                else:
+                    mine, at = np.unique(mine, return_index=True)
+                    yield row, mine, level[a : b - size + 1][at]
             elif b > a:
-                yield row, mix64(windows(h[a:b], b - a) + np.uint64(b - a))
+                yield row, mix64(windows(h[a:b], b - a) + np.uint64(b - a)), np.zeros(1, np.int64)
             else:
-                yield row, np.zeros(0, np.uint64)
+                yield row, np.zeros(0, np.uint64), np.zeros(0, np.int64)
