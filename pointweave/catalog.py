@@ -1,15 +1,21 @@
-"""Queries of the spatial engine and their SQL."""
+"""Queries of the spatial engine, each with SQL that gives the same rows on the same tables."""
 
 from __future__ import annotations
 
+from . import catalog_cohort, catalog_points, catalog_raster
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return catalog_points.QUERIES["aggregate_shape"][0](spark, sf_dir)
+
+
+def _all() -> dict:
+    return {**catalog_points.QUERIES, **catalog_raster.QUERIES, **catalog_cohort.QUERIES}
 
 
 def queries() -> dict:
-    return {}
+    return {name: q for name, (q, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
