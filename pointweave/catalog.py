@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from . import catalog_cohort, catalog_points, catalog_raster
+from .plans import aggregates
+from .sources import adapters
 
 
 def flagship(spark, sf_dir):
-    return catalog_points.QUERIES["aggregate_shape"][0](spark, sf_dir)
+    """Aggregates of the nuclei of tissue tiles; a wide radius, as the small tables are sparse."""
+    nuclei = adapters.nuclei(spark, sf_dir)
+    return aggregates.detect_aggregates(nuclei, adapters.tiles(nuclei), 400, 10)
 
 
 def _all() -> dict:

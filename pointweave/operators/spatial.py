@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,20 +82,43 @@ def in_boxes(points: DataFrame, boxes: DataFrame, cell: int = 256) -> DataFrame:
     )
 
 
-def hull_edges(members: DataFrame) -> DataFrame:
-    """Directed edges of the convex hull of each (image_id, component), by gift wrapping as a self-join.
+def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The corners of the convex hull in counter-clockwise order, by a lower and an upper chain; all points if flat."""
+    pts = sorted(set(zip(pdf["x"], pdf["y"], strict=True)))
+    if len(pts) > 2:
+        half = []
+        for run in (pts, pts[::-1]):
+            out = []
+            for p in run:
+                while len(out) > 1 and (
+                    (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0])
+                ):
+                    out.pop()
+                out.append(p)
+            half += out[:-1]
+        pts = half
+    return pd.DataFrame(
+        {"image_id": pdf["image_id"].iloc[0], "component": pdf["component"].iloc[0], "x": [p[0] for p in pts],
+         "y": [p[1] for p in pts], "turn": range(len(pts))}
+    )
+
+
+def hull_edges(members: DataFrame, cell: int = 1024) -> DataFrame:
+    """Directed edges (px, py, qx, qy) of the convex hull of each (image_id, component), counter-clockwise.
 
-    An edge p -> q is on the hull when no member lies to its right and none lies beyond q on its line. The join is
-    within a component, whose size an aggregate bounds.
+    Hulls of grid cells come first, then the hull of their corners, so a large component is never one group of all its
+    points.
     """
+    kinds = dict(members.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("image_id", "component", "x", "y")) + ", turn int"
     m = members.select("image_id", "component", "x", "y").distinct()
-    p, q, r = (m.select("image_id", "component", F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y")) for c in "pqr")
-    key = ["image_id", "component"]
-    cross = (F.col("qx") - F.col("px")) * (F.col("ry") - F.col("py")) - (F.col("qy") - F.col("py")) * (F.col("rx") - F.col("px"))
-    beyond = (F.col("rx") - F.col("px")) * (F.col("rx") - F.col("qx")) + (F.col("ry") - F.col("py")) * (F.col("ry") - F.col("qy")) > 0
-    pairs = p.join(q, key).where((F.col("px") != F.col("qx")) | (F.col("py") != F.col("qy")))
-    right = pairs.join(r, key).where((cross < 0) | ((cross == 0) & beyond)).select(*key, "px", "py", "qx", "qy")
-    return pairs.join(right, [*key, "px", "py", "qx", "qy"], "left_anti")
+    m = m.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
+    local = m.groupBy("image_id", "component", "_cx", "_cy").applyInPandas(_chain, schema)
+    corners = local.groupBy("image_id", "component").applyInPandas(_chain, schema)
+    w = Window.partitionBy("image_id", "component").orderBy("turn")
+    first = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nxt = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(first)).alias(f"q{c}")
+    return corners.select("image_id", "component", F.col("x").alias("px"), F.col("y").alias("py"), nxt("x"), nxt("y"))
 
 
 def in_hulls(points: DataFrame, members: DataFrame) -> DataFrame:
