@@ -91,7 +91,7 @@ WITH RECURSIVE step(i, k, v) AS (
 ), c AS (
   SELECT doc_id, size, xor(list_reduce(
            list_prepend(CAST(4294967295 AS BIGINT),
-             [CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT) for i in range(length(h) // 2)]),
+             [CAST('0x' || x AS BIGINT) for x in regexp_extract_all(h, '..')]),
            lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32
   FROM d, tab
 ), p AS (
