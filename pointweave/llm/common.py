@@ -2,47 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import broadcast_if_small, materialize, table
+
+__all__ = [
+    "WORD", "WORD_GAP", "broadcast_if_small", "count_of", "let", "materialize", "sampled_labels", "shuffle_partitions",
+    "table", "words",
+]
+
 #: Bytes that separate words: space and the ASCII controls 09 to 0D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which every executor sees.
-
-    Where the setting is absent the session must be a local one; then a folder of this machine serves.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = os.path.join(tempfile.gettempdir(), "pointweave-shared")
-    return f"{base.rstrip('/')}/pointweave-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """A broadcast hint where df (already materialised) has at most max_rows rows; else df for a shuffled join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def let(value: Column, body) -> Column:
     """body(value), with value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -60,3 +34,14 @@ def count_of(text: Column, pattern: str) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sampled_labels(labels: DataFrame, label: str, rows: int, seed: int) -> DataFrame:
+    """(_id, _label) of at most so many labelled ids in a seeded order, without those whose crc32 mod 4 is 2."""
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
+    return (
+        labels.where(F.col(label).isNotNull() & learn)
+        .select(F.col("doc_id").alias("_id"), F.col(label).cast("double").alias("_label"))
+        .orderBy(F.xxhash64(F.lit(seed), "_id"), "_id", "_label")
+        .limit(rows)
+    )

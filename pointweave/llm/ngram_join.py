@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import broadcast_if_small, materialize, shuffle_partitions, table
-from .components import connected_components
 from .tokens import WORD_BUCKETS, mix64, shingle_sets
 
 WORDS = 4

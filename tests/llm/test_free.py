@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pointweave.llm import chat, components, decontaminate, ngram_join, quality_model, registry, secrets, tokens, toxicity
+from pointweave.llm import chat, decontaminate, ngram_join, quality_model, registry, secrets, tokens, toxicity
+from pointweave.operators import components
 from tests.compare import SF, spark_rows, sql_rows
 from tests.llm.conftest import prose
 
