@@ -331,3 +331,17 @@ def permutation_importance(spark, d):
     train, test = ml.hash_split(ad.cohort(spark, d), "aggregate_id")
     model = ml.random_forest(ml.vectors(train, COLUMNS), "y")
     return ml.permutation_importance(model, test.select("aggregate_id", *COLUMNS, "y"), COLUMNS, "y")
+
+
+@query()
+def lda(spark, d):
+    train, test = ml.hash_split(ad.cohort(spark, d), "aggregate_id")
+    return ml.discriminant(train, COLUMNS, "y")(test).select("aggregate_id", "y", "pred")
+
+
+@query()
+def ordinal_models(spark, d):
+    data = ad.cohort(spark, d).withColumn("grade", (F.col("num_nuclei") / 75).cast("int"))
+    train, test = ml.hash_split(data, "aggregate_id")
+    scored = ml.ordinal_models(train, COLUMNS[1:], "grade", 3)(test)
+    return cohort.ordinal_probabilities(scored, 3).select("aggregate_id", "grade", "class_0", "class_1", "class_2")

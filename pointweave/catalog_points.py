@@ -365,3 +365,15 @@ def _sweep_sql() -> str:
 def threshold_sweep(spark, d):
     p = _pts(spark, d).withColumn("dtfe", F.col("area"))
     return aggregates.threshold_sweep(p, [10.0, 20.0, 30.0], R, MIN)
+
+
+@query(f"""WITH RECURSIVE {ad.NUC}, {ad.GRAPH}, {EDGES}, w AS (SELECT image_id, src AS a, dst AS b FROM e UNION ALL SELECT image_id, dst, src FROM e),
+  core AS (SELECT image_id, a AS nid FROM w GROUP BY 1, 2 HAVING count(*) >= 4),
+  cw AS (SELECT w.* FROM w JOIN core x ON x.image_id = w.image_id AND x.nid = a JOIN core y ON y.image_id = w.image_id AND y.nid = b),
+  reach(image_id, nid, c) AS (SELECT image_id, nid, nid FROM core UNION SELECT r.image_id, cw.b, r.c FROM reach r JOIN cw ON cw.image_id = r.image_id AND cw.a = r.nid AND r.c < cw.b),
+  cc AS (SELECT image_id, nid, min(c) AS c FROM reach GROUP BY 1, 2),
+  f AS (SELECT image_id, nid, c FROM cc UNION ALL SELECT w.image_id, w.a, min(cc.c) FROM w JOIN cc ON cc.image_id = w.image_id AND cc.nid = w.b
+        WHERE (w.image_id, w.a) NOT IN (SELECT (image_id, nid) FROM core) GROUP BY 1, 2)
+  SELECT pts.image_id, pts.nid, f.c AS cluster FROM pts LEFT JOIN f USING (image_id, nid)""")
+def dbscan(spark, d):
+    return spatial.dbscan(_pts(spark, d), R, 5).select("image_id", "nid", "cluster")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import scalar
-from .operators import raster, tables
+from .operators import raster, stains, tables
 from .sources import adapters as ad
 from .sources.storage import broadcast_if_small, materialize, table
 
@@ -274,3 +274,61 @@ def otsu_fragments(spark, d):
     fg = raster.otsu_mask(_pix(spark, d), "g").where("NOT above").select("py", "px")
     c = materialize(raster.label_components(fg, raster.EIGHT))
     return c.groupBy("component").count().select("component.py", "component.px", "count")
+
+
+@query(f"""WITH {ad.PIX} SELECT label, py, px FROM pix p WHERE label > 0 AND (SELECT count(*) FROM pix q WHERE q.label = p.label AND abs(q.py - p.py) + abs(q.px - p.px) = 1) < 4""")
+def contour_pixels(spark, d):
+    return stains.boundary(_pix(spark, d).where("label > 0"))
+
+
+@query("""SELECT DISTINCT p_partkey AS id, CAST(trunc(p_size * (k / 199.0::DOUBLE)) AS INT) AS py, CAST(trunc(3 + (p_size % 20 - 3) * (k / 199.0::DOUBLE)) AS INT) AS px
+  FROM part, range(200) r(k) WHERE p_partkey < 50""")
+def line_pixels(spark, d):
+    s = F.col("p_size")
+    lines = table(spark, d, "part").where("p_partkey < 50").select(
+        F.col("p_partkey").alias("id"), F.lit(3).alias("x0"), F.lit(0).alias("y0"), (s % 20).alias("x1"), s.alias("y1")
+    )
+    return stains.line_pixels(lines, 200)
+
+
+def _axis(k: int) -> str:
+    l, m, s = (f"log10(greatest({' + '.join(f'{v} * {c}' for v, c in zip(row, 'rgb'))}, 1.0))" for row in stains._LMS)
+    return [f"({l} + {m} + {s}) / sqrt(3)", f"({l} + {m} - 2 * {s}) / sqrt(6)", f"({l} - {m}) / sqrt(2)"][k]
+
+
+@query(f"""WITH {ad.PIX}, a AS (SELECT *, {_axis(0)} AS l, {_axis(1)} AS a, {_axis(2)} AS o FROM pix), t AS (
+  SELECT avg(l) AS ml, stddev_pop(l) AS sl, avg(a) AS ma, stddev_pop(a) AS sa, avg(o) AS mo, stddev_pop(o) AS so FROM a WHERE least(r, g, b) <= 200 AND greatest(r, g, b) > 0)
+  SELECT py, px, round((l - ml) / sl * 0.4 + 3.5, 5) AS l, round((a - ma) / sa * 0.1 + 0.05, 5) AS a, round((o - mo) / so * 0.02 + 0.03, 5) AS o FROM a, t""")
+def color_match(spark, d):
+    out = stains.match_moments(_pix(spark, d), [3.5, 0.05, 0.03], [0.4, 0.1, 0.02])
+    return out.select("py", "px", *[F.round(c, 5).alias(c) for c in "lao"])
+
+
+@query()
+def stain_basis(spark, d):
+    return spark.createDataFrame([tuple(map(float, v)) for v in stains.stain_vectors(_pix(spark, d))], "r double, g double, b double")
+
+
+@query()
+def superpixels(spark, d):
+    return stains.superpixels(_pix(spark, d), 15, rounds=3).select("py", "px", "spx")
+
+
+@query(f"WITH {ad.NUC}, {ad.PIX} SELECT image_id, nid, label FROM nuc JOIN pix ON py = y // 80 AND px = x // 80 WHERE label > 0")
+def nuclei_superpixel(spark, d):
+    return tables.point_lookup(ad.nuclei(spark, d), _pix(spark, d), 0.0125, "label").where("label > 0").select("image_id", "nid", "label")
+
+
+@query(f"""WITH {ad.PIX}, n AS (SELECT label % 4 AS cls, label, count(*) AS n FROM pix WHERE label > 0 GROUP BY 1, 2),
+  c AS (SELECT cls, n, row_number() OVER (PARTITION BY cls ORDER BY n DESC) AS r FROM (SELECT DISTINCT cls, n FROM n))
+  SELECT n.cls, label, n.n FROM n JOIN c ON c.cls = n.cls AND r = 2 WHERE n.n < c.n""")
+def below_second_largest(spark, d):
+    n = _pix(spark, d).where("label > 0").groupBy((F.col("label") % 4).alias("cls"), "label").agg(F.count("*").alias("n"))
+    return stains.second_largest(n, "cls", "n")
+
+
+@query(f"""WITH {ad.PIX}, b AS (SELECT label, avg(py) AS cy, avg(px) AS cx, 4 * sqrt((var_pop(py) + var_pop(px) + 2.0 / 12 + sqrt((var_pop(px) - var_pop(py)) ** 2 + 4 * covar_pop(px, py) ** 2)) / 2) AS m
+  FROM pix WHERE label > 0 GROUP BY 1) SELECT label, round(avg(CASE WHEN (py - cy) ** 2 + (px - cx) ** 2 <= (m / 2) ** 2 THEN 1.0 ELSE 0.0 END), 6) AS fill FROM pix JOIN b USING (label) GROUP BY 1""")
+def ellipse_fill(spark, d):
+    p = _pix(spark, d).where("label > 0")
+    return stains.ellipse_fill(p, raster.region_properties(p)).withColumn("fill", F.round("fill", 6))

@@ -104,3 +104,54 @@ def pipeline(columns: list[str], y: str) -> Pipeline:
             RandomForestClassifier(labelCol=y, numTrees=10, seed=1),
         ]
     )
+
+
+def discriminant(train: DataFrame, columns: list[str], y: str):
+    """Linear discriminant analysis in closed form: class means and the pooled covariance are grouped sums.
+
+    Returns a function that adds pred to a table; only the sums of classes x columns come to the driver.
+    """
+    import numpy as np
+
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    rows = train.groupBy(y).agg(
+        F.count("*").alias("n"),
+        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
+        *[F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs],
+    ).orderBy(y).collect()
+    total = sum(r["n"] for r in rows)
+    cov = np.zeros((len(columns), len(columns)))
+    for r in rows:
+        for i, j in pairs:
+            cov[i, j] += r["n"] * r[f"c{i}_{j}"] / total
+            cov[j, i] = cov[i, j]
+    inverse = np.linalg.pinv(cov)
+    scores = []
+    for r in rows:
+        m = np.array([r[f"m{i}"] for i in range(len(columns))])
+        w = inverse @ m
+        bias = math.log(r["n"] / total) - float(m @ w) / 2
+        scores.append((r[y], sum((float(a) * F.col(c) for a, c in zip(w, columns, strict=True)), F.lit(bias))))
+
+    def predict(df: DataFrame) -> DataFrame:
+        best = F.array_max(F.array(*[F.struct(s.alias("s"), F.lit(v).alias("v")) for v, s in scores]))
+        return df.withColumn("pred", best["v"])
+
+    return predict
+
+
+def ordinal_models(train: DataFrame, columns: list[str], y: str, k: int):
+    """k - 1 binary models of y > i; returns a function that adds p0 ... p(k-2). k must be over 2, classes 0 to k - 1."""
+    if k < 3:
+        raise ValueError("an ordinal model needs three classes or more")
+    data = vectors(train, columns)
+    models = [logistic(data.withColumn("over", (F.col(y) > i).cast("double")), "over") for i in range(k - 1)]
+
+    def predict(df: DataFrame) -> DataFrame:
+        df = vectors(df, columns)
+        for i, m in enumerate(models):
+            out = m.transform(df).withColumn(f"p{i}", vector_to_array("probability")[1])
+            df = out.drop("rawPrediction", "probability", "prediction")
+        return df.drop("features")
+
+    return predict

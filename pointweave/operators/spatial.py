@@ -138,3 +138,28 @@ def knn(queries: DataFrame, base: DataFrame, k: int, squared_distance) -> DataFr
     return queries.join(base, F.col("q_id") != F.col("b_id")).withColumn("d2", squared_distance).withColumn(
         "rank", F.row_number().over(order)
     ).where(F.col("rank") <= k)
+
+
+def dbscan(points: DataFrame, r: float, min_points: int) -> DataFrame:
+    """points with cluster: components of core points (min_points within r, themselves included); a border point takes
+    the least of the clusters around it, noise is null."""
+    from ..sources.storage import materialize
+    from .components import label_nodes
+
+    e = materialize(radius_edges(points, r).select("image_id", "src", "dst"))
+    core = (
+        e.select("image_id", F.explode(F.array("src", "dst")).alias("nid")).groupBy("image_id", "nid").count()
+        .where(F.col("count") >= min_points - 1).select("image_id", "nid")
+    )
+    inner = e
+    for c in ("src", "dst"):
+        inner = inner.join(core.withColumnRenamed("nid", c), ["image_id", c], "left_semi")
+    cores = materialize(label_nodes(core, inner))
+    both = e.unionByName(e.select("image_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    border = (
+        both.join(cores.select("image_id", F.col("nid").alias("dst"), "component"), ["image_id", "dst"])
+        .join(core.withColumnRenamed("nid", "src"), ["image_id", "src"], "left_anti")
+        .groupBy("image_id", F.col("src").alias("nid")).agg(F.min("component").alias("component"))
+    )
+    found = cores.select("image_id", "nid", "component").unionByName(border).withColumnRenamed("component", "cluster")
+    return points.join(found, ["image_id", "nid"], "left")
