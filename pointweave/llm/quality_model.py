@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sampled_labels, table
 
 WIDTH, STRIDE, FILTERS, HALF = 8, 2, 16, 256
 #: Labelled rows that are learned from at most, and the longest seeded passage of each that is: the fit runs on the
@@ -156,22 +156,17 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = SEED) -> ByteCnn:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[bytes], np.ndarray]:
-    """Seeded passages of at most TRAIN_ROWS labelled documents whose crc32(doc_id) mod 4 is not 2."""
-    named = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("double").alias("_label")).where(
-        "_label IS NOT NULL"
-    )
-    learn = F.crc32(F.col("_id").cast("string").cast("binary")) % 4 != 2
+    """Seeded passages of the documents of at most TRAIN_ROWS labels whose crc32(doc_id) mod 4 is not 2.
+
+    The labels are chosen first, so their number bounds what is broadcast and no text is shuffled.
+    """
+    chosen = sampled_labels(labels, label, TRAIN_ROWS, SEED)
     text = F.coalesce("text", F.lit(""))
     room = F.greatest(F.length(text) - TRAIN_CHARS, F.lit(0)) + 1
     passage = F.substring(text, (F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), room) + 1).cast("int"), F.lit(TRAIN_CHARS))
-    got = (
-        docs.join(named.where(learn), F.col("doc_id") == F.col("_id"))
-        .select(F.xxhash64(F.lit(SEED + 1), "doc_id").alias("_at"), "doc_id", passage.alias("_passage"), "_label")
-        .orderBy("_at", "doc_id")
-        .limit(TRAIN_ROWS)
-        .collect()
-    )
-    return [(r["_passage"] or "").encode() for r in got], np.array([r["_label"] for r in got])
+    found = docs.select("doc_id", passage.alias("_passage")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    got = sorted((r["doc_id"], r["_passage"], r["_label"]) for r in found.select("doc_id", "_passage", "_label").collect())
+    return [p.encode() for _, p, _ in got], np.array([y for _, _, y in got])
 
 
 def score_texts(docs: DataFrame, net: ByteCnn, keep: list[str], out: str = "score") -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sampled_labels, table
 from .tokens import core_spans, hash_spans, lower, pieces
 
 BUCKETS = 1 << 20
@@ -117,9 +117,8 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray) -> Severity:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features of at most TRAIN_ROWS labelled documents in a seeded order; crc32(doc_id) mod 4 = 2 stays unseen."""
-    named = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("double").alias("_label"))
-    learn = F.col("_label").isNotNull() & (F.crc32(F.col("_id").cast("string").cast("binary")) % 4 != 2)
+    """Features of the documents of at most TRAIN_ROWS labels in a seeded order; crc32(doc_id) mod 4 = 2 stays unseen."""
+    chosen = sampled_labels(labels, "toxic", TRAIN_ROWS, SEED)
 
     def run(batches):
         for batch in batches:
@@ -127,18 +126,13 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray],
             for r, x in features(batch.column("text")):
                 got[r] = x[:: -(-len(x) // TRAIN_FEATURES)] if len(x) > TRAIN_FEATURES else x
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_label"), pa.array(got, pa.list_(pa.int64()))], names=["_label", "x"]
+                [batch.column("doc_id"), batch.column("_label"), pa.array(got, pa.list_(pa.int64()))],
+                names=["doc_id", "_label", "x"],
             )
 
-    chosen = (
-        docs.select("doc_id", "text")
-        .join(named.where(learn), F.col("doc_id") == F.col("_id"))
-        .withColumn("_at", F.xxhash64(F.lit(SEED), "doc_id"))
-        .orderBy("_at", "doc_id")
-        .limit(TRAIN_ROWS)
-        .select("text", "_label")
-    )
-    got = chosen.mapInArrow(run, "_label double, x array<long>").collect()
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    got = found.mapInArrow(run, "doc_id long, _label double, x array<long>").collect()
+    got.sort(key=lambda r: (r["doc_id"], r["_label"]))
     return [np.array(r["x"], np.int64) for r in got], np.array([r["_label"] for r in got])
 
 
