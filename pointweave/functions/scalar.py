@@ -22,7 +22,8 @@ def standardize(r: Column, g: Column, b: Column, background: int = 200) -> tuple
 
 
 def circularity(area: Column, perimeter: Column) -> Column:
-    return F.least(F.try_divide(4 * F.pi() * area, perimeter * perimeter), F.lit(1.0))
+    """At most 1; null without a perimeter (least() would skip the null)."""
+    return F.when(perimeter != 0, F.least(4 * F.pi() * area / (perimeter * perimeter), F.lit(1.0)))
 
 
 def px_area_to_um2(area: Column, rx: float, ry: float) -> Column:
