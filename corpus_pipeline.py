@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pointweave.llm import decontaminate, mixing, ngram_join, quality_model, sharding
 from pointweave.llm.common import broadcast_if_small, materialize, table
 
+#: Words of a shingle and least similarity in percent of near duplicates.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: Doc ids to drop that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -31,7 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each component of the n-gram join."""
-    joined = ngram_join.ngram_jaccard_join(docs)
+    joined = ngram_join.ngram_jaccard_join(docs, NEAR_WORDS, NEAR_PERCENT)
     return _without(docs, joined.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")))
 
 
