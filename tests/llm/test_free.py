@@ -46,11 +46,11 @@ def test_equal_hashes_for_equal_words_only():
 # n-gram join
 
 
-def brute_join(texts):
+def brute_join(texts, size=4, percent=85):
     sets = []
     for t in texts:
         w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()
-        sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set())
+        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
     up = list(range(len(texts)))
 
     def root(x):
@@ -59,7 +59,7 @@ def brute_join(texts):
         return x
 
     for a, b in itertools.combinations(range(len(texts)), 2):
-        if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
             x, y = root(a), root(b)
             up[max(x, y)] = min(x, y)
     return [(i, len(sets[i]), root(i)) for i in range(len(texts))]
@@ -296,7 +296,7 @@ def test_pipeline_against_brute_force(spark):
     assert kept.columns == docs.columns
     texts = {r["doc_id"]: r["text"] for r in kept.collect()}
     ids = sorted(texts)
-    want = {ids[i] for i, _, root in brute_join([texts[i] for i in ids]) if i == root}
+    want = {ids[i] for i, _, root in brute_join([texts[i] for i in ids], 5, 80) if i == root}
     one = corpus_pipeline.near_duplicates(spark, kept, SF)
     assert {r["doc_id"] for r in one.collect()} == want and one.columns == docs.columns
     clean = corpus_pipeline.decontamination(spark, one, SF)
