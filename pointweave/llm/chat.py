@@ -10,7 +10,7 @@ matrix, the few matrices are chained, and each segment is repaired between the t
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,25 +113,22 @@ def repair_roles(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     before it; closing: those after the last turn; cost: that of the whole conversation.
     """
     key = ["conv_id", "segment"]
+    kinds = dict(turns.dtypes)
+    conv, turn = kinds["conv_id"], kinds["turn"]
     slim = turns.select(
         "conv_id",
+        F.coalesce(F.floor(F.col("turn") / segment), F.lit(-(2**60))).alias("segment"),
         "turn",
         F.lower(F.trim("role")).alias("role"),
         F.xxhash64("role", "text").alias("text_key"),
-        F.coalesce(F.floor(F.col("turn") / segment), F.lit(-(2**60))).alias("segment"),
     )
 
-    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.sort_values(["turn", "text_key"], na_position="first", kind="stable")
+    def matrices(rows):
+        return [(*rows[0][:2], [float(x) for x in matrix([r[3] for r in rows]).ravel()])]
 
-    def matrices(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = matrix(list(ordered(pdf)["role"]))
-        return pd.DataFrame({"conv_id": pdf["conv_id"].iloc[:1], "segment": pdf["segment"].iloc[:1], "m": [list(m.ravel())]})
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("segment")
+    def chain(rows):
         k = len(STATES)
-        steps = [np.array(m).reshape(k, k) for m in pdf["m"]]
+        steps = [np.array(r[2]).reshape(k, k) for r in rows]
         cost = np.full(k, np.inf)
         cost[0] = 0
         seen = [cost]
@@ -144,37 +141,70 @@ def repair_roles(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
         ends = ends[::-1]
         last = STATES[ends[-1]]
         closing = [] if last in ("assistant", "start") else [*INSERTIONS[last, "assistant"], "assistant"]
-        n = len(pdf)
-        return pd.DataFrame(
-            {"conv_id": pdf["conv_id"], "segment": pdf["segment"], "a": ends[:-1], "b": ends[1:],
-             "closing": [[]] * (n - 1) + [closing], "cost": [float(final.min())] * n}
-        )
-
-    conv = dict(turns.dtypes)["conv_id"]
-    turn = dict(turns.dtypes)["turn"]
+        return [
+            (*r[:2], ends[i], ends[i + 1], closing if i == len(rows) - 1 else [], float(final.min()))
+            for i, r in enumerate(rows)
+        ]
+
+    def rewrite(rows):
+        _, _, _, _, _, a, b, closing, cost = rows[0]
+        done = repair([r[3] for r in rows], a, b)
+        return [
+            (r[0], r[1], r[2], r[4], role, action, inserted, closing if i == len(rows) - 1 else [], cost, i)
+            for i, (r, (action, role, inserted)) in enumerate(zip(rows, done, strict=True))
+        ]
+
     # written once: the turns of a segment meet its states again below
     slim = materialize(slim)
-    found = slim.groupBy(*key).applyInPandas(matrices, f"conv_id {conv}, segment long, m array<double>")
-    states = found.groupBy("conv_id").applyInPandas(
-        chain, f"conv_id {conv}, segment long, a int, b int, closing array<string>, cost double"
-    )
+    found = by_group(slim, key, ["turn", "text_key"], matrices, f"conv_id {conv}, segment bigint, m array<double>")
+    states = by_group(
+        found, ["conv_id"], ["segment"], chain,
+        f"conv_id {conv}, segment bigint, a int, b int, closing array<string>, cost double",
+    )
+    states = states.withColumnsRenamed({"conv_id": "_conv", "segment": "_segment"})
+    met = slim.join(states, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("segment") == F.col("_segment")))
+    return by_group(
+        met.drop("_conv", "_segment"), key, ["turn", "text_key"], rewrite,
+        f"conv_id {conv}, segment bigint, turn {turn}, text_key bigint, new_role string, action string, "
+        "inserted array<string>, closing array<string>, cost double, place int",
+    )
 
-    def rewrite(_, pdf: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
-        pdf, at = ordered(pdf), at.iloc[0]
-        done = repair(list(pdf["role"]), int(at["a"]), int(at["b"]))
-        n = len(pdf)
-        return pd.DataFrame(
-            {"conv_id": pdf["conv_id"], "turn": pdf["turn"], "text_key": pdf["text_key"], "new_role": [r for _, r, _ in done],
-             "action": [a for a, _, _ in done], "inserted": [i for _, _, i in done],
-             "closing": [[]] * (n - 1) + [list(at["closing"])], "cost": [at["cost"]] * n,
-             "place": np.arange(n), "segment": pdf["segment"]}
-        )
-
-    return slim.groupBy(*key).cogroup(states.groupBy(*key)).applyInPandas(
-        rewrite,
-        f"conv_id {conv}, turn {turn}, text_key long, new_role string, action string, inserted array<string>, "
-        "closing array<string>, cost double, place int, segment long",
-    )
+
+ARROW = {
+    "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
+    "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64()),
+}
+
+
+def by_group(df: DataFrame, keys: list[str], order: list[str], work, schema: str) -> DataFrame:
+    """The rows that work(rows of one group, in order) returns for each group of df.
+
+    Groups lie together after one shuffle and a sort inside partitions; they stream through the task one at a time.
+    """
+    at = [df.columns.index(k) for k in keys]
+    fields = pa.schema([(name, ARROW[kind]) for name, kind in (f.strip().split(" ", 1) for f in schema.split(","))])
+
+    def run(batches):
+        def batch_of(rows):
+            columns = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+        key, held, done = None, [], []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and (k := tuple(row[i] for i in at)) != key:
+                    done += work(held)
+                    held = []
+                    if len(done) >= 5000:
+                        yield batch_of(done)
+                        done = []
+                key = tuple(row[i] for i in at)
+                held.append(row)
+        done += work(held) if held else []
+        if done:
+            yield batch_of(done)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def format_chat(turns: DataFrame, template: str = CHATML) -> DataFrame:
