@@ -248,7 +248,7 @@ def nearest_label(spark, d):
 
 @query()
 def mst_weight(spark, d):
-    f = components.spanning_forest(spatial.prune(spatial.radius_edges(_pts(spark, d), R)))
+    f = components.spanning_forest(spatial.prune(spatial.radius_edges(ad.nuclei(spark, d), R)))
     return f.groupBy("image_id").agg(F.round(F.sum("weight"), 4).alias("weight"), F.count("*").alias("edges"))
 
 

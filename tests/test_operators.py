@@ -163,3 +163,33 @@ def test_sources_round_trip(spark, tmp_path):
     assert sorted(r[0] for r in storage.read_lines(spark, str(tmp_path / "lines")).collect()) == ["a", "b"]
     tiles = storage.read_binary_tiles(spark, str(tmp_path / "log"), lambda _: np.zeros((2, 3, 3), np.int16))
     assert tiles.count() == 6
+
+
+def test_mst_weight_is_of_the_whole_table(spark):
+    from pointweave import catalog
+    from pointweave.sources import adapters
+
+    sf = "/root/testdata/sf0.01"
+    n = adapters.nuclei(spark, sf).select("image_id", "nid", "x", "y").toPandas()
+    want = {}
+    for image, g in n.sort_values("nid").groupby("image_id"):
+        x, y = g.x.to_numpy(np.int64), g.y.to_numpy(np.int64)
+        near = [(int(d), i, i + 1 + int(k)) for i in range(len(x)) for row in [(x[i + 1 :] - x[i]) ** 2 + (y[i + 1 :] - y[i]) ** 2] for k in np.flatnonzero(row <= 10000) for d in [row[k]]]
+        degree = np.bincount([v for e in near for v in e[1:]], minlength=len(x))
+        up = list(range(len(x)))
+
+        def root(v, up=up):
+            while up[v] != v:
+                up[v] = up[up[v]]
+                v = up[v]
+            return v
+
+        taken = []
+        for d, a, b in sorted(e for e in near if degree[e[1]] >= 3 and degree[e[2]] >= 3):
+            if root(a) != root(b):
+                up[root(a)] = root(b)
+                taken.append(math.sqrt(d))
+        want[image] = (len(taken), sum(taken))
+    got = {r["image_id"]: (r["edges"], r["weight"]) for r in catalog.queries()["mst_weight"](spark, sf).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(math.isclose(got[k][1], want[k][1], abs_tol=1e-3) for k in want)
