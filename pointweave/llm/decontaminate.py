@@ -17,7 +17,7 @@ from .common import broadcast_if_small, materialize, table
 from .tokens import core_spans, hash_spans, lower, mix64, pieces, windows, word_spans
 
 WINDOW = 8
-#: Literal tokens that a window needs, so that placeholders alone never match.
+#: Literal tokens that a window needs to match by its template alone, so that placeholders alone never match.
 MIN_LITERALS = 5
 #: Share of an item's windows that consistent matches must cover.
 COVERAGE = 0.5
@@ -37,6 +37,9 @@ _UPPER[65:91] = True
 _STOP[[ord(c) for c in ".!?:"]] = True
 #: Template values of the placeholders.
 NUMBER, UNIT, NAME = (np.uint64(k) for k in (1, 2, 3))
+#: Kinds of window keys.
+STRONG, EXACT, LOOSE = range(3)
+_EXACT_SALT, _LOOSE_SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _hash_of(words: list[str]) -> np.ndarray:
@@ -48,7 +51,7 @@ _UNIT_HASHES = _hash_of(UNITS)
 
 
 def template(d: np.ndarray, doc_starts: np.ndarray):
-    """Tokens of bytes: start and end of their core, template hash, whether a placeholder, first token of each text.
+    """Tokens of bytes: start and end of their core, template and word hash, whether a placeholder, first token of each text.
 
     A token with a digit is a number, a unit word directly after a number is a unit, and a capitalised word that does
     not open a line or sentence is a name. Tokens without letters and digits are left out.
@@ -73,64 +76,73 @@ def template(d: np.ndarray, doc_starts: np.ndarray):
     slot = number | unit | name
     for mask, value in ((number, NUMBER), (unit, UNIT), (name, NAME)):
         h[mask] = value
-    return cs, ce, h, slot, first
+    return cs, ce, h, plain, slot, first
 
 
 def matching_windows(df: DataFrame, id_col: str, wanted=None, size: int = WINDOW) -> DataFrame:
-    """(id, place, total, key, slots): the template windows of each text, or those whose key is in wanted.
+    """(id, place, total, key, slots, kind): the windows of each text, or those whose key is in wanted.
 
-    total is the text's number of windows; slots holds the values of a window's placeholders. A text shorter than a
-    window is one window.
+    A window of MIN_LITERALS literals or more is STRONG: its key is of its template. One of fewer has two keys: an EXACT
+    one of its words as they are, and a LOOSE one of its template, which wanted lets pass only in a text with a strong
+    match. total is the text's number of windows; slots holds the values of a window's placeholders. A text shorter
+    than a window is one window.
     """
 
     def run(batches):
         keys = None if wanted is None else wanted.value
+        has = lambda k: np.ones(len(k), bool) if keys is None else _among(k, keys)
         for batch in batches:
             ids = batch.column(id_col)
-            rows, place, total, key, slots = [], [], [], [], []
+            rows, place, total, key, slots, kinds = [], [], [], [], [], []
             for i, j, d, starts in pieces(batch.column("text")):
-                cs, ce, h, slot, first = template(d, starts)
-                w = windows(h, size)
+                cs, ce, h, plain, slot, first = template(d, starts)
                 ends = np.append(first[1:], len(h))
                 filled = np.concatenate([[0], np.cumsum(slot)])
-                whole = np.flatnonzero((ends - first >= size))
-                inside = np.zeros(len(w) + 1, np.int64)
-                np.add.at(inside, first[whole], 1)
-                np.add.at(inside, np.minimum(ends[whole] - size + 1, len(w)), -1)
-                ok = np.cumsum(inside)[:-1] > 0
-                if len(w):
-                    ok &= size - (filled[size:] - filled[:-size])[: len(w)] >= MIN_LITERALS
-                if keys is not None and len(w):
-                    at = np.minimum(np.searchsorted(keys, w), len(keys) - 1)
-                    ok &= keys[at] == w
-                for k in np.flatnonzero(ok):
-                    r = int(np.searchsorted(first, k, "right")) - 1
-                    rows.append(i + r)
-                    place.append(int(k - first[r]))
-                    total.append(int(ends[r] - first[r] - size + 1))
-                    key.append(w[k])
-                    slots.append(_values(d, cs, ce, slot, k, k + size))
-                for r in np.flatnonzero((ends - first < size) & (ends - first >= MIN_LITERALS)):
-                    x = mix64(windows(h[first[r] : ends[r]], int(ends[r] - first[r])) + np.uint64(ends[r] - first[r]))[0]
-                    if filled[ends[r]] - filled[first[r]] + MIN_LITERALS > ends[r] - first[r]:
+                spans = [(n, (ends - first == n) if n < size else (ends - first >= n)) for n in range(MIN_LITERALS, size + 1)]
+                for n, whole in spans:
+                    whole = np.flatnonzero(whole)
+                    inside = np.zeros(len(h) + 1, np.int64)
+                    np.add.at(inside, first[whole], 1)
+                    np.add.at(inside, ends[whole] - n + 1, -1)
+                    at = np.flatnonzero(np.cumsum(inside)[:-1] > 0)
+                    if not len(at):
                         continue
-                    if keys is None or (len(keys) and keys[min(np.searchsorted(keys, x), len(keys) - 1)] == x):
-                        rows.append(i + int(r))
-                        place.append(0)
-                        total.append(1)
-                        key.append(x)
-                        slots.append(_values(d, cs, ce, slot, first[r], ends[r]))
+                    w = windows(h, n)[at]
+                    w = w if n == WINDOW else mix64(w + np.uint64(n))
+                    strong = n - (filled[at + n] - filled[at]) >= MIN_LITERALS
+                    exact = mix64(windows(mix64(plain), n)[at] ^ _EXACT_SALT ^ np.uint64(n))
+                    row = np.searchsorted(first, at, "right") - 1
+                    hit = has(np.where(strong, w, exact))
+                    loose = mix64(w ^ _LOOSE_SALT)
+                    anchored = np.isin(row, row[hit & strong]) if keys is not None else np.ones(len(at), bool)
+                    extra = ~strong & anchored
+                    extra[extra] = has(loose[extra])
+                    for kind, ok, value in ((STRONG, hit & strong, w), (EXACT, hit & ~strong, exact), (LOOSE, extra, loose)):
+                        for m in np.flatnonzero(ok):
+                            k, r = int(at[m]), int(row[m])
+                            rows.append(i + r)
+                            place.append(k - int(first[r]))
+                            total.append(int(ends[r] - first[r] - n + 1))
+                            key.append(value[m])
+                            slots.append([] if kind == EXACT else _values(d, cs, ce, slot, k, k + n))
+                            kinds.append(kind)
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(rows, pa.int64())), pa.array(place, pa.int64()), pa.array(total, pa.int64()),
-                 pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(slots, pa.list_(pa.string()))],
-                names=["id", "place", "total", "key", "slots"],
+                 pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(slots, pa.list_(pa.string())),
+                 pa.array(kinds, pa.int32())],
+                names=["id", "place", "total", "key", "slots", "kind"],
             )
 
     return df.select(id_col, "text").mapInArrow(
-        run, "id long, place long, total long, key long, slots array<string>"
+        run, "id long, place long, total long, key long, slots array<string>, kind int"
     )
 
 
+def _among(k: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of k are in the sorted keys."""
+    return keys[np.minimum(np.searchsorted(keys, k), len(keys) - 1)] == k if len(keys) else np.zeros(len(k), bool)
+
+
 def _values(d, cs, ce, slot, lo, hi) -> list[str]:
     return [d[cs[k] : ce[k]].tobytes().decode("utf-8", "replace").lower() for k in range(lo, hi) if slot[k]]
 
@@ -140,32 +152,49 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     Matches of a document and an item are read along diagonals (place in the document less place in the item). On a
     diagonal, each benchmark value must meet one document value and the other way round, else the diagonal is
-    dropped; coverage is the share of the item's windows on the rest, exact whether all their values are equal. Null
-    and empty texts match nothing. Items of fewer than MIN_LITERALS literal tokens are never matched. Repeated rows
-    of a document or item count once.
+    dropped; coverage is the share of the item's windows on the rest, exact whether all their values are equal. Windows
+    of fewer than MIN_LITERALS literals count where they are the same word for word, and by their template on a
+    diagonal that holds a match of a window with more. So an item without any window of MIN_LITERALS literals is found
+    as it is but not re-parameterised. Null and empty texts match nothing. Items of fewer than MIN_LITERALS tokens are
+    never matched. Repeated rows of a document or item count once.
     """
     spark = docs.sparkSession
     items = materialize(matching_windows(benchmark, "item_id"))
-    keys = items.select("key").distinct()
-    blocks = -(-keys.count() // BLOCK_WINDOWS)
+    blocks = max(1, -(-items.select("key").distinct().count() // BLOCK_WINDOWS))
+    items = items.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     hits = None
     for block in range(blocks):
-        part = keys.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).toPandas()["key"].to_numpy(np.int64)
+        part = items.where(F.col("block") == block).select("key").distinct().toPandas()["key"].to_numpy(np.int64)
         wanted = spark.sparkContext.broadcast(np.sort(part.view(np.uint64)))
-        found = matching_windows(docs, "doc_id", wanted)
+        found = matching_windows(docs, "doc_id", wanted).withColumn("block", F.lit(block))
         hits = found if hits is None else hits.unionAll(found)
-    if hits is None:
-        hits = items.limit(0)
+    hits = materialize(hits.withColumnRenamed("id", "doc_id"))
     renamed = items.select(
-        "key", F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("total").alias("item_total"),
-        F.col("slots").alias("item_slots"),
+        "key", "block", "kind", F.col("id").alias("item_id"), F.col("place").alias("item_place"),
+        F.col("total").alias("item_total"), F.col("slots").alias("item_slots"),
     )
-    met = (
-        hits.select(F.col("id").alias("doc_id"), "place", "key", "slots")
-        .join(broadcast_if_small(renamed, BROADCAST_ROWS), "key")
+    sure = (
+        hits.where(F.col("kind") != LOOSE)
+        .select("doc_id", "place", "key", "block", "slots")
+        .join(broadcast_if_small(renamed.where(F.col("kind") != LOOSE), BROADCAST_ROWS), ["key", "block"])
         .where(F.size("slots") == F.size("item_slots"))
         .withColumn("shift", F.col("place") - F.col("item_place"))
     )
+    columns = ["doc_id", "item_id", "shift", "item_place", "item_total", "item_slots", "slots"]
+    anchors = sure.where(F.col("kind") == STRONG).select("doc_id", F.col("item_id").alias("_item"), "shift").distinct()
+    loose = renamed.where(F.col("kind") == LOOSE)
+    expected = (
+        anchors.join(broadcast_if_small(loose, BROADCAST_ROWS), F.col("_item").eqNullSafe(F.col("item_id")))
+        .withColumn("_place", F.col("shift") + F.col("item_place"))
+        .select(F.col("doc_id").alias("_doc"), "_place", F.col("key").alias("_key"), "shift", "item_id", "item_place", "item_total", "item_slots")
+    )
+    more = (
+        hits.where(F.col("kind") == LOOSE)
+        .select("doc_id", "place", "key", "slots")
+        .join(expected, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("place") == F.col("_place")) & (F.col("key") == F.col("_key")))
+        .where(F.size("slots") == F.size("item_slots"))
+    )
+    met = sure.select(*columns).unionAll(more.select(*columns))
     values = met.select(
         "doc_id", "item_id", "shift", "item_place", "item_total",
         F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("v"),

@@ -155,6 +155,17 @@ def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     assert spark_rows(registry.queries()["op1_template_windows"](spark, SF)) == whole
 
 
+def test_items_full_of_numbers_are_found(spark):
+    item = "Divide the total of these values by seven: 3 4 kg 8 9 kg 12 15 kg 7 21 kg 33 40 kg 5 6 kg 11 2 kg 14 and 18"
+    sums = "12 + 7 = 19 and 30 - 4 = 26 so 19 * 26 = 494 and 494 / 2 = 247"
+    other = item.translate(str.maketrans("123456789", "234567891"))
+    phrase = "Divide the total of these values by seven: nothing more is asked of anybody here today"
+    bench = spark.createDataFrame([(1, item), (2, sums)], "item_id long, text string")
+    texts = [prose(1, 30) + ". " + item + " " + prose(2, 30), prose(3, 30) + ". " + sums + " " + prose(4, 30), prose(5, 30) + ". " + other, phrase, "3 4 kg 8 9 kg 12 15 kg"]
+    got = {(r["doc_id"], r["item_id"]): (r["coverage"], r["exact"]) for r in decontaminate.contaminated(docs_of(spark, texts), bench).collect()}
+    assert got == {(0, 1): (1.0, True), (1, 2): (1.0, True), (2, 1): (1.0, False)}
+
+
 def test_decontamination_on_awkward_rows(spark, awkward):
     bench = awkward.where("doc_id IN (1, 2, 4, 7)").select(F.col("doc_id").alias("item_id"), "text")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(awkward, bench).collect()}
