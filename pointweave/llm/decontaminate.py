@@ -79,13 +79,13 @@ def template(d: np.ndarray, doc_starts: np.ndarray):
     return cs, ce, h, plain, slot, first
 
 
-def matching_windows(df: DataFrame, id_col: str, wanted=None, size: int = WINDOW) -> DataFrame:
-    """(id, place, total, key, slots, kind): the windows of each text, or those whose key is in wanted.
+def matching_windows(df: DataFrame, id_col: str, wanted=None, size: int = WINDOW, short=()) -> DataFrame:
+    """(id, place, total, key, slots, kind, size): the windows of each text, or those whose key is in wanted.
 
     A window of MIN_LITERALS literals or more is STRONG: its key is of its template. One of fewer has two keys: an EXACT
     one of its words as they are, and a LOOSE one of its template, which wanted lets pass only in a text with a strong
-    match. total is the text's number of windows; slots holds the values of a window's placeholders. A text shorter
-    than a window is one window.
+    match. total is the text's number of windows, size a window's tokens; slots holds the values of a window's placeholders. A text shorter
+    than a window is one window; other texts also give windows of the lengths in short.
     """
 
     def run(batches):
@@ -93,12 +93,12 @@ def matching_windows(df: DataFrame, id_col: str, wanted=None, size: int = WINDOW
         has = lambda k: np.ones(len(k), bool) if keys is None else _among(k, keys)
         for batch in batches:
             ids = batch.column(id_col)
-            rows, place, total, key, slots, kinds = [], [], [], [], [], []
+            rows, place, total, key, slots, kinds, sizes = [], [], [], [], [], [], []
             for i, j, d, starts in pieces(batch.column("text")):
                 cs, ce, h, plain, slot, first = template(d, starts)
                 ends = np.append(first[1:], len(h))
                 filled = np.concatenate([[0], np.cumsum(slot)])
-                spans = [(n, (ends - first == n) if n < size else (ends - first >= n)) for n in range(MIN_LITERALS, size + 1)]
+                spans = [(n, (ends - first >= n) if n == size or n in short else (ends - first == n)) for n in range(MIN_LITERALS, size + 1)]
                 for n, whole in spans:
                     whole = np.flatnonzero(whole)
                     inside = np.zeros(len(h) + 1, np.int64)
@@ -126,15 +126,16 @@ def matching_windows(df: DataFrame, id_col: str, wanted=None, size: int = WINDOW
                             key.append(value[m])
                             slots.append([] if kind == EXACT else _values(d, cs, ce, slot, k, k + n))
                             kinds.append(kind)
+                            sizes.append(n)
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(rows, pa.int64())), pa.array(place, pa.int64()), pa.array(total, pa.int64()),
                  pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(slots, pa.list_(pa.string())),
-                 pa.array(kinds, pa.int32())],
-                names=["id", "place", "total", "key", "slots", "kind"],
+                 pa.array(kinds, pa.int32()), pa.array(sizes, pa.int32())],
+                names=["id", "place", "total", "key", "slots", "kind", "size"],
             )
 
     return df.select(id_col, "text").mapInArrow(
-        run, "id long, place long, total long, key long, slots array<string>, kind int"
+        run, "id long, place long, total long, key long, slots array<string>, kind int, size int"
     )
 
 
@@ -162,11 +163,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     items = materialize(matching_windows(benchmark, "item_id"))
     blocks = max(1, -(-items.select("key").distinct().count() // BLOCK_WINDOWS))
     items = items.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    short = [r[0] for r in items.where(F.col("size") < WINDOW).select("size").distinct().collect()]
     hits = None
     for block in range(blocks):
         part = items.where(F.col("block") == block).select("key").distinct().toPandas()["key"].to_numpy(np.int64)
         wanted = spark.sparkContext.broadcast(np.sort(part.view(np.uint64)))
-        found = matching_windows(docs, "doc_id", wanted).withColumn("block", F.lit(block))
+        found = matching_windows(docs, "doc_id", wanted, short=short).withColumn("block", F.lit(block))
         hits = found if hits is None else hits.unionAll(found)
     hits = materialize(hits.withColumnRenamed("id", "doc_id"))
     renamed = items.select(

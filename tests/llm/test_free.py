@@ -166,6 +166,14 @@ def test_items_full_of_numbers_are_found(spark):
     assert got == {(0, 1): (1.0, True), (1, 2): (1.0, True), (2, 1): (1.0, False)}
 
 
+def test_short_items_inside_longer_texts_are_found(spark):
+    items = ["Who first climbed the Eiger", "What is 12 plus 30 minus 4", "Which river flows through old Vienna today"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [prose(k, 30) + ". " + t + "? " + prose(k + 9, 30) for k, t in enumerate(items)] + [prose(7, 60), items[0], "What is 13 plus 31 minus 5"]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs_of(spark, texts), bench).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2), (4, 0)}
+
+
 def test_decontamination_on_awkward_rows(spark, awkward):
     bench = awkward.where("doc_id IN (1, 2, 4, 7)").select(F.col("doc_id").alias("item_id"), "text")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(awkward, bench).collect()}
