@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import materialize
+from ..sources.storage import materialize, release
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -39,7 +39,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         )
         small = large.join(large.groupBy("child").agg(F.min("parent").alias("m")), "child")
         moved = small.where("parent <> m").select(F.col("parent").alias("child"), "m")
+        before = out
         out = materialize(small.select("child", F.col("m").alias("parent")).unionAll(moved).distinct())
+        release(before)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 

@@ -25,7 +25,18 @@ def materialize(df: DataFrame) -> DataFrame:
         base = os.path.join(tempfile.gettempdir(), "pointweave-shared")
     path = f"{base.rstrip('/')}/pointweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def release(*written: DataFrame | None) -> None:
+    """Remove tables that materialize wrote; nothing may read them afterwards."""
+    for df in written:
+        if df is not None:
+            spark = df.sparkSession
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_to)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
