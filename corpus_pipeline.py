@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 one's docs. Stages work on every row that their predecessor kept; all but the last return the columns of docs.
-Filters keep rows with a null doc_id; rows that share a doc_id are kept or dropped together.
+Quality and decontamination keep or drop rows that share a doc_id together; decontamination keeps rows without one.
 """
 
 from __future__ import annotations
@@ -32,9 +32,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each component of the n-gram join."""
-    joined = ngram_join.ngram_jaccard_join(docs, NEAR_WORDS, NEAR_PERCENT)
-    return _without(docs, joined.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")))
+    """One row of each component of the n-gram join: that of the least doc_id, then of the least hash of its text.
+
+    Rows of one component may share a doc_id or have none; they are told apart by the hash of their text, and rows alike
+    in both are one document.
+    """
+    joined = materialize(ngram_join.ngram_components(docs, NEAR_WORDS, NEAR_PERCENT).where("component IS NOT NULL"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    best = joined.groupBy("component").agg(F.min(place).alias("best"), F.count("*").alias("rows")).where("rows > 1")
+    group = joined.join(best, "component")
+    gone = group.where(place != F.col("best")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    here = lambda t: (F.col("_text_key") == t["_key"]) & F.col("doc_id").eqNullSafe(t["_id"])
+    gone = broadcast_if_small(materialize(gone.distinct()), BROADCAST_IDS)
+    kept = keyed.join(gone, here(gone), "left_anti")
+    # rows of one doc_id and one text: all but one go
+    twice = joined.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).count().where("count > 1")
+    twice = materialize(twice.select("_id", "_key"))
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    few = broadcast_if_small(twice, BROADCAST_IDS)
+    one = kept.join(few, here(few), "left_semi").dropDuplicates(["doc_id", "_text_key"])
+    return kept.join(few, here(few), "left_anti").unionAll(one).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

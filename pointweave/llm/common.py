@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import broadcast_if_small, materialize, table
+from ..sources.storage import broadcast_if_small, materialize, release, table
 
 __all__ = [
-    "WORD", "WORD_GAP", "broadcast_if_small", "count_of", "let", "materialize", "sampled_labels", "shuffle_partitions",
+    "WORD", "WORD_GAP", "broadcast_if_small", "count_of", "let", "materialize", "release", "sampled_labels", "shuffle_partitions",
     "table", "words",
 ]
 

@@ -2,30 +2,32 @@
 
 Jaccard distance d(x, y) = 1 - |x & y| / |x | y| is a metric, and two documents link when d <= r.
 
-Level 1, over the cluster. The pivots are the one-shingle sets {s}. d(x, {s}) = 1 - 1/|x| for every s in x and 1 for
-all others, so the Voronoi region of x is that of its first shingle in one fixed order of all shingles, rare ones
-first. x with d(x, y) <= r lacks at most |x| - ceil((1 - r)|x|) of its shingles in y: that is the width of the window
-within which x is replicated as a boundary document to the next regions, and two linked documents always meet in one.
-The order comes from counts over all documents: shingles that repeat within a task's blocks go last, the others by the
-frequencies of their words. It steers the size of regions and never the result. Regions that hold two different sets or more are glued to cells where they share
-a set, so that afterwards a document's text travels to one place only.
-
-Level 2, within a cell. Documents are pivots: every document goes to the region of its nearest pivot and, where
-d(x, q) - d(x, p) <= 2r, also to that of q; regions join recursively. Where regions no longer shrink, documents are
-taken one by one as pivots against those not yet in their component whose distances to earlier pivots differ by r at
-most. A cell too large for one task is dealt in blocks, each pair of blocks a task.
+Level 1: the pivots are the one-shingle sets {s}. d(x, {s}) = 1 - 1/|x| for every s in x and 1 for all others, so the
+Voronoi region of x is that of its first shingle in one fixed order of all shingles, rare ones first. x with
+d(x, y) <= r lacks at most |x| - ceil((1 - r)|x|) of its shingles in y: that is the width of the window within which x
+is replicated as a boundary document to the next regions, and two linked documents always meet in one. The order comes
+from counts over all documents; it steers the size of regions and never the result. A small region gives the pairs that
+sizes and the place of their common pivot allow.
+
+Level 2: a large region is joined again by a document pivot, its member of the least hash. Every member's distance to
+that pivot is taken; those within r form the pivot's ball and are settled. What is left meets the region once more, but
+only documents of another component, and only within the window |d(x, p) - d(y, p)| <= r.
+
+Pairs are held against a second bound before any set travels: each set has a vector of counts of its shingles by
+buckets, and the distance of two vectors in the L1 metric is at most the symmetric difference of the sets. What remains
+is settled in rounds: each document with its first neighbours, then only pairs of different components. All rounds are
+joins and partial aggregates on Spark keys; no region, component or group of copies is held by one task.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import broadcast_if_small, materialize, shuffle_partitions, table
+from .common import broadcast_if_small, materialize, release, table
 from .tokens import WORD_BUCKETS, mix64, shingle_sets
 
 WORDS = 4
@@ -36,11 +38,17 @@ COUNT_LEAST = 3
 #: Longest list of frequent shingles; they are broadcast to order the others before them. Ties and cuts do not
 #: change results.
 FREQUENT = 1 << 18
-#: Shingles of a cell that one task joins; larger cells are dealt in blocks of that size.
-CELL_SHINGLES = 1 << 20
-BROADCAST_ROWS = 1_000_000
+#: Count from which the rows of a frequent pivot are never brought to one task.
+HOT_ROWS = 1 << 16
 #: Members up to which the pairs of a region are looked at one by one.
 PAIRED = 64
+#: Neighbours that each document is held against in the rounds; the last round takes all that is left.
+ROUNDS = (1, 8, None)
+BROADCAST_ROWS = 1_000_000
+#: Sets that a task remembers to leave out repeated ones.
+REMEMBERED = 1 << 20
+#: Shingles for each count of a set's vector, about, and the least length of a vector.
+VECTOR_SHARE, VECTOR_LEAST = 16, 32
 #: Steps of a word's level for a doubling of its frequency; levels are far below LAST, where frequent shingles start.
 LEVEL_STEPS, LAST = 4, 1 << 32
 
@@ -56,48 +64,64 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return int(mix64(s ^ _SIGN).sum(dtype=np.uint64)), int(mix64(s + _SIGN).sum(dtype=np.uint64))
 
 
+def set_vector(s: np.ndarray) -> bytes:
+    """Counts of a set's shingles by their leading bits; empty, which bounds nothing, where a count exceeds a byte."""
+    bits = VECTOR_LEAST.bit_length() - 1
+    while len(s) > VECTOR_SHARE << bits:
+        bits += 2
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def vector_gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """L1 distance of vectors in rows; longer ones are folded to the length of shorter ones."""
+    fold = lambda v, k: v.reshape(len(v), k, -1).sum(2, dtype=np.int64)
+    k = min(a.shape[1], b.shape[1])
+    return np.abs(fold(a, k) - fold(b, k)).sum(1)
+
+
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """Rows (n, sig1, sig2) of documents, (shingle, count) of shingles frequent in a block, (bucket, count) of words."""
+    """Rows (n, sig1, sig2, vector) of documents, (shingle, count) of shingles frequent in a block, (bucket, count) of words."""
+    names = ["doc_id", "text_key", "n", "sig1", "sig2", "vector", "shingle", "bucket", "count"]
+    schema = pa.schema([(c, pa.binary() if c == "vector" else pa.int64()) for c in names])
+
+    def rows(k, **given):
+        columns = [pa.array(given[f.name], f.type) if f.name in given else pa.nulls(k, f.type) for f in schema]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def run(batches):
-        schema = pa.schema(
-            [("doc_id", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()),
-             ("shingle", pa.int64()), ("bucket", pa.int64()), ("count", pa.int64())]
-        )
-        none = lambda k: pa.nulls(k, pa.int64())
         held, many = [], 0
         word_count = np.zeros(WORD_BUCKETS, np.int64)
 
         def counted():
             if not held:
-                return pa.RecordBatch.from_arrays([none(0)] * 7, schema=schema)
+                return rows(0)
             s, c = np.unique(np.concatenate(held), return_counts=True)
             s, c = s[c >= COUNT_LEAST], c[c >= COUNT_LEAST]
-            return pa.RecordBatch.from_arrays([*[none(len(s))] * 4, pa.array(_long(s)), none(len(s)), pa.array(c)], schema=schema)
+            return rows(len(s), shingle=_long(s), count=c)
 
         for batch in batches:
             k = batch.num_rows
-            n, a, b = np.zeros(k, np.int64), np.zeros(k, np.uint64), np.zeros(k, np.uint64)
+            n, a, b, vectors = np.zeros(k, np.int64), np.zeros(k, np.uint64), np.zeros(k, np.uint64), [b""] * k
             for row, s, _ in shingle_sets(batch.column("text"), size, count=word_count):
                 n[row] = len(s)
                 if len(s):
                     a[row], b[row] = _signature(s)
+                    vectors[row] = set_vector(s)
                     held.append(s)
                     many += len(s)
                 if many >= COUNT_BLOCK:
                     yield counted()
                     held, many = [], 0
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(_long(a)), pa.array(_long(b)), *[none(k)] * 3],
-                schema=schema,
-            )
+            yield rows(
+                k, doc_id=batch.column("doc_id"), text_key=batch.column("text_key"), n=n, sig1=_long(a), sig2=_long(b),
+                vector=vectors,
+            )
         yield counted()
         seen = np.flatnonzero(word_count)
-        yield pa.RecordBatch.from_arrays(
-            [*[none(len(seen))] * 5, pa.array(seen), pa.array(word_count[seen])], schema=schema
-        )
+        yield rows(len(seen), bucket=seen, count=word_count[seen])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig1 long, sig2 long, shingle long, bucket long, count long")
+    return docs.mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'vector' else 'long'}" for c in names))
 
 
 def boundary_width(n: int, percent: int) -> int:
@@ -108,33 +132,39 @@ def boundary_width(n: int, percent: int) -> int:
 def region_rows(docs: DataFrame, size: int, percent: int, statistics) -> DataFrame:
     """(pivot, sig, n, place): each different set of n shingles in the regions of its first ones.
 
-    place: how many shingles of the set come before the pivot.
+    place: how many shingles of the set come before the pivot; -1 - place where the pivot is hot.
     """
 
     def run(batches):
-        known, order, levels = statistics.value
-        seen: set[int] = set()
+        known, order, hot, levels = statistics.value
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            pivots, sigs, sizes, widths = [], [], [], []
+            pivots, places, sigs, sizes, widths = [], [], [], [], []
             for _, s, level in shingle_sets(batch.column("text"), size, levels):
-                if not len(s) or (sig := _signature(s)[0]) in seen:
+                if not len(s) or (sig := _signature(s)) in seen:
                     continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
                 seen.add(sig)
-                last = level
+                last, is_hot = level, np.zeros(len(s), bool)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    last = np.where(known[at] == s, LAST + order[at], level)
-                pivots.append(s[np.argsort(last, kind="stable")[: boundary_width(len(s), percent)]])
-                sigs.append(sig)
+                    among = known[at] == s
+                    last, is_hot = np.where(among, LAST + order[at], level), among & hot[at]
+                first = np.argsort(last, kind="stable")[: boundary_width(len(s), percent)]
+                place = np.arange(len(first), dtype=np.int32)
+                pivots.append(s[first])
+                places.append(np.where(is_hot[first], -1 - place, place).astype(np.int32))
+                sigs.append(sig[0])
                 sizes.append(len(s))
-                widths.append(len(pivots[-1]))
+                widths.append(len(first))
             if pivots:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(_long(np.concatenate(pivots))),
                         pa.array(_long(np.repeat(np.array(sigs, np.uint64), widths))),
                         pa.array(np.repeat(np.array(sizes, np.int32), widths)),
-                        pa.array(np.concatenate([np.arange(w, dtype=np.int32) for w in widths])),
+                        pa.array(np.concatenate(places)),
                     ],
                     names=["pivot", "sig", "n", "place"],
                 )
@@ -142,143 +172,200 @@ def region_rows(docs: DataFrame, size: int, percent: int, statistics) -> DataFra
     return docs.mapInArrow(run, "pivot long, sig long, n int, place int")
 
 
-def region_links(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of sets that may link, as far as their sizes and the place of a common pivot tell.
+def region_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of small regions, and members (pivot, a, n, place) of regions of more than PAIRED sets.
 
-    If a pivot is the first that two sets share, they share no more than what follows it in either. Regions of more
-    than PAIRED sets are glued whole instead, which can only add candidates. rows must be dealt by pivot.
+    If a pivot is the first that two sets share, they share no more than what follows it in either; a pair that cannot
+    link by that and its sizes is left out. rows come by pivot and sig within partitions, those of a hot pivot anywhere.
+    A task holds a batch and the members of one small region.
     """
+    names = ["pivot", "a", "b", "n", "place"]
 
-    def run(batches):
-        got = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
-        if not got:
-            return
-        pivot, sig, n, place = (np.concatenate(x) for x in zip(*got, strict=True))
-        at = np.lexsort((sig, pivot))
-        pivot, sig, n, place = pivot[at], sig[at], n[at].astype(np.int64), place[at]
-        fresh = np.append(True, (pivot[1:] != pivot[:-1]) | (sig[1:] != sig[:-1]))
-        pivot, sig, n, place = pivot[fresh], sig[fresh], n[fresh], place[fresh]
-        start = np.flatnonzero(np.append(True, pivot[1:] != pivot[:-1]))
-        members = np.diff(np.append(start, len(pivot)))
-        large = np.repeat(members > PAIRED, members)
-        least = sig[np.repeat(start, members)]
-        glued = large & (least != sig)
-        a, b = [least[glued]], [sig[glued]]
-        small = np.flatnonzero(~large & (np.repeat(members, members) > 1))
-        pivot, sig, n, left = pivot[small], sig[small], n[small], n[small] - place[small]
+    def members(pivot, sig, n, place):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(pivot), pa.array(sig), pa.nulls(len(sig), pa.int64()), pa.array(n), pa.array(place)], names=names
+        )
+
+    def pairs(pivot, sig, n, left):
+        a, b = [], []
         for lag in range(1, PAIRED):
             same = np.flatnonzero(pivot[lag:] == pivot[:-lag])
             if not len(same):
                 break
             x, y = same, same + lag
-            may = (100 + percent) * np.minimum(left[x], left[y]) >= percent * (n[x] + n[y])
+            may = (100 + percent) * np.minimum(left[x], left[y]).astype(np.int64) >= percent * (n[x].astype(np.int64) + n[y])
             a.append(sig[x[may]])
             b.append(sig[y[may]])
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-        for k in range(0, pairs.shape[1], 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs[:, k : k + 100_000]], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
-
-
-class Region:
-    """Exact components of a list of sets under the link, in memory."""
-
-    PIVOTS, LEAF = 8, 64
-
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        self.n = np.array([len(s) for s in sets], np.int64)
-        self.start = np.concatenate([[0], np.cumsum(self.n)])
-        vocabulary, self.ids = np.unique(np.concatenate(sets), return_inverse=True)
-        self.marks = np.zeros(len(vocabulary), bool)
-        self.percent, self.r = percent, 1 - percent / 100
-        self.parent = np.arange(len(sets))
-
-    def root(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
-
-    def roots(self) -> np.ndarray:
-        while not np.array_equal(up := self.parent[self.parent], self.parent):
-            self.parent = up
-        return self.parent
-
-    def against(self, p: int, others: np.ndarray) -> np.ndarray:
-        """Distances from set p to others; those within the link are united with p."""
-        mine = self.ids[self.start[p] : self.start[p + 1]]
-        self.marks[mine] = True
-        n = self.n[others]
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1]) + np.repeat(self.start[others] - ends + n, n)
-        shared = np.add.reduceat(self.marks[self.ids[at]], ends - n, dtype=np.int64)
-        self.marks[mine] = False
-        union = self.n[p] + n - shared
-        for x in others[100 * shared >= self.percent * union]:
-            a, b = self.root(p), self.root(x)
-            self.parent[max(a, b)] = min(a, b)
-        return 1 - shared / union
-
-    def join(self, members: np.ndarray) -> None:
-        if len(members) <= self.LEAF:
-            return self.leaf(members)
-        pivots = members[np.linspace(0, len(members) - 1, self.PIVOTS).astype(int)]
-        far = np.stack([self.against(p, members) for p in pivots])
-        regions = far - far.min(0) <= 2 * self.r + 1e-9
-        if regions.sum(1).max() > 0.7 * len(members):
-            return self.leaf(members, far)
-        for k in range(len(pivots)):
-            if regions[k].sum() > 1:
-                self.join(members[regions[k]])
-
-    def leaf(self, members: np.ndarray, far: np.ndarray | None = None) -> None:
-        far = np.zeros((0, len(members))) if far is None else far
-        for k in range(len(members) - 1):
-            rest = slice(k + 1, None)
-            open_ = self.roots()[members[rest]] != self.root(members[k])
-            if len(far):
-                open_ &= (np.abs(far[:, rest] - far[:, k : k + 1]) <= self.r + 1e-9).all(0)
-            n = self.n[members[rest]]
-            open_ &= 100 * np.minimum(n, self.n[members[k]]) >= self.percent * np.maximum(n, self.n[members[k]])
-            if open_.any():
-                self.against(members[k], members[rest][open_])
-
-
-def join_cells(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b) links that connect what is connected in each group (cell, lo, hi) of rows (doc_id, sig, text)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, sets = [], []
-        for row, s, _ in shingle_sets(pa.array(pdf["text"], pa.string()), size):
-            if len(s) and _long([_signature(s)[0]])[0] == pdf["sig"].iloc[row]:
-                ids.append(pdf["doc_id"].iloc[row])
-                sets.append(s)
-        if len(sets) < 2:
-            return pd.DataFrame({"a": [], "b": []})
-        at = sorted(range(len(ids)), key=ids.__getitem__)
-        region = Region([sets[k] for k in at], percent)
-        region.join(np.arange(len(at)))
-        ids = np.array(ids)[at]
-        root = region.roots()
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        return pd.DataFrame({"a": ids[root[moved]], "b": ids[moved]})
-
-    return rows.groupBy("cell", "lo", "hi").applyInPandas(run, "a long, b long")
+        if not a:
+            return
+        found = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+        k = found.shape[1]
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(k, pa.int64()), pa.array(found[0]), pa.array(found[1]), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32())],
+            names=names,
+        )
 
+    def joined(parts):
+        pivot, sig, n, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        fresh = np.append(True, (pivot[1:] != pivot[:-1]) | (sig[1:] != sig[:-1]) | (n[1:] != n[:-1]))
+        return pivot[fresh], sig[fresh], n[fresh], place[fresh]
 
-def ngram_jaccard_join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of docs (doc_id long, text string).
+    def run(batches):
+        held, large = None, None  # the region that may go on in the next batch; a large one of which members went out
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            hot = columns[3] < 0
+            if hot.any():
+                yield members(columns[0][hot], columns[1][hot], columns[2][hot], -1 - columns[3][hot])
+                columns = [c[~hot] for c in columns]
+            if not len(columns[0]):
+                continue
+            pivot, sig, n, place = joined([columns] if held is None else [held, columns])
+            start = np.flatnonzero(np.append(True, pivot[1:] != pivot[:-1]))
+            count = np.diff(np.append(start, len(pivot)))
+            many = np.repeat((count > PAIRED) | (pivot[start] == large if large is not None else False), count)
+            if many.any():
+                yield members(pivot[many], sig[many], n[many], place[many])
+            ends = many[-1]
+            large = pivot[-1] if ends else None
+            keep = slice(start[-1], None)
+            held = None if ends else [pivot[keep], sig[keep], n[keep], place[keep]]
+            small = np.flatnonzero(~many)
+            small = small if ends else small[small < start[-1]]
+            yield from pairs(pivot[small], sig[small], n[small], n[small] - place[small])
+        if held is not None:
+            pivot, sig, n, place = held
+            yield from pairs(pivot, sig, n, n - place)
+
+    return rows.mapInArrow(run, "pivot long, a long, b long, n int, place int")
+
+
+def _may_link(n_a, n_b, percent: int):
+    return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+
+
+def within_bound(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) set ids of those pairs (a, b) whose vectors allow a link; sets: sid, n, vector."""
+    one = lambda c: sets.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("vector").alias(f"v_{c}"))
+    met = pairs.join(one("a"), "a").join(one("b"), "b").where(_may_link(F.col("n_a"), F.col("n_b"), percent))
 
-    Documents link when 100 * shared >= percent * union of their sets of size-word shingles (A-Z lower-cased, a
-    shorter text is one shingle). component_id is the least doc_id reachable by links. Null and empty texts have no
-    shingles and link with nothing: their component is their own doc_id. Equal sets link whatever their texts. Rows
-    that share a doc_id count as documents of their own. Other columns are ignored; an empty table gives no rows.
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column("v_a"), batch.column("v_b")
+            la, lb = (np.array([len(x.as_buffer()) for x in v], np.int64) for v in (a, b))
+            n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            may = np.ones(batch.num_rows, bool)
+            for x, y in set(zip(la.tolist(), lb.tolist(), strict=True)):
+                if x and y:
+                    at = np.flatnonzero((la == x) & (lb == y))
+                    va, vb = (
+                        np.frombuffer(b"".join(v.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1) for v in (a, b)
+                    )
+                    may[at] = (100 + percent) * (n[at] - vector_gap(va, vb)) >= 2 * percent * n[at]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(may)) for c in (batch.column("a"), batch.column("b"))], names=["a", "b"])
+
+    return met.select("a", "b", "n_a", "n_b", "v_a", "v_b").mapInArrow(run, "a long, b long")
+
+
+def stored_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(sid, s): the shingles of the sets nodes (sid, sig1, sig2, id, text_key), read from one document each."""
+    wanted = nodes.select("sid", "sig1", "sig2", F.col("id").alias("_id"), F.col("text_key").alias("_key"))
+    met = docs.join(
+        broadcast_if_small(materialize(wanted), BROADCAST_ROWS),
+        (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")),
+    )
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            sid, one, two = (batch.column(c).to_numpy() for c in ("sid", "sig1", "sig2"))
+            ids, sets = [], []
+            for row, s, _ in shingle_sets(batch.column("text"), size):
+                x = int(sid[row])
+                if x not in seen and np.array_equal(_long(list(_signature(s))), [one[row], two[row]]):
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(x)
+                    ids.append(x)
+                    sets.append(_long(s))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["sid", "s"])
+
+    return met.select("sid", "sig1", "sig2", "text").mapInArrow(run, "sid long, s array<long>").dropDuplicates(["sid"])
+
+
+def distances(pairs: DataFrame, store: DataFrame) -> DataFrame:
+    """(a, b, shared, total): sizes of the intersection and union of the sets of each pair."""
+    one = lambda c: store.select(F.col("sid").alias(c), F.col("s").alias(f"s_{c}"))
+    met = pairs.join(one("b"), "b").join(one("a"), "a")
+    shared = F.size(F.array_intersect("s_a", "s_b"))
+    return met.select("a", "b", shared.alias("shared"), (F.size("s_a") + F.size("s_b")).alias("both")).select(
+        "a", "b", "shared", (F.col("both") - F.col("shared")).alias("total")
+    )
+
+
+def relabelled(df: DataFrame, links: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """df with the columns, components so far, led through the components of links (a, b)."""
+    moved = connected_components(links)
+    for c in columns:
+        up = moved.select(F.col("child").alias(c), F.col("parent").alias("_up"))
+        df = df.join(up, c, "left").withColumn(c, F.coalesce("_up", c)).drop("_up")
+    return df
+
+
+def settle(pairs: DataFrame, store: DataFrame, percent: int) -> list[DataFrame]:
+    """Written tables of links (a, b) that connect whatever the links among pairs (a, b, ca, cb) connect.
+
+    ca and cb are components known before. In each round every document meets its first open neighbours in the order of
+    a hash; pairs that have come into one component are done.
+    """
+    found, left = [], materialize(pairs.where("ca <> cb"))
+    for most in ROUNDS:
+        if left.isEmpty():
+            break
+        pick = left
+        if most is not None:
+            ends = left.select(
+                "a", "b", F.explode(F.array(F.struct(F.col("a").alias("me"), F.col("b").alias("by")),
+                                            F.struct(F.col("b").alias("me"), F.col("a").alias("by")))).alias("e"),
+            )
+            order = F.row_number().over(Window.partitionBy("e.me").orderBy(F.xxhash64("e.by"), "e.by"))
+            near = ends.withColumn("rank", order).where(F.col("rank") <= most).select("a", "b").distinct()
+            pick = materialize(left.join(near, ["a", "b"], "left_semi"))
+        met = distances(pick, store).where(100 * F.col("shared") >= percent * F.col("total"))
+        links = materialize(met.select("a", "b"))
+        found.append(links)
+        if most is None:
+            break
+        labels = pick.join(links, ["a", "b"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        rest = relabelled(left.join(pick, ["a", "b"], "left_anti"), labels, ("ca", "cb"))
+        before, left = left, materialize(rest.where("ca <> cb").select("a", "b", "ca", "cb"))
+        release(before, pick)
+    release(left)
+    return found
+
+
+def in_components(df: DataFrame, comps: DataFrame, column: str, out: str) -> DataFrame:
+    """df with out, the component of column."""
+    up = comps.select(F.col("child").alias(column), F.col("parent").alias("_up"))
+    return df.join(up, column, "left").withColumn(out, F.coalesce("_up", column)).drop("_up")
+
+
+def united(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionAll(t)
+    return out
+
+
+def ngram_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_key (xxhash64 of the text), n_shingles, component (null without shingles) and component_id of each row.
+
+    component tells components apart even where doc_ids repeat or are null; see ngram_jaccard_join.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     sketched = materialize(sketch(docs, size))
-    docs_sketch = sketched.where("n IS NOT NULL")
+    documents = sketched.where("n IS NOT NULL")
     word_count = np.zeros(WORD_BUCKETS)
     for r in sketched.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("c")).collect():
         word_count[r["bucket"]] = r["c"]
@@ -287,44 +374,98 @@ def ngram_jaccard_join(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
         sketched.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("count").alias("c"))
         .orderBy(F.desc("c"), "shingle").limit(FREQUENT).toPandas()
     )
-    known = top["shingle"].to_numpy(np.int64).view(np.uint64)
-    rank = np.lexsort((known, top["c"].to_numpy()))
+    known, counts = top["shingle"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy()
+    rank = np.lexsort((known, counts))
     order = np.empty(len(rank), np.int64)
     order[rank] = np.arange(len(rank))
     by_hash = np.argsort(known)
-    statistics = spark.sparkContext.broadcast((known[by_hash], order[by_hash], levels))
+    statistics = spark.sparkContext.broadcast((known[by_hash], order[by_hash], counts[by_hash] >= HOT_ROWS, levels))
 
-    rows = region_rows(docs, size, percent, statistics).repartition(shuffle_partitions(spark), "pivot")
-    stars = connected_components(region_links(rows, percent))
-    cells = stars.select(F.col("child").alias("sig"), F.col("parent").alias("cell")).unionAll(
-        stars.select("parent", "parent").distinct()
-    )
-    # equal sets are one document from here: the least doc_id
+    # each different set once, with the document that it is read from later
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "text_key"))
     sets = materialize(
-        docs_sketch.where("n > 0").groupBy("sig1", "sig2", "n").agg(F.min("doc_id").alias("rep"))
-    )
-    in_cells = sets.join(cells, sets.sig1 == cells.sig).select("rep", "sig", "cell", "n")
-    weight = in_cells.groupBy("cell").agg(F.sum("n").alias("weight"))
-    placed = materialize(
-        in_cells.join(weight, "cell")
-        .withColumn("blocks", F.ceil(F.col("weight") / CELL_SHINGLES).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .select("rep", "sig", "cell", "blocks", "block")
-    )
-    dealt = (
-        docs.join(broadcast_if_small(placed, BROADCAST_ROWS), docs.doc_id == placed.rep)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cell", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-                "doc_id", "sig", "text")
+        documents.where("n > 0").groupBy("sig1", "sig2", "n").agg(first.alias("at"), F.max("vector").alias("vector"))
+        .select("sig1", "sig2", "n", "vector", "at.id", "at.text_key", F.monotonically_increasing_id().alias("sid"))
     )
-    links = connected_components(join_cells(dealt, size, percent))
-    reps = sets.join(links, sets.rep == links.child, "left").select(
-        "sig1", "sig2", "n", F.coalesce("parent", "rep").alias("component_id")
+
+    # level 1: regions of one-shingle pivots
+    dealt = F.when(F.col("place") < 0, F.xxhash64("sig")).otherwise(F.col("pivot"))
+    rows = region_rows(docs, size, percent, statistics).repartition(dealt).sortWithinPartitions("pivot", "sig", "n")
+    regions = materialize(region_pairs(rows, percent))
+    by_sig = sets.select("sid", F.col("sig1").alias("_sig"))
+
+    def with_sid(df, column):
+        return df.join(by_sig, df[column] == F.col("_sig")).drop(column, "_sig").withColumnRenamed("sid", column)
+
+    pairs = regions.where("b IS NOT NULL").select("a", "b").distinct()
+    same_sig = by_sig.join(by_sig.select(F.col("sid").alias("b"), "_sig"), "_sig").where("sid < b").select(F.col("sid").alias("a"), "b")
+    pairs = with_sid(with_sid(pairs, "a"), "b").unionAll(same_sig)
+    members = materialize(
+        with_sid(regions.where("b IS NULL").select("pivot", F.col("a").alias("sid_of"), "n", "place"), "sid_of").distinct()
     )
-    linked = docs_sketch.select("doc_id", "n", "sig1", "sig2").where("n > 0").join(reps, ["sig1", "sig2", "n"])
-    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionAll(
-        docs_sketch.where("n = 0").select("doc_id", "n", F.col("doc_id"))
+
+    # level 2: each large region by a document pivot
+    leader = members.groupBy("pivot").agg(F.min(F.struct(F.xxhash64("sid_of"), "sid_of"))["sid_of"].alias("leader"))
+    led = members.join(leader, "pivot")
+    balls = led.where("leader <> sid_of").select(F.least("leader", "sid_of").alias("a"), F.greatest("leader", "sid_of").alias("b"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).withColumn("ball", F.lit(False))
+    open_ = pairs.unionAll(balls.withColumn("ball", F.lit(True))).groupBy("a", "b").agg(F.bool_or("ball").alias("ball"))
+    open_ = materialize(open_)
+    bounded = materialize(within_bound(open_.select("a", "b"), sets, percent).join(open_, ["a", "b"]))
+    has_large = not members.isEmpty()
+    cross = sets.select(F.col("sid").alias("a"), F.col("sid").alias("b")).limit(0)
+    nodes = bounded.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    if has_large:
+        nodes = nodes.unionAll(members.select(F.col("sid_of").alias("sid"))).distinct()
+    store = materialize(stored_sets(docs, sets.join(nodes, "sid"), size))
+    measured = materialize(distances(bounded.where("ball").select("a", "b"), store))
+    links = [materialize(measured.where(100 * F.col("shared") >= percent * F.col("total")).select("a", "b"))]
+    comps = connected_components(links[0])
+    rest = bounded.where("NOT ball").select("a", "b")
+    links += settle(in_components(in_components(rest, comps, "a", "ca"), comps, "b", "cb"), store, percent)
+
+    if has_large:
+        comps = connected_components(united(links))
+        far = measured.select("a", "b", (1 - F.col("shared") / F.col("total")).alias("far"))
+        far = far.unionAll(far.select("b", "a", "far")).select(F.col("a").alias("leader"), F.col("b").alias("sid_of"), "far")
+        placed = in_components(led.join(far, ["leader", "sid_of"], "left"), comps, "sid_of", "c")
+        split = placed.groupBy("pivot").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("pivot")
+        placed = materialize(placed.join(split, "pivot", "left_semi").select("pivot", "sid_of", "n", "place", "far", "c"))
+        other = placed.select("pivot", *[F.col(x).alias(f"{x}2") for x in ("sid_of", "n", "place", "far", "c")])
+        left = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+        met = placed.join(other, "pivot").where(
+            (F.col("c") < F.col("c2"))
+            & ((100 + percent) * left >= percent * (F.col("n") + F.col("n2")))
+            & F.coalesce(F.abs(F.col("far") - F.col("far2")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+        )
+        ends = F.least("sid_of", "sid_of2").alias("a"), F.greatest("sid_of", "sid_of2").alias("b")
+        cross = met.select(*ends).distinct().join(open_.select("a", "b"), ["a", "b"], "left_anti")
+        cross = materialize(within_bound(cross, sets, percent))
+        links += settle(in_components(in_components(cross, comps, "a", "ca"), comps, "b", "cb"), store, percent)
+
+    comps = connected_components(united(links))
+    labelled = materialize(
+        in_components(sets.select("sid", "sig1", "sig2", "n", "id"), comps, "sid", "component")
     )
+    least = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = labelled.join(least, "component").select("sig1", "sig2", "n", "component", "component_id")
+    out = documents.where("n > 0").select("doc_id", "text_key", "n", "sig1", "sig2").join(named, ["sig1", "sig2", "n"])
+    release(regions, members, open_, bounded, measured, store)
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component", "component_id").unionAll(
+        documents.where("n = 0").select("doc_id", "text_key", "n", F.lit(None).cast("long"), "doc_id")
+    )
+
+
+def ngram_jaccard_join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id for each row of docs (doc_id long, text string).
+
+    Documents link when 100 * shared >= percent * union of their sets of size-word shingles (A-Z lower-cased, a
+    shorter text is one shingle). component_id is the least doc_id reachable by links. Null and empty texts have no
+    shingles and link with nothing: their component is their own doc_id. Equal sets link whatever their texts. Rows
+    that share a doc_id count as documents of their own, as do rows without one; a component in which no row has a
+    doc_id has none. Other columns are ignored; an empty table gives no rows.
+    """
+    return ngram_components(docs, size, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def op7_ngram_join(spark, sf_dir) -> DataFrame:

@@ -77,32 +77,46 @@ def near_copies(seed, n):
     return out
 
 
-@pytest.mark.parametrize("seed,cell,paired", [(1, 1 << 20, 64), (2, 3000, 64), (3, 1 << 20, 2)])
-def test_join_against_brute_force(spark, monkeypatch, seed, cell, paired):
-    monkeypatch.setattr(ngram_join, "CELL_SHINGLES", cell)
+@pytest.mark.parametrize("seed,paired,hot,batch", [(1, 64, 1 << 16, 10_000), (2, 4, 1 << 16, 50), (3, 2, 10, 10_000)])
+def test_join_against_brute_force(spark, monkeypatch, seed, paired, hot, batch):
     monkeypatch.setattr(ngram_join, "PAIRED", paired)
-    texts = near_copies(seed, 160) + ["", None, "one", "ONE ", "one two three", "a b c d"]
-    got = ngram_join.ngram_jaccard_join(docs_of(spark, texts)).collect()
-    assert sorted(tuple(r) for r in got) == brute_join(texts)
-
-
-def test_region_recursion_is_exact():
-    r = random.Random(5)
-    sets = []
-    for g in range(12):
-        core = [r.getrandbits(60) for _ in range(60)]
-        sets += [np.unique(np.array([x for x in core if r.random() > 0.05] + [r.getrandbits(60) for _ in range(3)], np.uint64)) for _ in range(30)]
-    region = ngram_join.Region(sets, 85)
-    region.LEAF = 8
-    region.join(np.arange(len(sets)))
-    up = np.arange(len(sets))
-    root = lambda x: x if up[x] == x else root(up[x])
-    for a, b in itertools.combinations(range(len(sets)), 2):
-        i = len(np.intersect1d(sets[a], sets[b]))
-        if 100 * i >= 85 * (len(sets[a]) + len(sets[b]) - i):
-            x, y = root(a), root(b)
-            up[max(x, y)] = min(x, y)
-    assert [root(k) for k in range(len(sets))] == list(region.roots())
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", hot)
+    monkeypatch.setattr(ngram_join, "ROUNDS", (1, 2, None))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        texts = near_copies(seed, 160) + ["", None, "one", "ONE ", "one two three", "a b c d"]
+        got = ngram_join.ngram_jaccard_join(docs_of(spark, texts)).collect()
+        assert sorted(tuple(r) for r in got) == brute_join(texts)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_join_of_repeated_and_missing_ids(spark):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    near = lambda t: t + " end"
+    rows = [(3, near(a)), (4, near(b)), (5, a), (5, b), (None, near(a) + " more"), (None, c), (None, near(c)), (7, a), (7, a)]
+    got = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted(((r["doc_id"], r["component_id"]) for r in got), key=str)
+    assert found == sorted([(3, 3), (4, 4), (5, 3), (5, 4), (None, 3), (None, None), (None, None), (7, 3), (7, 3)], key=str)
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _text_key string")
+    docs = docs.withColumnRenamed("_text_key", "extra")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("3", near(a)), ("4", near(b)), ("None", min(c, near(c), key=lambda t: key_of(spark, t)))])
+
+
+def key_of(spark, text):
+    return spark.createDataFrame([(text,)], "t string").select(F.xxhash64("t")).collect()[0][0]
+
+
+def test_vectors_never_exceed_the_difference():
+    r = np.random.default_rng(1)
+    for n in (3, 100, 600, 3000, 9000):
+        x = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        for m in (n, n // 2, 4 * n):
+            y = np.unique(np.concatenate([x[: m // 2], r.integers(0, 1 << 63, m - m // 2, dtype=np.uint64)]))
+            va, vb = (np.frombuffer(ngram_join.set_vector(v), np.uint8)[None] for v in (x, y))
+            assert ngram_join.vector_gap(va, vb)[0] <= len(np.setxor1d(x, y))
+    assert ngram_join.set_vector(np.arange(300, dtype=np.uint64)) == b""
 
 
 def test_join_same_rows_as_sql(spark):
