@@ -9,21 +9,21 @@ is replicated as a boundary document to the next regions, and two linked documen
 from counts over all documents; it steers the size of regions and never the result. A small region gives the pairs that
 sizes and the place of their common pivot allow.
 
-Level 2: a large region is joined again by a document pivot, its member of the least hash. Every member's distance to
-that pivot is taken; those within r form the pivot's ball and are settled. What is left meets the region once more, but
-only documents of another component, and only within the window |d(x, p) - d(y, p)| <= r.
+Level 2: a large region is joined again by a document pivot p, its member of the least hash. Every member's distance to
+p is taken; those within r form its ball and are settled. Members outside the largest component of a region are the next
+round's region: they meet more pivots, eight times as many in each round, and what no ball takes meets every document of
+another component within the window |d(x, p) - d(y, p)| <= r.
 
 Pairs are held against a second bound before any set travels: each set has a vector of counts of its shingles by
-buckets, and the distance of two vectors in the L1 metric is at most the symmetric difference of the sets. What remains
-is settled in rounds: each document with its first neighbours, then only pairs of different components. All rounds are
-joins and partial aggregates on Spark keys; no region, component or group of copies is held by one task.
+buckets, and the distance of two vectors in the L1 metric is at most the symmetric difference of the sets. All rounds
+are joins and partial aggregates on Spark keys; no region, component or group of copies is held by one task.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -42,8 +42,8 @@ FREQUENT = 1 << 18
 HOT_ROWS = 1 << 16
 #: Members up to which the pairs of a region are looked at one by one.
 PAIRED = 64
-#: Neighbours that each document is held against in the rounds; the last round takes all that is left.
-ROUNDS = (1, 8, None)
+#: Pivots that a document outside the largest component of its region meets in the rounds before it meets all others.
+PIVOTS = (8, 64)
 BROADCAST_ROWS = 1_000_000
 #: Sets that a task remembers to leave out repeated ones.
 REMEMBERED = 1 << 20
@@ -303,51 +303,51 @@ def distances(pairs: DataFrame, store: DataFrame) -> DataFrame:
     )
 
 
-def relabelled(df: DataFrame, links: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """df with the columns, components so far, led through the components of links (a, b)."""
-    moved = connected_components(links)
-    for c in columns:
-        up = moved.select(F.col("child").alias(c), F.col("parent").alias("_up"))
-        df = df.join(up, c, "left").withColumn(c, F.coalesce("_up", c)).drop("_up")
-    return df
+def in_components(df: DataFrame, comps: DataFrame, column: str, out: str) -> DataFrame:
+    """df with out, the component of column."""
+    up = comps.select(F.col("child").alias(column), F.col("parent").alias("_up"))
+    return df.join(up, column, "left").withColumn(out, F.coalesce("_up", column)).drop("_up")
 
 
-def settle(pairs: DataFrame, store: DataFrame, percent: int) -> list[DataFrame]:
-    """Written tables of links (a, b) that connect whatever the links among pairs (a, b, ca, cb) connect.
+def _ends(a: str, b: str):
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
-    ca and cb are components known before. In each round every document meets its first open neighbours in the order of
-    a hash; pairs that have come into one component are done.
-    """
-    found, left = [], materialize(pairs.where("ca <> cb"))
-    for most in ROUNDS:
-        if left.isEmpty():
-            break
-        pick = left
-        if most is not None:
-            ends = left.select(
-                "a", "b", F.explode(F.array(F.struct(F.col("a").alias("me"), F.col("b").alias("by")),
-                                            F.struct(F.col("b").alias("me"), F.col("a").alias("by")))).alias("e"),
-            )
-            order = F.row_number().over(Window.partitionBy("e.me").orderBy(F.xxhash64("e.by"), "e.by"))
-            near = ends.withColumn("rank", order).where(F.col("rank") <= most).select("a", "b").distinct()
-            pick = materialize(left.join(near, ["a", "b"], "left_semi"))
-        met = distances(pick, store).where(100 * F.col("shared") >= percent * F.col("total"))
-        links = materialize(met.select("a", "b"))
-        found.append(links)
-        if most is None:
-            break
-        labels = pick.join(links, ["a", "b"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        rest = relabelled(left.join(pick, ["a", "b"], "left_anti"), labels, ("ca", "cb"))
-        before, left = left, materialize(rest.where("ca <> cb").select("a", "b", "ca", "cb"))
-        release(before, pick)
-    release(left)
-    return found
 
+def split_regions(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """members (pivot, sid, n, place, far) of the regions that hold several components, with c and main, the largest one."""
+    placed = in_components(members, comps, "sid", "c")
+    sizes = placed.groupBy("pivot", "c").agg(F.count("*").alias("rows"))
+    main = sizes.groupBy("pivot").agg(F.max(F.struct("rows", "c"))["c"].alias("main"), F.count("*").alias("comps"))
+    return materialize(placed.join(main.where("comps > 1").select("pivot", "main"), "pivot"))
 
-def in_components(df: DataFrame, comps: DataFrame, column: str, out: str) -> DataFrame:
-    """df with out, the component of column."""
-    up = comps.select(F.col("child").alias(column), F.col("parent").alias("_up"))
-    return df.join(up, column, "left").withColumn(out, F.coalesce("_up", column)).drop("_up")
+
+def boundary_pairs(split: DataFrame, many: int | None, percent: int) -> DataFrame:
+    """Pairs (a, b) of a document outside the largest component of its region and others of the region.
+
+    The others are up to many pivots of its foremost region, or without many all documents of another component in every
+    region. Pairs that cannot link by sizes, places or the window that the distances to the region's pivot leave are
+    left out.
+    """
+    columns = ("sid", "n", "place", "far", "c")
+    outside = split.where("c <> main")
+    if many is not None:
+        foremost = F.min(F.struct("place", "pivot"))["pivot"].alias("pivot")
+        outside = outside.join(outside.groupBy("sid").agg(foremost), ["sid", "pivot"], "left_semi")
+        slot = F.pmod(F.xxhash64(F.lit(many), "sid"), F.lit(many))
+        lot = F.struct(F.xxhash64("sid", F.lit(many)), *columns)
+        others = split.groupBy("pivot", slot.alias("slot")).agg(F.min(lot).alias("m"), F.first("main").alias("main"))
+        others = others.select("pivot", "main", *[F.col("m")[c].alias(c) for c in columns])
+    else:
+        others = split
+    others = others.select("pivot", *[F.col(c).alias(f"{c}2") for c in columns])
+    left = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    met = outside.join(others, "pivot").where(
+        (F.col("c") != F.col("c2"))
+        & ((F.col("c2") == F.col("main")) | (F.col("sid") < F.col("sid2")) | F.lit(many is not None))
+        & ((100 + percent) * left >= percent * (F.col("n") + F.col("n2")))
+        & F.coalesce(F.abs(F.col("far") - F.col("far2")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    )
+    return met.select(*_ends("sid", "sid2")).distinct()
 
 
 def united(tables: list[DataFrame]) -> DataFrame:
@@ -392,65 +392,58 @@ def ngram_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     dealt = F.when(F.col("place") < 0, F.xxhash64("sig")).otherwise(F.col("pivot"))
     rows = region_rows(docs, size, percent, statistics).repartition(dealt).sortWithinPartitions("pivot", "sig", "n")
     regions = materialize(region_pairs(rows, percent))
-    by_sig = sets.select("sid", F.col("sig1").alias("_sig"))
+    by_sig = sets.select(F.col("sid").alias("_sid"), F.col("sig1").alias("_sig"))
 
     def with_sid(df, column):
-        return df.join(by_sig, df[column] == F.col("_sig")).drop(column, "_sig").withColumnRenamed("sid", column)
+        return df.join(by_sig, df[column] == F.col("_sig")).drop(column, "_sig").withColumnRenamed("_sid", column)
 
     pairs = regions.where("b IS NOT NULL").select("a", "b").distinct()
-    same_sig = by_sig.join(by_sig.select(F.col("sid").alias("b"), "_sig"), "_sig").where("sid < b").select(F.col("sid").alias("a"), "b")
+    same_sig = by_sig.join(by_sig.select(F.col("_sid").alias("b"), "_sig"), "_sig").where("_sid < b").select(F.col("_sid").alias("a"), "b")
     pairs = with_sid(with_sid(pairs, "a"), "b").unionAll(same_sig)
     members = materialize(
-        with_sid(regions.where("b IS NULL").select("pivot", F.col("a").alias("sid_of"), "n", "place"), "sid_of").distinct()
+        with_sid(regions.where("b IS NULL").select("pivot", F.col("a").alias("sid"), "n", "place"), "sid").distinct()
     )
 
-    # level 2: each large region by a document pivot
-    leader = members.groupBy("pivot").agg(F.min(F.struct(F.xxhash64("sid_of"), "sid_of"))["sid_of"].alias("leader"))
+    # level 2: each large region by a document pivot; documents of small regions by their first neighbour
+    leader = members.groupBy("pivot").agg(F.min(F.struct(F.xxhash64("sid"), "sid"))["sid"].alias("leader"))
     led = members.join(leader, "pivot")
-    balls = led.where("leader <> sid_of").select(F.least("leader", "sid_of").alias("a"), F.greatest("leader", "sid_of").alias("b"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).withColumn("ball", F.lit(False))
-    open_ = pairs.unionAll(balls.withColumn("ball", F.lit(True))).groupBy("a", "b").agg(F.bool_or("ball").alias("ball"))
-    open_ = materialize(open_)
-    bounded = materialize(within_bound(open_.select("a", "b"), sets, percent).join(open_, ["a", "b"]))
-    has_large = not members.isEmpty()
-    cross = sets.select(F.col("sid").alias("a"), F.col("sid").alias("b")).limit(0)
-    nodes = bounded.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    if has_large:
-        nodes = nodes.unionAll(members.select(F.col("sid_of").alias("sid"))).distinct()
+    balls = materialize(led.where("leader <> sid").select(*_ends("leader", "sid")).distinct())
+    pairs = pairs.select(*_ends("a", "b")).distinct()
+    bounded = materialize(within_bound(pairs, sets, percent))
+    nodes = bounded.select(F.explode(F.array("a", "b")).alias("sid")).unionAll(members.select("sid")).distinct()
     store = materialize(stored_sets(docs, sets.join(nodes, "sid"), size))
-    measured = materialize(distances(bounded.where("ball").select("a", "b"), store))
-    links = [materialize(measured.where(100 * F.col("shared") >= percent * F.col("total")).select("a", "b"))]
+    first = bounded.select(F.explode(F.array(F.struct(F.col("a").alias("me"), F.col("b").alias("by")),
+                                             F.struct(F.col("b").alias("me"), F.col("a").alias("by")))).alias("e"))
+    first = first.groupBy("e.me").agg(F.min(F.struct(F.xxhash64("e.by"), "e.by"))["by"].alias("by")).select(*_ends("me", "by"))
+    measured = materialize(distances(first.unionAll(balls).distinct(), store))
+    linked = lambda met: met.where(100 * F.col("shared") >= percent * F.col("total")).select("a", "b")
+    links = [materialize(linked(measured))]
     comps = connected_components(links[0])
-    rest = bounded.where("NOT ball").select("a", "b")
-    links += settle(in_components(in_components(rest, comps, "a", "ca"), comps, "b", "cb"), store, percent)
+    rest = bounded.join(measured, ["a", "b"], "left_anti")
+    rest = in_components(in_components(rest, comps, "a", "ca"), comps, "b", "cb").where("ca <> cb").select("a", "b")
+    links.append(materialize(linked(distances(rest, store))))
+    comps = connected_components(united(links))
 
-    if has_large:
+    # regions that several components share: the documents outside the largest one meet more and more pivots, then all
+    far = measured.select("a", "b", (1 - F.col("shared") / F.col("total")).alias("far"))
+    far = far.unionAll(far.select("b", "a", "far")).select(F.col("a").alias("leader"), F.col("b").alias("sid"), "far")
+    led = materialize(led.join(far, ["leader", "sid"], "left").select("pivot", "sid", "n", "place", "far"))
+    for many in (*PIVOTS, None):
+        split = split_regions(led, comps)
+        if split.isEmpty():
+            break
+        met = boundary_pairs(split, many, percent)
+        links.append(materialize(linked(distances(within_bound(met, sets, percent), store))))
         comps = connected_components(united(links))
-        far = measured.select("a", "b", (1 - F.col("shared") / F.col("total")).alias("far"))
-        far = far.unionAll(far.select("b", "a", "far")).select(F.col("a").alias("leader"), F.col("b").alias("sid_of"), "far")
-        placed = in_components(led.join(far, ["leader", "sid_of"], "left"), comps, "sid_of", "c")
-        split = placed.groupBy("pivot").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("pivot")
-        placed = materialize(placed.join(split, "pivot", "left_semi").select("pivot", "sid_of", "n", "place", "far", "c"))
-        other = placed.select("pivot", *[F.col(x).alias(f"{x}2") for x in ("sid_of", "n", "place", "far", "c")])
-        left = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
-        met = placed.join(other, "pivot").where(
-            (F.col("c") < F.col("c2"))
-            & ((100 + percent) * left >= percent * (F.col("n") + F.col("n2")))
-            & F.coalesce(F.abs(F.col("far") - F.col("far2")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-        )
-        ends = F.least("sid_of", "sid_of2").alias("a"), F.greatest("sid_of", "sid_of2").alias("b")
-        cross = met.select(*ends).distinct().join(open_.select("a", "b"), ["a", "b"], "left_anti")
-        cross = materialize(within_bound(cross, sets, percent))
-        links += settle(in_components(in_components(cross, comps, "a", "ca"), comps, "b", "cb"), store, percent)
+        led = materialize(split.select("pivot", "sid", "n", "place", "far"))
 
-    comps = connected_components(united(links))
     labelled = materialize(
         in_components(sets.select("sid", "sig1", "sig2", "n", "id"), comps, "sid", "component")
     )
     least = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
     named = labelled.join(least, "component").select("sig1", "sig2", "n", "component", "component_id")
     out = documents.where("n > 0").select("doc_id", "text_key", "n", "sig1", "sig2").join(named, ["sig1", "sig2", "n"])
-    release(regions, members, open_, bounded, measured, store)
+    release(regions, members, balls, bounded, measured, store)
     return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component", "component_id").unionAll(
         documents.where("n = 0").select("doc_id", "text_key", "n", F.lit(None).cast("long"), "doc_id")
     )

@@ -81,7 +81,7 @@ def near_copies(seed, n):
 def test_join_against_brute_force(spark, monkeypatch, seed, paired, hot, batch):
     monkeypatch.setattr(ngram_join, "PAIRED", paired)
     monkeypatch.setattr(ngram_join, "HOT_ROWS", hot)
-    monkeypatch.setattr(ngram_join, "ROUNDS", (1, 2, None))
+    monkeypatch.setattr(ngram_join, "PIVOTS", (2,))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
         texts = near_copies(seed, 160) + ["", None, "one", "ONE ", "one two three", "a b c d"]
