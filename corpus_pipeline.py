@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointweave.llm import decontaminate, mixing, ngram_join, quality_model, sharding
-from pointweave.llm.common import broadcast_if_small, materialize, table
+from pointweave.llm.common import broadcast_if_small, fresh, materialize, table
 
 #: Words of a shingle and least similarity in percent of near duplicates.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -22,13 +22,12 @@ BROADCAST_IDS = 1_000_000
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs whose doc_id is not among ids (one column, _gone)."""
     gone = broadcast_if_small(materialize(ids.distinct()), BROADCAST_IDS)
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte network takes for good ones."""
-    scored = quality_model.quality_scores(docs, table(spark, sf_dir, "labels"), docs.columns)
-    return scored.where("predicted = 1").select(*docs.columns)
+    return quality_model.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,19 +40,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     best = joined.groupBy("component").agg(F.min(place).alias("best"), F.count("*").alias("rows")).where("rows > 1")
     group = joined.join(best, "component")
-    gone = group.where(place != F.col("best")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    here = lambda t: (F.col("_text_key") == t["_key"]) & F.col("doc_id").eqNullSafe(t["_id"])
-    gone = broadcast_if_small(materialize(gone.distinct()), BROADCAST_IDS)
-    kept = keyed.join(gone, here(gone), "left_anti")
+    text_key = fresh("_text_key", docs)
+    keyed = docs.withColumn(text_key, F.xxhash64("text"))
+
+    def listed(df, ids, how):
+        few = broadcast_if_small(materialize(ids), BROADCAST_IDS)
+        return df.join(few, (df[text_key] == few["_key"]) & df["doc_id"].eqNullSafe(few["_id"]), how)
+
+    named = F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")
+    kept = listed(keyed, group.where(place != F.col("best")).select(*named).distinct(), "left_anti")
     # rows of one doc_id and one text: all but one go
-    twice = joined.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).count().where("count > 1")
-    twice = materialize(twice.select("_id", "_key"))
+    twice = materialize(joined.groupBy(*named).count().where("count > 1").select("_id", "_key"))
     if twice.isEmpty():
         return kept.select(*docs.columns)
-    few = broadcast_if_small(twice, BROADCAST_IDS)
-    one = kept.join(few, here(few), "left_semi").dropDuplicates(["doc_id", "_text_key"])
-    return kept.join(few, here(few), "left_anti").unionAll(one).select(*docs.columns)
+    one = listed(kept, twice, "left_semi").dropDuplicates(["doc_id", text_key])
+    return listed(kept, twice, "left_anti").unionAll(one).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +65,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; one taken in part counts from half of its words."""
-    mixed = mixing.mix(docs, mixing.word_count(F.col("text")))
-    return mixing.repeat_rows(mixed, docs.columns)
+    names = {c: fresh(f"_given_{c}", docs) for c in docs.columns if c.lower() in mixing.RESULTS}
+    given = docs.withColumnsRenamed(names)
+    mixed = mixing.mix(given, mixing.word_count(F.col("text")))
+    return mixing.repeat_rows(mixed, given.columns).toDF(*docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

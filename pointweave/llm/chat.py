@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, shuffle_partitions, table
 
 ROLES = ("system", "user", "assistant")
 #: States: nothing yet, then the role of the last turn written.
@@ -22,8 +23,8 @@ STATES = ("start", *ROLES)
 #: (from, to) pairs that the automaton allows without an insertion.
 LEGAL = {("start", "system"), ("start", "user"), ("system", "user"), ("user", "assistant"), ("assistant", "user")}
 MERGE, RELABEL, INSERT, UNKNOWN = 1.0, 2.0, 3.0, 0.5
-#: Turn numbers that one segment spans.
-SEGMENT = 4096
+#: Turns that one segment spans at most, and bytes of their texts unless one turn is longer.
+SEGMENT, SEGMENT_BYTES = 4096, 1 << 22
 CHATML = "<|im_start|>{role}\n{text}<|im_end|>\n"
 
 
@@ -105,69 +106,83 @@ def repair(roles: list[str | None], start: int, end: int) -> list[tuple[str, str
     return out[::-1]
 
 
-def repair_roles(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """(conv_id, turn, role, new_role, action, inserted, closing, cost) for every turn; texts are not touched.
+def cut_segments(turns: DataFrame, segment: int) -> DataFrame:
+    """(conv_id, role, text, part, segment, place): turns in order, cut in segments that one task can hold.
 
-    Turns are taken in the order of turn, nulls first, ties by text_key (a hash of role and text). Roles are compared
-    without case and outer blanks; null and unknown roles fit any role at a small cost. inserted: roles of empty turns
-    before it; closing: those after the last turn; cost: that of the whole conversation.
+    Turns are put in the order of turn, nulls first, ties by a hash of role and text, over range partitions; within one
+    each conversation is cut after so many rows or SEGMENT_BYTES of text, whatever its turn numbers. So a conversation
+    of any size, or turns without a number, are many segments of many tasks.
     """
-    key = ["conv_id", "segment"]
-    kinds = dict(turns.dtypes)
-    conv, turn = kinds["conv_id"], kinds["turn"]
+    spark = turns.sparkSession
+    order = ["conv_id", "turn", "text_key"]
     slim = turns.select(
-        "conv_id",
-        F.coalesce(F.floor(F.col("turn") / segment), F.lit(-(2**60))).alias("segment"),
-        "turn",
-        F.lower(F.trim("role")).alias("role"),
+        "conv_id", "turn", F.lower(F.trim("role")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
         F.xxhash64("role", "text").alias("text_key"),
-    )
-
-    def matrices(rows):
-        return [(*rows[0][:2], [float(x) for x in matrix([r[3] for r in rows]).ravel()])]
-
-    def chain(rows):
-        k = len(STATES)
-        steps = [np.array(r[2]).reshape(k, k) for r in rows]
-        cost = np.full(k, np.inf)
-        cost[0] = 0
-        seen = [cost]
-        for m in steps:
-            seen.append((seen[-1][:, None] + m).min(0))
-        final = seen[-1] + np.array(END_COST)
-        ends = [int(np.argmin(final))]
-        for before, m in zip(reversed(seen[:-1]), reversed(steps), strict=True):
-            ends.append(int(np.argmin(before + m[:, ends[-1]])))
-        ends = ends[::-1]
-        last = STATES[ends[-1]]
-        closing = [] if last in ("assistant", "start") else [*INSERTIONS[last, "assistant"], "assistant"]
-        return [
-            (*r[:2], ends[i], ends[i + 1], closing if i == len(rows) - 1 else [], float(final.min()))
-            for i, r in enumerate(rows)
-        ]
-
-    def rewrite(rows):
-        _, _, _, _, _, a, b, closing, cost = rows[0]
-        done = repair([r[3] for r in rows], a, b)
-        return [
-            (r[0], r[1], r[2], r[4], role, action, inserted, closing if i == len(rows) - 1 else [], cost, i)
-            for i, (r, (action, role, inserted)) in enumerate(zip(rows, done, strict=True))
-        ]
-
-    # written once: the turns of a segment meet its states again below
-    slim = materialize(slim)
-    found = by_group(slim, key, ["turn", "text_key"], matrices, f"conv_id {conv}, segment bigint, m array<double>")
-    states = by_group(
-        found, ["conv_id"], ["segment"], chain,
-        f"conv_id {conv}, segment bigint, a int, b int, closing array<string>, cost double",
-    )
-    states = states.withColumnsRenamed({"conv_id": "_conv", "segment": "_segment"})
-    met = slim.join(states, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("segment") == F.col("_segment")))
-    return by_group(
-        met.drop("_conv", "_segment"), key, ["turn", "text_key"], rewrite,
-        f"conv_id {conv}, segment bigint, turn {turn}, text_key bigint, new_role string, action string, "
-        "inserted array<string>, closing array<string>, cost double, place int",
     )
+    ranged = slim.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    ranged = ranged.select("conv_id", "role", "text", F.spark_partition_id().alias("part"))
+    conv = dict(turns.dtypes)["conv_id"]
+
+    def run(batches):
+        now, cut, rows, size = None, 0, 0, 0
+        for batch in batches:
+            segments, places = [], []
+            sizes = pc.binary_length(batch.column("text")).to_pylist()
+            for key, n in zip(batch.column("conv_id").to_pylist(), sizes, strict=True):
+                if (key,) != now:
+                    now, cut, rows, size = (key,), 0, 0, 0
+                elif rows >= segment or size + n > SEGMENT_BYTES:
+                    cut, rows, size = cut + 1, 0, 0
+                segments.append(cut)
+                places.append(rows)
+                rows, size = rows + 1, size + n
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(segments, pa.int64()), pa.array(places, pa.int32())],
+                names=["conv_id", "role", "text", "part", "segment", "place"],
+            )
+
+    return ranged.mapInArrow(run, f"conv_id {conv}, role string, text string, part int, segment bigint, place int")
+
+
+def chain(rows):
+    """(conv_id, part, segment, piece, state before, state after, last, cost of the conversation) of its segments."""
+    k = len(STATES)
+    steps = [np.array(r[3]).reshape(k, k) for r in rows]
+    cost = np.full(k, np.inf)
+    cost[0] = 0
+    seen = [cost]
+    for m in steps:
+        seen.append((seen[-1][:, None] + m).min(0))
+    final = seen[-1] + np.array(END_COST)
+    ends = [int(np.argmin(final))]
+    for before, m in zip(reversed(seen[:-1]), reversed(steps), strict=True):
+        ends.append(int(np.argmin(before + m[:, ends[-1]])))
+    ends = ends[::-1]
+    return [(*r[:3], i, ends[i], ends[i + 1], int(i == len(rows) - 1), float(final.min())) for i, r in enumerate(rows)]
+
+
+def render(roles, texts, start: int, end: int, last: bool, template: str) -> tuple[str, int, int]:
+    """A segment's text, turns written and repairs. A turn is closed by the next one, or at the end by the last segment."""
+    before, after = template.split("{text}")
+    opening = lambda role: before.replace("{role}", role)
+    out, turns, repairs = [], 0, 0
+    open_ = STATES[start] != "start"
+    for (action, role, inserted), text in zip(repair(roles, start, end), texts, strict=True):
+        repairs += (action != "keep") + len(inserted)
+        if action == "merge":
+            out += ["\n", text]
+            continue
+        out += [after] if open_ else []
+        out += [opening(r) + after for r in inserted]
+        out += [opening(role), text]
+        turns, open_ = turns + 1 + len(inserted), True
+    if last:
+        final = STATES[end]
+        closing = [] if final in ("assistant", "start") else [*INSERTIONS[final, "assistant"], "assistant"]
+        out += [after] if open_ else []
+        out += [opening(r) + after for r in closing]
+        turns, repairs = turns + len(closing), repairs + len(closing)
+    return "".join(out), turns, repairs
 
 
 ARROW = {
@@ -207,69 +222,43 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], work, schema: str
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def format_chat(turns: DataFrame, template: str = CHATML) -> DataFrame:
-    """One row for each conversation: conv_id, turns, cost, repairs and rendered, the repaired conversation.
+def format_chat(turns: DataFrame, template: str = CHATML, segment: int = SEGMENT) -> DataFrame:
+    """Pieces of each repaired conversation: conv_id, piece, turns, cost, repairs and rendered.
 
-    A merged turn follows the one before after a line break. Null texts are empty. An empty table gives no rows.
-    Columns other than conv_id, turn, role and text are ignored.
+    The rendered texts of a conversation's pieces, in order, are the conversation; one of up to segment turns and
+    SEGMENT_BYTES of text is one piece, so no row grows with a conversation. cost is that of the whole conversation. A
+    merged turn follows the one before after a line break. Roles are compared without case and outer blanks; null and
+    unknown roles fit any role at a small cost. Null texts are empty. Rows without conv_id are one conversation.
+    Repeated rows are turns of their own. An empty table gives no rows. Columns other than conv_id, turn, role and text
+    are ignored.
     """
-    turns = turns.select("conv_id", "turn", "role", "text")
-    before, after = template.split("{text}")
-    opening = lambda role: F.replace(F.lit(before), F.lit("{role}"), role)
-    whole = lambda role: F.concat(opening(role), F.lit(after))
-    many = lambda roles: F.array_join(F.transform(roles, whole), "")
-    repaired = repair_roles(turns)
-    # rows alike in all of these are alike in text too, so either may take either place
-    same = ["conv_id", "turn", "text_key"]
-    numbered = F.row_number().over(Window.partitionBy(*same).orderBy("place"))
-    texts = turns.withColumn("text_key", F.xxhash64("role", "text"))
-    left = texts.withColumn("copy", F.row_number().over(Window.partitionBy(*same).orderBy("text_key"))).select(
-        *[F.col(c).alias(f"_{c}") for c in same], F.col("copy").alias("_copy"), "text"
-    )
-    right = repaired.withColumn("copy", numbered)
-    joined = right.join(
-        left,
-        F.col("conv_id").eqNullSafe(F.col("_conv_id"))
-        & F.col("turn").eqNullSafe(F.col("_turn"))
-        & (F.col("text_key") == F.col("_text_key"))
-        & (F.col("copy") == F.col("_copy")),
-    )
-    text = F.coalesce("text", F.lit(""))
-    merge = F.col("action") == "merge"
-    part = F.struct(
-        "segment",
-        "place",
-        merge.alias("merge"),
-        F.when(merge, F.concat(F.lit("\n"), text))
-        .otherwise(F.concat(many(F.col("inserted")), opening(F.col("new_role")), text))
-        .alias("body"),
-        many(F.col("closing")).alias("closing"),
-        F.size("inserted").alias("before"),
-        F.size("closing").alias("after"),
-    )
-    parts = F.col("parts")
-
-    def closed(x, i):
-        following = F.get(parts, i + 1)["merge"]
-        return F.concat(x["body"], F.when(F.coalesce(following, F.lit(False)), F.lit("")).otherwise(F.lit(after)), x["closing"])
-
-    return (
-        joined.groupBy("conv_id")
-        .agg(
-            F.sort_array(F.collect_list(part)).alias("parts"),
-            F.max("cost").alias("cost"),
-            F.sum(F.when(F.col("action") != "keep", 1).otherwise(0) + F.size("inserted") + F.size("closing")).alias("repairs"),
-        )
-        .select(
-            "conv_id",
-            (
-                F.size(F.filter(parts, lambda x: ~x["merge"]))
-                + F.aggregate(parts, F.lit(0), lambda a, x: a + x["before"] + x["after"])
-            ).alias("turns"),
-            "cost",
-            "repairs",
-            F.array_join(F.transform(parts, closed), "").alias("rendered"),
-        )
+    conv = dict(turns.dtypes)["conv_id"]
+    key = ["conv_id", "part", "segment"]
+    # written once: the turns of a segment meet its states again below
+    placed = materialize(cut_segments(turns.select("conv_id", "turn", "role", "text"), segment))
+
+    def matrices(rows):
+        return [(*rows[0][:3], [float(x) for x in matrix([r[3] for r in rows]).ravel()])]
+
+    def rewrite(rows):
+        *_, piece, start, end, last, cost = rows[0]
+        text, turns, repairs = render([r[3] for r in rows], [r[5] for r in rows], start, end, bool(last), template)
+        return [(rows[0][0], piece, turns, cost, repairs, text)]
+
+    found = by_group(
+        placed.select(*key, "role", "place"), key, ["place"], matrices,
+        f"conv_id {conv}, part int, segment bigint, m array<double>",
+    )
+    states = by_group(
+        found, ["conv_id"], ["part", "segment"], chain,
+        f"conv_id {conv}, part int, segment bigint, piece bigint, a int, b int, last int, cost double",
+    )
+    states = states.withColumnsRenamed({c: f"_{c}" for c in key})
+    same = F.col("conv_id").eqNullSafe(F.col("_conv_id"))
+    met = placed.join(states, same & (F.col("part") == F.col("_part")) & (F.col("segment") == F.col("_segment")))
+    return by_group(
+        met.select(*key, "role", "place", "text", "piece", "a", "b", "last", "cost"), key, ["place"], rewrite,
+        f"conv_id {conv}, piece bigint, turns int, cost double, repairs int, rendered string",
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.storage import broadcast_if_small, materialize, release, table
 
 __all__ = [
-    "WORD", "WORD_GAP", "broadcast_if_small", "count_of", "let", "materialize", "release", "sampled_labels", "shuffle_partitions",
+    "WORD", "WORD_GAP", "broadcast_if_small", "count_of", "fresh", "let", "materialize", "release", "sampled_labels", "shuffle_partitions",
     "table", "words",
 ]
 
@@ -22,6 +22,14 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words(text: Column) -> Column:
     """Words of a text as an array; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")

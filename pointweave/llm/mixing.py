@@ -10,6 +10,8 @@ from .common import WORD, broadcast_if_small, materialize, table
 #: Weights of the sources in the order of their names, repeated as often as needed.
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
+#: Columns that mix adds.
+RESULTS = ("size", "source_size", "target", "repeats", "extra")
 SEED = "mix-1"
 #: Hex digits of the seeded hash that make a bucket of a source: 4096 buckets each.
 BUCKET_DIGITS = 3
@@ -59,13 +61,14 @@ def mix(docs: DataFrame, size, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, se
     seeded hash of doc_id, the last of them in part, so a source's words equal its target to the word and reruns
     agree. To find that last document without one task seeing a whole source, sizes are summed by hash bucket and
     only the rows of the one bucket where the rest ends are put in order. Null sources are a source of their own;
-    null texts and documents without words take nothing. Extra columns are kept; names starting with _mix are
-    reserved. Rows of equal doc_id and size are interchangeable.
+    null texts and documents without words take nothing. Extra columns are kept, but those called like a result give
+    way to it; names starting with _mix are reserved. Rows of equal doc_id and size are interchangeable.
     """
-    given = docs.columns
+    docs = docs.withColumn("_mix_size", size).drop(*RESULTS)
+    given = [c for c in docs.columns if c != "_mix_size"]
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rows = (
-        docs.withColumn("size", size)
+        docs.withColumnRenamed("_mix_size", "size")
         .withColumn("_mix_key", key)
         .withColumn("_mix_bucket", F.substring("_mix_key", 1, BUCKET_DIGITS))
     )
@@ -94,7 +97,7 @@ def mix(docs: DataFrame, size, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, se
     placed = rows.join(
         broadcast_if_small(plan, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_mix_source"))
     )
-    columns = [*given, "size", "source_size", "target", "repeats", "extra"]
+    columns = [*given, *RESULTS]
     last = F.col("_mix_bucket") == F.col("_mix_end")
     sure = placed.where(F.coalesce(~last, F.lit(True))).withColumn(
         "extra", F.when(F.col("_mix_bucket") < F.col("_mix_end"), F.col("size")).otherwise(0)

@@ -183,7 +183,8 @@ def spans_of(text: Column, kind: Kind) -> Column:
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with pii, the spans of every kind in the order of KINDS and then of their start.
 
-    A null text is empty and has none. Any length is read whole. text_col is the only column read; others are kept.
+    A null text is empty and has none. Any length is read whole. text_col is the only column read; others are kept, but
+    one called pii gives way to the result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.withColumn("pii", F.concat(*[spans_of(text, k) for k in KINDS]))

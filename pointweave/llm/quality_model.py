@@ -14,13 +14,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import sampled_labels, table
+from .common import fresh, sampled_labels, table
 
 WIDTH, STRIDE, FILTERS, HALF = 8, 2, 16, 256
-#: Labelled rows that are learned from at most, and the longest seeded passage of each that is: the fit runs on the
-#: driver and must stay bounded. Scoring reads every byte.
-TRAIN_ROWS, TRAIN_CHARS = 3000, 4096
+#: Labelled rows that are learned from at most, and the bytes of text up to which a row is: the fit runs on the driver
+#: and must stay bounded. Those rows are read whole; scoring reads every byte of every text.
+TRAIN_ROWS, TRAIN_BYTES = 3000, 1 << 17
 EPOCHS, BATCH, RATE, SEED = 14, 64, 0.01, 7
 THRESHOLD = 0.7
 #: Bytes that one numpy step takes together.
@@ -156,23 +157,26 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = SEED) -> ByteCnn:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[bytes], np.ndarray]:
-    """Seeded passages of the documents of at most TRAIN_ROWS labels whose crc32(doc_id) mod 4 is not 2.
+    """Whole texts of at most TRAIN_ROWS labels whose crc32(doc_id) mod 4 is not 2; rows above TRAIN_BYTES do not teach.
 
     The labels are chosen first, so their number bounds what is broadcast and no text is shuffled.
     """
     chosen = sampled_labels(labels, label, TRAIN_ROWS, SEED)
-    text = F.coalesce("text", F.lit(""))
-    room = F.greatest(F.length(text) - TRAIN_CHARS, F.lit(0)) + 1
-    passage = F.substring(text, (F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), room) + 1).cast("int"), F.lit(TRAIN_CHARS))
-    found = docs.select("doc_id", passage.alias("_passage")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    got = sorted((r["doc_id"], r["_passage"], r["_label"]) for r in found.select("doc_id", "_passage", "_label").collect())
-    return [p.encode() for _, p, _ in got], np.array([y for _, _, y in got])
+    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
+    found = slim.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    # repeated rows of an id teach too, in a seeded order and within the same bound
+    found = found.orderBy(F.xxhash64(F.lit(SEED), "doc_id", "text"), "doc_id", "_label").limit(TRAIN_ROWS)
+    got = sorted((r["doc_id"], r["text"], r["_label"]) for r in found.select("doc_id", "text", "_label").collect())
+    return [t.encode() for _, t, _ in got], np.array([y for _, _, y in got])
 
 
 def score_texts(docs: DataFrame, net: ByteCnn, keep: list[str], out: str = "score") -> DataFrame:
-    """The columns keep of docs and the probability of each whole text; null texts count as empty."""
+    """The columns keep of docs and out, the probability of each whole text; null texts count as empty.
+
+    A column of docs called like out gives way to it.
+    """
     model = docs.sparkSession.sparkContext.broadcast(net)
-    fields = [f for f in docs.schema.fields if f.name in keep]
+    fields = [f for f in docs.schema.fields if f.name in keep and f.name.lower() != out.lower()]
 
     def run(batches):
         for batch in batches:
@@ -187,22 +191,30 @@ def score_texts(docs: DataFrame, net: ByteCnn, keep: list[str], out: str = "scor
             columns = [batch.column(f.name) for f in fields]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores)], names=[*[f.name for f in fields], out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.mapInArrow(run, f"{schema}, {out} double")
+    return docs.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     """score (0 to 1, higher: good likelier) and predicted for every row of docs; labels teach, see training_rows.
 
     Empty and null texts get the score of the network for no bytes. Without labelled rows the score is that of an
-    untrained network. Rows are never dropped; ties at the threshold count as good.
+    untrained network. Rows are never dropped; ties at the threshold count as good. Columns of docs called score or
+    predicted give way to the results.
     """
     net = fit(*training_rows(docs, labels, "quality"))
+    keep = [c for c in keep if c.lower() != "predicted"]
     return score_texts(docs, net, keep).withColumn(
         "predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int")
     )
 
 
+def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose text the network scores at THRESHOLD or more."""
+    score = fresh("_score", docs)
+    scored = score_texts(docs, fit(*training_rows(docs, labels, "quality")), docs.columns, score)
+    return scored.where(F.col(score) >= THRESHOLD).select(*docs.columns)
+
+
 def op2_byte_cnn(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality_scores(docs, table(spark, sf_dir, "labels"), ["doc_id"])

@@ -20,6 +20,9 @@ BOILERPLATE = (
 TERMINAL = r"[.!?:;,)\]\"']\s*$"
 MAX_LOST_PERCENT = 50
 BARS, MARKS = "[|>]", "[#*$%&<]"
+#: Columns that the steps add.
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+CLEANED = ("clean_text", "lost_words")
 
 
 def base_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -28,8 +31,9 @@ def base_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     Everything happens inside the row of a document, so nothing is shuffled whatever the size of a document. Hashes of
     the 3-word windows tell whether any can repeat; only then are the windows themselves sorted to find which do.
     """
-    out = df.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_words", words(F.col("_text")))
-    w = F.col("_words")
+    given = [c for c in df.columns if c not in STATISTICS]
+    out = df.withColumn("_rules_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_rules_words", words(F.col("_rules_text")))
+    w = F.col("_rules_words")
     heads = F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0)))
     hashes = F.transform(heads, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
     windows = F.transform(
@@ -44,12 +48,12 @@ def base_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
         return F.size(F.array_distinct(F.flatten(spots)))
 
     repeats = let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
-    lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike(WORD))
+    lines = F.filter(F.split(F.col("_rules_text"), "\n"), lambda x: x.rlike(WORD))
     return out.select(
-        *df.columns,
+        *given,
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        count_of(F.col("_text"), SYMBOLS).cast("long").alias("n_symbols"),
+        count_of(F.col("_rules_text"), SYMBOLS).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         F.when(repeats, let(F.sort_array(windows), covered)).otherwise(0).cast("long").alias("n_repeat_words"),
     )
@@ -79,10 +83,10 @@ def clean_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
             count_of(x, WORD), lambda n: F.struct(x.alias("line"), n.alias("n"), line_verdict(x, n).alias("rule"))
         ),
     )
-    out = df.withColumn("_lines", judged)
-    lines = F.col("_lines")
+    out = df.withColumn("_rules_lines", judged)
+    lines = F.col("_rules_lines")
     return out.select(
-        *df.columns,
+        *[c for c in df.columns if c not in CLEANED],
         F.array_join(F.transform(F.filter(lines, lambda x: x["rule"].isNull()), lambda x: x["line"]), "\n").alias(
             "clean_text"
         ),
@@ -95,8 +99,8 @@ def clean_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
 def quality_rules(df: DataFrame, text_col: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
     """Statistics, base_failed, lost_words and kept for each row of df; clean_text holds the surviving lines.
 
-    Null and empty texts have zero words: base_failed. Columns of df that clash with the results must be dropped
-    by the caller; only text_col is read.
+    Null and empty texts have zero words: base_failed. Columns of df called like a result give way to it
+    and names starting with _rules are reserved; only text_col is read.
     """
     out = clean_lines(base_statistics(df, text_col), text_col)
     failed = (F.col("n_words") < MIN_WORDS) | (

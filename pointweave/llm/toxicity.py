@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import sampled_labels, table
 from .tokens import core_spans, hash_spans, lower, pieces
@@ -19,11 +20,12 @@ from .tokens import core_spans, hash_spans, lower, pieces
 BUCKETS = 1 << 20
 GRADES = 4
 PREFIXES = (4, 5)
-#: Labelled rows that are learned from at most; their features come to the driver, so both are bounded.
-TRAIN_ROWS, TRAIN_FEATURES, SEED = 8000, 4000, 11
-#: Training documents that a feature needs, and the weight below which it is dropped.
+#: Labelled rows that are learned from at most, and the bytes of text up to which a row is; their features, all of
+#: them, come to the driver.
+TRAIN_ROWS, TRAIN_BYTES, SEED = 8000, 1 << 17, 11
+#: Training documents that a feature needs, and the weight below which it is dropped before the rest is fitted again.
 LEAST_DOCS, LEAST_WEIGHT = 5, 0.3
-STEPS, RATE, RIDGE = 250, 0.05, 2e-4
+STEPS, AGAIN, RATE, RIDGE = 250, 60, 0.05, 2e-4
 #: Training rows and share of their toxic ones from which a feature counts towards the grade.
 MARKER_DOCS, MARKER_SHARE = 5, 0.6
 THRESHOLD = 0.3
@@ -94,7 +96,11 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray) -> Severity:
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, theta)]
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     n = len(y)
-    for t in range(1, STEPS + 1):
+    kept = np.ones(len(used))
+    for t in range(1, STEPS + AGAIN + 1):
+        if t == STEPS + 1:
+            kept = (np.abs(w) >= LEAST_WEIGHT).astype(float)
+            w *= kept
         f = np.bincount(row, w[col], minlength=n)
         cut = np.cumsum([theta[0], *np.exp(theta[1:])])
         upper = np.where(y < GRADES - 1, sig(np.append(cut, 0)[y] - f), 1.0)
@@ -111,40 +117,43 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray) -> Severity:
             v *= 0.999
             v += 0.001 * g * g
             value -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    w[np.abs(w) < LEAST_WEIGHT] = 0
+        w *= kept
     weight[used] = w
     return Severity(weight, np.cumsum([theta[0], *np.exp(theta[1:])]))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features of the documents of at most TRAIN_ROWS labels in a seeded order; crc32(doc_id) mod 4 = 2 stays unseen."""
+    """Features of the documents of at most TRAIN_ROWS labels in a seeded order, up to TRAIN_BYTES of text; crc32(doc_id) mod 4 = 2 stays unseen."""
     chosen = sampled_labels(labels, "toxic", TRAIN_ROWS, SEED)
 
     def run(batches):
         for batch in batches:
             got = [np.zeros(0, np.int64)] * batch.num_rows
             for r, x in features(batch.column("text")):
-                got[r] = x[:: -(-len(x) // TRAIN_FEATURES)] if len(x) > TRAIN_FEATURES else x
+                got[r] = x
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("_label"), pa.array(got, pa.list_(pa.int64()))],
+                [batch.column("doc_id"), batch.column("_label"), pa.array([x.astype("<i4").tobytes() for x in got], pa.binary())],
                 names=["doc_id", "_label", "x"],
             )
 
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    got = found.mapInArrow(run, "doc_id long, _label double, x array<long>").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["_label"]))
-    return [np.array(r["x"], np.int64) for r in got], np.array([r["_label"] for r in got])
+    slim = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
+    found = slim.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    # repeated rows of an id teach too, in a seeded order and within the same bound
+    found = found.orderBy(F.xxhash64(F.lit(SEED), "doc_id", "text"), "doc_id", "_label").limit(TRAIN_ROWS)
+    got = [tuple(r) for r in found.mapInArrow(run, "doc_id long, _label double, x binary").collect()]
+    got.sort()
+    return [np.frombuffer(x, "<i4").astype(np.int64) for _, _, x in got], np.array([y for _, y, _ in got])
 
 
 def severity_scores(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     """keep, severity (expected grade, 0 to 3), p_toxic and toxic for every row of docs.
 
     Null, empty and wordless texts get the severity of no features. Every feature of a text counts once. Without labels
-    all weights are 0 and every text gets the same severity.
+    all weights are 0 and every text gets the same severity. Columns of docs called like a result give way to it.
     """
     model = fit(*training_rows(docs, labels))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema.fields if f.name in keep]
+    fields = [f for f in docs.schema.fields if f.name in keep and f.name.lower() not in ("severity", "p_toxic", "toxic")]
 
     def run(batches):
         model = shared.value
@@ -158,8 +167,8 @@ def severity_scores(docs: DataFrame, labels: DataFrame, keep: list[str]) -> Data
                 names=[*[f.name for f in fields], "severity", "p_toxic"],
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.mapInArrow(run, f"{schema}, severity double, p_toxic double").withColumn(
+    results = [T.StructField(c, T.DoubleType()) for c in ("severity", "p_toxic")]
+    return docs.mapInArrow(run, T.StructType([*fields, *results])).withColumn(
         "toxic", F.col("p_toxic") >= THRESHOLD
     )
 

@@ -231,8 +231,9 @@ def test_every_byte_counts(spark):
 
 def test_models_on_awkward_rows(spark, awkward):
     labels = spark.createDataFrame([(4, 1, 0), (14, 0, 1), (99, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
-    docs = awkward.drop("score")
-    for out in (quality_model.quality_scores(docs, labels, ["doc_id"]), toxicity.severity_scores(docs, labels, ["doc_id"])):
+    docs = awkward.withColumn("toxic", F.lit("t")).withColumn("predicted", F.lit("p"))
+    for out in (quality_model.quality_scores(docs, labels, docs.columns), toxicity.severity_scores(docs, labels, docs.columns)):
+        assert len(set(out.columns)) == len(out.columns) and set(docs.columns) <= set(out.columns)
         assert out.count() == docs.count()
         assert out.where("severity IS NULL" if "severity" in out.columns else "score IS NULL").count() == 0
     none = labels.limit(0)
@@ -294,29 +295,53 @@ def brute_cost(roles):
             go((k + 1, last), cost + chat.MERGE + (0 if roles[k] == last else chat.RELABEL if known else chat.UNKNOWN))
 
 
-def test_repair_costs_against_search(spark):
+def conversations(rows):
+    """conv_id -> (cost, turns, text) of the pieces in order."""
+    got = {}
+    for x in sorted(rows, key=lambda r: r["piece"]):
+        cost, turns, text = got.get(x["conv_id"], (x["cost"], 0, ""))
+        assert cost == x["cost"]
+        got[x["conv_id"]] = (cost, turns + x["turns"], text + x["rendered"])
+    return got
+
+
+@pytest.mark.parametrize("segment", [2, 4096])
+def test_repair_against_search(spark, segment):
     r = random.Random(4)
     convs = [[r.choice([*chat.ROLES, "tool", None]) for _ in range(r.randint(1, 7))] for _ in range(80)]
     rows = [(i, k, role, f"t{k}") for i, c in enumerate(convs) for k, role in enumerate(c)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {x["conv_id"]: x for x in chat.format_chat(turns).collect()}
-    in_segments = {x["conv_id"]: x["cost"] for x in chat.repair_roles(turns, segment=2).collect()}
+    got = conversations(chat.format_chat(turns, segment=segment).collect())
+    assert set(got) == set(range(80))
     for i, c in enumerate(convs):
-        assert got[i]["cost"] == brute_cost(c) == in_segments[i]
-        written = [p.split("\n")[0] for p in got[i]["rendered"].split("<|im_start|>")[1:]]
-        assert all(pair in chat.LEGAL for pair in zip(["start", *written], written, strict=False)) and written[-1] == "assistant"
-        assert len(written) == got[i]["turns"]
+        cost, count, text = got[i]
+        assert cost == brute_cost(c)
+        written = [p.split("\n", 1) for p in text.split("<|im_start|>")[1:]]
+        names = [w[0] for w in written]
+        assert all(pair in chat.LEGAL for pair in zip(["start", *names], names, strict=False)) and names[-1] == "assistant"
+        assert len(written) == count and all(w[1].endswith("<|im_end|>\n") for w in written)
+        bodies = [w[1].removesuffix("<|im_end|>\n") for w in written]
+        assert [x for body in bodies if body for x in body.split("\n")] == [f"t{k}" for k in range(len(c))]
+
+
+def test_rendering_by_hand():
+    text, turns, repairs = chat.render(["user", "user", "assistant"], ["a", "b", "c"], 0, 3, True, chat.CHATML)
+    assert text == "<|im_start|>user\na\nb<|im_end|>\n<|im_start|>assistant\nc<|im_end|>\n" and (turns, repairs) == (2, 1)
 
 
-def test_chat_on_awkward_rows(spark):
+def test_chat_on_awkward_rows(spark, monkeypatch):
     rows = [
         (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, None, None), (2, 0, " Assistant ", ""), (None, 0, "user", "x"),
-        (3, 9000, "user", "later"), (3, 1, "system", "first" * 10_000),
+        (3, 9000, "user", "later"), (3, 1, "system", "first" * 10_000), *[(4, None, "user", "same")] * 50,
     ]
     turns = spark.createDataFrame([(*r, 1.0, "seg") for r in rows], "conv_id long, turn long, role string, text string, cost double, segment string")
-    got = {r["conv_id"]: r for r in chat.format_chat(turns).collect()}
-    assert set(got) == {1, 2, 3, None}
-    assert got[3]["rendered"].index("first") < got[3]["rendered"].index("later")
+    got = conversations(chat.format_chat(turns).collect())
+    assert set(got) == {1, 2, 3, 4, None}
+    assert got[3][2].index("first") < got[3][2].index("later")
+    monkeypatch.setattr(chat, "SEGMENT_BYTES", 64)
+    small = chat.format_chat(turns).collect()
+    assert conversations(small)[4][0] == got[4][0] and max(r["piece"] for r in small) >= 3
+    assert all(len(r["rendered"]) < 1000 or r["conv_id"] == 3 for r in small)
     assert chat.format_chat(turns.limit(0)).count() == 0
 
 
@@ -342,9 +367,9 @@ def test_pipeline_against_brute_force(spark):
 
 
 def test_pipeline_stages_on_awkward_rows(spark, awkward):
-    docs = awkward.select("doc_id", "text", "lang", "source", "n_chars", "key")
+    docs = awkward.withColumn("_text_key", F.lit("k")).withColumn("_gone", F.lit(1)).withColumn("repeats", F.lit("r"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
-        assert out.columns == docs.columns, name
-        out.count()
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString(), name
+        assert out.where("size <> -1 OR score <> -1 OR _text_key <> 'k' OR repeats <> 'r'").count() == 0
         assert stage(spark, docs.limit(0), SF).count() == 0
