@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -249,15 +250,35 @@ def test_thresholds_are_ordered():
 
 def test_secrets(spark, awkward):
     model = secrets.train(spark, secrets.labelled_findings(1200))
-    found = secrets.scan_secrets(docs_of(spark, ['so token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" ends', "see internationalizationoftheconfiguration", None, ""]), model)
-    assert [(r["doc_id"], r["start"], r["end"]) for r in found.collect()] == [(0, 12, 52)]
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = [f'so token = "{key}" ends', "see internationalizationoftheconfiguration", None, "", f"set token={key} now", "password: Xk9#mQ2$vL7p, then"]
+    found = secrets.scan_secrets(docs_of(spark, texts), model)
+    assert sorted((r["doc_id"], r["start"], r["end"]) for r in found.collect()) == [(0, 12, 52), (4, 10, 50), (5, 10, 22)]
     secrets.scan_secrets(awkward, model).count()
     assert secrets.scan_secrets(awkward.limit(0), model).count() == 0
+    # spans of unseen findings, and of a format that no training finding has
     rows = secrets.labelled_findings(400, 77)
-    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, a string, t string, b string, y int")
-    got = {r["doc_id"] for r in secrets.scan_secrets(frame.select("doc_id", F.concat("a", "t", "b").alias("text")), model).collect()}
-    right = sum((i in got) == bool(r[3]) for i, r in enumerate(rows))
-    assert right > 0.9 * len(rows)
+    r = random.Random(3)
+    rows += [("the build uses api_key = '", "glpat-" + "".join(r.choices("abcdefXYZ0123456789_", k=20)), "' here", 1) for _ in range(40)]
+    frame = docs_of(spark, [a + t + b for a, t, b, _ in rows])
+    got = {(x["doc_id"], x["start"], x["end"]) for x in secrets.scan_secrets(frame, model).collect()}
+    want = {(i, len(a), len(a) + len(t)) for i, (a, t, _, y) in enumerate(rows) if y}
+    assert len(got & want) > 0.9 * len(want) and len(got - want) < 0.1 * len(got)
+    assert sum(i >= 400 for i, _, _ in got & want) >= 36
+
+
+def test_planted_secrets_of_the_tables(spark):
+    got = {(r["doc_id"], r["start"], r["end"]) for r in registry.queries()["op9_secret_forest"](spark, BIGGER).collect()}
+    docs = spark.read.parquet(f"{BIGGER}/documents.parquet").select("doc_id", "text").collect()
+    want = {(d["doc_id"], *m.span(1)) for d in docs for m in re.finditer(r'token = "([0-9a-f]{40})"', d["text"] or "")}
+    assert want and len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.2 * len(want)
+
+
+def test_candidates_of_training_are_those_of_the_scan():
+    for a, t, b, y in secrets.labelled_findings(500, 9):
+        spans = secrets.find_candidates(a + t + b)
+        assert all(p[1] <= q[0] for p, q in zip(spans, spans[1:], strict=False))
+        assert not y or (len(a), len(a) + len(t)) in spans, (a, t, b)
 
 
 # chat
