@@ -72,10 +72,10 @@ def scene_metadata(spark, d):
 
 
 @query("""SELECT p_partkey AS scene, r AS tile_row, c AS tile_col FROM (
-  SELECT p_partkey, unnest(range(CAST(p_size * 100 // 512 AS INT))) AS r, p_size FROM part WHERE p_partkey < 200)
+  SELECT p_partkey, unnest(range(CAST(p_size * 100 // 512 AS INT))) AS r, p_size FROM part)
   , range(100) t(c) WHERE c < p_size * 150 // 512""")
 def tile_grid(spark, d):
-    p = table(spark, d, "part").where("p_partkey < 200")
+    p = table(spark, d, "part")
     grid = tables.tile_grid(F.col("p_size") * 150, F.col("p_size") * 100, 512)
     return p.select(F.col("p_partkey").alias("scene"), F.inline(grid)).select(
         "scene", F.col("row").alias("tile_row"), F.col("col").alias("tile_col")
@@ -236,14 +236,16 @@ def hull_members(spark, d):
     return spatial.in_hulls(p, m).select("image_id", "component", "nid")
 
 
-@query(f"""WITH {ad.NUC}, q AS (SELECT * FROM nuc WHERE x < 1500 AND y < 1500), c AS (
+@query(f"""WITH {ad.NUC}, l AS (SELECT *, unnest([x // 100 - 1, x // 100, x // 100 + 1]) AS cx FROM nuc WHERE nid % 5 = 0), c AS (
   SELECT p.image_id, p.nid, l.nid % 9 + 2 AS label, row_number() OVER (PARTITION BY p.image_id, p.nid ORDER BY (p.x-l.x)*(p.x-l.x)+(p.y-l.y)*(p.y-l.y), l.nid) AS r
-  FROM q p JOIN q l ON l.image_id = p.image_id AND l.nid % 5 = 0 AND (p.x-l.x)*(p.x-l.x)+(p.y-l.y)*(p.y-l.y) <= 10000 WHERE p.nid % 5 = 1)
-  SELECT q.image_id, q.nid, coalesce(label, 0) AS label FROM q LEFT JOIN (SELECT * FROM c WHERE r = 1) c USING (image_id, nid) WHERE q.nid % 5 = 1""")
+  FROM nuc p JOIN l ON l.image_id = p.image_id AND l.cx = p.x // 100 AND abs(p.y - l.y) <= 100
+  WHERE (p.x-l.x)*(p.x-l.x)+(p.y-l.y)*(p.y-l.y) <= 10000 AND p.nid % 5 <> 0)
+  SELECT q.image_id, q.nid, coalesce(label, 0) AS label FROM nuc q LEFT JOIN (SELECT * FROM c WHERE r = 1) c USING (image_id, nid) WHERE q.nid % 5 <> 0""")
 def nearest_label(spark, d):
-    q = ad.nuclei(spark, d).where("x < 1500 AND y < 1500").select("image_id", "nid", "x", "y")
+    """Every nucleus without a label (four of five) takes that of the nearest one with a label."""
+    q = ad.nuclei(spark, d).select("image_id", "nid", "x", "y")
     labelled = q.where("nid % 5 = 0").withColumn("label", F.col("nid") % 9 + 2)
-    return spatial.nearest_label(q.where("nid % 5 = 1"), labelled, 100).select("image_id", "nid", F.col("label").cast("long").alias("label"))
+    return spatial.nearest_label(q.where("nid % 5 <> 0"), labelled, 100).select("image_id", "nid", F.col("label").cast("long").alias("label"))
 
 
 @query()
@@ -252,98 +254,72 @@ def mst_weight(spark, d):
     return f.groupBy("image_id").agg(F.round(F.sum("weight"), 4).alias("weight"), F.count("*").alias("edges"))
 
 
-# A triple is a Delaunay triangle when no other point is strictly inside its circumcircle; integer determinants are exact.
-TRI = f"""{ad.SMALL}, o AS (
-  SELECT a.image_id, a.nid AS a, b.nid AS b, c.nid AS c, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy,
-         CAST((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS HUGEINT) AS o
-  FROM small a JOIN small b ON a.image_id = b.image_id AND a.nid < b.nid JOIN small c ON c.image_id = a.image_id AND b.nid < c.nid
-), tri AS (
-  SELECT * FROM o WHERE o <> 0 AND NOT EXISTS (SELECT 1 FROM small p WHERE p.image_id = o.image_id AND p.nid NOT IN (a, b, c) AND sign(o) * (
-      ((ax-p.x)*(ax-p.x)+(ay-p.y)*(ay-p.y))::HUGEINT * ((bx-p.x)*(cy-p.y)-(cx-p.x)*(by_-p.y))
-    - ((bx-p.x)*(bx-p.x)+(by_-p.y)*(by_-p.y))::HUGEINT * ((ax-p.x)*(cy-p.y)-(cx-p.x)*(ay-p.y))
-    + ((cx-p.x)*(cx-p.x)+(cy-p.y)*(cy-p.y))::HUGEINT * ((ax-p.x)*(by_-p.y)-(bx-p.x)*(ay-p.y))) > 0))"""
-DENS = """dens AS (SELECT image_id, nid, sum(abs(o) / 2.0) AS dtfe_area, count(*) AS dtfe_num_triangles
-  FROM (SELECT image_id, o, unnest([a, b, c]) AS nid FROM tri) GROUP BY 1, 2)"""
-
-
-def _small(spark, d):
-    p = materialize(ad.small_points(ad.nuclei(spark, d)))
+# No SQL triangulates whole slides in reasonable time: tests hold these against exact determinants on a small slide.
+def _triangulated(spark, d):
+    p = materialize(ad.positions(ad.nuclei(spark, d)))
     return p, materialize(delaunay.delaunay(p))
 
 
-@query(f"WITH {ad.NUC}, {TRI} SELECT image_id, a, b, c FROM tri")
+@query()
 def delaunay_triangles(spark, d):
-    return _small(spark, d)[1]
+    return _triangulated(spark, d)[1]
 
 
-@query(f"WITH {ad.NUC}, {TRI} SELECT image_id, a, b, c, CAST(abs(o) AS DOUBLE) / 2 AS area FROM tri")
+@query()
 def triangle_area(spark, d):
-    p, t = _small(spark, d)
+    p, t = _triangulated(spark, d)
     return delaunay.with_corners(t, p).select("image_id", "a", "b", "c", (delaunay.area2() / 2.0).alias("area"))
 
 
-@query(f"WITH {ad.NUC}, {TRI} SELECT DISTINCT image_id, unnest([a, b, a]) AS src, unnest([b, c, c]) AS dst FROM tri")
+@query()
 def delaunay_edges(spark, d):
-    return delaunay.edges(_small(spark, d)[1])
+    return delaunay.edges(_triangulated(spark, d)[1])
 
 
-@query(f"WITH {ad.NUC}, {TRI}, {DENS} SELECT image_id, nid, CAST(dtfe_area AS DOUBLE) AS dtfe_area, dtfe_num_triangles, round(dtfe_num_triangles / CAST(dtfe_area AS DOUBLE), 10) AS dtfe FROM dens")
+@query()
 def dtfe(spark, d):
-    p, t = _small(spark, d)
+    p, t = _triangulated(spark, d)
     return delaunay.density(delaunay.with_corners(t, p)).withColumn("dtfe", F.round("dtfe", 10))
 
 
-@query(f"WITH {ad.NUC}, {TRI}, {DENS} SELECT image_id, nid FROM dens WHERE dtfe_num_triangles / CAST(dtfe_area AS DOUBLE) > 0.0002")
+@query()
 def dtfe_threshold(spark, d):
-    p, t = _small(spark, d)
+    p, t = _triangulated(spark, d)
     return delaunay.density(delaunay.with_corners(t, p)).where("dtfe > 0.0002").select("image_id", "nid")
 
 
-@query(f"""WITH {ad.NUC}, {TRI} SELECT image_id, a, b, c FROM tri WHERE (ax-bx)*(ax-bx)+(ay-by_)*(ay-by_) <= 22500
-  AND (bx-cx)*(bx-cx)+(by_-cy)*(by_-cy) <= 22500 AND (ax-cx)*(ax-cx)+(ay-cy)*(ay-cy) <= 22500""")
+@query()
 def constrained_dtfe(spark, d):
-    p, t = _small(spark, d)
+    p, t = _triangulated(spark, d)
     return delaunay.constrained(t, spatial.radius_edges(p, 150))
 
 
-@query(f"""WITH {ad.NUC}, {TRI}, t2 AS (SELECT *, sqrt(CAST((ax-bx)*(ax-bx)+(ay-by_)*(ay-by_) AS DOUBLE) * ((bx-cx)*(bx-cx)+(by_-cy)*(by_-cy)) * ((ax-cx)*(ax-cx)+(ay-cy)*(ay-cy))) / (2.0 * CAST(abs(o) AS DOUBLE)) AS r FROM tri)
-  SELECT image_id, sum(CAST(abs(o) AS DOUBLE) / 2) AS kept_area, count(*) AS n FROM t2 WHERE r < 1 / 0.01 GROUP BY 1""")
+@query()
 def concave_area(spark, d):
-    p, t = _small(spark, d)
+    p, t = _triangulated(spark, d)
     k = delaunay.alpha_triangles(delaunay.with_corners(t, p), 0.01)
     return k.groupBy("image_id").agg(F.sum(delaunay.area2() / 2.0).alias("kept_area"), F.count("*").alias("n"))
 
 
-@query(f"""WITH {ad.NUC}, {TRI}, s AS (SELECT image_id, unnest([a, b, c]) AS nid, greatest((ax-bx)*(ax-bx)+(ay-by_)*(ay-by_), (bx-cx)*(bx-cx)+(by_-cy)*(by_-cy), (ax-cx)*(ax-cx)+(ay-cy)*(ay-cy)) AS e FROM tri)
-  SELECT image_id, nid, round(sqrt(max(e)), 6) AS max_edge FROM s GROUP BY 1, 2""")
+@query()
 def point_max_edge(spark, d):
-    p, t = _small(spark, d)
+    p, t = _triangulated(spark, d)
     c = delaunay.with_corners(t, p)
     longest = F.greatest(delaunay.edge2("a", "b"), delaunay.edge2("b", "c"), delaunay.edge2("a", "c"))
     s = c.select("image_id", F.explode(F.array("a", "b", "c")).alias("nid"), longest.alias("e"))
     return s.groupBy("image_id", "nid").agg(F.round(F.sqrt(F.max("e").cast("double")), 6).alias("max_edge"))
 
 
-@query(f"""WITH {ad.NUC}, {TRI}, {DENS}, f AS (SELECT image_id, nid, dtfe_num_triangles / CAST(dtfe_area AS DOUBLE) AS v FROM dens), g AS (
-  SELECT t.*, gx * 64 AS gx, gy * 64 AS gy FROM tri t, range(11) u(gx), range(11) w(gy)
-), s AS (SELECT image_id, a, b, c, gx, gy, o * sign(o) AS oo,
-  sign(o) * ((cx - bx) * (gy - by_) - (cy - by_) * (gx - bx)) AS wa, sign(o) * ((ax - cx) * (gy - cy) - (ay - cy) * (gx - cx)) AS wb,
-  sign(o) * ((bx - ax) * (gy - ay) - (by_ - ay) * (gx - ax)) AS wc FROM g), r AS (
-  SELECT s.*, row_number() OVER (PARTITION BY image_id, gx, gy ORDER BY a, b, c) AS k FROM s WHERE wa >= 0 AND wb >= 0 AND wc >= 0)
-  SELECT r.image_id, gx, gy, round((CAST(wa AS DOUBLE) * fa.v + CAST(wb AS DOUBLE) * fb.v + CAST(wc AS DOUBLE) * fc.v) / CAST(oo AS DOUBLE), 9) AS density
-  FROM r JOIN f fa ON fa.image_id = r.image_id AND fa.nid = a JOIN f fb ON fb.image_id = r.image_id AND fb.nid = b
-  JOIN f fc ON fc.image_id = r.image_id AND fc.nid = c WHERE k = 1""")
+@query()
 def dtfe_grid(spark, d):
-    p, t = _small(spark, d)
+    p, t = _triangulated(spark, d)
     c = materialize(delaunay.with_corners(t, p))
     return delaunay.gridded(c, delaunay.density(c), 64).withColumn("density", F.round("density", 9))
 
 
-@query(f"""WITH {ad.NUC}, {TRI}, {DENS}, f AS (SELECT image_id, nid, dtfe_num_triangles / CAST(dtfe_area AS DOUBLE) AS v FROM dens)
-  SELECT tri.image_id, a, b, c FROM tri JOIN f fa ON fa.image_id = tri.image_id AND fa.nid = a JOIN f fb ON fb.image_id = tri.image_id AND fb.nid = b
-  JOIN f fc ON fc.image_id = tri.image_id AND fc.nid = c WHERE greatest(fa.v, fb.v, fc.v) > 0.0003""")
+@query()
 def trace_simplices(spark, d):
-    p, t = _small(spark, d)
+    p, t = _triangulated(spark, d)
     f = delaunay.density(delaunay.with_corners(t, p))
     top = t.select("*", F.explode(F.array("a", "b", "c")).alias("nid")).join(f, ["image_id", "nid"])
     return top.groupBy("image_id", "a", "b", "c").agg(F.max("dtfe").alias("v")).where("v > 0.0003").drop("v")
@@ -352,11 +328,11 @@ def trace_simplices(spark, d):
 def _sweep_sql() -> str:
     parts = []
     for t in (10, 20, 30):
-        step = GRAPH_SQL.replace("WHERE x < 4096 AND y < 4096", f"WHERE x < 4096 AND y < 4096 AND area > {t}")
+        step = GRAPH_SQL.replace("FROM nuc)", f"FROM nuc WHERE area > {t})")
         parts.append(
-            f"SELECT {t}.0::DOUBLE AS threshold, (SELECT count(*) FROM nuc WHERE x < 4096 AND y < 4096 AND area > {t}) AS n_threshold, "
+            f"SELECT {t}.0::DOUBLE AS threshold, (SELECT count(*) FROM nuc WHERE area > {t}) AS n_threshold, "
             f"(SELECT n FROM ({step} SELECT count(*) AS n FROM m)) AS n_clustered, "
-            f"(SELECT count(*) FROM nuc WHERE x < 4096 AND y < 4096) AS n_total, {R}.0::DOUBLE AS edge_range, {MIN} AS min_nuclei"
+            f"(SELECT count(*) FROM nuc) AS n_total, {R}.0::DOUBLE AS edge_range, {MIN} AS min_nuclei"
         )
     return f"WITH {ad.NUC} " + " UNION ALL ".join(parts)
 

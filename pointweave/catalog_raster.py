@@ -173,18 +173,29 @@ def border_length(spark, d):
     return raster.border_length(_pix(spark, d).withColumn("v", F.col("label") % 3), 1, "v")
 
 
-@query(f"""WITH {ad.PIX}, p AS (SELECT py, px, CAST(label > 0 AS INT) AS n, CAST(least(r, g, b) <= 200 AND greatest(r, g, b) > 0 AS INT) AS t FROM pix), r1 AS (
-  SELECT *, sum(n) OVER a AS n8, sum(t) OVER a AS t8, sum(n) OVER b AS n32, sum(t) OVER b AS t32 FROM p
-  WINDOW a AS (PARTITION BY py ORDER BY px RANGE BETWEEN 3 PRECEDING AND 4 FOLLOWING), b AS (PARTITION BY py ORDER BY px RANGE BETWEEN 15 PRECEDING AND 16 FOLLOWING)), r2 AS (
-  SELECT py, px, sum(n8) OVER a AS n8, sum(t8) OVER a AS t8, sum(n32) OVER b AS n32, sum(t32) OVER b AS t32 FROM r1
-  WINDOW a AS (PARTITION BY px ORDER BY py RANGE BETWEEN 3 PRECEDING AND 4 FOLLOWING), b AS (PARTITION BY px ORDER BY py RANGE BETWEEN 15 PRECEDING AND 16 FOLLOWING)), v AS (
-  SELECT py, px, CASE WHEN t8 > 0 THEN CAST(n8 AS DOUBLE) / t8 ELSE 0 END AS l, CASE WHEN t32 > 0 THEN CAST(n32 AS DOUBLE) / t32 ELSE 0 END AS g FROM r2)
-  SELECT py, px, round(l, 6) AS local, round(g, 6) AS regional, round(CASE WHEN g > 0 THEN l / g ELSE 0 END, 6) AS relative FROM v""")
+def _density_sql() -> str:
+    frame = {8: "RANGE BETWEEN 4 PRECEDING AND 3 FOLLOWING", 32: "RANGE BETWEEN 16 PRECEDING AND 15 FOLLOWING"}
+    sums = ", ".join(f"sum({v}) OVER w{w} AS {v}{w}" for v in "nt" for w in frame)
+    again = ", ".join(f"sum({v}{w}) OVER w{w} AS {v}{w}" for v in "nt" for w in frame)
+    along = lambda a, b: ", ".join(f"w{w} AS (PARTITION BY {a} ORDER BY {b} {f})" for w, f in frame.items())
+    share = lambda w: f"CASE WHEN t{w} / {w * w}.0::DOUBLE < 0.25 THEN -1.0::DOUBLE ELSE t{w} / {w * w}.0::DOUBLE END AS s{w}"
+    return f"""WITH {ad.PIX}, p AS (SELECT py, px, CAST(label > 0 AS INT) AS n, CAST(least(r, g, b) <= 200 AND greatest(r, g, b) > 0 AS INT) AS t FROM pix),
+  across AS (SELECT py, px, {sums} FROM p WINDOW {along("py", "px")}),
+  boxes AS (SELECT py, px, {again} FROM across WINDOW {along("px", "py")}),
+  shares AS (SELECT *, {share(8)}, {share(32)} FROM boxes),
+  d AS (SELECT *, n8 / (s8 * 0.5e-6::DOUBLE * 64) AS l, n32 / (s32 * 0.5e-6::DOUBLE * 1024) AS r FROM shares)
+  SELECT py, px, round(l, 3) + 0.0 AS local, round(r, 3) + 0.0 AS regional, round(s8, 6) AS tissue_share,
+    round(CASE WHEN s8 < 0 OR r = 0 THEN 0 ELSE greatest(l / r, 0) END, 6) + 0.0 AS relative FROM d"""
+
+
+@query(_density_sql())
 def density_window(spark, d):
     p = _pix(spark, d)
     tissue = scalar.is_tissue(F.col("r"), F.col("g"), F.col("b")).cast("int").alias("tissue")
-    out = raster.density_windows(p.select("py", "px", (F.col("label") > 0).cast("int").alias("nucleus"), tissue), 8, 32, per_pixel=1.0)
-    return out.select("py", "px", *[F.round(c, 6).alias(c) for c in ("local", "regional", "relative")])
+    out = raster.density_windows(p.select("py", "px", (F.col("label") > 0).cast("int").alias("nucleus"), tissue), 8, 32)
+    # a whole round needs + 0.0: minus zero and zero are one value
+    places = {"local": 3, "regional": 3, "tissue_share": 6, "relative": 6}
+    return out.select("py", "px", *[(F.round(c, k) + 0.0).alias(c) for c, k in places.items()])
 
 
 @query(f"""WITH {ad.PIX}, e AS (SELECT max(py) + 1 AS h FROM pix), g AS (SELECT i, j FROM e, range(200) a(i), range(60) b(j) WHERE i < h // 2)
@@ -225,11 +236,11 @@ def fractal_dim(spark, d):
     return raster.box_dimension(n).select(F.round("dimension", 6).alias("dimension"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS id, p_size AS s FROM part WHERE p_partkey < 40)
+@query("""WITH p AS (SELECT p_partkey AS id, p_size AS s FROM part)
   SELECT id, y AS py, x AS px FROM p, range(0, 60) a(y), range(0, 60) b(x) WHERE y < s AND x < s AND y >= 0 AND x > 0
   AND x < s - y""")
 def polygon_pixels(spark, d):
-    p = table(spark, d, "part").where("p_partkey < 40")
+    p = table(spark, d, "part")
     corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     zero, s = F.lit(0.5), F.col("p_size")
     ring = F.array(corner(zero, F.lit(0)), corner(s, F.lit(0)), corner(zero, s - 0.5))
@@ -249,9 +260,9 @@ def cellularity_score(spark, d):
     return c.agg((F.median("m") / 255 * 100).cast("int").alias("cellularity"))
 
 
-@query(f"WITH {ad.NUC}, {ad.PIX} SELECT image_id, nid, label FROM nuc LEFT JOIN pix ON py = CAST(trunc(y * 0.0125) AS INT) AND px = CAST(trunc(x * 0.0125) AS INT) WHERE x < 3000")
+@query(f"WITH {ad.NUC}, {ad.PIX} SELECT image_id, nid, label FROM nuc LEFT JOIN pix ON py = CAST(trunc(y * 0.0125) AS INT) AND px = CAST(trunc(x * 0.0125) AS INT)")
 def fragment_label(spark, d):
-    n = ad.nuclei(spark, d).where("x < 3000")
+    n = ad.nuclei(spark, d)
     return tables.point_lookup(n, _pix(spark, d), 0.0125, "label").select("image_id", "nid", "label")
 
 
@@ -282,10 +293,10 @@ def contour_pixels(spark, d):
 
 
 @query("""SELECT DISTINCT p_partkey AS id, CAST(trunc(p_size * (k / 199.0::DOUBLE)) AS INT) AS py, CAST(trunc(3 + (p_size % 20 - 3) * (k / 199.0::DOUBLE)) AS INT) AS px
-  FROM part, range(200) r(k) WHERE p_partkey < 50""")
+  FROM part, range(200) r(k)""")
 def line_pixels(spark, d):
     s = F.col("p_size")
-    lines = table(spark, d, "part").where("p_partkey < 50").select(
+    lines = table(spark, d, "part").select(
         F.col("p_partkey").alias("id"), F.lit(3).alias("x0"), F.lit(0).alias("y0"), (s % 20).alias("x1"), s.alias("y1")
     )
     return stains.line_pixels(lines, 200)

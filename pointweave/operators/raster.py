@@ -97,28 +97,35 @@ def border_length(pix: DataFrame, cls: int, value: str = "label") -> DataFrame:
 
 
 def box_sum(grid: DataFrame, value: str, width: int) -> DataFrame:
-    """grid with the sum over a width x width box, from width/2 - 1 before to width/2 after; zero outside.
+    """grid with the sum over a width x width box, from width/2 before to width/2 - 1 after; zero outside.
 
     Two running windows, one along rows and one along columns; rows and columns are the groups.
     """
-    before, after = width // 2 - 1, width // 2
+    before, after = width // 2, (width - 1) // 2
     rows = Window.partitionBy("py").orderBy("px").rangeBetween(-before, after)
     cols = Window.partitionBy("px").orderBy("py").rangeBetween(-before, after)
     return grid.withColumn("_s", F.sum(value).over(rows)).withColumn(f"{value}_{width}", F.sum("_s").over(cols)).drop("_s")
 
 
-def density_windows(grid: DataFrame, small: int = 8, big: int = 32, per_pixel: float = 0.5e-6) -> DataFrame:
-    """Local and regional density over tissue and their quotient, none below zero.
+def density_windows(
+    grid: DataFrame, small: int = 64, big: int = 512, pixel_area: float = 0.5e-6, tissue_limit: float = 0.25
+) -> DataFrame:
+    """Local and regional density over tissue, the local tissue share, and the quotient of the densities.
 
-    grid: py, px, nucleus (0/1) and tissue (0/1). Where a window holds no tissue its density is 0.
+    grid: py, px, nucleus (0/1) and tissue (0/1). A density is the sum of nucleus over share * pixel_area * width^2. A
+    share of tissue below tissue_limit counts as -1, which makes the density negative; there, and where both densities
+    are 0, relative is 0.
     """
     out = grid
     for w in (small, big):
         out = box_sum(box_sum(out, "nucleus", w), "tissue", w)
-    d = lambda w: F.coalesce(F.try_divide(F.col(f"nucleus_{w}") * per_pixel, F.col(f"tissue_{w}")), F.lit(0.0))
+        share = F.col(f"tissue_{w}") / (w * w)
+        out = out.withColumn(f"_share_{w}", F.when(share < tissue_limit, -1.0).otherwise(share))
+    d = lambda w: F.col(f"nucleus_{w}") / (F.col(f"_share_{w}") * pixel_area * w * w)
+    relative = F.when(F.col(f"_share_{small}") < 0, 0.0).otherwise(F.coalesce(F.try_divide(d(small), d(big)), F.lit(0.0)))
     return out.select(
-        "py", "px", d(small).alias("local"), d(big).alias("regional"),
-        F.greatest(F.coalesce(F.try_divide(d(small), d(big)), F.lit(0.0)), F.lit(0.0)).alias("relative"),
+        "py", "px", d(small).alias("local"), d(big).alias("regional"), F.col(f"_share_{small}").alias("tissue_share"),
+        F.greatest(relative, F.lit(0.0)).alias("relative"),
     )
 
 

@@ -90,21 +90,16 @@ PIX = f"""pix AS (
                      CAST(o_orderkey % {PIX_WIDTH} AS INT) AS px FROM orders)))"""
 
 
-def small_points(nuc: DataFrame, side: int = 640) -> DataFrame:
-    """Distinct positions of a corner of each image; a position keeps its least nid."""
-    near = nuc.where((F.col("x") < side) & (F.col("y") < side))
-    return near.groupBy("image_id", "x", "y").agg(F.min("nid").alias("nid"), F.min("area").alias("area"))
+def positions(nuc: DataFrame) -> DataFrame:
+    """Distinct positions of each image; a position keeps its least nid."""
+    return nuc.groupBy("image_id", "x", "y").agg(F.min("nid").alias("nid"), F.min("area").alias("area"))
 
 
-SMALL = """small AS (
-  SELECT image_id, x, y, min(nid) AS nid, min(area) AS area FROM nuc WHERE x < 640 AND y < 640 GROUP BY 1, 2, 3)"""
+def graph_points(nuc: DataFrame) -> DataFrame:
+    return nuc.select("image_id", "nid", "x", "y", "area")
 
 
-def graph_points(nuc: DataFrame, side: int = 4096) -> DataFrame:
-    return nuc.where((F.col("x") < side) & (F.col("y") < side)).select("image_id", "nid", "x", "y", "area")
-
-
-GRAPH = "pts AS (SELECT image_id, nid, x, y, area FROM nuc WHERE x < 4096 AND y < 4096)"
+GRAPH = "pts AS (SELECT image_id, nid, x, y, area FROM nuc)"
 
 
 def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pointweave.functions import scalar
@@ -25,17 +26,41 @@ def test_square_with_centre(spark):
     assert all((got[i]["dtfe_area"], got[i]["dtfe"]) == (8.0, 0.25) for i in range(4))
 
 
-def test_triangulation_satisfies_euler_and_empty_circles():
-    r = np.random.default_rng(3)
-    x, y = r.integers(0, 2000, 150), r.integers(0, 2000, 150)
+def hull_size(points):
+    def half(q):
+        h = []
+        for c in q:
+            while len(h) > 1 and (h[-1][0] - h[-2][0]) * (c[1] - h[-2][1]) - (h[-1][1] - h[-2][1]) * (c[0] - h[-2][0]) < 0:
+                h.pop()
+            h.append(c)
+        return h
+
+    q = sorted(points)
+    return len(half(q)) + len(half(q[::-1])) - 2
+
+
+@pytest.mark.parametrize("n,side,scale", [(3, 5, 1), (40, 8, 1), (150, 2000, 1), (400, 9000, 1), (150, 2000, 0.37), (1500, 8192, 1)])
+def test_triangulation_satisfies_euler_and_empty_circles(n, side, scale):
+    r = np.random.default_rng(n + side)
+    xy = np.unique(r.integers(0, side, (n, 2)), axis=0)
+    r.shuffle(xy)
+    x, y = xy[:, 0] * scale if scale != 1 else xy[:, 0], xy[:, 1] * scale if scale != 1 else xy[:, 1]
     t = delaunay.triangulate(x, y)
+    if scale == 1:
+        assert len(t) == 2 * len(x) - 2 - hull_size([tuple(map(int, p)) for p in xy])
+    assert len({tuple(q) for q in t.tolist()}) == len(t)
     circle = delaunay._circles(x.astype(float), y.astype(float), t)
     for (cx, cy, r2), tri in zip(circle, t, strict=True):
-        inside = (x - cx) ** 2 + (y - cy) ** 2 < r2 - 1e-6
+        inside = (x - cx) ** 2 + (y - cy) ** 2 < r2 * (1 - 1e-9)
         inside[tri] = False
         assert not inside.any()
+
+
+def test_triangulation_of_lines():
     assert delaunay.triangulate(np.array([0, 1]), np.array([0, 1])).shape == (0, 3)
     assert len(delaunay.triangulate(np.array([0, 1, 2]), np.array([0, 1, 2]))) == 0
+    x, y = (np.array([p[k] for p in itertools.product(range(5), range(4))]) for k in (0, 1))
+    assert len(delaunay.triangulate(x, y)) == 24
 
 
 def test_radius_edges_and_pruning(spark):
@@ -103,7 +128,7 @@ def test_border_of_one_pixel_is_negative(spark):
 def test_box_filter_of_an_impulse(spark):
     g = spark.createDataFrame([(0, x, int(x == 10)) for x in range(24)], "py int, px int, v int")
     ones = [r["px"] for r in raster.box_sum(g, "v", 8).where("v_8 = 1").orderBy("px").collect()]
-    assert ones == list(range(10 - 4, 10 + 4))
+    assert ones == list(range(10 - 3, 10 + 5))  # a frame of -4 to +3
 
 
 def test_otsu_splits_two_spikes(spark):
