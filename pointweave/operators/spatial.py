@@ -122,14 +122,18 @@ def hull_edges(members: DataFrame, cell: int = 1024) -> DataFrame:
 
 
 def in_hulls(points: DataFrame, members: DataFrame) -> DataFrame:
-    """(image_id, component, nid) of all points inside or on the convex hull of a component's members."""
+    """(image_id, component, nid) of all points inside or on the convex hull of a component's members.
+
+    A hull travels as one array of its edges, which are few; a point is tested against all of them in its row.
+    """
     from .tables import boxes
 
     near = in_boxes(points, boxes(members, ["image_id", "component"]))
-    edges = hull_edges(members)
-    cross = (F.col("qx") - F.col("px")) * (F.col("y") - F.col("py")) - (F.col("qy") - F.col("py")) * (F.col("x") - F.col("px"))
-    out = near.join(edges, ["image_id", "component"]).where(cross < 0).select("image_id", "component", "nid").distinct()
-    return near.join(out, ["image_id", "component", "nid"], "left_anti")
+    edges = hull_edges(members).groupBy("image_id", "component").agg(
+        F.collect_list(F.struct("px", "py", "qx", "qy")).alias("hull")
+    )
+    side = lambda e: (e["qx"] - e["px"]) * (F.col("y") - e["py"]) - (e["qy"] - e["py"]) * (F.col("x") - e["px"])
+    return near.join(edges, ["image_id", "component"]).where(F.forall("hull", lambda e: side(e) >= 0)).drop("hull")
 
 
 def knn(queries: DataFrame, base: DataFrame, k: int, squared_distance) -> DataFrame:
