@@ -35,7 +35,9 @@ def brute_repeats(text):
 
 
 def test_line_rules_on_awkward_rows(spark, awkward):
-    got = quality_rules.quality_rules(awkward.select("doc_id", "text"))
+    clashing = awkward.withColumn("n_words", F.lit("x")).withColumn("kept", F.lit("x")).withColumn("_lines", F.lit("x"))
+    got = quality_rules.quality_rules(clashing)
+    assert len(set(got.columns)) == len(got.columns) and dict(got.dtypes)["n_words"] == "bigint"
     by = {r["doc_id"]: r for r in got.collect()}
     assert got.count() == awkward.count()
     for i in (1, 2, 3):
@@ -112,7 +114,7 @@ def test_spans_on_awkward_rows(spark, awkward):
 
 def test_mix_on_awkward_rows(spark, awkward):
     size = mixing.word_count(F.col("text"))
-    docs = awkward.drop("size", "target")
+    docs = awkward
     out = mixing.mix(docs, size)
     rows = out.collect()
     assert len(rows) == docs.count()
