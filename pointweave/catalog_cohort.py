@@ -204,6 +204,41 @@ def clean_records(spark, d):
     return tables.first_match(c, o, "c_custkey", "first_order")
 
 
+@query("""WITH i AS (SELECT 'S' || c_nationkey || '-' || c_custkey % 10 AS id, c_custkey FROM customer), k AS (
+  SELECT DISTINCT 'S' || c_nationkey || '-0' || c_custkey % 10 || CASE WHEN c_custkey % 4 = 1 THEN 'V0' ELSE '' END AS known_id FROM customer WHERE c_custkey % 3 = 0)
+  SELECT c_custkey, id, coalesce(a.known_id, b.known_id) AS known_id FROM i LEFT JOIN k a ON a.known_id = replace(id, '-', '-0') LEFT JOIN k b ON b.known_id = replace(id, '-', '-0') || 'V0'""")
+def match_ids(spark, d):
+    c = table(spark, d, "customer")
+    named = lambda dash: F.concat(F.lit("S"), "c_nationkey", F.lit(dash), F.col("c_custkey") % 10)
+    ids = c.select("c_custkey", named("-").alias("id"))
+    known = c.where("c_custkey % 3 = 0").select(F.concat(named("-0"), F.when(F.col("c_custkey") % 4 == 1, "V0").otherwise("")).alias("known_id"))
+    return ids.join(tables.match_ids(ids.select("id").distinct(), known), "id")
+
+
+@query(r"""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderkey % 5000 AS DOUBLE) / 60 END AS minutes,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey / 8.0::DOUBLE END AS score, regexp_replace('00' || o_orderkey, '^0', '') AS code, 'a' || o_orderkey || 'b' AS line,
+  round(o_orderkey % 900 / (0.25::DOUBLE * 0.5) * (5.0::DOUBLE / 20) ** 2, 6) AS low_area, round(o_orderkey % 900 * (0.25::DOUBLE * 0.5), 6) AS um2, round(o_orderkey % 900 * sqrt((0.0625::DOUBLE + 0.25) / 2), 6) AS um,
+  round(o_orderkey % 900 / 0.25::DOUBLE, 6) AS px, least(greatest(o_orderkey % 900, 100.0::DOUBLE), 500) AS clipped,
+  format('rgb({},{},{})', CAST(trunc(least(o_orderkey % 900 / 512.0::DOUBLE, 1) * 250) AS INT), CAST(trunc(20 + least(o_orderkey % 900 / 512.0::DOUBLE, 1) * 80) AS INT), CAST(trunc(255 - least(o_orderkey % 900 / 512.0::DOUBLE, 1) * 255) AS INT)) AS color
+  FROM orders""")
+def field_formulas(spark, d):
+    k = F.col("o_orderkey")
+    v = (k % 900).cast("double")
+    return table(spark, d, "orders").select(
+        "o_orderkey",
+        scalar.minutes(F.when(k % 7 == 0, "na").otherwise((k % 5000).cast("string"))).alias("minutes"),
+        scalar.number_or_null(F.when(k % 5 == 0, "na").otherwise((k / 8.0).cast("string"))).alias("score"),
+        scalar.strip_zero(F.concat(F.lit("00"), k)).alias("code"),
+        scalar.one_line(F.concat(F.lit("a\r\n"), k, F.lit("\nb"))).alias("line"),
+        F.round(scalar.um2_to_px_area(v, 0.25, 0.5, 5 / 20), 6).alias("low_area"),
+        F.round(scalar.px_area_to_um2(v, 0.25, 0.5), 6).alias("um2"),
+        F.round(scalar.px_to_um(v, 0.25, 0.5), 6).alias("um"),
+        F.round(scalar.um_to_px(v, 0.25), 6).alias("px"),
+        scalar.clip(v, 100.0, 500.0).alias("clipped"),
+        scalar.ramp_color(v / 512.0, (0, 20, 255), (250, 100, 0)).alias("color"),
+    )
+
+
 @query("SELECT c_custkey, r_name AS donor FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey AND r_name <> 'ASIA'")
 def donor_map(spark, d):
     r = F.broadcast(table(spark, d, "region").where("r_name <> 'ASIA'").select("r_regionkey", F.col("r_name").alias("donor")))

@@ -110,9 +110,32 @@ def dtfe_input(spark, d):
     return tables.density_input(n, ad.tiles(n))
 
 
-@query(f"WITH {ad.NUC} SELECT image_id, nid FROM nuc WHERE eccentricity < 0.8 AND solidity > 0.9 AND area < 50")
+@query(f"""WITH {ad.NUC}, a AS (SELECT image_id, nid, round_even(x / 7.0::DOUBLE, 5) AS x, round_even(y / 7.0::DOUBLE, 5) AS y FROM nuc WHERE area > 10),
+  b AS (SELECT image_id, round_even(x / 7.0::DOUBLE + 1e-9, 5) AS x, round_even(y / 7.0::DOUBLE - 1e-9, 5) AS y, area, eccentricity, solidity FROM nuc)
+  SELECT image_id, nid, x, y, area FROM a JOIN b USING (image_id, x, y) WHERE eccentricity < 0.8 AND solidity > 0.9 AND area < 50""")
 def filter_nuclei_shape(spark, d):
-    return tables.shape_filter(ad.nuclei(spark, d)).select("image_id", "nid")
+    n = ad.nuclei(spark, d)
+    at = lambda c, off: (F.col(c) / 7.0 + off).alias(c)
+    density = n.where("area > 10").select("image_id", "nid", at("x", 0.0), at("y", 0.0))
+    shape = n.select("image_id", at("x", 1e-9), at("y", -1e-9), "area", "eccentricity", "solidity")
+    return tables.shape_filter(tables.join_positions(density, shape, ["image_id"])).select("image_id", "nid", "x", "y", "area")
+
+
+@query(f"""WITH {ad.NUC}, {ad.TILES} SELECT image_id, tile_row, tile_col, num_nuclei, tissue FROM tiles WHERE tissue > 0.5 AND num_nuclei > 5
+  ORDER BY image_id, tile_row, tile_col LIMIT 5""")
+def first_tiles(spark, d):
+    t = tables.first_tiles(ad.tiles(ad.nuclei(spark, d)), nuclei=5)
+    return t.select("image_id", "tile_row", "tile_col", "num_nuclei", "tissue")
+
+
+@query("""WITH l AS (SELECT s_suppkey AS scene, k AS level, floor((40000 + s_suppkey * 131 % 9000) / 2 ** k) AS w, floor((30000 + s_suppkey * 71 % 7000) / 2 ** k) AS h FROM supplier, range(8) r(k)),
+  f AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY w, level) AS n FROM l WHERE w >= 1500 AND h >= 1000)
+  SELECT scene, CAST(level AS INT) AS level, CAST(w AS BIGINT) AS width, CAST(h AS BIGINT) AS height FROM f WHERE n = 1""")
+def pyramid_level(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("scene"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("level"))
+    side = lambda base, a, m: F.expr(f"({base} + scene * {a} % {m}) div int(power(2, level))")
+    levels = s.withColumn("width", side(40000, 131, 9000)).withColumn("height", side(30000, 71, 7000))
+    return tables.pyramid_level(levels, ["scene"], 1500, 1000)
 
 
 @query(f"WITH {ad.NUC} SELECT image_id, nid, x, y FROM nuc WHERE x BETWEEN 1000 AND 1500 AND y BETWEEN 2000 AND 2800")

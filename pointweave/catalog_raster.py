@@ -22,7 +22,7 @@ def query(sql: str | None = None):
 
 W = ad.PIX_WIDTH
 #: Foreground in four-neighbour components, by flood from each pixel within its 25 x 25 cell of discs.
-FLOOD = """fg AS (SELECT py, px FROM pix WHERE label > 0), near AS (
+_FLOOD = """near AS (
   SELECT a.py AS ay, a.px AS ax, b.py AS by_, b.px AS bx FROM fg a JOIN fg b ON abs(a.py - b.py) + abs(a.px - b.px) = 1
     AND a.py BETWEEN b.py - 1 AND b.py + 1 AND a.px BETWEEN b.px - 1 AND b.px + 1
 ), flood(py, px, c) AS (
@@ -30,6 +30,16 @@ FLOOD = """fg AS (SELECT py, px FROM pix WHERE label > 0), near AS (
   UNION
   SELECT by_, bx, c FROM flood JOIN near ON ay = py AND ax = px WHERE c < by_ * 100000 + bx
 ), comp AS (SELECT py, px, min(c) AS c FROM flood GROUP BY 1, 2)"""
+FLOOD = f"fg AS (SELECT py, px FROM pix WHERE label > 0), {_FLOOD}"
+_STEP = "(VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)) o(dy, dx)"
+#: Tissue of the raster: background of more than 180 in all channels goes, holes are filled between growth and shrinking.
+TISSUE = f"""dark AS (SELECT py, px FROM pix WHERE least(r, g, b) <= 180 AND greatest(r, g, b) > 0 AND -ln((least(r, g, b) + 1) / 255.0 + 1e-8) >= 0.12),
+  grown AS (SELECT DISTINCT py + dy AS py, px + dx AS px FROM dark, {_STEP}), ground AS (SELECT py, px FROM pix ANTI JOIN grown USING (py, px)),
+  frame AS (SELECT min(py) AS y0, max(py) AS y1, min(px) AS x0, max(px) AS x1 FROM pix), outside(py, px) AS (
+    SELECT py, px FROM ground, frame WHERE py IN (y0, y1) OR px IN (x0, x1)
+    UNION
+    SELECT g.py, g.px FROM outside, {_STEP}, ground g WHERE g.py = outside.py + dy AND g.px = outside.px + dx),
+  edge AS (SELECT DISTINCT py + dy AS py, px + dx AS px FROM outside, {_STEP}), fg AS (SELECT py, px FROM pix ANTI JOIN edge USING (py, px)), {_FLOOD}"""
 
 
 def _pix(spark, d):
@@ -71,7 +81,7 @@ def object_intensity(spark, d):
 @query(f"""WITH {ad.PIX}, h AS (SELECT label, floor(g / 25.6) AS bin, count(*) AS n FROM pix GROUP BY 1, 2), p AS (SELECT label, n / sum(n) OVER (PARTITION BY label) AS p FROM h),
   e AS (SELECT label, sum(p * p) AS en, -sum(p * log2(p)) AS et FROM p GROUP BY 1)
   SELECT label, min(g) AS v_min, max(g) AS v_max, round(avg(g), 6) AS v_mean, round(median(g), 6) AS v_median, round(avg(g) - median(g), 6) AS v_mean_median,
-    round(stddev_pop(g), 6) AS v_std, round(quantile_cont(g, 0.75) - quantile_cont(g, 0.25), 6) AS v_iqr, round(skewness(g), 6) AS v_skew, round(kurtosis(g), 6) AS v_kurt,
+    round(stddev_pop(g), 6) AS v_std, round(quantile_cont(g, 0.75) - quantile_cont(g, 0.25), 6) AS v_iqr, round(skewness(g), 6) AS v_skew, round(kurtosis(g), 6) AS v_kurt, round(mad(g), 6) AS v_mad,
     round(any_value(en), 6) AS hist_energy, round(any_value(et), 6) AS hist_entropy FROM pix JOIN e USING (label) GROUP BY label""")
 def superpixel_intensity(spark, d):
     out = tables.full_intensity(_pix(spark, d), ["label"], "g")
@@ -122,11 +132,34 @@ def remove_small(spark, d):
     return raster.remove_small(raster.label_components(_fg(spark, d)), 150).select("py", "px")
 
 
-@query(f"""WITH RECURSIVE {ad.PIX}, {FLOOD}, n AS (SELECT c, count(*) AS n, min(py) AS y0, max(py) AS y1 FROM comp GROUP BY 1) SELECT c AS component, n, y0, y1 FROM n WHERE n > 100""")
+@query(f"""WITH RECURSIVE {ad.PIX}, {TISSUE}, n AS (SELECT c, count(*) AS n, min(py) AS y0, max(py) AS y1 FROM comp GROUP BY 1) SELECT c AS component, n, y0, y1 FROM n WHERE n >= 150""")
 def tissue_fragments(spark, d):
-    c = raster.label_components(_fg(spark, d))
-    n = c.groupBy((F.col("component.py") * 100000 + F.col("component.px")).alias("component")).agg(F.count("*").alias("n"), F.min("py").alias("y0"), F.max("py").alias("y1"))
-    return n.where("n > 100")
+    c = raster.tissue_fragments(_pix(spark, d), background=180, least=150)
+    return c.groupBy((F.col("component.py") * 100000 + F.col("component.px")).alias("component")).agg(F.count("*").alias("n"), F.min("py").alias("y0"), F.max("py").alias("y1"))
+
+
+@query(f"WITH RECURSIVE {ad.PIX}, {TISSUE} SELECT py, px FROM pix ANTI JOIN outside USING (py, px)")
+def filled_tissue(spark, d):
+    p = _pix(spark, d)
+    grid = p.select("py", "px")
+    dark = p.where("least(r, g, b) <= 180 AND greatest(r, g, b) > 0").select("py", "px")
+    return raster.fill_holes(materialize(raster.dilate(dark).join(grid, ["py", "px"], "left_semi")), grid)
+
+
+@query(f"""WITH {ad.PIX}, m AS (SELECT py // 25 AS tr, px // 25 AS tc, py % 25 AS y, px % 25 AS x, 1 + label % 4 AS lab, label FROM pix WHERE label > 0),
+  n AS (SELECT tr, tc, lab, max(label) + 1000 AS wsi, avg(y) AS y, avg(x) AS x FROM m WHERE label % 11 <> 5 GROUP BY 1, 2, 3),
+  o AS (SELECT min(tr) AS r0, min(tc) AS c0 FROM n), blank AS (SELECT DISTINCT tr, tc FROM m ANTI JOIN n USING (tr, tc, lab) WHERE lab > 1),
+  parts AS (SELECT tr, tc, m.y, m.x, wsi AS label, 0 AS point FROM m JOIN n USING (tr, tc, lab) WHERE lab > 1
+    UNION ALL SELECT tr, tc, CAST(trunc(y) AS INT), CAST(trunc(x) AS INT), 0, wsi FROM n WHERE lab > 1)
+  SELECT CAST((tr - r0) * 25 + y AS INT) AS py, CAST((tc - c0) * 25 + x AS INT) AS px, max(label) AS label, max(point) AS point FROM (parts ANTI JOIN blank USING (tr, tc)), o GROUP BY 1, 2""")
+def wsi_mask(spark, d):
+    p = _pix(spark, d).where("label > 0")
+    m = p.select(
+        F.expr("int(py div 25)").alias("tile_row"), F.expr("int(px div 25)").alias("tile_col"), (F.col("py") % 25).alias("y"),
+        (F.col("px") % 25).alias("x"), (1 + F.col("label") % 4).alias("label"), F.col("label").alias("own"),
+    )
+    n = m.where("own % 11 <> 5").groupBy("tile_row", "tile_col", "label").agg((F.max("own") + 1000).alias("slide_label"), F.avg("y").alias("y"), F.avg("x").alias("x"))
+    return raster.slide_mask(m.drop("own"), n, 25)
 
 
 @query(f"""WITH {ad.PIX} SELECT label % 3 AS cls, count(DISTINCT label) AS islands FROM pix WHERE label > 0 GROUP BY 1""")

@@ -39,6 +39,35 @@ def um_to_px(length: Column, rx: float) -> Column:
     return length / rx
 
 
+def um2_to_px_area(area: Column, rx: float, ry: float, ratio: float) -> Column:
+    """An area in pixels of an image whose magnification is ratio of that with the resolution rx, ry."""
+    return area / (rx * ry) * ratio**2
+
+
+def ramp_color(v: Column, low: tuple[int, int, int], high: tuple[int, int, int]) -> Column:
+    """A share from 0 to 1 as rgb(r,g,b) on the line between two colours, truncated; values beyond are clipped."""
+    t = clip(v, 0.0, 1.0)
+    return F.format_string("rgb(%d,%d,%d)", *[(F.lit(a) + t * (b - a)).cast("int") for a, b in zip(low, high, strict=True)])
+
+
+def minutes(seconds: Column) -> Column:
+    """Minutes of a text of seconds; null where it is no number."""
+    return seconds.try_cast("double") / 60
+
+
+def number_or_null(text: Column) -> Column:
+    return text.try_cast("double")
+
+
+def strip_zero(text: Column) -> Column:
+    """An id without its one leading zero."""
+    return F.regexp_replace(text, "^0", "")
+
+
+def one_line(text: Column) -> Column:
+    return F.regexp_replace(text, "[\\r\\n]+", "")
+
+
 def clip(v: Column, low: float, high: float) -> Column:
     return F.greatest(F.least(v, F.lit(high)), F.lit(low))
 

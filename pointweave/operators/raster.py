@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialize
 from .components import connected_components
 
 FOUR = [(0, 1), (1, 0), (0, -1), (-1, 0)]
@@ -29,17 +30,75 @@ def erode(fg: DataFrame, offsets=FOUR) -> DataFrame:
     return _shifted(fg, [(0, 0), *offsets]).groupBy("py", "px").count().where(F.col("count") == n).select("py", "px")
 
 
+def erode_within(fg: DataFrame, grid: DataFrame, offsets=FOUR) -> DataFrame:
+    """Foreground of which no neighbour is background of grid (py, px); what lies outside grid counts as foreground."""
+    return fg.join(dilate(grid.join(fg, ["py", "px"], "left_anti"), offsets), ["py", "px"], "left_anti")
+
+
+def fill_holes(fg: DataFrame, grid: DataFrame) -> DataFrame:
+    """Foreground and the background of grid (py, px) that no four-neighbour path of background joins to its frame."""
+    ground = label_components(grid.join(fg, ["py", "px"], "left_anti"))
+    frame = grid.agg(F.min("py").alias("y0"), F.max("py").alias("y1"), F.min("px").alias("x0"), F.max("px").alias("x1"))
+    on_frame = F.col("py").isin(F.col("y0"), F.col("y1")) | F.col("px").isin(F.col("x0"), F.col("x1"))
+    outside = ground.crossJoin(F.broadcast(frame)).where(on_frame).select("component").distinct()
+    return fg.select("py", "px").unionAll(ground.join(outside, "component", "left_anti").select("py", "px"))
+
+
+def tissue_fragments(pix: DataFrame, background: int = 200, beta: float = 0.12, least: int = 1) -> DataFrame:
+    """(py, px, component) of the tissue of a raster (py, px, r, g, b) of low resolution.
+
+    Background and missing pixels become white; pixels whose greatest optical density reaches beta are grown by one step,
+    their holes are filled, they shrink by one step, and components of fewer than least pixels go.
+    """
+    from ..functions.scalar import optical_density, standardize
+
+    grid = pix.select("py", "px")
+    density = F.greatest(*[optical_density(c) for c in standardize(F.col("r"), F.col("g"), F.col("b"), background)])
+    grown = dilate(pix.where(density >= beta).select("py", "px")).join(grid, ["py", "px"], "left_semi")
+    tissue = erode_within(fill_holes(materialize(grown), grid), grid)
+    return remove_small(materialize(label_components(tissue)), least)
+
+
+def slide_mask(mask: DataFrame, nuclei: DataFrame, size: int) -> DataFrame:
+    """Sparse pixels (py, px, label, point) of all tiles together, from the least row and column of tiles with nuclei.
+
+    mask: tile_row, tile_col, y, x, label, of which labels 0 and 1 are background; nuclei: tile_row, tile_col, label,
+    slide_label, y, x. label is the nucleus's label in the slide and point the same at the nucleus's own place only, each
+    0 where the pixel has none; of nuclei at one place the greatest tile label counts. A tile with a labelled pixel but
+    no nucleus of that label is blank.
+    """
+    key = ["tile_row", "tile_col"]
+    origin = F.broadcast(nuclei.agg(F.min("tile_row").alias("r0"), F.min("tile_col").alias("c0")))
+    names = nuclei.where("label > 1").groupBy(*key, "label").agg(F.max("slide_label").alias("slide_label"))
+    inside = mask.where("label > 1").join(nuclei.select(*key).distinct(), key, "left_semi")
+    blank = inside.select(*key, "label").distinct().join(names, [*key, "label"], "left_anti").select(*key).distinct()
+    drawn = inside.join(names, [*key, "label"]).join(blank, key, "left_anti")
+    drawn = drawn.select(*key, "y", "x", F.col("slide_label").alias("label"), F.lit(0).alias("point"))
+    last = F.max_by("slide_label", "label")
+    points = nuclei.where("label > 1").join(mask.select(*key).distinct(), key, "left_semi").join(blank, key, "left_anti")
+    points = points.groupBy(*key, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).agg(last.alias("point"))
+    both = drawn.unionByName(points.withColumn("label", F.lit(0))).crossJoin(origin)
+    place = lambda tile, low, at: ((F.col(tile) - F.col(low)) * size + F.col(at)).cast("int")
+    return (
+        both.groupBy(place("tile_row", "r0", "y").alias("py"), place("tile_col", "c0", "x").alias("px"))
+        .agg(F.max("label").alias("label"), F.max("point").alias("point"))
+    )
+
+
 def label_components(fg: DataFrame, offsets=FOUR, by: str | None = None) -> DataFrame:
-    """fg (py, px[, by]) with component, the least (py, px) of its connected pixels of equal by, as a struct."""
-    half = [o for o in offsets if o > (0, 0)]
+    """fg (py, px[, by]) with component, the least (py, px) of its connected pixels of equal by, as a struct.
+
+    The graph's nodes are the runs of pixels of each row, which are far fewer than pixels; offsets are FOUR or EIGHT.
+    """
     extra = [by] if by else []
-    near = fg.select("py", "px", *extra, F.explode(F.array(*[F.struct((F.col("py") + a).alias("py"), (F.col("px") + b).alias("px")) for a, b in half])).alias("n"))
-    near = near.select(F.struct("py", "px").alias("a"), *extra, F.col("n.py").alias("py"), F.col("n.px").alias("px"))
-    edges = near.join(fg, ["py", "px", *extra]).select("a", F.struct("py", "px").alias("b"))
-    found = connected_components(edges).select(
-        F.col("child.py").alias("py"), F.col("child.px").alias("px"), F.col("parent").alias("component")
-    )
-    return fg.join(found, ["py", "px"], "left").withColumn("component", F.coalesce("component", F.struct("py", "px")))
+    run = F.col("px") - F.dense_rank().over(Window.partitionBy("py", *extra).orderBy("px"))
+    start = F.min("px").over(Window.partitionBy("py", *extra, "_run"))
+    placed = fg.withColumn("_run", run).withColumn("_node", F.struct("py", start.alias("px"))).drop("_run")
+    below = F.array(*[F.col("px") + b for a, b in offsets if a == 1])
+    near = placed.select(F.col("_node").alias("a"), *extra, (F.col("py") + 1).alias("py"), F.explode(below).alias("px"))
+    edges = near.join(placed.select("py", "px", *extra, F.col("_node").alias("b")), ["py", "px", *extra]).select("a", "b").distinct()
+    found = connected_components(edges).select(F.col("child").alias("_node"), F.col("parent").alias("_up"))
+    return placed.join(found, "_node", "left").withColumn("component", F.coalesce("_up", "_node")).drop("_node", "_up")
 
 
 def remove_small(labelled: DataFrame, least: int) -> DataFrame:

@@ -74,6 +74,33 @@ def tiles_in_boxes(tiles: DataFrame, box: DataFrame, margin: int, size: int = 10
     return tiles.join(cells, TILE_KEYS, "left_semi")
 
 
+def join_positions(left: DataFrame, right: DataFrame, keys: list[str], decimals: int = 5) -> DataFrame:
+    """Inner join on keys and on x and y rounded half to even; every pair of equal places is a row, as is x, y rounded."""
+    near = lambda df: df.withColumns({c: F.bround(F.col(c).cast("double"), decimals) for c in ("x", "y")})
+    return near(left).join(near(right), [*keys, "x", "y"])
+
+
+def first_tiles(tiles: DataFrame, count: int = 5, tissue: float = 0.5, nuclei: int = 50) -> DataFrame:
+    """The first tiles by image, row and column that hold enough tissue and nuclei."""
+    good = tiles.where((F.col("tissue") > tissue) & (F.col("num_nuclei") > nuclei))
+    return good.orderBy(*TILE_KEYS).limit(count)
+
+
+def pyramid_level(levels: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:
+    """keys and level, width, height of the narrowest level at least as large as asked; images without one have no row."""
+    fits = levels.where((F.col("width") >= width) & (F.col("height") >= height))
+    at = F.min_by(F.struct("level", "width", "height"), F.struct("width", "level"))
+    return fits.groupBy(*keys).agg(at.alias("_at")).select(*keys, "_at.*")
+
+
+def match_ids(ids: DataFrame, known: DataFrame) -> DataFrame:
+    """ids (id) with known_id: the id with -0 for -, else that and V0, whichever is among known (known_id); else null."""
+    padded = F.replace(F.col("id"), F.lit("-"), F.lit("-0"))
+    forms = ids.select("id", F.posexplode(F.array(padded, F.concat(padded, F.lit("V0")))).alias("form", "known_id"))
+    found = forms.join(known.select("known_id").distinct(), "known_id").groupBy("id").agg(F.min_by("known_id", "form").alias("known_id"))
+    return ids.join(found, "id", "left")
+
+
 def point_lookup(points: DataFrame, raster: DataFrame, scale: float, value: str) -> DataFrame:
     """points with the raster value at their scaled, truncated position; null outside the raster."""
     at = raster.select(F.col("py").alias("_y"), F.col("px").alias("_x"), value)
@@ -97,7 +124,10 @@ def object_intensity(pix: DataFrame, keys: list[str], channel: str) -> DataFrame
 
 
 def full_intensity(pix: DataFrame, keys: list[str], channel: str, bins: int = 10) -> DataFrame:
-    """Order statistics, moments and histogram energy and entropy of a channel for each group."""
+    """Order statistics, moments and histogram energy and entropy of a channel for each group.
+
+    v_mad is the median absolute deviation from the group's median.
+    """
     q = lambda p: F.percentile(channel, p)
     stats = pix.groupBy(*keys).agg(
         F.min(channel).alias("v_min"),
@@ -110,6 +140,8 @@ def full_intensity(pix: DataFrame, keys: list[str], channel: str, bins: int = 10
         skewness(channel).alias("v_skew"),
         kurtosis(channel).alias("v_kurt"),
     )
+    off = pix.select(*keys, channel).join(stats.select(*keys, "v_median"), keys)
+    stats = stats.join(off.groupBy(*keys).agg(F.median(F.abs(F.col(channel) - F.col("v_median"))).alias("v_mad")), keys)
     width = 256 / bins
     share = pix.groupBy(*keys, F.floor(F.col(channel) / width).alias("bin")).agg(F.count("*").alias("n"))
     p = F.col("n") / F.sum("n").over(Window.partitionBy(*keys))

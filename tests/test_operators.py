@@ -218,3 +218,51 @@ def test_mst_weight_is_of_the_whole_table(spark):
     got = {r["image_id"]: (r["edges"], r["weight"]) for r in catalog.queries()["mst_weight"](spark, sf).collect()}
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
     assert all(math.isclose(got[k][1], want[k][1], abs_tol=1e-3) for k in want)
+
+
+def test_holes_and_closing_on_a_ring(spark):
+    grid = [(y, x) for y in range(9) for x in range(9)]
+    ring = {(y, x) for y, x in grid if max(abs(y - 4), abs(x - 4)) == 2}
+    open_ring = ring - {(2, 4)}
+    frame = lambda rows: spark.createDataFrame(sorted(rows), "py int, px int")
+    pixels = lambda df: {tuple(r) for r in df.select("py", "px").collect()}
+    g = frame(grid)
+    inside = {(y, x) for y, x in grid if max(abs(y - 4), abs(x - 4)) <= 2}
+    assert pixels(raster.fill_holes(frame(ring), g)) == inside
+    assert pixels(raster.fill_holes(frame(open_ring), g)) == open_ring
+    assert pixels(raster.erode_within(g, g)) == set(grid)
+    # growth closes the gap and the hole is filled; shrinking opens the gap again, since (1, 4) is background
+    dark = F.when(F.array_contains(F.lit([y * 9 + x for y, x in open_ring]), F.col("py") * 9 + F.col("px")), 30).otherwise(230)
+    pix = g.withColumns({c: dark for c in "rgb"})
+    got = raster.tissue_fragments(pix)
+    assert pixels(got) == inside - {(2, 4)}
+    assert {tuple(r["component"]) for r in got.collect()} == {(2, 2)}
+    assert raster.tissue_fragments(pix, least=25).count() == 0
+    assert raster.tissue_fragments(pix.limit(0)).count() == 0
+
+
+def test_slide_mask_blanks_tiles_with_unknown_labels(spark):
+    mask = spark.createDataFrame(
+        [(3, 5, 0, 0, 1), (3, 5, 0, 1, 2), (3, 5, 1, 1, 3), (4, 6, 0, 0, 2), (4, 6, 1, 0, 9), (9, 9, 0, 0, 2)],
+        "tile_row int, tile_col int, y int, x int, label int",
+    )
+    nuclei = spark.createDataFrame(
+        [(3, 5, 2, 70, 0.6, 1.2), (3, 5, 3, 71, 0.2, 1.9), (4, 6, 2, 72, 0.0, 0.0)],
+        "tile_row int, tile_col int, label int, slide_label int, y double, x double",
+    )
+    got = {(r["py"], r["px"]): (r["label"], r["point"]) for r in raster.slide_mask(mask, nuclei, 2).collect()}
+    assert got == {(0, 1): (70, 71), (1, 1): (71, 0)}
+
+
+def test_positions_join_by_rounding(spark):
+    a = spark.createDataFrame([(1, 1.0000049, 2.0), (2, 1.1, 2.0)], "nid int, x double, y double")
+    b = spark.createDataFrame([(7, 1.0, 2.0000001), (8, 1.0, 2.0)], "area int, x double, y double")
+    got = tables.join_positions(a, b, []).select("nid", "area", "x").collect()
+    assert sorted(map(tuple, got)) == [(1, 7, 1.0), (1, 8, 1.0)]
+
+
+def test_ids_with_padded_and_versioned_forms(spark):
+    ids = spark.createDataFrame([("a-1",), ("a-2",), ("a-3",)], "id string")
+    known = spark.createDataFrame([("a-01",), ("a-01V0",), ("a-02V0",)], "known_id string")
+    got = {r["id"]: r["known_id"] for r in tables.match_ids(ids, known).collect()}
+    assert got == {"a-1": "a-01", "a-2": "a-02V0", "a-3": None}
