@@ -32,11 +32,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if _settled(out):
             return out
-        both = out.select(F.col("child").alias("u"), F.col("parent").alias("v")).unionAll(out.select("parent", "child"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.join(least, "u").where("v > u").select(F.col("v").alias("child"), F.col("m").alias("parent")).distinct()
-        )
+        up = out.select(F.col("parent").alias("u"), F.col("child").alias("v"))
+        least = up.unionAll(out.select("child", "parent")).groupBy("u").agg(F.min("v").alias("m"))
+        large = up.join(least, "u").select(F.col("v").alias("child"), F.least("u", "m").alias("parent"))
         small = large.join(large.groupBy("child").agg(F.min("parent").alias("m")), "child")
         moved = small.where("parent <> m").select(F.col("parent").alias("child"), "m")
         before = out
@@ -45,6 +43,26 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def merge_components(components: DataFrame, edges: DataFrame) -> DataFrame:
+    """components, (child, parent) as connected_components gives it, after further edges (a, b).
+
+    Only edges between different components count: the rounds run over the components that they join.
+    """
+
+    def top(df, column):
+        up = components.select(F.col("child").alias(column), F.col("parent").alias("_up"))
+        return df.join(up, column, "left").withColumn(column, F.coalesce("_up", column)).drop("_up")
+
+    between = materialize(top(top(edges.select("a", "b"), "a"), "b").where("a <> b"))
+    if between.isEmpty():
+        return components
+    joined = connected_components(between)
+    raised = joined.select(F.col("child").alias("parent"), F.col("parent").alias("_top"))
+    return materialize(
+        components.join(raised, "parent", "left").select("child", F.coalesce("_top", "parent").alias("parent")).unionAll(joined)
+    )
+
+
 def label_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (image_id, nid, ...) with component, the least nid that edges (image_id, src, dst) reach from nid."""
     key = lambda c: F.struct("image_id", F.col(c).alias("nid"))

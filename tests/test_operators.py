@@ -90,6 +90,11 @@ def test_components_and_forest(spark):
         up[max(a, b)] = min(a, b)
     got = {r["child"]: r["parent"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in range(200) if root(x) != x}
+    frames = [spark.createDataFrame(edges[i::3], "a long, b long") for i in range(3)]
+    merged = components.connected_components(frames[0])
+    for more in (*frames[1:], frames[0]):
+        merged = components.merge_components(merged, more)
+    assert sorted(map(tuple, merged.collect())) == sorted(got.items())
     weighted = [(0, a, b, float((a * 7 + b * 13) % 19)) for a, b in {(min(e), max(e)) for e in edges if e[0] != e[1]}]
     forest = components.spanning_forest(spark.createDataFrame(weighted, "image_id int, src long, dst long, weight double"))
     up = list(range(200))
