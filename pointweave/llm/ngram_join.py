@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
+from ..operators.components import connected_components, merge_components
 from .common import broadcast_if_small, materialize, release, table
 from .tokens import WORD_BUCKETS, mix64, shingle_sets
 
@@ -350,13 +350,6 @@ def boundary_pairs(split: DataFrame, many: int | None, percent: int) -> DataFram
     return met.select(*_ends("sid", "sid2")).distinct()
 
 
-def united(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionAll(t)
-    return out
-
-
 def ngram_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text), n_shingles, component (null without shingles) and component_id of each row.
 
@@ -417,25 +410,23 @@ def ngram_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     first = first.groupBy("e.me").agg(F.min(F.struct(F.xxhash64("e.by"), "e.by"))["by"].alias("by")).select(*_ends("me", "by"))
     measured = materialize(distances(first.unionAll(balls).distinct(), store))
     linked = lambda met: met.where(100 * F.col("shared") >= percent * F.col("total")).select("a", "b")
-    links = [materialize(linked(measured))]
-    comps = connected_components(links[0])
+    comps = connected_components(linked(measured))
     rest = bounded.join(measured, ["a", "b"], "left_anti")
     rest = in_components(in_components(rest, comps, "a", "ca"), comps, "b", "cb").where("ca <> cb").select("a", "b")
-    links.append(materialize(linked(distances(rest, store))))
-    comps = connected_components(united(links))
+    comps = merge_components(comps, linked(distances(rest, store)))
 
     # regions that several components share: the documents outside the largest one meet more and more pivots, then all
     far = measured.select("a", "b", (1 - F.col("shared") / F.col("total")).alias("far"))
     far = far.unionAll(far.select("b", "a", "far")).select(F.col("a").alias("leader"), F.col("b").alias("sid"), "far")
     led = materialize(led.join(far, ["leader", "sid"], "left").select("pivot", "sid", "n", "place", "far"))
+    split = split_regions(led, comps)
     for many in (*PIVOTS, None):
-        split = split_regions(led, comps)
         if split.isEmpty():
             break
-        met = boundary_pairs(split, many, percent)
-        links.append(materialize(linked(distances(within_bound(met, sets, percent), store))))
-        comps = connected_components(united(links))
-        led = materialize(split.select("pivot", "sid", "n", "place", "far"))
+        before = comps
+        comps = merge_components(comps, linked(distances(within_bound(boundary_pairs(split, many, percent), sets, percent), store)))
+        if many is not None and comps is not before:
+            split = split_regions(split.select("pivot", "sid", "n", "place", "far"), comps)
 
     labelled = materialize(
         in_components(sets.select("sid", "sig1", "sig2", "n", "id"), comps, "sid", "component")
