@@ -48,7 +48,7 @@ BROADCAST_ROWS = 1_000_000
 #: Sets that a task remembers to leave out repeated ones.
 REMEMBERED = 1 << 20
 #: Shingles for each count of a set's vector, about, and the least length of a vector.
-VECTOR_SHARE, VECTOR_LEAST = 16, 32
+VECTOR_SHARE, VECTOR_LEAST = 4, 32
 #: Steps of a word's level for a doubling of its frequency; levels are far below LAST, where frequent shingles start.
 LEVEL_STEPS, LAST = 4, 1 << 32
 
@@ -321,14 +321,26 @@ def split_regions(members: DataFrame, comps: DataFrame) -> DataFrame:
     return materialize(placed.join(main.where("comps > 1").select("pivot", "main"), "pivot"))
 
 
+def with_vectors(split: DataFrame, sets: DataFrame) -> DataFrame:
+    """split with v, the vector of each document's set as numbers; null where it bounds nothing."""
+
+    def run(batches):
+        for batch in batches:
+            lists = [np.frombuffer(v, np.uint8).astype(np.int16) if v else None for v in batch.column("vector").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(lists, pa.list_(pa.int16()))], names=["sid", "v"])
+
+    wanted = sets.select("sid", "vector").join(split.select("sid").distinct(), "sid", "left_semi")
+    return materialize(split.join(wanted.mapInArrow(run, "sid long, v array<short>"), "sid"))
+
+
 def boundary_pairs(split: DataFrame, many: int | None, percent: int) -> DataFrame:
     """Pairs (a, b) of a document outside the largest component of its region and others of the region.
 
     The others are up to many pivots of its foremost region, or without many all documents of another component in every
-    region. Pairs that cannot link by sizes, places or the window that the distances to the region's pivot leave are
-    left out.
+    region. Pairs that cannot link by sizes, places, the window that the distances to the region's pivot leave or, where
+    split has them, the vectors v of equal lengths are left out.
     """
-    columns = ("sid", "n", "place", "far", "c")
+    columns = [x for x in ("sid", "n", "place", "far", "c", "v") if x in split.columns]
     outside = split.where("c <> main")
     if many is not None:
         foremost = F.min(F.struct("place", "pivot"))["pivot"].alias("pivot")
@@ -341,11 +353,17 @@ def boundary_pairs(split: DataFrame, many: int | None, percent: int) -> DataFram
         others = split
     others = others.select("pivot", *[F.col(c).alias(f"{c}2") for c in columns])
     left = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    both = F.col("n") + F.col("n2")
+    near = F.lit(True)
+    if "v" in columns:
+        gap = F.aggregate(F.zip_with("v", "v2", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
+        near = (F.size("v") != F.size("v2")) | ((100 + percent) * (both - gap) >= 2 * percent * both)
     met = outside.join(others, "pivot").where(
         (F.col("c") != F.col("c2"))
         & ((F.col("c2") == F.col("main")) | (F.col("sid") < F.col("sid2")) | F.lit(many is not None))
-        & ((100 + percent) * left >= percent * (F.col("n") + F.col("n2")))
+        & ((100 + percent) * left >= percent * both)
         & F.coalesce(F.abs(F.col("far") - F.col("far2")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+        & F.coalesce(near, F.lit(True))
     )
     return met.select(*_ends("sid", "sid2")).distinct()
 
@@ -423,6 +441,8 @@ def ngram_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     for many in (*PIVOTS, None):
         if split.isEmpty():
             break
+        if many is None:
+            split = with_vectors(split, sets)
         before = comps
         comps = merge_components(comps, linked(distances(within_bound(boundary_pairs(split, many, percent), sets, percent), store)))
         if many is not None and comps is not before:
