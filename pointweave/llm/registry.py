@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, mixing, ngram_join, pii, quality_model, quality_rules, secrets, sharding, toxicity
+from . import (
+    chat, decontaminate, mixing, ngram_join, pii, quality_model, quality_rules, secrets, sharding, spelling, toxicity, url_rules, vector_codes,
+)
 
 
 def queries() -> dict:
@@ -20,6 +22,9 @@ def queries() -> dict:
         "op6_chat_repair": chat.op6_chat_repair,
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_line_rules": quality_rules.op8_line_rules,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_url_rules": url_rules.op13_url_rules,
     }
 
 
@@ -30,4 +35,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_byte_shards": sharding.SQL,
         "op7_ngram_join": ngram_join.SQL,
         "op8_line_rules": quality_rules.SQL,
+        "op11_spelling_variants": spelling.SQL,
+        "op12_vector_codes": vector_codes.SQL,
+        "op13_url_rules": url_rules.SQL,
     }
