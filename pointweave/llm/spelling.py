@@ -6,31 +6,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, let, materialize, release, shuffle_partitions, table
+from .common import materialize, release, shuffle_partitions, table
+from .tokens import mix64
 
 #: Letters of a word: every code point is one byte of ISO 8859-1.
 RUN = r"[A-Za-zÀ-ÿ]+"
 MIN_LENGTH, MIN_COUNT, TIMES = 5, 3, 2
 #: One run in so many, by its checksum, loses a letter.
 DAMAGE = 97
-#: Words that are broadcast at most as the vocabulary; a larger one is joined by a shuffle.
-BROADCAST_WORDS = 500_000
-#: Bytes of neighbours that a task makes at once.
-BLOCK_BYTES = 1 << 22
+#: Bits of the vocabulary's filter for each word, and its greatest size.
+WORD_BITS, FILTER_BYTES = 32, 1 << 26
+#: Neighbours, or bytes of them, that a task makes at once.
+BLOCK_CELLS = 1 << 19
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BYTES = "ISO-8859-1"
 
 
-def damaged(doc_id: Column, run: Column) -> Column:
-    """run without its letter h % length where DAMAGE divides h, the crc32 of <doc_id>:<run>; a null doc_id is empty."""
-    text = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run)
-    cut = lambda h: let(
-        (h % F.char_length(run)).cast("int"), lambda k: F.concat(F.substring(run, F.lit(1), k), F.substring(run, k + 2, F.char_length(run)))
-    )
-    return let(F.crc32(text.cast("binary")), lambda h: F.when(h % DAMAGE == 0, cut(h)).otherwise(run))
+def damaged(runs: DataFrame) -> DataFrame:
+    """(word) of runs (doc_id, run): run without its letter h % length where DAMAGE divides h, the crc32 of <doc_id>:<run>.
+
+    A null doc_id is empty.
+    """
+    text = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run")
+    hashed = runs.select("run", F.crc32(text.cast("binary")).alias("h"))
+    at = (F.col("h") % F.char_length("run")).cast("int")
+    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.char_length("run")))
+    return hashed.select(F.when(F.col("h") % DAMAGE == 0, cut).otherwise(F.col("run")).alias("word"))
 
 
 def vocabulary(docs: DataFrame, min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT) -> DataFrame:
@@ -38,8 +42,7 @@ def vocabulary(docs: DataFrame, min_length: int = MIN_LENGTH, min_count: int = M
     runs = docs.select("doc_id", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(RUN), F.lit(0))).alias("run"))
     runs = runs.where(F.length("run") >= min_length)
     lowered = F.when(F.col("run").rlike("[A-Z]"), F.translate("run", _UPPER, _LOWER)).otherwise(F.col("run"))
-    words = runs.select("doc_id", lowered.alias("run")).select(damaged(F.col("doc_id"), F.col("run")).alias("word"))
-    return words.where(F.length("word") >= min_length).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+    return damaged(runs.select("doc_id", lowered.alias("run"))).where(F.length("word") >= min_length).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
 
 
 def observed_alphabet(words: DataFrame) -> bytes:
@@ -48,27 +51,127 @@ def observed_alphabet(words: DataFrame) -> bytes:
     return bytes(sorted(ord(r["c"]) for r in letters.collect()))
 
 
-def neighbours(words: np.ndarray, alphabet: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def filter_blocks(words: int) -> int:
+    """Blocks of 64 bits of the filter for so many words: a power of two within FILTER_BYTES."""
+    return 1 << min(max(words * WORD_BITS // 64, 1).bit_length(), FILTER_BYTES.bit_length() - 4)
+
+
+def letter_keys(start: int, stop: int, alphabet: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each letter of alphabet at each place from start to stop; a word's hash is the xor of its own."""
+    place = np.arange(start, stop, dtype=np.uint64)[:, None] << np.uint64(8)
+    return mix64(mix64(place | alphabet[None].astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15))
+
+
+def filter_bits(h: np.ndarray) -> np.ndarray:
+    """Four bits of a block that a hash sets and asks for."""
+    one, out = np.uint64(1), np.uint64(0)
+    for shift in (40, 46, 52, 58):
+        out = out | (one << ((h >> np.uint64(shift)) & np.uint64(63)))
+    return out
+
+
+def word_filter(words: DataFrame, alphabet: bytes) -> np.ndarray:
+    """A bitmap that holds every word (word binary): one block is set for each, and what is not in it is no word.
+
+    The blocks are merged by Spark; at most FILTER_BYTES reach the driver and each task. A filter that more words fill
+    lets more others pass, which the join drops.
+    """
+    blocks = filter_blocks(words.count())
+
+    def run(batches):
+        letters = np.frombuffer(alphabet, np.uint8)
+        for batch in batches:
+            for block, _ in by_length(batch.column(0).to_pylist()):
+                at = np.searchsorted(letters, block)
+                h = np.bitwise_xor.reduce(letter_keys(0, block.shape[1], letters)[np.arange(block.shape[1]), at], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array((h & np.uint64(blocks - 1)).view(np.int64)), pa.array(filter_bits(h).view(np.int64))], names=["block", "bits"])
+
+    merged = words.select("word").mapInArrow(run, "block long, bits long").groupBy("block").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(blocks, np.uint64)
+    out[merged.column("block").to_numpy()] = merged.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def by_length(words: list[bytes], cells: int = 1) -> Iterator[tuple[np.ndarray, int]]:
+    """(bytes of n equally long words, their length); a block takes BLOCK_CELLS where a letter takes so many."""
+    lengths = np.array([len(w) for w in words], np.int64)
+    for length in np.unique(lengths).tolist():
+        same = np.frombuffer(b"".join(w for w in words if len(w) == length), np.uint8).reshape(-1, length)
+        step = max(1, BLOCK_CELLS // ((length + 1) * max(cells, 1)))
+        for a in range(0, len(same), step):
+            yield same[a : a + step], length
+
+
+def neighbours(words: np.ndarray, alphabet: np.ndarray, known: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, neighbour) arrays of all distinct deletions, replacements and insertions of words (n x length bytes).
 
-    Of equal results one is made: a letter is deleted at the first place of a run of it and inserted before such a run.
+    alphabet is sorted and holds the words' letters. Of equal results one is made: a letter is deleted at the first place
+    of a run of it and inserted before such a run. known: a filter; what it does not hold is not spelled out. Hashes
+    come from those of the letters before and behind an edit, so only what passes is written as bytes.
     """
     n, length = words.shape
-    for at in range(length):
-        rows = np.arange(n) if not at else np.flatnonzero(words[:, at] != words[:, at - 1])
-        yield rows, np.delete(words[rows], at, axis=1)
-    for at in range(length):
-        row, c = np.nonzero(words[:, at, None] != alphabet[None])
-        out = words[row]
-        out[:, at] = alphabet[c]
-        yield row, out
-    for at in range(length + 1):
-        row, c = np.nonzero(words[:, at - 1, None] != alphabet[None]) if at else np.divmod(np.arange(n * len(alphabet)), len(alphabet))
-        yield row, np.insert(words[row], at, alphabet[c], axis=1)
-
-
-def emit_neighbours(words: DataFrame, alphabet: bytes) -> DataFrame:
-    """(word, near): the whole neighbourhood of each word (word binary), one batch of equally long words after another."""
+    letter = np.searchsorted(alphabet, words)
+    here = np.arange(length)
+    keys = letter_keys(0, length + 1, alphabet)
+
+    def behind(shift):
+        """xor of the keys of the letters from each place on, moved by shift places."""
+        moved = np.zeros((n, length + 1), np.uint64)
+        # the first letter never moves down
+        moved[:, :length] = keys[np.maximum(here + shift, 0), letter]
+        return np.bitwise_xor.accumulate(moved[:, ::-1], axis=1)[:, ::-1]
+
+    before = np.zeros((n, length + 1), np.uint64)
+    np.bitwise_xor.accumulate(keys[here, letter], axis=1, out=before[:, 1:])
+
+    def passed(h):
+        if known is None:
+            return True
+        bits = filter_bits(h)
+        return (known[(h & np.uint64(len(known) - 1)).astype(np.int64)] & bits) == bits
+
+    def spelled(row, make, size):
+        step = max(1, BLOCK_CELLS // max(size, 1))
+        for a in range(0, len(row), step):
+            cut = slice(a, a + step)
+            yield row[cut], make(words[row[cut]], cut)
+
+    first = np.ones((n, length), bool)
+    first[:, 1:] = words[:, 1:] != words[:, :-1]
+    row, at = np.nonzero(first & passed(before[:, :-1] ^ behind(-1)[:, 1:]))
+    out = np.arange(length - 1)
+    yield from spelled(row, lambda w, cut: np.take_along_axis(w, out + (out >= at[cut, None]), 1), length)
+
+    kept, later = before[:, :-1] ^ behind(0)[:, 1:], before ^ behind(1)
+    step = max(1, BLOCK_CELLS // max(n * len(alphabet), 1))
+    for a in range(0, length, step):
+        b = min(a + step, length)
+        other = letter[:, a:b, None] != np.arange(len(alphabet))
+        row, at, c = np.nonzero(other & passed(kept[:, a:b, None] ^ keys[None, a:b]))
+
+        def replaced(w, cut, at=at + a, c=c):
+            w[np.arange(len(w)), at[cut]] = alphabet[c[cut]]
+            return w
+
+        yield from spelled(row, replaced, length)
+    for a in range(0, length + 1, step):
+        b = min(a + step, length + 1)
+        other = np.ones((n, b - a, len(alphabet)), bool)
+        other[:, max(1 - a, 0) :] = letter[:, max(a - 1, 0) : b - 1, None] != np.arange(len(alphabet))
+        row, at, c = np.nonzero(other & passed(later[:, a:b, None] ^ keys[None, a:b]))
+        out = np.arange(length + 1)
+
+        def inserted(w, cut, at=at + a, c=c, out=out):
+            w = np.take_along_axis(w, np.minimum(out - (out > at[cut, None]), length - 1), 1)
+            w[np.arange(len(w)), at[cut]] = alphabet[c[cut]]
+            return w
+
+        yield from spelled(row, inserted, length + 1)
+
+
+def emit_neighbours(words: DataFrame, alphabet: bytes, known: np.ndarray) -> DataFrame:
+    """(word, near): the neighbourhood of each word (word binary) as far as the filter known holds it."""
+    sent = words.sparkSession.sparkContext.broadcast(known)
 
     def binary(a: np.ndarray) -> pa.Array:
         n, length = a.shape
@@ -78,15 +181,9 @@ def emit_neighbours(words: DataFrame, alphabet: bytes) -> DataFrame:
     def run(batches):
         letters = np.frombuffer(alphabet, np.uint8)
         for batch in batches:
-            given = batch.column(0).to_pylist()
-            lengths = np.array([len(w) for w in given], np.int64)
-            for length in np.unique(lengths):
-                same = np.frombuffer(b"".join(w for w in given if len(w) == length), np.uint8).reshape(-1, length)
-                step = max(1, BLOCK_BYTES // ((int(length) + 1) * max(len(letters), 1)))
-                for a in range(0, len(same), step):
-                    block = same[a : a + step]
-                    for row, near in neighbours(block, letters):
-                        yield pa.RecordBatch.from_arrays([binary(block[row]), binary(near)], names=["word", "near"])
+            for block, _ in by_length(batch.column(0).to_pylist(), len(letters)):
+                for row, near in neighbours(block, letters, sent.value):
+                    yield pa.RecordBatch.from_arrays([binary(block[row]), binary(near)], names=["word", "near"])
 
     return words.select("word").mapInArrow(run, "word binary, near binary")
 
@@ -94,14 +191,14 @@ def emit_neighbours(words: DataFrame, alphabet: bytes) -> DataFrame:
 def near_words(words: DataFrame) -> DataFrame:
     """(word, near, near_n): every ordered pair of different words of words (word binary, n) that are one edit apart.
 
-    What is emitted and in the vocabulary is near, so no distance is computed. The vocabulary is a broadcast table within
-    BROADCAST_WORDS, else both sides are shuffled by the neighbour.
+    What is emitted and in the vocabulary is near, so no distance is computed. Before neighbours are joined by hash to the
+    vocabulary, a filter of it drops nearly all that are no words.
     """
     alphabet = observed_alphabet(words)
     # words are few bytes and make a thousand times as many: deal them over all tasks
     dealt = words.select("word").repartition(shuffle_partitions(words.sparkSession), "word")
-    known = broadcast_if_small(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), BROADCAST_WORDS)
-    return emit_neighbours(dealt, alphabet).join(known, "near").select("word", "near", "near_n")
+    known = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
+    return emit_neighbours(dealt, alphabet, word_filter(words, alphabet)).join(known, "near").select("word", "near", "near_n")
 
 
 def follow_forms(forms: DataFrame) -> DataFrame:

@@ -69,8 +69,10 @@ def test_spelling_variants_equal_brute_force(spark):
     assert rows == sorted(want) and any(r[2] not in (r[0], r[1]) for r in want)
 
 
-def test_spelling_variants_equal_brute_force_beyond_a_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(spelling, "BROADCAST_WORDS", 3)
+@pytest.mark.parametrize(("size", "cells"), [(16, 1 << 19), (1 << 26, 8)])
+def test_spelling_variants_with_a_full_filter_and_small_blocks(spark, monkeypatch, size, cells):
+    monkeypatch.setattr(spelling, "FILTER_BYTES", size)
+    monkeypatch.setattr(spelling, "BLOCK_CELLS", cells)
     docs = spelling_docs()
     out = spelling.spelling_variants(spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted(tuple(r) for r in out.collect()) == sorted(variants_by_hand(docs))
@@ -98,6 +100,14 @@ def test_neighbourhoods_are_whole_and_distinct(words):
         want |= {(w, w[:k] + c + w[k + 1 :]) for k in range(len(w)) for c in letters if c != w[k]}
         want |= {(w, w[:k] + c + w[k:]) for k in range(len(w) + 1) for c in letters}
     assert set(made) == want
+    # a filter drops no word, and most others
+    block = spelling.letter_keys(0, len(words[0]), np.frombuffer(b"abc", np.uint8))
+    at = np.array([[letters.index(c) for c in w] for w in words])
+    h = np.bitwise_xor.reduce(block[np.arange(at.shape[1]), at], axis=1)
+    known = np.zeros(64, np.uint64)
+    np.bitwise_or.at(known, (h & np.uint64(63)).astype(int), spelling.filter_bits(h))
+    held = {near.tobytes().decode() for _, out in spelling.neighbours(np.frombuffer("".join(words).encode(), np.uint8).reshape(len(words), -1), np.frombuffer(b"abc", np.uint8), known) for near in out}
+    assert held >= {b for a, b in want if b in words} and len(held) < len({b for _, b in want})
 
 
 # ---- vector codes
