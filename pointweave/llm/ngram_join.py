@@ -322,7 +322,10 @@ def split_regions(members: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def with_vectors(split: DataFrame, sets: DataFrame) -> DataFrame:
-    """split with v, the vector of each document's set as numbers; null where it bounds nothing."""
+    """split with v, the vector of each document's set as numbers (null where it bounds nothing), and its pivots in order.
+
+    Shingles have one order, so the first pivot that two documents share is the first of either's that the other has.
+    """
 
     def run(batches):
         for batch in batches:
@@ -330,7 +333,9 @@ def with_vectors(split: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(lists, pa.list_(pa.int16()))], names=["sid", "v"])
 
     wanted = sets.select("sid", "vector").join(split.select("sid").distinct(), "sid", "left_semi")
-    return materialize(split.join(wanted.mapInArrow(run, "sid long, v array<short>"), "sid"))
+    order = F.transform(F.sort_array(F.collect_list(F.struct("place", "pivot"))), lambda x: x["pivot"])
+    pivots = split.groupBy("sid").agg(order.alias("pivots"))
+    return materialize(split.join(wanted.mapInArrow(run, "sid long, v array<short>").join(pivots, "sid"), "sid"))
 
 
 def boundary_pairs(split: DataFrame, many: int | None, percent: int) -> DataFrame:
@@ -338,9 +343,10 @@ def boundary_pairs(split: DataFrame, many: int | None, percent: int) -> DataFram
 
     The others are up to many pivots of its foremost region, or without many all documents of another component in every
     region. Pairs that cannot link by sizes, places, the window that the distances to the region's pivot leave or, where
-    split has them, the vectors v of equal lengths are left out.
+    split has them, the vectors v of equal lengths are left out. Where split has the documents' pivots, a pair belongs to
+    the region of the first that they share and is made there alone.
     """
-    columns = [x for x in ("sid", "n", "place", "far", "c", "v") if x in split.columns]
+    columns = [x for x in ("sid", "n", "place", "far", "c", "v", "pivots") if x in split.columns]
     outside = split.where("c <> main")
     if many is not None:
         foremost = F.min(F.struct("place", "pivot"))["pivot"].alias("pivot")
@@ -358,12 +364,14 @@ def boundary_pairs(split: DataFrame, many: int | None, percent: int) -> DataFram
     if "v" in columns:
         gap = F.aggregate(F.zip_with("v", "v2", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
         near = (F.size("v") != F.size("v2")) | ((100 + percent) * (both - gap) >= 2 * percent * both)
+    owned = F.get(F.array_intersect("pivots", "pivots2"), F.lit(0)) == F.col("pivot") if "pivots" in columns else F.lit(True)
     met = outside.join(others, "pivot").where(
         (F.col("c") != F.col("c2"))
         & ((F.col("c2") == F.col("main")) | (F.col("sid") < F.col("sid2")) | F.lit(many is not None))
         & ((100 + percent) * left >= percent * both)
         & F.coalesce(F.abs(F.col("far") - F.col("far2")) <= 1 - percent / 100 + 1e-9, F.lit(True))
         & F.coalesce(near, F.lit(True))
+        & owned
     )
     return met.select(*_ends("sid", "sid2")).distinct()
 
