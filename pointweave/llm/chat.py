@@ -11,11 +11,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, table
+from .common import broadcast_if_small, materialize, shuffle_partitions, table
 
 ROLES = ("system", "user", "assistant")
 #: States: nothing yet, then the role of the last turn written.
@@ -25,6 +24,8 @@ LEGAL = {("start", "system"), ("start", "user"), ("system", "user"), ("user", "a
 MERGE, RELABEL, INSERT, UNKNOWN = 1.0, 2.0, 3.0, 0.5
 #: Turns that one segment spans at most, and bytes of their texts unless one turn is longer.
 SEGMENT, SEGMENT_BYTES = 4096, 1 << 22
+#: Ids of longer conversations that are broadcast at most.
+BROADCAST_LONG = 1_000_000
 CHATML = "<|im_start|>{role}\n{text}<|im_end|>\n"
 
 
@@ -107,47 +108,48 @@ def repair(roles: list[str | None], start: int, end: int) -> list[tuple[str, str
 
 
 def cut_segments(turns: DataFrame, segment: int) -> DataFrame:
-    """(conv_id, role, text, part, segment, place): turns in order, cut in segments that one task can hold.
+    """(conv_id, role, text, segment, place): turns in order, cut in segments that one task can hold.
 
-    Turns are put in the order of turn, nulls first, ties by a hash of role and text, over range partitions; within one
-    each conversation is cut after so many rows or SEGMENT_BYTES of text, whatever its turn numbers. So a conversation
-    of any size, or turns without a number, are many segments of many tasks.
+    Turns are in the order of turn, nulls first, ties by a hash of role and text. A conversation of up to so many rows and
+    SEGMENT_BYTES of text is one segment. Longer ones are numbered over range partitions, by running sums of the
+    partitions' rows and bytes, and cut wherever either passes a multiple of its bound: the same cuts whatever the
+    partitions, and no conversation is in one task.
     """
     spark = turns.sparkSession
-    order = ["conv_id", "turn", "text_key"]
+    order = ["turn", "text_key"]
     slim = turns.select(
         "conv_id", "turn", F.lower(F.trim("role")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-        F.xxhash64("role", "text").alias("text_key"),
+        F.xxhash64("role", "text").alias("text_key"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"),
     )
-    ranged = slim.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    ranged = ranged.select("conv_id", "role", "text", F.spark_partition_id().alias("part"))
-    conv = dict(turns.dtypes)["conv_id"]
-
-    def run(batches):
-        now, cut, rows, size = None, 0, 0, 0
-        for batch in batches:
-            segments, places = [], []
-            sizes = pc.binary_length(batch.column("text")).to_pylist()
-            for key, n in zip(batch.column("conv_id").to_pylist(), sizes, strict=True):
-                if (key,) != now:
-                    now, cut, rows, size = (key,), 0, 0, 0
-                elif rows >= segment or size + n > SEGMENT_BYTES:
-                    cut, rows, size = cut + 1, 0, 0
-                segments.append(cut)
-                places.append(rows)
-                rows, size = rows + 1, size + n
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(segments, pa.int64()), pa.array(places, pa.int32())],
-                names=["conv_id", "role", "text", "part", "segment", "place"],
-            )
-
-    return ranged.mapInArrow(run, f"conv_id {conv}, role string, text string, part int, segment bigint, place int")
+    sizes = slim.groupBy("conv_id").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes"))
+    long = materialize(sizes.where((F.col("rows") > segment) | (F.col("bytes") > SEGMENT_BYTES)).select(F.col("conv_id").alias("_long")))
+    few, same = broadcast_if_small(long, BROADCAST_LONG), F.col("conv_id").eqNullSafe(F.col("_long"))
+    columns = ["conv_id", "role", "text", "segment", "place"]
+    place = (F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)) - 1).cast("long")
+    short = slim.join(few, same, "left_anti").withColumns({"place": place, "segment": F.lit(0).cast("long")}).select(*columns)
+    if long.isEmpty():
+        return short
+    ranged = slim.join(few, same, "left_semi").repartitionByRange(shuffle_partitions(spark), "conv_id", *order)
+    ranged = materialize(ranged.withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    total = ranged.groupBy("conv_id", "part").agg(F.count("*").alias("rows"), F.sum("bytes").alias("size"))
+    # a row for each conversation in each partition
+    offsets = total.select(
+        F.col("conv_id").alias("_conv_id"), F.col("part").alias("_part"),
+        F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("size"),
+    )
+    met = ranged.join(offsets, F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("part") == F.col("_part")))
+    within = Window.partitionBy("conv_id", "part").orderBy(*order)
+    met = met.withColumn("place", F.col("rows") + F.row_number().over(within) - 1)
+    met = met.withColumn("first", F.col("size") + F.sum("bytes").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes"))
+    cut = F.expr(f"place div {segment} + first div {SEGMENT_BYTES}")
+    return short.unionAll(met.withColumn("segment", cut).select(*columns))
 
 
 def chain(rows):
-    """(conv_id, part, segment, piece, state before, state after, last, cost of the conversation) of its segments."""
+    """(conv_id, segment, piece, state before, state after, last, cost of the conversation) of its segments."""
     k = len(STATES)
-    steps = [np.array(r[3]).reshape(k, k) for r in rows]
+    steps = [np.array(r[2]).reshape(k, k) for r in rows]
     cost = np.full(k, np.inf)
     cost[0] = 0
     seen = [cost]
@@ -158,7 +160,7 @@ def chain(rows):
     for before, m in zip(reversed(seen[:-1]), reversed(steps), strict=True):
         ends.append(int(np.argmin(before + m[:, ends[-1]])))
     ends = ends[::-1]
-    return [(*r[:3], i, ends[i], ends[i + 1], int(i == len(rows) - 1), float(final.min())) for i, r in enumerate(rows)]
+    return [(*r[:2], i, ends[i], ends[i + 1], int(i == len(rows) - 1), float(final.min())) for i, r in enumerate(rows)]
 
 
 def render(roles, texts, start: int, end: int, last: bool, template: str) -> tuple[str, int, int]:
@@ -226,36 +228,37 @@ def format_chat(turns: DataFrame, template: str = CHATML, segment: int = SEGMENT
     """Pieces of each repaired conversation: conv_id, piece, turns, cost, repairs and rendered.
 
     The rendered texts of a conversation's pieces, in order, are the conversation; one of up to segment turns and
-    SEGMENT_BYTES of text is one piece, so no row grows with a conversation. cost is that of the whole conversation. A
+    SEGMENT_BYTES of text is one piece, so no row grows with a conversation, and pieces are the same on any number of
+    partitions. cost is that of the whole conversation. A
     merged turn follows the one before after a line break. Roles are compared without case and outer blanks; null and
     unknown roles fit any role at a small cost. Null texts are empty. Rows without conv_id are one conversation.
     Repeated rows are turns of their own. An empty table gives no rows. Columns other than conv_id, turn, role and text
     are ignored.
     """
     conv = dict(turns.dtypes)["conv_id"]
-    key = ["conv_id", "part", "segment"]
+    key = ["conv_id", "segment"]
     # written once: the turns of a segment meet its states again below
     placed = materialize(cut_segments(turns.select("conv_id", "turn", "role", "text"), segment))
 
     def matrices(rows):
-        return [(*rows[0][:3], [float(x) for x in matrix([r[3] for r in rows]).ravel()])]
+        return [(*rows[0][:2], [float(x) for x in matrix([r[2] for r in rows]).ravel()])]
 
     def rewrite(rows):
         *_, piece, start, end, last, cost = rows[0]
-        text, turns, repairs = render([r[3] for r in rows], [r[5] for r in rows], start, end, bool(last), template)
+        text, turns, repairs = render([r[2] for r in rows], [r[4] for r in rows], start, end, bool(last), template)
         return [(rows[0][0], piece, turns, cost, repairs, text)]
 
     found = by_group(
         placed.select(*key, "role", "place"), key, ["place"], matrices,
-        f"conv_id {conv}, part int, segment bigint, m array<double>",
+        f"conv_id {conv}, segment bigint, m array<double>",
     )
     states = by_group(
-        found, ["conv_id"], ["part", "segment"], chain,
-        f"conv_id {conv}, part int, segment bigint, piece bigint, a int, b int, last int, cost double",
+        found, ["conv_id"], ["segment"], chain,
+        f"conv_id {conv}, segment bigint, piece bigint, a int, b int, last int, cost double",
     )
     states = states.withColumnsRenamed({c: f"_{c}" for c in key})
     same = F.col("conv_id").eqNullSafe(F.col("_conv_id"))
-    met = placed.join(states, same & (F.col("part") == F.col("_part")) & (F.col("segment") == F.col("_segment")))
+    met = placed.join(states, same & (F.col("segment") == F.col("_segment")))
     return by_group(
         met.select(*key, "role", "place", "text", "piece", "a", "b", "last", "cost"), key, ["place"], rewrite,
         f"conv_id {conv}, piece bigint, turns int, cost double, repairs int, rendered string",
