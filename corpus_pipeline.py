@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 one's docs. Stages work on every row that their predecessor kept; all but the last return the columns of docs.
-Quality and decontamination keep or drop rows that share a doc_id together; decontamination keeps rows without one.
+Rows that share a doc_id, or have none, are documents of their own in every stage.
 """
 
 from __future__ import annotations
@@ -19,12 +19,6 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 BROADCAST_IDS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is not among ids (one column, _gone)."""
-    gone = broadcast_if_small(materialize(ids.distinct()), BROADCAST_IDS)
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte network takes for good ones."""
     return quality_model.good_documents(docs, table(spark, sf_dir, "labels"))
@@ -58,9 +52,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item, as it is or re-parameterised."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.select(F.col("doc_id").alias("_gone")))
+    """Documents without a benchmark item, as it is or re-parameterised.
+
+    Each row is judged by its own text: rows are told apart by a hash of doc_id and text, so a clean row stays whatever
+    its doc_id, and a row without one goes if it holds an item. Null and empty texts hold none.
+    """
+    row = F.xxhash64("doc_id", "text")
+    found = decontaminate.contaminated(docs.select(row.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = broadcast_if_small(materialize(found.select(F.col("doc_id").alias("_gone")).distinct()), BROADCAST_IDS)
+    return docs.join(gone, row == gone["_gone"], "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

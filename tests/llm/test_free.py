@@ -345,6 +345,23 @@ def test_repair_against_search(spark, segment):
         assert [x for body in bodies if body for x in body.split("\n")] == [f"t{k}" for k in range(len(c))]
 
 
+def test_chat_pieces_do_not_depend_on_partitions(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(i % 90 if i % 90 else None, r.randint(0, 9), r.choice(["user", "assistant", None]), f"t{i}" * r.randint(0, 9)) for i in range(700)]
+    rows += [(500, k % 37, "user", f"long {k % 50}") for k in range(300)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    whole, pieces = [], []
+    monkeypatch.setattr(chat, "SEGMENT_BYTES", 1 << 12)
+    for n in (4, 8, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        whole.append(sorted((tuple(x) for x in chat.format_chat(turns, segment=200).collect()), key=str))
+        pieces.append(sorted((tuple(x) for x in chat.format_chat(turns, segment=7).collect()), key=str))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert whole[0] == whole[1] == whole[2] and pieces[0] == pieces[1] == pieces[2]
+    assert len(whole[0]) == 91 + 1 and len(pieces[0]) > 100  # 300 turns are two segments, all else is one
+    assert conversations(chat.format_chat(turns, segment=200).collect()) == conversations(chat.format_chat(turns, segment=7).collect())
+
+
 def test_rendering_by_hand():
     text, turns, repairs = chat.render(["user", "user", "assistant"], ["a", "b", "c"], 0, 3, True, chat.CHATML)
     assert text == "<|im_start|>user\na\nb<|im_end|>\n<|im_start|>assistant\nc<|im_end|>\n" and (turns, repairs) == (2, 1)
@@ -387,6 +404,13 @@ def test_pipeline_against_brute_force(spark):
     assert corpus_pipeline.shards(spark, mixed, SF).count() == mixed.count()
 
 
+def test_decontamination_judges_rows_of_shared_and_missing_ids(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    rows = [(1, f"before it {item} after it"), (1, prose(4, 60)), (None, f"again {item}"), (None, prose(5, 60)), (2, None), (3, "")]
+    kept = corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[1], *rows[3:]], key=str)
+
+
 def test_pipeline_stages_on_awkward_rows(spark, awkward):
     docs = awkward.withColumn("_text_key", F.lit("k")).withColumn("_gone", F.lit(1)).withColumn("repeats", F.lit("r"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
