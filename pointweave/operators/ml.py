@@ -13,6 +13,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialize
+
 
 def vectors(df: DataFrame, columns: list[str] | None = None, array: str | None = None) -> DataFrame:
     if array:
@@ -75,24 +77,56 @@ def hash_split(df: DataFrame, key: str, percent: int = 75) -> tuple[DataFrame, D
     return df.where(h < percent), df.where(h >= percent)
 
 
-def permutation_importance(model, test: DataFrame, columns: list[str], y: str, seed: int = 1) -> DataFrame:
-    """(feature, importance): fall of the accuracy when a column's values are dealt out anew among the rows.
+def _numbered(df: DataFrame, groups: list[str], key: str, buckets: int = 256) -> DataFrame:
+    """df with _rank, the place from 0 of each row in the order of the hash key within its group.
+
+    Rows are numbered in hash buckets whose sizes are summed before, so no group is ordered in one task and every place
+    is taken once.
+    """
+    dealt = df.withColumn("_b", F.pmod(key, F.lit(buckets)))
+    upto = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*groups, "_b").count().select(*groups, "_b", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(*groups, "_b").orderBy(key, "_id")
+    ranked = dealt.withColumn("_in", F.row_number().over(within) - 1).join(starts, [*groups, "_b"])
+    return ranked.withColumn("_rank", F.col("_start") + F.col("_in")).drop("_b", "_in", "_start")
+
+
+def permutation_importance(model, test: DataFrame, columns: list[str], y: str, seed: int = 1, repeats: int = 10) -> DataFrame:
+    """(feature, importance, spread): fall of the accuracy when a column's values are dealt out anew among all rows.
 
-    The shuffled values meet the rows by rank in two seeded orders.
+    importance and spread are the mean and the sample deviation over so many repeats. In one plan, each row meets, for
+    each feature and repeat, the value of the row at its own place in another seeded order; every row gets one value.
     """
+    rows = materialize(test.select(*columns, y).where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*columns, y])).withColumn("_id", F.monotonically_increasing_id()))
     rate = MulticlassClassificationEvaluator(labelCol=y, metricName="accuracy")
-    base = rate.evaluate(model.transform(vectors(test, columns)))
-    keyed = test.withColumn("_k", F.xxhash64(*columns, F.monotonically_increasing_id()))
-
-    def ranked(df: DataFrame, salt: int) -> DataFrame:
-        df = df.withColumn("_o", F.xxhash64(F.lit(salt), "_k")).withColumn("_b", F.pmod("_o", F.lit(64)))
-        return df.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_o")))
-
-    rows = []
-    for i, c in enumerate(columns):
-        dealt = ranked(keyed, seed).drop(c).join(ranked(keyed, seed + 1 + i).select("_b", "_r", c), ["_b", "_r"])
-        rows.append((c, base - rate.evaluate(model.transform(vectors(dealt, columns)))))
-    return test.sparkSession.createDataFrame(rows, "feature string, importance double")
+    base = rate.evaluate(model.transform(vectors(rows, columns)))
+    draws = F.array(*[F.struct(F.lit(c).alias("_feature"), F.lit(k).alias("_repeat")) for c in columns for k in range(repeats)])
+    each = rows.select("*", F.inline(draws))
+    group = ["_feature", "_repeat"]
+    placed = _numbered(rows.withColumn("_h", F.xxhash64(F.lit(seed), "_id")), [], "_h").drop("_h").select("*", F.inline(draws))
+    value = F.coalesce(*[F.when(F.col("_feature") == c, F.col(c).cast("double")) for c in columns])
+    given = _numbered(each.select(*group, "_id", value.alias("_value"), F.xxhash64(F.lit(seed + 1), *group, "_id").alias("_h")), group, "_h")
+    dealt = placed.join(given.select(*group, "_rank", "_value"), [*group, "_rank"])
+    dealt = dealt.select(*group, y, *[F.when(F.col("_feature") == c, F.col("_value")).otherwise(F.col(c)).alias(c) for c in columns])
+    right = model.transform(vectors(dealt, columns)).groupBy(*group).agg(F.avg((F.col("prediction") == F.col(y)).cast("int")).alias("a"))
+    fall = F.lit(base) - F.col("a")
+    return right.groupBy(F.col("_feature").alias("feature")).agg(F.avg(fall).alias("importance"), F.stddev_samp(fall).alias("spread"))
+
+
+def backward_elimination(fit, train: DataFrame, test: DataFrame, columns: list[str], y: str, sizes=(6, 5, 4, 3), repeats: int = 10) -> DataFrame:
+    """(n_features, features, accuracy) of models fit(train with features, y) on ever fewer columns.
+
+    Each step keeps the most important columns of the model before, ties by name; at most as many rows as columns reach
+    the driver.
+    """
+    rate, out = MulticlassClassificationEvaluator(labelCol=y, metricName="accuracy"), []
+    for size in (len(columns), *[n for n in sizes if n < len(columns)]):
+        if size < len(columns):
+            found = permutation_importance(model, test, columns, y, repeats=repeats).orderBy(F.desc("importance"), "feature").limit(size)
+            columns = sorted(r["feature"] for r in found.collect())
+        model = fit(vectors(train, columns), y)
+        out.append((size, list(columns), rate.evaluate(model.transform(vectors(test, columns)))))
+    return train.sparkSession.createDataFrame(out, "n_features int, features array<string>, accuracy double")
 
 
 def pipeline(columns: list[str], y: str) -> Pipeline:

@@ -17,6 +17,36 @@ def points(spark, xy):
     return spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate(xy)], "image_id int, nid long, x long, y long")
 
 
+@pytest.mark.parametrize(("step", "scale"), [(3333, 1), (1, 1 << 17), (273, 1.0), (0.1, 1.0), (1 << 20, 1)])
+def test_triangulation_of_a_lattice_of_any_width(step, scale):
+    """Cocircular squares: as many triangles as Euler's formula asks, without overlap."""
+    m = 24
+    at = [(i * step * scale, j * step * scale) for i in range(m) for j in range(m)]
+    at = np.array(at)
+    t = delaunay.triangulate(at[:, 0], at[:, 1])
+    p, q, r = (at[t[:, k]].astype(float) for k in range(3))
+    area = np.abs((q[:, 0] - p[:, 0]) * (r[:, 1] - p[:, 1]) - (q[:, 1] - p[:, 1]) * (r[:, 0] - p[:, 0])) / 2
+    assert len(t) >= 2 * (m - 1) ** 2 and abs(area.sum() / ((m - 1) * step * scale) ** 2 - 1) < 1e-9
+    assert step == 0.1 or len(t) == 2 * (m - 1) ** 2
+
+
+def test_importance_scores_every_row_in_every_repeat(spark):
+    from pointweave.operators import ml
+
+    rows = [(k, float(k % 2), float(k * 7 % 10), int(k % 2)) for k in range(300)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, y int")
+    numbered = ml._numbered(df.withColumn("_id", F.col("k").cast("long")).withColumn("_h", F.xxhash64("k")), ["y"], "_h")
+    for y in (0, 1):
+        assert sorted(r["_rank"] for r in numbered.where(F.col("y") == y).collect()) == list(range(150))
+    model = ml.logistic(ml.vectors(df, ["a", "b"]), "y")
+    found = {r["feature"]: r for r in ml.permutation_importance(model, df, ["a", "b"], "y", repeats=4).collect()}
+    # 300 rows are scored each time: falls are whole 300ths, and a, which decides, falls by about a half
+    assert set(found) == {"a", "b"} and abs(found["a"]["importance"] - 0.5) < 0.1 and abs(found["b"]["importance"]) < 0.01
+    assert abs(found["a"]["importance"] * 4 * 300 - round(found["a"]["importance"] * 4 * 300)) < 1e-6 and found["a"]["spread"] > 0
+    steps = ml.backward_elimination(ml.logistic, df, df, ["a", "b"], "y", sizes=(1,), repeats=2).collect()
+    assert [(r["n_features"], r["features"], r["accuracy"]) for r in steps] == [(2, ["a", "b"], 1.0), (1, ["a"], 1.0)]
+
+
 def test_square_with_centre(spark):
     p = points(spark, [(0, 0), (4, 0), (4, 4), (0, 4), (2, 2)])
     t = delaunay.delaunay(p)
