@@ -231,7 +231,7 @@ def density_window(spark, d):
     return out.select("py", "px", *[(F.round(c, k) + 0.0).alias(c) for c, k in places.items()])
 
 
-@query(f"""WITH {ad.PIX}, e AS (SELECT max(py) + 1 AS h FROM pix), g AS (SELECT i, j FROM e, range(200) a(i), range(60) b(j) WHERE i < h // 2)
+@query(f"""WITH {ad.PIX}, e AS (SELECT max(py) + 1 AS h FROM pix), g AS (SELECT i, j FROM e, (SELECT DISTINCT py AS i FROM pix) a, range(60) b(j) WHERE i < h // 2)
   SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, label FROM g, e JOIN pix ON py = i * h // (h // 2) AND px = j * {W} // 60""")
 def resize_nearest(spark, d):
     p = _pix(spark, d).select("py", "px", "label")
@@ -239,6 +239,26 @@ def resize_nearest(spark, d):
     return raster.resize_nearest(p, h, W, h // 2, 60).select("i", "j", "label")
 
 
+@query(f"""WITH {ad.PIX}, e AS (SELECT max(py) + 1 AS h FROM pix), g AS (SELECT a.py AS i, b.px AS j, least(greatest((a.py + 0.5::DOUBLE) * h / (h * 2) - 0.5, 0), h - 1) AS y, least(greatest((b.px + 0.5::DOUBLE) * {W} / 200 - 0.5, 0), {W - 1}) AS x
+    FROM e, (SELECT DISTINCT py FROM pix UNION SELECT py + (SELECT h FROM e) FROM pix) a, (SELECT range AS px FROM range(200)) b),
+  n AS (SELECT i, j, CAST(floor(y) AS INT) + dy AS py, CAST(floor(x) AS INT) + dx AS px, (CASE WHEN dy = 1 THEN y - floor(y) ELSE 1 - y + floor(y) END) * (CASE WHEN dx = 1 THEN x - floor(x) ELSE 1 - x + floor(x) END) AS w
+    FROM g, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(dy, dx))
+  SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(sum(w * g) / sum(w), 6) AS g FROM n JOIN pix USING (py, px) WHERE w > 0 GROUP BY 1, 2""")
+def resize_bilinear(spark, d):
+    p = _pix(spark, d).select("py", "px", "g")
+    h = p.agg(F.max("py")).first()[0] + 1
+    return raster.resize_bilinear(p, "g", h, W, 2 * h, 200).select("i", "j", F.round("g", 6).alias("g"))
+
+
+@query(f"""WITH {ad.PIX}, e AS (SELECT max(py) + 1 AS h FROM pix), s AS (SELECT py * (h // 3) / CAST(h AS DOUBLE) AS y0, (py + 1) * (h // 3) / CAST(h AS DOUBLE) AS y1, px * 40 / {W}.0::DOUBLE AS x0, (px + 1) * 40 / {W}.0::DOUBLE AS x1, h // 3 AS n, g FROM pix, e),
+  t AS (SELECT i, j, g, (least(y1, i + 1) - greatest(y0, i)) * (least(x1, j + 1) - greatest(x0, j)) AS w FROM s JOIN (SELECT DISTINCT py AS i FROM pix) a ON i < n AND i < y1 AND i + 1 > y0 JOIN range(40) b(j) ON j < x1 AND j + 1 > x0)
+  SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(sum(w * g) / sum(w), 4) AS g FROM t WHERE w > 1e-9 GROUP BY 1, 2""")
+def resize_area(spark, d):
+    p = _pix(spark, d).select("py", "px", "g")
+    h = p.agg(F.max("py")).first()[0] + 1
+    return raster.resize_area(p, "g", h, W, h // 3, 40).select("i", "j", F.round("g", 4).alias("g"))
+
+
 @query(f"""WITH {ad.PIX} SELECT py, px, label FROM pix WHERE py // 25 < (SELECT max(py // 25) FROM pix) AND px // 25 < (SELECT max(px // 25) FROM pix)""")
 def stitch(spark, d):
     p = _pix(spark, d)

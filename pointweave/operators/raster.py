@@ -213,6 +213,39 @@ def resize_nearest(pix: DataFrame, height: int, width: int, new_height: int, new
     return src.join(pix, ["py", "px"]).drop("py", "px")
 
 
+def resize_bilinear(pix: DataFrame, v: str, height: int, width: int, new_height: int, new_width: int) -> DataFrame:
+    """(i, j, v): bilinear resampling by pixel centres; each new pixel weighs the four around its place.
+
+    Places beyond the outer centres take the border's value; missing pixels weigh nothing. Each source pixel is joined to
+    the new ones that need it, by place.
+    """
+    near = lambda c, n, m: F.least(F.greatest((F.col(c) + 0.5) * n / m - 0.5, F.lit(0.0)), F.lit(n - 1.0))
+    grid = pix.sparkSession.range(new_height * new_width).select(
+        F.expr(f"int(id div {new_width})").alias("i"), (F.col("id") % new_width).cast("int").alias("j")
+    )
+    at = grid.withColumn("_y", near("i", height, new_height)).withColumn("_x", near("j", width, new_width))
+    part = lambda c, d: F.col(c) - F.floor(c) if d else 1 - F.col(c) + F.floor(c)
+    corners = F.array(*[
+        F.struct((F.floor("_y") + a).cast("int").alias("py"), (F.floor("_x") + b).cast("int").alias("px"), (part("_y", a) * part("_x", b)).alias("_w"))
+        for a in (0, 1) for b in (0, 1)
+    ])
+    met = at.select("i", "j", F.inline(corners)).where("_w > 0").join(pix.select("py", "px", v), ["py", "px"])
+    return met.groupBy("i", "j").agg((F.sum(F.col("_w") * F.col(v)) / F.sum("_w")).alias(v))
+
+
+def resize_area(pix: DataFrame, v: str, height: int, width: int, new_height: int, new_width: int) -> DataFrame:
+    """(i, j, v): a new, larger pixel is the mean of those it covers, each by the area in common.
+
+    A source pixel finds the few new ones it touches by itself, so there is no join; missing pixels weigh nothing.
+    """
+    for c, out, n, m in (("py", "i", height, new_height), ("px", "j", width, new_width)):
+        low, high = F.col(c) * m / F.lit(float(n)), (F.col(c) + 1) * m / F.lit(float(n))
+        pix = pix.withColumn(out, F.explode(F.sequence(F.floor(low).cast("int"), F.least(F.ceil(high).cast("int") - 1, F.lit(m - 1)))))
+        pix = pix.withColumn(f"_{out}", F.least(high, F.col(out) + 1) - F.greatest(low, F.col(out)))
+    w = F.col("_i") * F.col("_j")
+    return pix.where(w > 1e-9).groupBy("i", "j").agg((F.sum(w * F.col(v)) / F.sum(w)).alias(v))
+
+
 def stitch(tiles: DataFrame, size: int, inclusive: bool = True) -> DataFrame:
     """Pixels of tiles in scene coordinates from the least tile row and column; not inclusive: the last ones are left out."""
     e = tiles.agg(F.min("tile_row").alias("r0"), F.min("tile_col").alias("c0"), F.max("tile_row").alias("r1"), F.max("tile_col").alias("c1"))

@@ -278,3 +278,23 @@ def test_gradient_equals_numpy(spark):
     dy, dx = np.gradient(a.astype(float))
     got = {(r["py"], r["px"]): r["gradient"] for r in texture.gradient(pix, "v").collect()}
     assert all(got[y, x] == pytest.approx(math.hypot(dy[y, x], dx[y, x])) for y in range(9) for x in range(7))
+
+
+# resampling
+
+
+def test_resampling_of_small_rasters(spark):
+    from pointweave.operators import raster
+
+    a = np.arange(24).reshape(4, 6) ** 2
+    pix = spark.createDataFrame([(y, x, int(a[y, x])) for y in range(4) for x in range(6)], "py int, px int, v int")
+    grid = lambda df: {(r["i"], r["j"]): r["v"] for r in df.collect()}
+    same = {(y, x): a[y, x] for y in range(4) for x in range(6)}
+    assert grid(raster.resize_bilinear(pix, "v", 4, 6, 4, 6)) == same == grid(raster.resize_area(pix, "v", 4, 6, 4, 6))
+    assert grid(raster.resize_area(pix, "v", 4, 6, 2, 3)) == {(i, j): a[2 * i : 2 * i + 2, 2 * j : 2 * j + 2].mean() for i in range(2) for j in range(3)}
+    # a half: the new centre lies between four old ones
+    assert grid(raster.resize_bilinear(pix, "v", 4, 6, 2, 3)) == {(i, j): a[2 * i : 2 * i + 2, 2 * j : 2 * j + 2].mean() for i in range(2) for j in range(3)}
+    wide = grid(raster.resize_bilinear(pix, "v", 4, 6, 8, 12))
+    assert wide[0, 0] == a[0, 0] and wide[7, 11] == a[3, 5] and wide[0, 1] == pytest.approx(0.75 * a[0, 0] + 0.25 * a[0, 1])
+    part = grid(raster.resize_area(pix.where("px < 5"), "v", 4, 6, 1, 2))
+    assert part[0, 1] == pytest.approx(a[:, 3:5].mean())
