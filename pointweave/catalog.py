@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_cohort, catalog_detection, catalog_points, catalog_raster
+from . import catalog_cohort, catalog_detection, catalog_points, catalog_raster, catalog_shapes
 from .plans import aggregates
 from .sources import adapters
 
@@ -14,7 +14,7 @@ def flagship(spark, sf_dir):
 
 
 def _all() -> dict:
-    return {**catalog_points.QUERIES, **catalog_raster.QUERIES, **catalog_cohort.QUERIES, **catalog_detection.QUERIES}
+    return {**catalog_points.QUERIES, **catalog_raster.QUERIES, **catalog_cohort.QUERIES, **catalog_detection.QUERIES, **catalog_shapes.QUERIES}
 
 
 def queries() -> dict:

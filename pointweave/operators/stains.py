@@ -58,6 +58,37 @@ def stain_vectors(pix: DataFrame, beta: float = 0.15, percent: float = 1.0) -> n
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
+def unit_rows(vectors) -> np.ndarray:
+    v = np.asarray(vectors, float)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def stain_inverse(basis) -> np.ndarray:
+    """3 x 3 matrix that turns densities (row) into amounts of two stains (rows of basis) and of what is neither.
+
+    The third direction is at right angles to both, so the first two amounts are the least-squares ones.
+    """
+    pair = unit_rows(basis)
+    return np.linalg.inv(np.vstack([pair, unit_rows([np.cross(*pair)])]))
+
+
+def normalize_stains(pix: DataFrame, basis, target, keep: Column | None = None) -> DataFrame:
+    """pix with r, g and b as if its two stains (basis) had the colours of target; rows are directions of density.
+
+    What neither stain explains is left out. Densities are logarithms of (value + 1) / 256; values are clipped to 0 to 255
+    and cut. Pixels where keep holds stay. Every pixel is computed in its row.
+    """
+    back, wanted = stain_inverse(basis), unit_rows(target)
+    od = [-F.log((F.col(c) + 1) / 256.0) for c in CHANNELS]
+    amounts = [sum(od[i] * float(back[i][k]) for i in range(3)) for k in range(2)]
+    out = {}
+    for i, c in enumerate(CHANNELS):
+        light = 256 * F.exp(-(amounts[0] * float(wanted[0][i]) + amounts[1] * float(wanted[1][i]))) - 1
+        value = F.round(F.greatest(F.least(light, F.lit(255.0)), F.lit(0.0)), 6).cast("int")
+        out[c] = value if keep is None else F.when(keep, F.col(c)).otherwise(value)
+    return pix.withColumns(out)
+
+
 def superpixels(pix: DataFrame, size: int, rounds: int = 5, weight: float = 0.5) -> DataFrame:
     """pix with spx: pixels joined to the nearest of the seeds around their grid cell, in colour and place.
 
