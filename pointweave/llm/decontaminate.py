@@ -3,7 +3,7 @@
 Texts are canonicalised to templates: numbers, units and names become typed placeholders, other words are lower-cased
 and stripped of punctuation. Windows of template tokens of the benchmark are hash-joined with those of the documents,
 and the values that fill the placeholders are compared: in a re-parameterised question each benchmark value stands for
-one value of the document throughout, and the other way round.
+one value of the document throughout, and only some of these may coincide.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ WINDOW = 8
 MIN_LITERALS = 5
 #: Share of an item's windows that consistent matches must cover.
 COVERAGE = 0.5
+#: Least number of different document values as a share of the different benchmark values that they stand for.
+AGREEING = 0.5
 #: Benchmark windows that are held against the documents in one pass; a larger benchmark takes several.
 BLOCK_WINDOWS = 1_000_000
 BROADCAST_ROWS = 1_000_000
@@ -38,8 +40,8 @@ _STOP[[ord(c) for c in ".!?:"]] = True
 #: Template values of the placeholders.
 NUMBER, UNIT, NAME = (np.uint64(k) for k in (1, 2, 3))
 #: Kinds of window keys.
-STRONG, EXACT, LOOSE = range(3)
-_EXACT_SALT, _LOOSE_SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+STRONG, EXACT, LOOSE, OPEN_STRONG, OPEN_LOOSE = range(5)
+_EXACT_SALT, _LOOSE_SALT, _OPEN_SALT = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 def _hash_of(words: list[str]) -> np.ndarray:
@@ -51,10 +53,12 @@ _UNIT_HASHES = _hash_of(UNITS)
 
 
 def template(d: np.ndarray, doc_starts: np.ndarray):
-    """Tokens of bytes: start and end of their core, template and word hash, whether a placeholder, first token of each text.
+    """Tokens of bytes: start and end of their core, template and word hash, whether a placeholder, whether an opener,
+    first token of each text.
 
     A token with a digit is a number, a unit word directly after a number is a unit, and a capitalised word that does
-    not open a line or sentence is a name. Tokens without letters and digits are left out.
+    not open a line or sentence is a name. One that does open it is an opener: it may be a name or not. Tokens without
+    letters and digits are left out.
     """
     s, e, cs, ce = core_spans(d)
     plain = hash_spans(lower(d), cs, ce)
@@ -69,14 +73,15 @@ def template(d: np.ndarray, doc_starts: np.ndarray):
     lines = np.concatenate([[0], np.cumsum(d == 10)])
     if len(s):
         opens[1:] |= lines[s[1:]] > lines[e[:-1]]
-    name = _UPPER[d[cs]] & ~opens & ~number & ~unit
+    capital = _UPPER[d[cs]] & ~number & ~unit
     if len(s):
         following = np.minimum(cs + 1, ce - 1)
-        name &= ~_UPPER[d[following]] | (ce - cs == 1)  # words all in capitals are shouting, not names
+        capital &= ~_UPPER[d[following]] | (ce - cs == 1)  # words all in capitals are shouting, not names
+    name, opener = capital & ~opens, capital & opens
     slot = number | unit | name
     for mask, value in ((number, NUMBER), (unit, UNIT), (name, NAME)):
         h[mask] = value
-    return cs, ce, h, plain, slot, first
+    return cs, ce, h, plain, slot, opener, first
 
 
 def matching_windows(df: DataFrame, id_col: str, wanted=None, size: int = WINDOW, short=()) -> DataFrame:
@@ -84,7 +89,8 @@ def matching_windows(df: DataFrame, id_col: str, wanted=None, size: int = WINDOW
 
     A window of MIN_LITERALS literals or more is STRONG: its key is of its template. One of fewer has two keys: an EXACT
     one of its words as they are, and a LOOSE one of its template, which wanted lets pass only in a text with a strong
-    match. total is the text's number of windows, size a window's tokens; slots holds the values of a window's placeholders. A text shorter
+    match. A window with openers has a further key of its template with these as names: OPEN_STRONG or OPEN_LOOSE, by the
+    literals that are left. total is the text's number of windows, size a window's tokens; slots holds the values of a window's placeholders. A text shorter
     than a window is one window; other texts also give windows of the lengths in short.
     """
 
@@ -95,7 +101,9 @@ def matching_windows(df: DataFrame, id_col: str, wanted=None, size: int = WINDOW
             ids = batch.column(id_col)
             rows, place, total, key, slots, kinds, sizes = [], [], [], [], [], [], []
             for i, j, d, starts in pieces(batch.column("text")):
-                cs, ce, h, plain, slot, first = template(d, starts)
+                cs, ce, h, plain, slot, opener, first = template(d, starts)
+                wide, named = np.where(opener, NAME, h), slot | opener
+                opened = np.concatenate([[0], np.cumsum(opener)])
                 ends = np.append(first[1:], len(h))
                 filled = np.concatenate([[0], np.cumsum(slot)])
                 spans = [(n, (ends - first >= n) if n == size or n in short else (ends - first == n)) for n in range(MIN_LITERALS, size + 1)]
@@ -114,17 +122,29 @@ def matching_windows(df: DataFrame, id_col: str, wanted=None, size: int = WINDOW
                     row = np.searchsorted(first, at, "right") - 1
                     hit = has(np.where(strong, w, exact))
                     loose = mix64(w ^ _LOOSE_SALT)
-                    anchored = np.isin(row, row[hit & strong]) if keys is not None else np.ones(len(at), bool)
+                    v = windows(wide, n)[at]
+                    v = mix64((v if n == WINDOW else mix64(v + np.uint64(n))) ^ _OPEN_SALT)
+                    openers = opened[at + n] - opened[at]
+                    open_strong = (openers > 0) & (n - (filled[at + n] - filled[at]) - openers >= MIN_LITERALS)
+                    open_hit = open_strong.copy()
+                    open_hit[open_strong] = has(v[open_strong])
+                    open_loose = mix64(v ^ _LOOSE_SALT)
+                    anchored = np.isin(row, row[hit & strong | open_hit]) if keys is not None else np.ones(len(at), bool)
                     extra = ~strong & anchored
                     extra[extra] = has(loose[extra])
-                    for kind, ok, value in ((STRONG, hit & strong, w), (EXACT, hit & ~strong, exact), (LOOSE, extra, loose)):
+                    open_extra = (openers > 0) & ~open_strong & anchored
+                    open_extra[open_extra] = has(open_loose[open_extra])
+                    for kind, ok, value in (
+                        (STRONG, hit & strong, w), (EXACT, hit & ~strong, exact), (LOOSE, extra, loose),
+                        (OPEN_STRONG, open_hit, v), (OPEN_LOOSE, open_extra, open_loose),
+                    ):
                         for m in np.flatnonzero(ok):
                             k, r = int(at[m]), int(row[m])
                             rows.append(i + r)
                             place.append(k - int(first[r]))
                             total.append(int(ends[r] - first[r] - n + 1))
                             key.append(value[m])
-                            slots.append([] if kind == EXACT else _values(d, cs, ce, slot, k, k + n))
+                            slots.append([] if kind == EXACT else _values(d, cs, ce, named if kind >= OPEN_STRONG else slot, k, k + n))
                             kinds.append(kind)
                             sizes.append(n)
             yield pa.RecordBatch.from_arrays(
@@ -152,9 +172,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """(doc_id, item_id, coverage, exact): documents that hold a benchmark item, as it is or re-parameterised.
 
     Matches of a document and an item are read along diagonals (place in the document less place in the item). On a
-    diagonal, each benchmark value must meet one document value and the other way round, else the diagonal is
-    dropped; coverage is the share of the item's windows on the rest, exact whether all their values are equal. Windows
-    of fewer than MIN_LITERALS literals count where they are the same word for word, and by their template on a
+    diagonal, each benchmark value must meet one document value, else the diagonal is dropped. New values may coincide by
+    chance, but at least AGREEING of them must differ. Coverage is the share of the item's windows on the rest, exact whether all their values are equal. Capitalised words that open a sentence
+    count as names too; a diagonal that is consistent only without that is judged without. Windows of fewer than
+    MIN_LITERALS literals count where they are the same word for word, and by their template on a
     diagonal that holds a match of a window with more. So an item without any window of MIN_LITERALS literals is found
     as it is but not re-parameterised. Null and empty texts match nothing. Items of fewer than MIN_LITERALS tokens are
     never matched. Repeated rows of a document or item count once.
@@ -175,42 +196,50 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         "key", "block", "kind", F.col("id").alias("item_id"), F.col("place").alias("item_place"),
         F.col("total").alias("item_total"), F.col("slots").alias("item_slots"),
     )
+    is_loose, is_open = F.col("kind").isin(LOOSE, OPEN_LOOSE), F.col("kind").isin(OPEN_STRONG, OPEN_LOOSE).alias("open")
     sure = (
-        hits.where(F.col("kind") != LOOSE)
+        hits.where(~is_loose)
         .select("doc_id", "place", "key", "block", "slots")
-        .join(broadcast_if_small(renamed.where(F.col("kind") != LOOSE), BROADCAST_ROWS), ["key", "block"])
+        .join(broadcast_if_small(renamed.where(~is_loose), BROADCAST_ROWS), ["key", "block"])
         .where(F.size("slots") == F.size("item_slots"))
         .withColumn("shift", F.col("place") - F.col("item_place"))
     )
     columns = ["doc_id", "item_id", "shift", "item_place", "item_total", "item_slots", "slots"]
-    anchors = sure.where(F.col("kind") == STRONG).select("doc_id", F.col("item_id").alias("_item"), "shift").distinct()
-    loose = renamed.where(F.col("kind") == LOOSE)
+    anchors = sure.where(F.col("kind").isin(STRONG, OPEN_STRONG)).select("doc_id", F.col("item_id").alias("_item"), "shift").distinct()
+    loose = renamed.where(is_loose)
     expected = (
         anchors.join(broadcast_if_small(loose, BROADCAST_ROWS), F.col("_item").eqNullSafe(F.col("item_id")))
         .withColumn("_place", F.col("shift") + F.col("item_place"))
-        .select(F.col("doc_id").alias("_doc"), "_place", F.col("key").alias("_key"), "shift", "item_id", "item_place", "item_total", "item_slots")
+        .select(F.col("doc_id").alias("_doc"), "_place", F.col("key").alias("_key"), "shift", "item_id", "item_place", "item_total", "item_slots", "kind")
     )
     more = (
-        hits.where(F.col("kind") == LOOSE)
+        hits.where(is_loose)
         .select("doc_id", "place", "key", "slots")
         .join(expected, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("place") == F.col("_place")) & (F.col("key") == F.col("_key")))
         .where(F.size("slots") == F.size("item_slots"))
     )
-    met = sure.select(*columns).unionAll(more.select(*columns))
+    met = sure.select(*columns, is_open, F.lit(True).alias("sure")).unionAll(more.select(*columns, is_open, F.lit(False)))
     values = met.select(
-        "doc_id", "item_id", "shift", "item_place", "item_total",
+        "doc_id", "item_id", "shift", "item_place", "item_total", "open", "sure",
         F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("v"),
     )
-    diagonal = values.groupBy("doc_id", "item_id", "shift").agg(
-        F.collect_set("item_place").alias("places"),
-        F.max("item_total").alias("item_total"),
-        F.count_distinct("v.item_slots").alias("left"),
-        F.count_distinct("v.slots").alias("right"),
-        F.count_distinct("v").alias("both"),
-        F.coalesce(F.bool_and(F.col("v.item_slots") == F.col("v.slots")), F.lit(True)).alias("exact"),
-    )
+    # what a diagonal gathers is bounded by its item: once from all windows, once without those whose openers are names
+    gathered = []
+    for n, part in (("all", F.lit(True)), ("closed", ~F.col("open"))):
+        sets = {"places": "item_place", "left": "v.item_slots", "right": "v.slots", "both": "v"}
+        gathered += [F.collect_set(F.when(part, F.col(c))).alias(f"{k}_{n}") for k, c in sets.items()]
+        gathered += [F.coalesce(F.bool_and(F.when(part, F.col("v.item_slots") == F.col("v.slots"))), F.lit(True)).alias(f"exact_{n}")]
+        gathered += [F.coalesce(F.bool_or(F.when(part, F.col("sure"))), F.lit(False)).alias(f"sure_{n}")]
+    diagonal = values.groupBy("doc_id", "item_id", "shift").agg(F.max("item_total").alias("item_total"), *gathered)
+
+    def consistent(n: str):
+        left, right, both = (F.size(f"{k}_{n}") for k in ("left", "right", "both"))
+        return F.col(f"sure_{n}") & (both == left) & (right >= AGREEING * both)
+
+    chosen = lambda k: F.when(consistent("all"), F.col(f"{k}_all")).when(consistent("closed"), F.col(f"{k}_closed")).alias(k)
+    diagonal = diagonal.select("doc_id", "item_id", "item_total", chosen("places"), chosen("exact"))
     return (
-        diagonal.where((F.col("both") == F.col("left")) & (F.col("both") == F.col("right")))
+        diagonal.where("places IS NOT NULL")
         .groupBy("doc_id", "item_id")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"),

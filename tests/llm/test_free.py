@@ -181,6 +181,31 @@ def test_items_full_of_numbers_are_found(spark):
     assert got == {(0, 1): (1.0, True), (1, 2): (1.0, True), (2, 1): (1.0, False)}
 
 
+def test_values_that_coincide_and_names_that_open_sentences(spark):
+    """New values may be equal by chance; a name counts as one wherever it stands; one value must not become two."""
+    miles = "A truck drives 60 miles in 2 hours and then it drives 90 miles in 3 hours on the same road"
+    shop = "Anna has twelve red apples in her old basket. Anna gives some of the apples to her younger brother. Bob then eats two of the apples at home"
+    total = "Take the first number 3 and add to it 5 and then add 8 and then add 13 and at last add 21 to the sum"
+    bench = spark.createDataFrame([(1, miles), (2, shop), (3, total)], "item_id long, text string")
+    both_four = miles.replace("60", "70").replace("90", "80").replace("2 hours", "4 hours").replace("3 hours", "4 hours")
+    two_alike, all_alike = ("Take the first number {} and add to it {} and then add {} and then add {} and at last add {} to the sum".format(*v) for v in ((4, 6, 6, 14, 22), [4] * 5))
+    renamed = shop.replace("Anna", "Maria").replace("Bob", "Tom")
+    torn = shop.replace("Anna gives", "Julia gives").replace("Anna has", "Maria has").replace("red", "green").replace("younger", "older").replace("two", "six")
+    texts = [miles, both_four, shop, renamed, prose(3, 20) + ".\n" + renamed + ". " + prose(4, 20), two_alike, torn, all_alike, prose(5, 80)]
+    got = {(r["doc_id"], r["item_id"]): (r["coverage"], r["exact"]) for r in decontaminate.contaminated(docs_of(spark, texts), bench).collect()}
+    assert set(got) == {(0, 1), (1, 1), (2, 2), (3, 2), (4, 2), (5, 3)}
+    assert got[0, 1] == got[2, 2] == (1.0, True) and got[3, 2] == got[4, 2] == (1.0, False) and got[1, 1] == (1.0, False)
+
+
+def test_openers_do_not_spoil_a_match(spark):
+    """Where openers taken as names contradict each other, the literal windows still decide."""
+    item = "The seven old ships sail slowly out of the small harbour at dawn. The nine young sailors sing a song about 40 whales in the sea"
+    other = item.replace("The seven", "These seven").replace("The nine", "Those nine").replace("40", "50")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.contaminated(docs_of(spark, [other, prose(6, 60)]), bench).collect()
+    assert [(r["doc_id"], r["exact"]) for r in got] == [(0, False)] and 0.5 <= got[0]["coverage"] < 1
+
+
 def test_short_items_inside_longer_texts_are_found(spark):
     items = ["Who first climbed the Eiger", "What is 12 plus 30 minus 4", "Which river flows through old Vienna today"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
