@@ -86,6 +86,27 @@ def test_triangulation_satisfies_euler_and_empty_circles(n, side, scale):
         assert not inside.any()
 
 
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_cells_change_no_triangle(spark, kind):
+    """Lattices, circles with and without centre, lines, dense clumps and single points, cut into cells or whole."""
+    rng = np.random.default_rng(3)
+    angle = np.linspace(0, 2 * np.pi, 90, endpoint=False)
+    circle = np.unique(np.round(np.column_stack([np.cos(angle), np.sin(angle)]) * 10000).astype(int), axis=0)
+    line = np.array([(k, 2 * k) for k in range(120)])
+    images = [
+        np.unique(rng.integers(0, 900, (500, 2)), axis=0), np.array([(i * 333, j * 333) for i in range(16) for j in range(16)]), circle,
+        np.concatenate([circle, [(0, 0)]]), np.unique(np.concatenate([rng.integers(0, 20, (200, 2)), rng.integers(-5000, 5000, (90, 2))]), axis=0),
+        line, np.concatenate([line, [(5, 100), (300, -7)]]), np.array([(3, 4)]),
+    ]
+    images = [(a / 3 if kind == "double" else a) for a in images]
+    rows = [(k, 10 * n + 7, *xy) for k, a in enumerate(images) for n, xy in enumerate(a.tolist())]
+    lacking = [(0, None, *images[0][0].tolist()), (None, 1, *images[0][1].tolist()), (0, 5, None, images[0][0].tolist()[1])]
+    points = spark.createDataFrame(rows + lacking, f"image_id int, nid long, x {kind}, y {kind}")
+    whole = sorted((k, *(10 * t + 7).tolist()) for k, a in enumerate(images) for t in delaunay.triangulate(a[:, 0], a[:, 1]))
+    assert sorted(tuple(r) for r in delaunay.delaunay(points, 64).collect()) == whole
+    assert delaunay.delaunay(points.limit(0), 64).count() == 0
+
+
 def test_triangulation_of_lines():
     assert delaunay.triangulate(np.array([0, 1]), np.array([0, 1])).shape == (0, 3)
     assert len(delaunay.triangulate(np.array([0, 1, 2]), np.array([0, 1, 2]))) == 0
