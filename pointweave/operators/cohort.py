@@ -52,15 +52,42 @@ def within(pred: DataFrame, tolerance: int) -> DataFrame:
     return pred.groupBy("y").agg(hit.alias("share"))
 
 
+def auc_by(scored: DataFrame, keys: list[str], cuts: int = 64) -> DataFrame:
+    """(keys, auc): area under the curve of (y, score) in each group by rank sums; ties count half.
+
+    Counts by score are summed first. Distinct scores are numbered within ranges whose sums are known before, so no group
+    is ordered in one task; where the ranges are cut changes nothing. A group of one class has no area (null).
+    """
+    by = scored.groupBy(*keys, "score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
+    edges = by.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.percentile_approx("score", [i / cuts for i in range(1, cuts)]).alias("_cuts"))
+    same = lambda left: [left[k].eqNullSafe(F.col(f"_{k}")) for k in keys]
+    ranged = by.join(edges, same(by)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("score")))).select(*by.columns, "_range")
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*keys, "_range").agg(F.sum("q").alias("_q")).withColumn("_start", F.coalesce(F.sum("_q").over(before), F.lit(0)))
+    totals = totals.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_in"), "_start")
+    within = Window.partitionBy(*keys, "_range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("_below", F.coalesce(F.sum("q").over(within), F.lit(0)))
+    placed = placed.join(totals, [*same(placed), placed["_range"] == F.col("_in")])
+    won = F.col("p") * (F.col("_start") + F.col("_below") + F.col("q") / 2.0)
+    return placed.groupBy(*keys).agg(F.try_divide(F.sum(won), F.sum("p") * F.sum("q")).alias("auc"))
+
+
 def roc_auc(scored: DataFrame) -> DataFrame:
-    """Area under the curve of (y, score) by rank sums; ties count half.
+    """One row, auc, of all rows (y, score); null without rows of both classes."""
+    return auc_by(scored.select("y", "score", F.lit(0).alias("_all")), ["_all"]).agg(F.max("auc").alias("auc"))
+
 
-    Counts by score are summed first, so the one ordered window sees distinct scores, not rows.
+def macro_auc(scored: DataFrame, k: int) -> DataFrame:
+    """One row, auc: the mean over ordered pairs of classes i, j of the area that p_i has between rows of i and of j.
+
+    scored: y, a class from 0 to k - 1, and the class probabilities p0 ... p(k-1). Pairs without rows of both classes are
+    left out.
     """
-    by = scored.groupBy("score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by.select("p", "q", (F.col("p") * (below + F.col("q") / 2.0)).alias("won"))
-    return ranked.agg(F.try_divide(F.sum("won"), F.sum("p") * F.sum("q")).alias("auc"))
+    mine = F.coalesce(*[F.when(F.col("y") == i, F.col(f"p{i}")) for i in range(k)])
+    as_i = [F.struct(F.col("y").alias("i"), F.lit(j).alias("j"), F.lit(1).alias("hit"), mine.alias("score")) for j in range(k)]
+    as_j = [F.struct(F.lit(i).alias("i"), F.col("y").alias("j"), F.lit(0).alias("hit"), F.col(f"p{i}").alias("score")) for i in range(k)]
+    pairs = scored.select(F.inline(F.array(*as_i, *as_j))).where("i <> j").withColumnRenamed("hit", "y")
+    return auc_by(pairs, ["i", "j"]).agg(F.avg("auc").alias("auc"))
 
 
 def scores(pred: DataFrame) -> DataFrame:
@@ -85,19 +112,48 @@ def ordinal_probabilities(cumulative: DataFrame, k: int) -> DataFrame:
     return cumulative.withColumns({f"class_{i}": p[i] - p[i + 1] for i in range(k)})
 
 
-def stratified_folds(df: DataFrame, y: str, order: str, k: int) -> DataFrame:
-    """df with fold: rows of each class are dealt in turn, in the order of a hash of their key.
+def _dealt(df: DataFrame, y: str, order: str, salt: str = "") -> DataFrame:
+    """df with _place, from 0, of each row of a class in the order of a hash of salt and key.
 
     Rows are numbered in hash buckets of a class whose sizes are summed before, so no class is one group.
     """
-    b = df.withColumn("_h", F.md5(F.col(order).cast("string").cast("binary"))).withColumn("_b", F.substring("_h", 1, 2))
+    b = df.withColumn("_h", F.md5(F.concat(F.lit(salt), F.col(order).cast("string")).cast("binary"))).withColumn("_b", F.substring("_h", 1, 2))
     n = b.groupBy(y, "_b").count()
     upto = Window.partitionBy(y).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     start = n.select(F.col(y).alias("_y"), F.col("_b").alias("_c"), F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("_s"))
     at = F.row_number().over(Window.partitionBy(y, "_b").orderBy("_h", order)) - 1
-    # at most classes x 256 rows
-    placed = b.withColumn("_at", at).join(F.broadcast(start), (F.col(y) == F.col("_y")) & (F.col("_b") == F.col("_c")))
-    return placed.withColumn("fold", ((F.col("_at") + F.col("_s")) % k).cast("int")).select(*df.columns, "fold")
+    placed = b.withColumn("_at", at).join(start, (F.col(y) == F.col("_y")) & (F.col("_b") == F.col("_c")))
+    return placed.withColumn("_place", F.col("_at") + F.col("_s")).select(*df.columns, "_place")
+
+
+def stratified_folds(df: DataFrame, y: str, order: str, k: int) -> DataFrame:
+    """df with fold: rows of each class are dealt in turn, in the order of a hash of their key."""
+    return _dealt(df, y, order).withColumn("fold", (F.col("_place") % k).cast("int")).drop("_place")
+
+
+def stratified_split(df: DataFrame, y: str, order: str, share: float = 0.5, salt: str = "") -> DataFrame:
+    """df with train: the first share of each class (rounded down) in the order of a salted hash of their key.
+
+    The same salt gives the same split on every run; rows without a class are left out.
+    """
+    size = df.groupBy(F.col(y).alias("_y")).agg(F.count("*").alias("_n"))
+    placed = _dealt(df, y, order, salt).join(size, F.col(y) == F.col("_y"))
+    return placed.withColumn("train", F.col("_place") < F.floor(F.col("_n") * F.lit(share))).select(*df.columns, "train")
+
+
+def standard_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
+    """columns less their mean, over their population deviation; a constant column becomes 0, nulls stay."""
+    stats = df.agg(*[f(c).alias(f"_{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+    value = lambda c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0)
+    return df.crossJoin(F.broadcast(stats)).withColumns({c: value(c) for c in columns}).select(*df.columns)
+
+
+def min_max_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
+    """columns moved and stretched to 0 to 1; a constant column becomes 0, nulls stay."""
+    stats = df.agg(*[f(F.col(c).cast("double")).alias(f"_{k}_{c}") for c in columns for k, f in (("a", F.min), ("b", F.max))])
+    span = lambda c: F.col(f"_b_{c}") - F.col(f"_a_{c}")
+    value = lambda c: (F.col(c) - F.col(f"_a_{c}")) / F.when(span(c) > 0, span(c)).otherwise(1.0)
+    return df.crossJoin(F.broadcast(stats)).withColumns({c: value(c) for c in columns}).select(*df.columns)
 
 
 def oversample(df: DataFrame, y: str) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import materialize
+from ..sources.storage import broadcast_if_small, materialize
+from . import cohort
 
 
 def vectors(df: DataFrame, columns: list[str] | None = None, array: str | None = None) -> DataFrame:
@@ -60,7 +61,7 @@ def balanced(df: DataFrame, y: str) -> DataFrame:
     n = df.groupBy(y).agg(F.count("*").alias("_n")).withColumnRenamed(y, "_y")
     total = n.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
     w = n.crossJoin(total).select("_y", (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("weight"))
-    return df.join(F.broadcast(w), F.col(y) == F.col("_y")).drop("_y")
+    return df.join(broadcast_if_small(w), F.col(y) == F.col("_y")).drop("_y")
 
 
 def random_forest(train: DataFrame, y: str, trees: int = 10, depth: int = 5, seed: int = 1):
@@ -129,6 +130,25 @@ def backward_elimination(fit, train: DataFrame, test: DataFrame, columns: list[s
     return train.sparkSession.createDataFrame(out, "n_features int, features array<string>, accuracy double")
 
 
+def repeated_scores(fit, data: DataFrame, columns: list[str], y: str, key: str, repeats: int = 100, share: float = 0.75) -> DataFrame:
+    """(score, mean, spread) of auc, accuracy, f1 and fm over repeated stratified splits of data, y being 0 or 1.
+
+    fit(train with features, y) gives a model with probabilities. Each repeat is one split by its own salt; one row of
+    scores a repeat reaches the driver.
+    """
+    rows = materialize(vectors(data.select(key, *columns, y), columns))
+    out = []
+    for k in range(repeats):
+        parts = cohort.stratified_split(rows, y, key, share, f"{k}:")
+        model = fit(parts.where("train").drop("train"), y)
+        tested = model.transform(parts.where("NOT train").drop("train"))
+        tested = tested.select(F.col(y).cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"), vector_to_array("probability")[1].alias("score"))
+        row = cohort.scores(tested).crossJoin(cohort.roc_auc(tested)).first()
+        out += [(c, None if row[c] is None else float(row[c])) for c in ("auc", "accuracy", "f1", "fm")]
+    each = data.sparkSession.createDataFrame(out, "score string, v double")
+    return each.groupBy("score").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("spread"))
+
+
 def pipeline(columns: list[str], y: str) -> Pipeline:
     """Assemble, scale and classify; save and load with MLlib's own writer."""
     return Pipeline(

@@ -197,3 +197,19 @@ def largest_group(df: DataFrame, group: str, key: str) -> DataFrame:
 def overlap_ratio(a: Column, b: Column) -> Column:
     """Sum of a where b is set, as a share of all of a."""
     return F.try_divide(F.sum(a * b), F.sum(a))
+
+
+def valid_scenes(scenes: DataFrame, valid: float) -> DataFrame:
+    """Scenes whose magnification, cut to a whole number, is the valid one's."""
+    return scenes.where(F.col("magnification").cast("int") == int(valid))
+
+
+def tissue_density(pixels: DataFrame, nuclei: DataFrame, keys: list[str], mm: float, magnification: float) -> DataFrame:
+    """(keys, fraction, nuclei, density) of superpixels: nuclei over their share of tissue times mm times magnification.
+
+    pixels: keys, tissue (boolean). A superpixel without nuclei has density 0; one without tissue divides by 1e-8.
+    """
+    share = pixels.groupBy(*keys).agg(F.avg(F.col("tissue").cast("int")).alias("fraction"))
+    found = nuclei.groupBy(*keys).agg(F.count("*").alias("nuclei"))
+    out = share.join(found, keys, "left").na.fill(0, ["nuclei"])
+    return out.withColumn("density", F.col("nuclei") / (F.col("fraction") * mm * magnification + 1e-8))

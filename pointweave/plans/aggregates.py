@@ -52,21 +52,43 @@ def detect_aggregates(nuclei: DataFrame, tiles: DataFrame, edge_range: float, mi
     return describe(aggregate_nodes(tables.density_input(nuclei, tiles), edge_range, min_nuclei))
 
 
-def threshold_sweep(density: DataFrame, thresholds: list[float], edge_range: float, min_nuclei: int) -> DataFrame:
-    """(threshold, n_threshold, n_clustered, n_total) in one plan: points are repeated for each threshold they pass.
+def threshold_sweep(density: DataFrame, thresholds: list[float], edge_range: float, min_nuclei: int, min_neighbours: int = 3) -> DataFrame:
+    """(threshold, n_threshold, n_clustered, n_total, ...) of all thresholds in one plan.
 
-    The threshold takes part in the keys of graph and components, so every setting runs at once.
+    The graph is made once, of the points over the least threshold: an edge carries its weaker end's density, and belongs
+    to the graphs of the thresholds below that. Degrees of all thresholds are counted in one pass. The components of all
+    thresholds are found at once; one long stands for a node and its threshold.
     """
     spark = density.sparkSession
     grid = F.broadcast(spark.createDataFrame([(i, t) for i, t in enumerate(thresholds)], "t int, threshold double"))
     total = density.count()
-    passing = materialize(density.crossJoin(grid).where(F.col("dtfe") > F.col("threshold")))
-    keyed = passing.withColumn("image_id", F.concat_ws("|", "image_id", "t"))
-    members = aggregate_nodes(keyed, edge_range, min_nuclei)
-    n = passing.groupBy("threshold").agg(F.count("*").alias("n_threshold"))
-    k = members.groupBy("threshold").agg(F.count("*").alias("n_clustered"))
+    passing = materialize(density.select("image_id", "nid", "x", "y", "dtfe").where(F.col("dtfe") > min(thresholds)))
+    edges = spatial.radius_edges(passing, edge_range).select("image_id", "src", "dst")
+    for c in ("src", "dst"):
+        end = passing.select("image_id", F.col("nid").alias(c), F.col("dtfe").alias(f"{c}_dtfe"))
+        edges = edges.join(end, ["image_id", c])
+    edges = materialize(edges.select("image_id", "src", "dst", F.least("src_dtfe", "dst_dtfe").alias("least")))
+    over = lambda v, i: F.count_if(F.col(v) > thresholds[i])
+    ends = edges.select("image_id", F.explode(F.array("src", "dst")).alias("nid"), "least")
+    every = range(len(thresholds))
+    degrees = ends.groupBy("image_id", "nid").agg(*[over("least", i).alias(f"d{i}") for i in every])
+    kept = degrees.select("image_id", "nid", F.filter(F.array(*[F.when(F.col(f"d{i}") >= min_neighbours, i) for i in every]), lambda i: i.isNotNull()).alias("ts"))
+    kept = materialize(kept.where(F.size("ts") > 0).select("image_id", "nid", "ts", F.monotonically_increasing_id().alias("node")))
+    for c in ("src", "dst"):
+        end = kept.select("image_id", F.col("nid").alias(c), F.col("ts").alias(f"{c}_ts"), F.col("node").alias(f"{c}_node"))
+        edges = edges.join(end, ["image_id", c])
+    # a node of threshold i is node * number of thresholds + i
+    n = len(thresholds)
+    both = F.filter(F.array_intersect("src_ts", "dst_ts"), lambda i: F.col("least") > F.element_at(F.array(*[F.lit(float(t)) for t in thresholds]), i + 1))
+    links = edges.select("src_node", "dst_node", F.explode(both).alias("t"))
+    links = materialize(links.select((F.col("src_node") * n + F.col("t")).alias("a"), (F.col("dst_node") * n + F.col("t")).alias("b")))
+    found = components.connected_components(links)
+    sizes = found.groupBy("parent").agg((F.count("*") + 1).alias("size")).where(F.col("size") >= min_nuclei)
+    clustered = sizes.groupBy((F.col("parent") % n).cast("int").alias("t")).agg(F.sum("size").alias("n_clustered"))
+    passed = passing.agg(*[over("dtfe", i).alias(f"n{i}") for i in every])
+    passed = passed.select(F.inline(F.array(*[F.struct(F.lit(i).alias("t"), F.col(f"n{i}").alias("n_threshold")) for i in every])))
     return (
-        grid.select("threshold").join(n, "threshold", "left").join(k, "threshold", "left").na.fill(0)
+        grid.join(passed, "t", "left").join(clustered, "t", "left").na.fill(0).select("threshold", "n_threshold", "n_clustered")
         .withColumn("n_total", F.lit(total)).withColumn("edge_range", F.lit(float(edge_range)))
         .withColumn("min_nuclei", F.lit(min_nuclei))
     )
