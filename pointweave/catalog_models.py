@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import cohort, ml, pixels, tables
+from .operators import cohort, delaunay, ml, pixels, shapes, tables
 from .sources import adapters as ad
-from .sources.storage import table
+from .sources.storage import materialize, table
 
 QUERIES: dict = {}
 
@@ -107,3 +107,40 @@ def tissue_density(spark, d):
     tissue = p.withColumn("tissue", (F.col("r") > 0) & (F.least("r", "g", "b") < 200))
     out = tables.tissue_density(tissue, nuclei, ["sy", "sx"], 0.016, 20)
     return out.select("sy", "sx", "nuclei", F.round("fraction", 9).alias("fraction"), F.round("density", 6).alias("density"))
+
+
+_HEIGHT = 10000
+_CHOSEN = f"""pick AS (SELECT label % 4 AS component, py, px FROM pix WHERE label > 0 AND label % 4 < 2 AND py <= {_HEIGHT} - 2 AND px <= {ad.PIX_WIDTH} - 2),
+  win AS (SELECT component, greatest(min(py), 1) - 1 AS r0, max(py) + 1 AS r1, greatest(min(px), 1) - 1 AS c0, max(px) + 1 AS c1 FROM pick GROUP BY 1)"""
+
+
+def _included(spark, d, mode):
+    """Aggregates of the discs whose labels leave 0 or 1 by four."""
+    mask = ad.pixels(spark, d).where("label > 0").select("py", "px", "label")
+    members = mask.where("label % 4 < 2").select((F.col("label") % 4).alias("component"), "label").distinct()
+    return shapes.included_pixels(mask, members, _HEIGHT, ad.PIX_WIDTH, mode)
+
+
+@query(f"WITH {ad.PIX}, {_CHOSEN} SELECT component, py, px, py - r0 AS row, px - c0 AS col FROM pick JOIN win USING (component)")
+def pixels_of_members(spark, d):
+    return _included(spark, d, "dtfe")
+
+
+@query(f"""WITH {ad.PIX}, {_CHOSEN} SELECT component, py, px, py - r0 AS row, px - c0 AS col FROM pix JOIN win ON py >= r0 AND py < r1 AND px >= c0 AND px < c1
+  WHERE label > 0""")
+def pixels_in_box(spark, d):
+    return _included(spark, d, "bbox")
+
+
+@query()
+def pixels_in_hull(spark, d):
+    return _included(spark, d, "convex")
+
+
+@query()
+def dtfe_grid_fitted(spark, d):
+    """Densities to a square of 256 pixels, so that the fitted grid is finer than one place a nucleus."""
+    p = materialize(ad.positions(ad.nuclei(spark, d)))
+    c = materialize(delaunay.with_corners(delaunay.delaunay(p), p))
+    per_square = materialize(delaunay.density(c).withColumn("dtfe", F.col("dtfe") * 65536))
+    return delaunay.gridded_to_fit(c, per_square).withColumn("density", F.round("density", 6))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialize
+from . import spatial
 from .raster import scales
 from .spatial import hull_edges
 
@@ -146,3 +148,40 @@ def aggregate_rows(pix: DataFrame, key: str, label: str, resolution: tuple[float
         F.col("num_major").alias("num_nuclei_major_axis"), F.col("num_minor").alias("num_nuclei_minor_axis"), F.col("dimension").alias("fractal_dimension"),
         "orientation", F.col("min_row").alias("bb_min_row"), F.col("min_col").alias("bb_min_col"), F.col("max_row").alias("bb_max_row"), F.col("max_col").alias("bb_max_col"),
     )
+
+
+def included_pixels(mask: DataFrame, members: DataFrame, height: int, width: int, mode: str = "dtfe", buffer: int = 1) -> DataFrame:
+    """(component, py, px, row, col): the pixels of nuclei that belong to each aggregate, and their place in its window.
+
+    mask: py, px, label of all nuclei of a slide of height x width; members: component, label. Pixels of members in the
+    last buffer rows and columns are left out; the others' box, grown by buffer but not over the slide's first pixel, is
+    the window, without its last row and column. Mode dtfe takes the members' pixels, bbox those of all nuclei in the
+    window, convex those of them in the convex hull of the members' pixels. A member without pixels adds none.
+    """
+    if mode not in ("dtfe", "convex", "bbox"):
+        raise ValueError(f"mode is dtfe, convex or bbox, not {mode}")
+    own = mask.join(members.select("component", "label").distinct(), "label").select("component", "py", "px")
+    own = own.where((F.col("py") <= height - buffer - 1) & (F.col("px") <= width - buffer - 1))
+    window = own.groupBy("component").agg(*[
+        f.alias(n) for k, n0 in (("py", "row"), ("px", "col"))
+        for n, f in ((f"_first_{n0}", F.greatest(F.min(k), F.lit(buffer)) - buffer), (f"_past_{n0}", F.max(k) + buffer))
+    ])
+    if mode == "dtfe":
+        found = own.distinct()
+    else:
+        at = mask.where("label > 0").select(F.lit(0).alias("image_id"), F.lit(0).alias("nid"), "px", "py")
+        box = window.select(F.lit(0).alias("image_id"), "component", F.col("_first_col").alias("min_x"), (F.col("_past_col") - 1).alias("max_x"),
+                            F.col("_first_row").alias("min_y"), (F.col("_past_row") - 1).alias("max_y"))
+        found = spatial.in_boxes(at.withColumnsRenamed({"px": "x", "py": "y"}), box).select("component", F.col("y").alias("py"), F.col("x").alias("px"))
+    if mode == "convex":
+        # pixels are taken by the middles of their sides, in halves
+        sides = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))])
+        middles = own.select("component", "py", "px", F.inline(sides)).select(
+            F.lit(0).alias("image_id"), "component", (F.col("px") * 2 + F.col("b")).alias("x"), (F.col("py") * 2 + F.col("a")).alias("y")
+        )
+        at = found.select("py", "px").distinct().select(F.lit(0).alias("image_id"), F.lit(0).alias("nid"), (F.col("px") * 2).alias("x"), (F.col("py") * 2).alias("y"))
+        held = spatial.in_hulls(at, materialize(middles)).select("component", F.expr("int(y div 2)").alias("py"), F.expr("int(x div 2)").alias("px"))
+        found = found.join(held, ["component", "py", "px"], "left_semi")
+    return found.join(window, "component").select(
+        "component", "py", "px", (F.col("py") - F.col("_first_row")).alias("row"), (F.col("px") - F.col("_first_col")).alias("col")
+    )

@@ -52,13 +52,14 @@ def edge_nodes(edges: DataFrame) -> DataFrame:
 
 
 def nearest_label(points: DataFrame, labelled: DataFrame, r: float) -> DataFrame:
-    """points (image_id, nid, x, y) with the label of the nearest labelled point within r, else 0; ties to the least nid."""
-    p = _cells(points, r)
-    p = p.select(*points.columns, _near(_AROUND).alias("c")).select(*points.columns, "c.cx", "c.cy")
+    """points (image_id, nid, x, y) with the label of the nearest labelled point within r, else 0; ties to the least nid.
+
+    Labelled points, as a rule the fewer, meet the cells around them; the others stay in their own.
+    """
+    p = _cells(points, r).withColumnsRenamed({"_cx": "cx", "_cy": "cy"})
     q = _cells(labelled, r).select(
-        "image_id", F.col("_cx").alias("cx"), F.col("_cy").alias("cy"), F.col("nid").alias("_n"), F.col("x").alias("_x"),
-        F.col("y").alias("_y"), "label",
-    )
+        "image_id", F.col("nid").alias("_n"), F.col("x").alias("_x"), F.col("y").alias("_y"), "label", _near(_AROUND).alias("c"),
+    ).select("image_id", "_n", "_x", "_y", "label", "c.cx", "c.cy")
     d2 = (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y"))
     near = (
         p.join(q, ["image_id", "cx", "cy"])

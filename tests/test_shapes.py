@@ -165,3 +165,44 @@ def test_normalised_pixels(spark):
     assert same.where("abs(r - r0) > 1 OR abs(g - g0) > 1 OR abs(b - b0) > 1").isEmpty()
     held = stains.normalize_stains(pix, basis, target, F.col("px") == 1).where("px = 1").first()
     assert abs(held["r"] - light(basis, amounts[1])[0]) < 1e-9
+
+
+@pytest.mark.parametrize("mode", ["dtfe", "bbox", "convex"])
+@pytest.mark.parametrize("buffer", [1, 2])
+def test_included_pixels_equal_loops(spark, mode, buffer):
+    rng = random.Random(8)
+    size = 24
+    places = {(y, x): rng.randrange(1, 6) for y in range(size) for x in range(size) if rng.random() < 0.4}
+    members = [(1, 1), (1, 2), (2, 4), (2, 4), (3, 99)]
+    want = set()
+    for k in (1, 2):
+        own = [p for p, label in places.items() if (k, label) in members and max(p) <= size - buffer - 1]
+        r0, c0 = (max(min(p[i] for p in own), buffer) - buffer for i in (0, 1))
+        r1, c1 = (max(p[i] for p in own) + buffer for i in (0, 1))
+        take = [p for p in places if r0 <= p[0] < r1 and c0 <= p[1] < c1]
+        if mode == "dtfe":
+            take = own
+        elif mode == "convex":
+            pts = sorted({(2 * y + a, 2 * x + b) for y, x in own for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))})
+            cross = lambda p, q, r: (q[1] - p[1]) * (r[0] - p[0]) - (q[0] - p[0]) * (r[1] - p[1])
+            sides = [(p, q) for p, q in itertools.permutations(pts, 2) if all(cross(p, q, r) >= 0 for r in pts)]
+            take = [p for p in take if all(cross(*e, (2 * p[0], 2 * p[1])) >= 0 for e in sides)]
+        want |= {(k, y, x, y - r0, x - c0) for y, x in take}
+    mask = spark.createDataFrame([(y, x, label) for (y, x), label in places.items()], "py int, px int, label int")
+    found = shapes.included_pixels(mask, spark.createDataFrame(members, "component int, label int"), size, size, mode, buffer).collect()
+    assert len(found) == len(want) and {tuple(r) for r in found} == want
+
+
+def test_fitted_grid_is_linear_and_reaches_the_ends(spark):
+    """Densities that are a plane over the square's corners come back at every place of the grid."""
+    at = [(0, 0), (90, 0), (0, 30), (90, 30), (45, 10)]
+    points = spark.createDataFrame([(1, k, x, y) for k, (x, y) in enumerate(at)], "image_id int, nid long, x long, y long")
+    dens = spark.createDataFrame([(1, k, 1.0 + x / 90 + y / 30) for k, (x, y) in enumerate(at)], "image_id int, nid long, dtfe double")
+    c = delaunay.with_corners(delaunay.delaunay(points), points)
+    values = [1.0 + x / 90 + y / 30 for x, y in at]
+    q = math.sqrt(float(np.median(values)) + 5 * float(np.std(values)))
+    f = delaunay.grid_sizes(c, dens).first()
+    assert (f["x_size"], f["y_size"]) == (int(q * 10 * 3), int(q * 10))
+    got = {(r["gi"], r["gj"]): r["density"] for r in delaunay.gridded_to_fit(c, dens).collect()}
+    assert len(got) == f["x_size"] * f["y_size"]
+    assert all(v == pytest.approx(1 + i / (f["x_size"] - 1) + j / (f["y_size"] - 1)) for (i, j), v in got.items())
