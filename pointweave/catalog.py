@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_cohort, catalog_detection, catalog_models, catalog_points, catalog_raster, catalog_shapes
+from . import catalog_cohort, catalog_detection, catalog_metadata, catalog_models, catalog_points, catalog_raster, catalog_shapes
 from .plans import aggregates
 from .sources import adapters
 
@@ -14,7 +14,7 @@ def flagship(spark, sf_dir):
 
 
 def _all() -> dict:
-    parts = catalog_points, catalog_raster, catalog_cohort, catalog_detection, catalog_shapes, catalog_models
+    parts = catalog_points, catalog_raster, catalog_cohort, catalog_detection, catalog_shapes, catalog_models, catalog_metadata
     return {name: q for part in parts for name, q in part.QUERIES.items()}
 
 
