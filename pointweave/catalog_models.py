@@ -144,3 +144,72 @@ def dtfe_grid_fitted(spark, d):
     c = materialize(delaunay.with_corners(delaunay.delaunay(p), p))
     per_square = materialize(delaunay.density(c).withColumn("dtfe", F.col("dtfe") * 65536))
     return delaunay.gridded_to_fit(c, per_square).withColumn("density", F.round("density", 6))
+
+
+_SLIDES = """slides AS (SELECT o_orderkey AS id, (o_orderkey % 7) / 8.0::DOUBLE AS avg_tissue_per_tile, o_custkey % 40 AS num_tiles, o_orderkey % 991 AS original_num_nuclei,
+  o_orderkey % 313 AS num_nuclei_total, o_orderkey % 307 AS num_nuclei_dtfe_only, o_orderkey % 4001 AS num_pixels_cluster, o_orderkey % 211 AS num_nuclei_cluster,
+  o_orderkey % 19 AS num_clusters, 1 + (o_orderkey % 9) / 16.0::DOUBLE AS bc_frac_dim_dtfe_wsi, (o_custkey % 9) / 8.0::DOUBLE AS bc_frac_dim_full_wsi FROM orders)"""
+_TO_TISSUE = {"nuclei_density": "original_num_nuclei", "nuclei_density_aggregates": "num_nuclei_total", "nuclei_density_dtfe": "num_nuclei_dtfe_only",
+              "norm_pixels_max_cluster": "num_pixels_cluster", "norm_nuclei_max_cluster": "num_nuclei_cluster", "norm_num_clusters": "num_clusters",
+              "norm_bc_frac_dim_dtfe_wsi": "bc_frac_dim_dtfe_wsi"}
+
+
+@query(f"WITH {_SLIDES}, t AS (SELECT *, avg_tissue_per_tile * num_tiles AS total_tissue FROM slides) SELECT id, round(total_tissue, 6) AS total_tissue, "
+       + ", ".join(f"round({c} / nullif(total_tissue, 0), 6) AS {n}" for n, c in _TO_TISSUE.items())
+       + ", round(bc_frac_dim_dtfe_wsi / nullif(bc_frac_dim_full_wsi, 0), 6) AS bc_frac_dim_wsi_ratio FROM t")
+def slide_ratios(spark, d):
+    key = lambda n: F.col("o_orderkey") % n
+    o = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), (key(7) / 8.0).alias("avg_tissue_per_tile"), (F.col("o_custkey") % 40).alias("num_tiles"),
+        key(991).alias("original_num_nuclei"), key(313).alias("num_nuclei_total"), key(307).alias("num_nuclei_dtfe_only"), key(4001).alias("num_pixels_cluster"),
+        key(211).alias("num_nuclei_cluster"), key(19).alias("num_clusters"), (1 + key(9) / 16.0).alias("bc_frac_dim_dtfe_wsi"),
+        (F.col("o_custkey") % 9 / 8.0).alias("bc_frac_dim_full_wsi"),
+    )
+    names = ["total_tissue", *_TO_TISSUE, "bc_frac_dim_wsi_ratio"]
+    return cohort.slide_ratios(o).select("id", *[F.round(c, 6).alias(c) for c in names])
+
+
+@query(f"""WITH {ad.NUC}, {ad.TILES} SELECT n.image_id, nid, row_number() OVER (PARTITION BY n.image_id ORDER BY nid) AS slide_label FROM nuc n
+  JOIN tiles t ON t.image_id = n.image_id AND tile_row = y // 1024 AND tile_col = x // 1024 WHERE tissue > 0.25""")
+def slide_labels(spark, d):
+    n = ad.nuclei(spark, d)
+    kept = tables.density_input(n, ad.tiles(n)).select("image_id", "nid")
+    return tables.numbered(kept, ["image_id"], "nid", "slide_label")
+
+
+@query(f"""WITH {ad.NUC}, {ad.TILES}, k AS (SELECT * FROM tiles WHERE tissue > 0.25 AND num_nuclei > 5), c AS (
+    SELECT image_id, avg(num_nuclei / (tissue * 0.25)) AS a, var_samp(num_nuclei / (tissue * 0.25)) AS v FROM k GROUP BY 1),
+  f AS (SELECT n.image_id, avg(m.area / 1000) AS a, var_samp(m.area / 1000) AS v FROM nuc n JOIN k ON k.image_id = n.image_id AND tile_row = n.y // 1024 AND tile_col = n.x // 1024
+    JOIN nuc m ON m.image_id = n.image_id AND m.x = n.x AND m.y = n.y GROUP BY 1)
+  SELECT c.image_id, round(c.a, 6) AS avg_nuclei_density, round(c.v, 6) AS var_nuclei_density, round(f.a, 9) AS avg_dtfe, round(f.v, 9) AS var_dtfe FROM c LEFT JOIN f USING (image_id)""")
+def subject_statistics(spark, d):
+    """A nucleus' area stands for its density, which SQL cannot triangulate."""
+    n = ad.nuclei(spark, d)
+    field = n.select("image_id", F.col("x") + 0.02, F.col("y") - 0.02, F.col("area") / 1000).toDF("image_id", "x", "y", "dtfe")
+    out = tables.subject_statistics(ad.tiles(n), tables.with_tile(n), field, 0.5, 0.25, 5)
+    return out.select("image_id", *[F.round(c, k).alias(c) for c, k in (("avg_nuclei_density", 6), ("var_nuclei_density", 6), ("avg_dtfe", 9), ("var_dtfe", 9))])
+
+
+@query("SELECT c_custkey, n_nationkey, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def strict_lookup(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    return tables.lookup(c, table(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey")
+
+
+@query("""SELECT id, coalesce(n, 0) AS n, coalesce(total, 0) AS total, coalesce(least, 0) AS least FROM (SELECT o_custkey % 50 AS id, count(*) AS n FROM orders WHERE o_custkey % 50 < 40 GROUP BY 1) a
+  FULL JOIN (SELECT p_partkey % 60 AS id, sum(p_size)::BIGINT AS total FROM part WHERE p_partkey % 60 > 20 GROUP BY 1) b USING (id)
+  FULL JOIN (SELECT s_suppkey % 70 AS id, min(s_nationkey) AS least FROM supplier GROUP BY 1) c USING (id)""")
+def aligned_features(spark, d):
+    o, p, s = table(spark, d, "orders"), table(spark, d, "part"), table(spark, d, "supplier")
+    parts = [
+        o.groupBy((F.col("o_custkey") % 50).alias("id")).agg(F.count("*").alias("n")).where("id < 40"),
+        p.groupBy((F.col("p_partkey") % 60).alias("id")).agg(F.sum("p_size").alias("total")).where("id > 20"),
+        s.groupBy((F.col("s_suppkey") % 70).alias("id")).agg(F.min("s_nationkey").alias("least")),
+    ]
+    return tables.aligned(parts, "id")
+
+
+@query("SELECT c_custkey AS id, c_name || c_mktsegment AS name FROM customer")
+def one_line_texts(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias(" id\n"), F.concat("c_name", F.lit("\r\n"), "c_mktsegment", F.lit("\n")).alias("na\nme "))
+    return tables.one_line(c)

@@ -22,6 +22,22 @@ def scene_features(rows: DataFrame) -> DataFrame:
     )
 
 
+def slide_ratios(rows: DataFrame) -> DataFrame:
+    """Rows of slides with their tissue and the eight measures that are relative to it or to the whole slide.
+
+    A quotient by zero is missing.
+    """
+    q = lambda a, b: F.try_divide(F.col(a), F.col(b))
+    rows = rows.withColumn("total_tissue", F.col("avg_tissue_per_tile") * F.col("num_tiles"))
+    to_tissue = {
+        "nuclei_density": "original_num_nuclei", "nuclei_density_aggregates": "num_nuclei_total", "nuclei_density_dtfe": "num_nuclei_dtfe_only",
+        "norm_pixels_max_cluster": "num_pixels_cluster", "norm_nuclei_max_cluster": "num_nuclei_cluster", "norm_num_clusters": "num_clusters",
+        "norm_bc_frac_dim_dtfe_wsi": "bc_frac_dim_dtfe_wsi",
+    }
+    ratios = {name: q(c, "total_tissue") for name, c in to_tissue.items()}
+    return rows.withColumns({**ratios, "bc_frac_dim_wsi_ratio": q("bc_frac_dim_dtfe_wsi", "bc_frac_dim_full_wsi")})
+
+
 def scene_union(parts: dict[str, DataFrame], summary: DataFrame, on: list[str]) -> DataFrame:
     """Aggregate tables of several projects, each left-joined with its scenes' summary, tagged and filled with 0."""
     out = None

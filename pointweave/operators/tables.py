@@ -213,3 +213,60 @@ def tissue_density(pixels: DataFrame, nuclei: DataFrame, keys: list[str], mm: fl
     found = nuclei.groupBy(*keys).agg(F.count("*").alias("nuclei"))
     out = share.join(found, keys, "left").na.fill(0, ["nuclei"])
     return out.withColumn("density", F.col("nuclei") / (F.col("fraction") * mm * magnification + 1e-8))
+
+
+def numbered(df: DataFrame, keys: list[str], order: str, name: str, cuts: int = 64) -> DataFrame:
+    """df with name, 1 to N in the order of a numeric column within each group; equal values take any order.
+
+    Rows are numbered within ranges of the column whose sizes are summed before, so no group is ordered in one task;
+    where the ranges are cut changes nothing. Keys may be null and form a group of their own.
+    """
+    edges = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.percentile_approx(order, [i / cuts for i in range(1, cuts)]).alias("_cuts"))
+    ranged = df.join(edges, [df[k].eqNullSafe(edges[f"_{k}"]) for k in keys])
+    ranged = ranged.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).select(*df.columns, "_range")
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(*keys, "_range").count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    starts = starts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_in"), "_start")
+    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order)) + F.col("_start")
+    placed = ranged.join(starts, [*[ranged[k].eqNullSafe(starts[f"_{k}"]) for k in keys], ranged["_range"] == starts["_in"]])
+    return placed.withColumn(name, place.cast("long")).select(*df.columns, name)
+
+
+def subject_statistics(tiles: DataFrame, nuclei: DataFrame, dtfe: DataFrame, side: float, tissue: float, least: int) -> DataFrame:
+    """One row for each image: mean and sample variance of the nuclei to a unit of tissue and of the density field.
+
+    tiles: image_id, tile_row, tile_col, num_nuclei, tissue; only those over tissue and least count, side is a tile's
+    length. nuclei: image_id, tile_row, tile_col, x, y; dtfe: image_id, x, y, dtfe. Nuclei of such tiles meet their
+    density by place to one digit, where several meet all count. Images without such tiles have no row.
+    """
+    kept = tiles.where((F.col("tissue") > tissue) & (F.col("num_nuclei") > least))
+    density = F.col("num_nuclei") / (F.col("tissue") * side * side)
+    counts = kept.groupBy("image_id").agg(F.avg(density).alias("avg_nuclei_density"), F.var_samp(density).alias("var_nuclei_density"))
+    inside = nuclei.join(kept.select("image_id", "tile_row", "tile_col"), ["image_id", "tile_row", "tile_col"], "left_semi")
+    fields = join_positions(inside.select("image_id", "x", "y"), dtfe.select("image_id", "x", "y", "dtfe"), ["image_id"], 1)
+    fields = fields.groupBy("image_id").agg(F.avg("dtfe").alias("avg_dtfe"), F.var_samp("dtfe").alias("var_dtfe"))
+    return counts.join(fields, "image_id", "left")
+
+
+def lookup(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """df with the columns of known; the query fails at a key that known does not have, null included."""
+    found = df.join(known.withColumn("_known", F.lit(True)), key, "left")
+    miss = F.raise_error(F.concat(F.lit(f"no row for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return found.where(F.when(F.col("_known"), True).otherwise(miss.cast("boolean"))).drop("_known")
+
+
+def aligned(parts: list[DataFrame], key: str) -> DataFrame:
+    """Columns of all parts beside each other, one row for each key of any; numbers that a part lacks are 0."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, key, "full")
+    return out.na.fill(0)
+
+
+def one_line(df: DataFrame) -> DataFrame:
+    """df without line breaks in texts and column names; names without blanks at their ends."""
+    breaks = "[\\r\\n]+"
+    texts = {c for c, t in df.dtypes if t == "string"}
+    tidy = lambda c: c.replace("\r", "").replace("\n", "").strip()
+    value = lambda c: F.regexp_replace(f"`{c}`", breaks, "") if c in texts else F.col(f"`{c}`")
+    return df.select(*[value(c).alias(tidy(c)) for c in df.columns])

@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from pointweave.operators import cohort, ml, pixels
+from pointweave.operators import cohort, ml, pixels, tables
 
 
 def test_areas_do_not_depend_on_cuts(spark):
@@ -71,3 +71,21 @@ def test_pixel_classifier_survives_saving(spark, tmp_path):
     places = lambda m, area: sorted((r["py"], r["px"]) for r in pixels.marked_regions(pix, m, area).collect())
     assert places(model, 4) == places(again, 4) == [(y, x) for y in range(6) for x in range(6)]
     assert len(places(again, 3)) == 40 and places(again, 36) == []
+
+
+def test_numbers_do_not_depend_on_cuts(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 1, 1, 2, None]), v) for v in rng.sample(range(-500, 500), 300)]
+    df = spark.createDataFrame(rows, "g int, v long")
+    want = {(g, v): 1 + sum(g == h and w < v for h, w in rows) for g, v in rows}
+    for cuts in (2, 7, 64):
+        assert {(r["g"], r["v"]): r["n"] for r in tables.numbered(df, ["g"], "v", "n", cuts).collect()} == want
+
+
+def test_lookup_fails_at_a_miss(spark):
+    known = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    rows = lambda ks: sorted(tuple(r) for r in tables.lookup(spark.createDataFrame([(k,) for k in ks], "k int"), known, "k").collect())
+    assert rows([2, 1, 1]) == [(1, "a"), (1, "a"), (2, "b")]
+    for missing in (3, None):
+        with pytest.raises(Exception, match="no row for k"):
+            rows([1, missing])
