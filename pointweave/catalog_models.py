@@ -141,7 +141,7 @@ def pixels_in_hull(spark, d):
 def dtfe_grid_fitted(spark, d):
     """Densities to a square of 256 pixels, so that the fitted grid is finer than one place a nucleus."""
     p = materialize(ad.positions(ad.nuclei(spark, d)))
-    c = materialize(delaunay.with_corners(delaunay.delaunay(p), p))
+    c = materialize(delaunay.delaunay_corners(p))
     per_square = materialize(delaunay.density(c).withColumn("dtfe", F.col("dtfe") * 65536))
     return delaunay.gridded_to_fit(c, per_square).withColumn("density", F.round("density", 6))
 
