@@ -5,22 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import components, spatial, tables
+from ..operators import spatial, tables
 from ..sources.storage import materialize
 
 
 def aggregate_nodes(points: DataFrame, edge_range: float, min_nuclei: int, min_neighbours: int = 3) -> DataFrame:
     """Points (image_id, nid, x, y, ...) with component, of the components with enough nuclei.
 
-    Radius graph, one pruning pass, connected components, size filter. The pruned graph is written once: nodes and
-    components both come from it.
+    Radius graph, one pruning pass, connected components, size filter. The graph's edges, which grow with the density,
+    are never made: squares within the range stand for their points. A point without a link is no component.
     """
-    edges = materialize(spatial.prune(spatial.radius_edges(points, edge_range), min_neighbours))
-    nodes = points.join(spatial.edge_nodes(edges), ["image_id", "nid"], "left_semi")
-    labelled = components.label_nodes(nodes, edges)
-    key = ["image_id", "component"]
-    large = labelled.groupBy(*key).count().where(F.col("count") >= min_nuclei).select(*key)
-    return labelled.join(large, key, "left_semi")
+    kept = materialize(spatial.well_linked(points, edge_range, min_neighbours))
+    return spatial.label_linked(kept, edge_range, max(min_nuclei, 2))
 
 
 def describe(members: DataFrame) -> DataFrame:
@@ -55,36 +51,20 @@ def detect_aggregates(nuclei: DataFrame, tiles: DataFrame, edge_range: float, mi
 def threshold_sweep(density: DataFrame, thresholds: list[float], edge_range: float, min_nuclei: int, min_neighbours: int = 3) -> DataFrame:
     """(threshold, n_threshold, n_clustered, n_total, ...) of all thresholds in one plan.
 
-    The graph is made once, of the points over the least threshold: an edge carries its weaker end's density, and belongs
-    to the graphs of the thresholds below that. Degrees of all thresholds are counted in one pass. The components of all
-    thresholds are found at once; one long stands for a node and its threshold.
+    An image under a threshold counts as an image of its own, so the components of all are found at once.
     """
     spark = density.sparkSession
     grid = F.broadcast(spark.createDataFrame([(i, t) for i, t in enumerate(thresholds)], "t int, threshold double"))
     total = density.count()
     passing = materialize(density.select("image_id", "nid", "x", "y", "dtfe").where(F.col("dtfe") > min(thresholds)))
-    edges = spatial.radius_edges(passing, edge_range).select("image_id", "src", "dst")
-    for c in ("src", "dst"):
-        end = passing.select("image_id", F.col("nid").alias(c), F.col("dtfe").alias(f"{c}_dtfe"))
-        edges = edges.join(end, ["image_id", c])
-    edges = materialize(edges.select("image_id", "src", "dst", F.least("src_dtfe", "dst_dtfe").alias("least")))
     over = lambda v, i: F.count_if(F.col(v) > thresholds[i])
-    ends = edges.select("image_id", F.explode(F.array("src", "dst")).alias("nid"), "least")
     every = range(len(thresholds))
-    degrees = ends.groupBy("image_id", "nid").agg(*[over("least", i).alias(f"d{i}") for i in every])
-    kept = degrees.select("image_id", "nid", F.filter(F.array(*[F.when(F.col(f"d{i}") >= min_neighbours, i) for i in every]), lambda i: i.isNotNull()).alias("ts"))
-    kept = materialize(kept.where(F.size("ts") > 0).select("image_id", "nid", "ts", F.monotonically_increasing_id().alias("node")))
-    for c in ("src", "dst"):
-        end = kept.select("image_id", F.col("nid").alias(c), F.col("ts").alias(f"{c}_ts"), F.col("node").alias(f"{c}_node"))
-        edges = edges.join(end, ["image_id", c])
-    # a node of threshold i is node * number of thresholds + i
-    n = len(thresholds)
-    both = F.filter(F.array_intersect("src_ts", "dst_ts"), lambda i: F.col("least") > F.element_at(F.array(*[F.lit(float(t)) for t in thresholds]), i + 1))
-    links = edges.select("src_node", "dst_node", F.explode(both).alias("t"))
-    links = materialize(links.select((F.col("src_node") * n + F.col("t")).alias("a"), (F.col("dst_node") * n + F.col("t")).alias("b")))
-    found = components.connected_components(links)
-    sizes = found.groupBy("parent").agg((F.count("*") + 1).alias("size")).where(F.col("size") >= min_nuclei)
-    clustered = sizes.groupBy((F.col("parent") % n).cast("int").alias("t")).agg(F.sum("size").alias("n_clustered"))
+    each = F.explode(F.array_compact(F.array(*[F.when(F.col("dtfe") > thresholds[i], F.lit(i)) for i in every])))
+    each = passing.where("image_id IS NOT NULL").select("image_id", "nid", "x", "y", each.alias("t"))
+    kept = materialize(spatial.well_linked(each.select(F.struct("image_id", "t").alias("image_id"), "nid", "x", "y"), edge_range, min_neighbours))
+    sizes = spatial.label_squares(kept, edge_range).groupBy("image_id", "component").agg(F.sum("n").alias("size"))
+    sizes = sizes.where(F.col("size") >= max(min_nuclei, 2))
+    clustered = sizes.groupBy(F.col("image_id.t").alias("t")).agg(F.sum("size").alias("n_clustered"))
     passed = passing.agg(*[over("dtfe", i).alias(f"n{i}") for i in every])
     passed = passed.select(F.inline(F.array(*[F.struct(F.lit(i).alias("t"), F.col(f"n{i}").alias("n_threshold")) for i in every])))
     return (

@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from pointweave.operators import delaunay
+from pointweave.operators import components, delaunay, spatial
+from pointweave.plans import aggregates
 
 
 @pytest.mark.parametrize("width", [60, 300, 8192])
@@ -26,3 +28,35 @@ def test_cells_with_margins_change_nothing(spark):
     corners = delaunay.delaunay_corners(points, 32)
     assert sorted((r["image_id"], r["a"], r["b"], r["c"]) for r in corners.collect()) == want
     assert all((r["bx"], r["by"]) == tuple(at[r["b"]]) for r in corners.limit(50).collect())
+
+
+def _cloud(spark, n, width, seed=3):
+    rows = np.random.default_rng(seed).integers(0, width, (n, 2)).tolist()
+    return spark.createDataFrame([(k % 2, k, a, b) for k, (a, b) in enumerate(rows)], "image_id int, nid long, x long, y long")
+
+
+@pytest.mark.parametrize("width", [150, 900])
+def test_components_and_clusters_without_edges(spark, width):
+    """Dense and sparse clouds with copies of positions: squares give what the table of edges gives."""
+    p = _cloud(spark, 300, width).localCheckpoint()
+    edges = spatial.prune(spatial.radius_edges(p, 100)).localCheckpoint()
+    kept = spatial.well_linked(p, 100, 3).localCheckpoint()
+    ends = spatial.radius_edges(kept, 100).select("image_id", "src", "dst")
+    assert sorted(map(tuple, ends.collect())) == sorted(map(tuple, edges.select("image_id", "src", "dst").collect()))
+    want = components.label_nodes(spatial.edge_nodes(edges), edges)
+    got = aggregates.aggregate_nodes(p, 100, 2)
+    columns = ["image_id", "nid", "component"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    old, new = components.spanning_forest(edges), delaunay.spanning_forest(kept.select("image_id", "nid", "x", "y"), 100)
+    assert new.count() == old.count()
+    weights = [df.agg(F.sum("weight")).first()[0] or 0.0 for df in (old, new)]
+    assert abs(weights[0] - weights[1]) < 1e-6 * (1 + weights[0])
+
+
+def test_aggregates_make_no_edges(spark, monkeypatch):
+    """The edges of a dense image are far more than its points."""
+    monkeypatch.setattr(spatial, "radius_edges", None)
+    p = _cloud(spark, 400, 150).withColumn("dtfe", F.col("nid").cast("double"))
+    assert aggregates.aggregate_nodes(p, 100, 10).count() == 400
+    assert [r["n_clustered"] for r in aggregates.threshold_sweep(p, [-1.0, 199.0], 100, 10).orderBy("threshold").collect()] == [400, 200]
+    assert spatial.dbscan(p, 100, 5).where("cluster IS NOT NULL").count() == 400
