@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import kurtosis, skewness
+from ..sources.storage import broadcast_if_small, materialize
 
 TILE_KEYS = ["image_id", "tile_row", "tile_col"]
 
@@ -215,19 +216,20 @@ def tissue_density(pixels: DataFrame, nuclei: DataFrame, keys: list[str], mm: fl
     return out.withColumn("density", F.col("nuclei") / (F.col("fraction") * mm * magnification + 1e-8))
 
 
-def numbered(df: DataFrame, keys: list[str], order: str, name: str, cuts: int = 64) -> DataFrame:
-    """df with name, 1 to N in the order of a numeric column within each group; equal values take any order.
+def numbered(df: DataFrame, keys: list[str], order: str, name: str, cuts: int = 64, then: tuple[str, ...] = ()) -> DataFrame:
+    """df with name, 1 to N in the order of a numeric column and the columns then within each group; equal rows take any order.
 
     Rows are numbered within ranges of the column whose sizes are summed before, so no group is ordered in one task;
     where the ranges are cut changes nothing. Keys may be null and form a group of their own.
     """
     edges = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.percentile_approx(order, [i / cuts for i in range(1, cuts)]).alias("_cuts"))
+    edges = broadcast_if_small(materialize(edges), 10_000)
     ranged = df.join(edges, [df[k].eqNullSafe(edges[f"_{k}"]) for k in keys])
     ranged = ranged.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).select(*df.columns, "_range")
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy(*keys, "_range").count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    starts = starts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_in"), "_start")
-    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order)) + F.col("_start")
+    starts = broadcast_if_small(materialize(starts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_in"), "_start")), 100_000)
+    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order, *then)) + F.col("_start")
     placed = ranged.join(starts, [*[ranged[k].eqNullSafe(starts[f"_{k}"]) for k in keys], ranged["_range"] == starts["_in"]])
     return placed.withColumn(name, place.cast("long")).select(*df.columns, name)
 

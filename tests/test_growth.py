@@ -60,3 +60,15 @@ def test_aggregates_make_no_edges(spark, monkeypatch):
     assert aggregates.aggregate_nodes(p, 100, 10).count() == 400
     assert [r["n_clustered"] for r in aggregates.threshold_sweep(p, [-1.0, 199.0], 100, 10).orderBy("threshold").collect()] == [400, 200]
     assert spatial.dbscan(p, 100, 5).where("cluster IS NOT NULL").count() == 400
+
+
+def test_nuclei_are_numbered_without_one_window_of_an_image(spark):
+    from pointweave.sources import adapters
+    from tests.compare import SF
+
+    n = adapters.nuclei(spark, SF)
+    plan = n._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line and "row_number()" in line]
+    assert windows and all("_range" in line for line in windows)
+    ids = [r[0] for r in n.where("image_id = 3").select("nid").collect()]
+    assert sorted(ids) == list(range(1, len(ids) + 1))
