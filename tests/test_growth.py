@@ -82,3 +82,18 @@ def test_lines_need_no_table_of_samples(spark):
     assert len(found) == len(want) and set(found) == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Aggregate")
+
+
+def test_nearest_labels_of_dense_and_far_points(spark):
+    """Dense labels on one side make the search begin near; the far points still find theirs, or none."""
+    rng = np.random.default_rng(8)
+    lab = [(1, 1000 + k, a, b, k % 7 + 2) for k, (a, b) in enumerate(rng.integers(0, 120, (500, 2)).tolist())]
+    pts = [(1, k, a, b) for k, (a, b) in enumerate(rng.integers(0, 260, (60, 2)).tolist())]
+    got = spatial.nearest_label(
+        spark.createDataFrame(pts, "image_id int, nid long, x long, y long"),
+        spark.createDataFrame(lab, "image_id int, nid long, x long, y long, label int"), 100,
+    )
+    found = {r["nid"]: r["label"] for r in got.collect()}
+    for _, k, x, y in pts:
+        d2, _, label = min(((x - a) ** 2 + (y - b) ** 2, n, v) for _, n, a, b, v in lab)
+        assert found[k] == (label if d2 <= 10000 else 0)
