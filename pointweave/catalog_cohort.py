@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import scalar
 from .operators import cohort, ml, tables
 from .sources import adapters as ad
-from .sources.storage import broadcast_if_small, closed_ring, geojson_feature, materialize, table
+from .sources.storage import closed_ring, geojson_feature, materialize, table
 
 QUERIES: dict = {}
 
@@ -187,8 +187,7 @@ def knn_predict(spark, d):
     e = materialize(table(spark, d, "embeddings").select("vec_id", "label", v.alias("v")))
     q = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q_id"), F.col("v").alias("qv"))
     b = e.select(F.col("vec_id").alias("b_id"), "label", "v")
-    d2 = F.aggregate(F.zip_with("qv", "v", lambda a, c: (a - c) * (a - c)), F.lit(0).cast("long"), lambda a, x: a + x)
-    votes = knn(q, broadcast_if_small(b), 5, d2).groupBy("q_id", "label").agg(F.count("*").alias("n"))
+    votes = knn(q, b, 5).groupBy("q_id", "label").agg(F.count("*").alias("n"))
     return votes.groupBy("q_id").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("pred"))
 
 

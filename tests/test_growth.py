@@ -97,3 +97,18 @@ def test_nearest_labels_of_dense_and_far_points(spark):
     for _, k, x, y in pts:
         d2, _, label = min(((x - a) ** 2 + (y - b) ** 2, n, v) for _, n, a, b, v in lab)
         assert found[k] == (label if d2 <= 10000 else 0)
+
+
+def test_nearest_vectors_in_blocks(spark):
+    """Ties, copies, a null and a short vector; small blocks and large numbers change nothing, and no pair is a row."""
+    rng = np.random.default_rng(4)
+    for scale in (1, 10**8):
+        rows = [(k, (rng.integers(-3, 4, 3) * scale).tolist()) for k in range(60)] + [(60, None), (61, [1, 2])]
+        base = spark.createDataFrame([(k, k % 3, v) for k, v in rows], "b_id long, label int, v array<long>")
+        asked = base.where("b_id % 5 = 0").selectExpr("b_id q_id", "v qv")
+        away = lambda a, b: sum((p - q) ** 2 for p, q in zip(a, b)) if a and b and len(a) == len(b) == 3 else float("inf")
+        want = {(q, b, b % 3, r) for q, v in rows if q % 5 == 0 for r, (_, b) in enumerate(sorted((away(v, w), b) for b, w in rows if b != q)[:4], 1)}
+        for block in (7, 8192):
+            got = spatial.knn(asked, base, 4, block)
+            assert {(r["q_id"], r["b_id"], r["label"], r["rank"]) for r in got.collect()} == want
+            assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
