@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..sources.storage import materialize
+from ..sources.storage import broadcast_if_small, materialize
 from . import cohort, raster
 
 COLOURS = ["r", "g", "b", "h", "s", "v"]
@@ -48,7 +48,7 @@ def large_regions(fg: DataFrame, area: float) -> DataFrame:
     """(py, px, component) of the four-connected regions of fg (py, px) that are larger than area pixels."""
     labelled = materialize(raster.label_components(fg.select("py", "px")))
     large = labelled.groupBy("component").count().where(F.col("count") > area).select("component")
-    return labelled.join(large, "component", "left_semi").select("py", "px", "component")
+    return labelled.join(broadcast_if_small(materialize(large)), "component", "left_semi").select("py", "px", "component")
 
 
 def marked_regions(tissue: DataFrame, model, area: float) -> DataFrame:

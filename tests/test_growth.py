@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointweave.operators import components, delaunay, spatial, stains
+from pointweave.operators import components, delaunay, raster, spatial, stains
 from pointweave.plans import aggregates
 
 
@@ -112,3 +112,36 @@ def test_nearest_vectors_in_blocks(spark):
             got = spatial.knn(asked, base, 4, block)
             assert {(r["q_id"], r["b_id"], r["label"], r["rank"]) for r in got.collect()} == want
             assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("offsets", [raster.FOUR, raster.EIGHT])
+def test_labels_cross_tiles(spark, monkeypatch, offsets):
+    """Speckle, snakes and classes over many small tiles, also below zero, against a flood of the whole."""
+    monkeypatch.setattr(raster, "LABEL_TILE", 5)
+    free = np.random.default_rng(6).random((30, 26)) < 0.55
+    free[::4] = True
+    places = {(a - 9, b - 7): int(a > 20) for a, b in np.argwhere(free).tolist()}
+    want = {}
+    for s in sorted(places):
+        todo = [] if s in want else [s]
+        want.setdefault(s, s)
+        while todo:
+            a, b = todo.pop()
+            near = [q for da, db in offsets if (q := (a + da, b + db)) not in want and places.get(q) == places[a, b]]
+            want.update(dict.fromkeys(near, want[s]))
+            todo += near
+    fg = spark.createDataFrame([(a, b, k) for (a, b), k in places.items()], "py int, px int, k int")
+    got = raster.label_components(fg, offsets, by="k").collect()
+    assert len(got) == len(places) and {(r["py"], r["px"]): tuple(r["component"]) for r in got} == want
+
+
+def test_fragments_far_down_a_tall_raster(spark, tmp_path):
+    """The number of a component at row 30,000 is beyond an int; pixels meet without a broadcast of them."""
+    from pointweave import catalog
+
+    spark.range(30000 * 125, 30050 * 125).select(F.col("id").alias("o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    for name in ("tissue_fragments", "raster_components"):
+        rows = catalog.queries()[name](spark, str(tmp_path)).select("component").collect()
+        assert rows and min(r["component"] for r in rows) >= 3_000_000_000
+    fg = spark.range(50).selectExpr("int(id) py", "int(id) px")
+    assert "BroadcastHashJoin" not in raster.erode_within(fg, fg)._jdf.queryExecution().executedPlan().toString()
