@@ -167,3 +167,22 @@ def test_superpixels_copy_no_pixel(spark):
         at = {p: min((away(p, seeds[k]), *k) for a in (-1, 0, 1) for b in (-1, 0, 1) if (k := (p[0] // 6 + a, p[1] // 6 + b)) in seeds)[1:] for p in rows}
     assert {(r["py"], r["px"]): tuple(r["spx"]) for r in got.collect()} == {p[:2]: k for p, k in before.items()}
     assert "min_by" not in _plan(got)
+
+
+def test_bilinear_joins_no_table_of_places(spark):
+    rng = np.random.default_rng(2)
+    rows = [(y, x, int(rng.integers(0, 9)) if (y + x) % 6 else None) for y in range(7) for x in range(9) if (y * x) % 5 != 1]
+    pix, v = spark.createDataFrame(rows, "py int, px int, v int"), {(y, x): p for y, x, p in rows}
+    for m, n in ((3, 4), (14, 20), (7, 9), (40, 1)):
+        want = {}
+        for i in range(m):
+            for j in range(n):
+                y, x = min(max((i + 0.5) * 7 / m - 0.5, 0), 6), min(max((j + 0.5) * 9 / n - 0.5, 0), 8)
+                near = [(int(y) + a, int(x) + b, (y % 1 if a else 1 - y % 1) * (x % 1 if b else 1 - x % 1)) for a in (0, 1) for b in (0, 1)]
+                met = [(w, v[a, b]) for a, b, w in near if w > 0 and (a, b) in v]
+                if met:
+                    known = [w * g for w, g in met if g is not None]
+                    want[i, j] = sum(known) / sum(w for w, _ in met) if known else None
+        got = raster.resize_bilinear(pix, "v", 7, 9, m, n)
+        assert "Join" not in _plan(got)
+        assert {(r["i"], r["j"]): r["v"] for r in got.collect()} == {k: g if g is None else pytest.approx(g) for k, g in want.items()}
