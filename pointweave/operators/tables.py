@@ -127,24 +127,35 @@ def object_intensity(pix: DataFrame, keys: list[str], channel: str) -> DataFrame
 def full_intensity(pix: DataFrame, keys: list[str], channel: str, bins: int = 10) -> DataFrame:
     """Order statistics, moments and histogram energy and entropy of a channel for each group.
 
-    v_mad is the median absolute deviation from the group's median.
+    v_mad is the median absolute deviation from the group's median. Everything follows from the counts of a group's levels,
+    so no group's pixels meet in one task; missing values count in the histogram only.
     """
-    q = lambda p: F.percentile(channel, p)
-    stats = pix.groupBy(*keys).agg(
-        F.min(channel).alias("v_min"),
-        F.max(channel).alias("v_max"),
-        F.avg(channel).alias("v_mean"),
-        q(0.5).alias("v_median"),
-        (F.avg(channel) - q(0.5)).alias("v_mean_median"),
-        F.stddev_pop(channel).alias("v_std"),
-        (q(0.75) - q(0.25)).alias("v_iqr"),
-        skewness(channel).alias("v_skew"),
-        kurtosis(channel).alias("v_kurt"),
-    )
-    off = pix.select(*keys, channel).join(stats.select(*keys, "v_median"), keys)
-    stats = stats.join(off.groupBy(*keys).agg(F.median(F.abs(F.col(channel) - F.col("v_median"))).alias("v_mad")), keys)
+    levels = materialize(pix.groupBy(*keys, F.col(channel).alias("_v")).agg(F.count("*").alias("_n")))
+    of = lambda k: [F.col(c).alias(f"_{c}") for c in k]
+    same = lambda df: [df[c].eqNullSafe(F.col(f"_{c}")) for c in keys]
+    q = lambda p: F.percentile("_v", p, F.col("_n"))
+    known = F.when(F.col("_v").isNotNull(), F.col("_n"))
+    stats = levels.groupBy(*of(keys)).agg(
+        F.min("_v").alias("v_min"), F.max("_v").alias("v_max"), (F.sum(F.col("_v") * F.col("_n")) / F.sum(known)).alias("v_mean"),
+        q(0.5).alias("v_median"), (q(0.75) - q(0.25)).alias("v_iqr"), F.sum(known).cast("double").alias("_m"),
+    )
+    met = levels.join(broadcast_if_small(materialize(stats), 100_000), same(levels))
+    off = F.col("_v") - F.col("v_mean")
+    power = lambda k: (F.sum(off**k * F.col("_n")) / F.first("_m")).alias(f"_p{k}")
+    fixed = ["v_min", "v_max", "v_mean", "v_median", "v_iqr", "_m"]
+    out = met.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in fixed], *[power(k) for k in (2, 3, 4)],
+        F.percentile(F.abs(F.col("_v") - F.col("v_median")), 0.5, F.col("_n")).alias("v_mad"),
+    )
+    m, p2 = F.col("_m"), F.col("_p2")
+    skew = F.when((m > 2) & (p2 > 0), F.try_divide(F.col("_p3"), p2**1.5) * F.sqrt(m * (m - 1)) / (m - 2))
+    g2 = F.try_divide(m - 1, (m - 2) * (m - 3)) * ((m + 1) * (F.try_divide(F.col("_p4"), p2 * p2) - 3) + 6)
+    stats = out.select(
+        *keys, "v_min", "v_max", "v_mean", "v_median", (F.col("v_mean") - F.col("v_median")).alias("v_mean_median"),
+        F.sqrt("_p2").alias("v_std"), "v_iqr", skew.alias("v_skew"), F.when((m > 3) & (p2 > 0), g2).alias("v_kurt"), "v_mad",
+    )
     width = 256 / bins
-    share = pix.groupBy(*keys, F.floor(F.col(channel) / width).alias("bin")).agg(F.count("*").alias("n"))
+    share = levels.groupBy(*keys, F.floor(F.col("_v") / width).alias("bin")).agg(F.sum("_n").alias("n"))
     p = F.col("n") / F.sum("n").over(Window.partitionBy(*keys))
     hist = (
         share.withColumn("p", p)

@@ -186,3 +186,21 @@ def test_bilinear_joins_no_table_of_places(spark):
         got = raster.resize_bilinear(pix, "v", 7, 9, m, n)
         assert "Join" not in _plan(got)
         assert {(r["i"], r["j"]): r["v"] for r in got.collect()} == {k: g if g is None else pytest.approx(g) for k, g in want.items()}
+
+
+def test_intensity_takes_counts_of_levels(spark):
+    """A group of one level, one pixel, and missing values; the percentiles read levels, not pixels."""
+    from pointweave.operators import tables
+
+    rng = np.random.default_rng(3)
+    sets = {1: rng.integers(0, 40, 300).tolist(), 2: [5] * 9, 3: [7], 4: [1, 2, 9, 30], 5: [3, 4]}
+    df = spark.createDataFrame([(k, v) for k, vs in sets.items() for v in vs] + [(1, None)], "k int, v int")
+    got = {r["k"]: r for r in tables.full_intensity(df, ["k"], "v").collect()}
+    for k, vs in sets.items():
+        a, n = np.array(vs, float), len(vs)
+        r, s = got[k], a.std()
+        assert [r["v_min"], r["v_max"]] == [min(vs), max(vs)]
+        assert [r["v_mean"], r["v_median"], r["v_std"], r["v_iqr"], r["v_mad"]] == pytest.approx([a.mean(), np.median(a), s, np.percentile(a, 75) - np.percentile(a, 25), np.median(abs(a - np.median(a)))])
+        z = (a - a.mean()) / (s or 1)
+        assert r["v_skew"] == (pytest.approx((z**3).mean() * (n * (n - 1)) ** 0.5 / (n - 2)) if n > 2 and s else None)
+        assert r["v_kurt"] == (pytest.approx((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * ((z**4).mean() - 3) + 6)) if n > 3 and s else None)
