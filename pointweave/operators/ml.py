@@ -88,30 +88,33 @@ def _numbered(df: DataFrame, groups: list[str], key: str, buckets: int = 256) ->
     upto = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy(*groups, "_b").count().select(*groups, "_b", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("_start"))
     within = Window.partitionBy(*groups, "_b").orderBy(key, "_id")
-    ranked = dealt.withColumn("_in", F.row_number().over(within) - 1).join(starts, [*groups, "_b"])
+    ranked = dealt.withColumn("_in", F.row_number().over(within) - 1).join(broadcast_if_small(materialize(starts)), [*groups, "_b"])
     return ranked.withColumn("_rank", F.col("_start") + F.col("_in")).drop("_b", "_in", "_start")
 
 
 def permutation_importance(model, test: DataFrame, columns: list[str], y: str, seed: int = 1, repeats: int = 10) -> DataFrame:
     """(feature, importance, spread): fall of the accuracy when a column's values are dealt out anew among all rows.
 
-    importance and spread are the mean and the sample deviation over so many repeats. In one plan, each row meets, for
-    each feature and repeat, the value of the row at its own place in another seeded order; every row gets one value.
+    importance and spread are the mean and the sample deviation over so many repeats. Each row meets, for each feature and
+    repeat, the value of the row at its own place in another seeded order; every row gets one value. The values for a place
+    travel alone and meet the row once; its dealt copies exist in the row's task only.
     """
     rows = materialize(test.select(*columns, y).where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*columns, y])).withColumn("_id", F.monotonically_increasing_id()))
     rate = MulticlassClassificationEvaluator(labelCol=y, metricName="accuracy")
     base = rate.evaluate(model.transform(vectors(rows, columns)))
-    draws = F.array(*[F.struct(F.lit(c).alias("_feature"), F.lit(k).alias("_repeat")) for c in columns for k in range(repeats)])
-    each = rows.select("*", F.inline(draws))
-    group = ["_feature", "_repeat"]
-    placed = _numbered(rows.withColumn("_h", F.xxhash64(F.lit(seed), "_id")), [], "_h").drop("_h").select("*", F.inline(draws))
-    value = F.coalesce(*[F.when(F.col("_feature") == c, F.col(c).cast("double")) for c in columns])
-    given = _numbered(each.select(*group, "_id", value.alias("_value"), F.xxhash64(F.lit(seed + 1), *group, "_id").alias("_h")), group, "_h")
-    dealt = placed.join(given.select(*group, "_rank", "_value"), [*group, "_rank"])
-    dealt = dealt.select(*group, y, *[F.when(F.col("_feature") == c, F.col("_value")).otherwise(F.col(c)).alias(c) for c in columns])
-    right = model.transform(vectors(dealt, columns)).groupBy(*group).agg(F.avg((F.col("prediction") == F.col(y)).cast("int")).alias("a"))
+    draws = [(c, k) for c in columns for k in range(repeats)]
+    placed = _numbered(rows.withColumn("_h", F.xxhash64(F.lit(seed), "_id")), [], "_h").drop("_h", "_id")
+    value = lambda c, k: F.struct(F.lit(draws.index((c, k))).alias("_d"), F.col(c).cast("double").alias("_value"), F.xxhash64(F.lit(seed + 1), F.lit(c), F.lit(k), "_id").alias("_h"))
+    each = rows.select("_id", F.inline(F.array(*[value(*d) for d in draws])))
+    given = _numbered(each, ["_d"], "_h").select("_rank", "_d", "_value")
+    given = given.repartition("_rank").groupBy("_rank").agg(F.collect_list(F.struct("_d", "_value")).alias("_given"))
+    dealt = placed.join(given.hint("merge"), "_rank").select(y, *columns, F.inline("_given"))
+    changed = lambda c: (F.col("_d") >= draws.index((c, 0))) & (F.col("_d") < draws.index((c, 0)) + repeats)
+    dealt = dealt.select("_d", y, *[F.when(changed(c), F.col("_value")).otherwise(F.col(c)).alias(c) for c in columns])
+    right = model.transform(vectors(dealt, columns)).groupBy("_d").agg(F.avg((F.col("prediction") == F.col(y)).cast("int")).alias("a"))
     fall = F.lit(base) - F.col("a")
-    return right.groupBy(F.col("_feature").alias("feature")).agg(F.avg(fall).alias("importance"), F.stddev_samp(fall).alias("spread"))
+    feature = F.element_at(F.array(*[F.lit(c) for c in columns]), F.expr(f"int(_d div {repeats})") + 1)
+    return right.groupBy(feature.alias("feature")).agg(F.avg(fall).alias("importance"), F.stddev_samp(fall).alias("spread"))
 
 
 def backward_elimination(fit, train: DataFrame, test: DataFrame, columns: list[str], y: str, sizes=(6, 5, 4, 3), repeats: int = 10) -> DataFrame:

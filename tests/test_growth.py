@@ -204,3 +204,16 @@ def test_intensity_takes_counts_of_levels(spark):
         z = (a - a.mean()) / (s or 1)
         assert r["v_skew"] == (pytest.approx((z**3).mean() * (n * (n - 1)) ** 0.5 / (n - 2)) if n > 2 and s else None)
         assert r["v_kurt"] == (pytest.approx((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * ((z**4).mean() - 3) + 6)) if n > 3 and s else None)
+
+
+def test_dealt_values_are_no_broadcast(spark, monkeypatch):
+    """Every row is dealt 60 times here: only the values travel, and the rows' copies are never joined."""
+    from pointweave.operators import ml
+
+    df = spark.range(400).selectExpr("double(id % 2) a", "double(id % 7) b", "double(id * 7 % 11) c", "double(id % 2) y")
+    model = ml.random_forest(ml.vectors(df, ["a", "b", "c"]), "y", trees=3)
+    got = ml.permutation_importance(model, df, ["a", "b", "c"], "y", repeats=20)
+    plan = _plan(got)
+    assert plan.count("SortMergeJoin") == 1 and "collect_list" in plan
+    found = {r["feature"]: r["importance"] for r in got.collect()}
+    assert found["a"] > 0.3 and abs(found["b"]) < 0.1 and set(found) == {"a", "b", "c"}
