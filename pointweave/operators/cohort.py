@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import broadcast_if_small, materialize
+
 PARAMETERS = ["dtfe_threshold", "edge_range", "min_nuclei"]
 
 
@@ -74,7 +76,7 @@ def auc_by(scored: DataFrame, keys: list[str], cuts: int = 64) -> DataFrame:
     Counts by score are summed first. Distinct scores are numbered within ranges whose sums are known before, so no group
     is ordered in one task; where the ranges are cut changes nothing. A group of one class has no area (null).
     """
-    by = scored.groupBy(*keys, "score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
+    by = materialize(scored.groupBy(*keys, "score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")))
     edges = by.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.percentile_approx("score", [i / cuts for i in range(1, cuts)]).alias("_cuts"))
     same = lambda left: [left[k].eqNullSafe(F.col(f"_{k}")) for k in keys]
     ranged = by.join(edges, same(by)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("score")))).select(*by.columns, "_range")
@@ -150,11 +152,25 @@ def stratified_folds(df: DataFrame, y: str, order: str, k: int) -> DataFrame:
 def stratified_split(df: DataFrame, y: str, order: str, share: float = 0.5, salt: str = "") -> DataFrame:
     """df with train: the first share of each class (rounded down) in the order of a salted hash of their key.
 
-    The same salt gives the same split on every run; rows without a class are left out.
+    The same salt gives the same split on every run; rows without a class are left out. Counts of each class by the
+    first digits of the hash tell in which of 65,536 ranges its cut lies; only that range's rows are ordered, all others
+    are decided in their row. Keys may repeat.
     """
-    size = df.groupBy(F.col(y).alias("_y")).agg(F.count("*").alias("_n"))
-    placed = _dealt(df, y, order, salt).join(size, F.col(y) == F.col("_y"))
-    return placed.withColumn("train", F.col("_place") < F.floor(F.col("_n") * F.lit(share))).select(*df.columns, "train")
+    hashed = df.withColumn("_h", F.md5(F.concat(F.lit(salt), F.col(order).cast("string")).cast("binary"))).withColumn("_b", F.substring("_h", 1, 4))
+    sums = Window.partitionBy(y, "_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    n = materialize(hashed.groupBy(y, "_b").count().withColumn("_c", F.substring("_b", 1, 2)))
+    over = Window.partitionBy(y).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    size = n.groupBy(y, "_c").agg(F.sum("count").alias("_n"))
+    size = size.select(F.col(y).alias("_y"), F.col("_c").alias("_d"), F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_s"), F.floor(F.sum("_n").over(Window.partitionBy(y)) * F.lit(share)).alias("_take"))
+    placed = n.withColumn("_in", F.coalesce(F.sum("count").over(sums), F.lit(0))).join(size, (F.col(y) == F.col("_y")) & (F.col("_c") == F.col("_d")))
+    start = F.col("_s") + F.col("_in")
+    holds = F.when((start <= F.col("_take")) & (F.col("_take") < start + F.col("count")), F.struct(F.col("_b").alias("at"), (F.col("_take") - start).alias("left")))
+    cut = materialize(placed.groupBy("_y").agg(F.max(holds).alias("_cut")))
+    met = hashed.where("_b IS NOT NULL").join(broadcast_if_small(cut), F.col(y) == F.col("_y"))
+    rest = F.col("_cut.at").eqNullSafe(F.col("_b"))
+    clear = met.where(~rest).select(*df.columns, F.coalesce(F.col("_b") < F.col("_cut.at"), F.lit(True)).alias("train"))
+    place = F.row_number().over(Window.partitionBy(y).orderBy("_h", order))
+    return clear.unionByName(met.where(rest).select(*df.columns, (place <= F.col("_cut.left")).alias("train")))
 
 
 def standard_scaled(df: DataFrame, columns: list[str]) -> DataFrame:

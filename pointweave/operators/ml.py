@@ -139,10 +139,10 @@ def repeated_scores(fit, data: DataFrame, columns: list[str], y: str, key: str,
     fit(train with features, y) gives a model with probabilities. Each repeat is one split by its own salt; one row of
     scores a repeat reaches the driver.
     """
-    rows = materialize(vectors(data.select(key, *columns, y), columns))
+    rows = materialize(data.select(key, *columns, y).dropna(subset=columns))
     out = []
     for k in range(repeats):
-        parts = cohort.stratified_split(rows, y, key, share, f"{k}:")
+        parts = vectors(cohort.stratified_split(rows, y, key, share, f"{k}:"), columns)
         model = fit(parts.where("train").drop("train"), y)
         tested = model.transform(parts.where("NOT train").drop("train"))
         tested = tested.select(F.col(y).cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"), vector_to_array("probability")[1].alias("score"))

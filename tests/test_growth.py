@@ -217,3 +217,19 @@ def test_dealt_values_are_no_broadcast(spark, monkeypatch):
     assert plan.count("SortMergeJoin") == 1 and "collect_list" in plan
     found = {r["feature"]: r["importance"] for r in got.collect()}
     assert found["a"] > 0.3 and abs(found["b"]) < 0.1 and set(found) == {"a", "b", "c"}
+
+
+@pytest.mark.parametrize("share", [0.0, 0.37, 1.0])
+def test_splits_order_only_the_range_of_the_cut(spark, share):
+    import hashlib
+
+    from pointweave.operators import cohort
+
+    rows = [(k % 50 if k < 200 else k, "a" if k % 3 else "b") for k in range(900)] + [(7, None)]
+    got = cohort.stratified_split(spark.createDataFrame(rows, "k int, y string"), "y", "k", share, "s:")
+    for y in "ab":
+        order = sorted((hashlib.md5(f"s:{k}".encode()).hexdigest(), k) for k, v in rows if v == y)
+        want = sorted((k, n < int(len(order) * share)) for n, (_, k) in enumerate(order))
+        assert sorted((r["k"], r["train"]) for r in got.where(F.col("y") == y).collect()) == want
+    assert got.where("y IS NULL").isEmpty()
+    assert _plan(got).count("Exchange hashpartitioning") == 1
