@@ -135,7 +135,7 @@ def local_foreground(spark, d):
 def watershed_regions(spark, d):
     level = detection.stain_level(_smooth(spark, d), GREEN)
     fg = _regions(spark, d).select("py", "px")
-    grown = detection.watershed(level.join(fg, ["py", "px"], "left_semi"), detection.nucleus_markers(fg, level))
+    grown = detection.watershed(level.join(fg.hint("merge"), ["py", "px"], "left_semi"), detection.nucleus_markers(fg, level))
     return grown.groupBy("label").agg(F.count("*").alias("n"), F.min("py").alias("min_row"), F.min("px").alias("min_col"))
 
 

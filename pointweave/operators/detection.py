@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import circularity
-from ..sources.storage import materialize
+from ..sources.storage import broadcast_if_small, materialize
 from .raster import EIGHT, FOUR, label_components, otsu, region_properties, remove_small, stains
 
 PLACE = ["py", "px"]
@@ -29,12 +29,13 @@ WHOLE_PIXELS = TILE * TILE
 MARKER_SHARE, COMPACTNESS = 0.85, 50.0
 
 
-def grouped_otsu(values: DataFrame, key: str, v: str) -> DataFrame:
+def grouped_otsu(values: DataFrame, key: str, v: str, n: str | None = None) -> DataFrame:
     """(key, threshold): the first level of v that maximises the variance between the classes up to it and above.
 
-    Levels are few (grey levels or bins), so a group's histogram is short. Groups of one level have no row.
+    Levels are few (grey levels or bins), so a group's histogram is short. Groups of one level have no row. n: a column
+    of how many values a row stands for.
     """
-    h = values.groupBy(key, F.col(v).alias("v")).agg(F.count("*").alias("n"))
+    h = values.groupBy(key, F.col(v).alias("v")).agg((F.sum(n) if n else F.count("*")).alias("n"))
     up = Window.partitionBy(key).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(key)
     w1, s1 = F.sum("n").over(up), F.sum(F.col("n") * F.col("v")).over(up)
@@ -47,19 +48,55 @@ def grouped_otsu(values: DataFrame, key: str, v: str) -> DataFrame:
 def fill_small_holes(fg: DataFrame, grid: DataFrame, least: int) -> DataFrame:
     """fg (py, px) with the four-connected components of fewer than least pixels of the rest of grid."""
     fg = fg.select(*PLACE)
-    ground = materialize(label_components(grid.select(*PLACE).join(fg, PLACE, "left_anti")))
+    ground = materialize(label_components(grid.select(*PLACE).join(fg.hint("merge"), PLACE, "left_anti")))
     small = ground.groupBy("component").count().where(F.col("count") < least).select("component")
-    return fg.unionAll(ground.join(small, "component", "left_semi").select(*PLACE))
+    return fg.unionAll(ground.join(broadcast_if_small(materialize(small)), "component", "left_semi").select(*PLACE))
 
 
-def in_windows(pix: DataFrame, windows: DataFrame) -> DataFrame:
-    """pix joined with every window (y0, y1, x0, x1, half open) that holds its place, through cells."""
+def by_cells(pix: DataFrame, windows: DataFrame, work, schema: str) -> DataFrame:
+    """work(pixels, windows) -> rows for every cell of pix (py, px, ...), with the windows (y0, y1, x0, x1, half open)
+    that reach into it; both are Arrow tables, so pairs of a pixel and a window are never rows."""
     cell = lambda c: F.floor(F.col(c) / CELL)
     rows, cols = (F.sequence(F.floor(F.col(a) / CELL), F.floor((F.col(b) - 1) / CELL)) for a, b in (("y0", "y1"), ("x0", "x1")))
     spread = windows.where("y1 > y0 AND x1 > x0").withColumn("_cy", F.explode(rows)).withColumn("_cx", F.explode(cols))
     placed = pix.withColumn("_cy", cell("py")).withColumn("_cx", cell("px"))
-    inside = (F.col("py") >= F.col("y0")) & (F.col("py") < F.col("y1")) & (F.col("px") >= F.col("x0")) & (F.col("px") < F.col("x1"))
-    return placed.join(spread, ["_cy", "_cx"]).where(inside).drop("_cy", "_cx")
+    return placed.groupBy("_cy", "_cx").cogroup(spread.groupBy("_cy", "_cx")).applyInArrow(work, schema)
+
+
+def _inside(pixels, windows):
+    """For each window of a cell, which of the cell's pixels it holds."""
+    y, x = (pixels[c].to_numpy() for c in PLACE)
+    for y0, y1, x0, x1 in zip(*(windows[c].to_numpy() for c in ("y0", "y1", "x0", "x1")), strict=True):
+        yield (y >= y0) & (y < y1) & (x >= x0) & (x < x1)
+
+
+def window_levels(pix: DataFrame, windows: DataFrame, v: str) -> DataFrame:
+    """(component, v, n) counts of the levels in parts of the windows of components."""
+    import pyarrow as pa
+
+    def count(pixels: pa.Table, windows: pa.Table) -> pa.Table:
+        level, at = np.unique(pixels[v].to_numpy(), return_inverse=True)
+        counts = [np.bincount(at[m], minlength=len(level)) for m in _inside(pixels, windows)]
+        w, k = np.nonzero(np.array(counts, np.int64).reshape(len(windows), len(level)))
+        n = np.array(counts, np.int64)[w, k] if len(w) else np.zeros(0, np.int64)
+        return pa.table([windows["component"].take(pa.array(w, pa.int64())), pa.array(level[k]), pa.array(n)], names=["component", v, "n"])
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return by_cells(pix, windows, count, f"component {kind(windows, 'component')}, {v} {kind(pix, v)}, n long")
+
+
+def darker_in_windows(pix: DataFrame, windows: DataFrame, v: str) -> DataFrame:
+    """(py, px) of the pixels below the threshold of a window that holds them."""
+    import pyarrow as pa
+
+    def keep(pixels: pa.Table, windows: pa.Table) -> pa.Table:
+        level, dark = pixels[v].to_numpy(), np.zeros(len(pixels), bool)
+        for m, limit in zip(_inside(pixels, windows), windows["threshold"].to_numpy(), strict=True):
+            dark |= m & (level < limit)
+        y, x = np.unique(np.stack([pixels[c].to_numpy()[dark] for c in PLACE]), axis=1)
+        return pa.table([pa.array(y), pa.array(x)], names=PLACE)
+
+    return by_cells(pix, windows, keep, ", ".join(f"{c} {pix.schema[c].dataType.simpleString()}" for c in PLACE))
 
 
 def local_foreground(
@@ -81,9 +118,9 @@ def local_foreground(
         F.bround(F.min("px") - around).alias("x0"), F.bround(F.max("px") + 1 + around).alias("x1"),
     )
     windows = materialize(windows)
-    own = grouped_otsu(in_windows(dark.select(*PLACE, v), windows), "component", v)
+    own = grouped_otsu(window_levels(dark.select(*PLACE, v), windows, v), "component", v, "n")
     own = windows.join(own, "component", "left").withColumn("threshold", F.coalesce("threshold", F.lit(limit)))
-    darker = in_windows(pix.select(*PLACE, v), own).where(F.col(v) < F.col("threshold")).select(*PLACE).distinct()
+    darker = darker_in_windows(pix.select(*PLACE, v).where(F.col(v).isNotNull()), materialize(own), v)
     filled = materialize(fill_small_holes(materialize(darker), pix, hole))
     return remove_small(label_components(filled), least).select(*PLACE)
 
@@ -108,13 +145,14 @@ def refine_objects(fg: DataFrame, pix: DataFrame, rounds: int = 5, least: int =
         large = materialize(boxes.where(F.col("area") >= most))
         if large.isEmpty():
             break
-        mine = objects.join(large, "component")
+        few = broadcast_if_small(large)
+        mine = objects.join(few, "component")
         steps = F.array(*[F.struct((F.col("py") + a).alias("py"), (F.col("px") + b).alias("px")) for a, b in [(0, 0), *FOUR]])
         grown = mine.select("component", "y0", "y1", "x0", "x1", F.inline(steps)).where("py BETWEEN y0 AND y1 AND px BETWEEN x0 AND x1")
-        grown = materialize(grown.select("component", *PLACE).distinct().join(pix.select(*PLACE, v), PLACE))
+        grown = materialize(grown.select("component", *PLACE).distinct().join(pix.select(*PLACE, v).hint("merge"), PLACE))
         cut = grown.join(grouped_otsu(grown, "component", v), "component", "left")
         cut = cut.where(F.col("threshold").isNull() | (F.col(v) <= F.col("threshold"))).select(*PLACE)
-        objects = clean(objects.join(large, "component", "left_anti").select(*PLACE).unionAll(cut).distinct())
+        objects = clean(objects.join(few, "component", "left_anti").select(*PLACE).unionAll(cut).distinct())
     return objects.select(*PLACE)
 
 
@@ -123,7 +161,7 @@ def median_disk(fg: DataFrame, grid: DataFrame, radius: int = 3) -> DataFrame:
     disk = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if a * a + b * b <= radius * radius]
     steps = F.array(*[F.struct((F.col("py") + a).alias("py"), (F.col("px") + b).alias("px")) for a, b in disk])
     most = fg.select(F.inline(steps)).groupBy(*PLACE).count().where(F.col("count") > len(disk) // 2)
-    return most.select(*PLACE).join(grid.select(*PLACE), PLACE, "left_semi")
+    return most.select(*PLACE).join(grid.select(*PLACE).hint("merge"), PLACE, "left_semi")
 
 
 def distance_transform(fg: DataFrame) -> DataFrame:
@@ -144,9 +182,9 @@ def distance_transform(fg: DataFrame) -> DataFrame:
     ways = materialize(way("px", "py", "h")(way("py", "px", "g")(fg.select(*PLACE).distinct())))
     near = F.least("g", "h") - 1
     asked = ways.select("py", F.col("px").alias("at"), F.explode(F.sequence(-near, near)).alias("dx")).withColumn("px", F.col("at") + F.col("dx"))
-    met = asked.join(ways.select(*PLACE, "g"), PLACE).groupBy("py", F.col("at").alias("px")).agg(F.min(F.col("dx") * F.col("dx") + F.col("g") * F.col("g")).alias("d"))
+    met = asked.join(ways.select(*PLACE, "g").hint("merge"), PLACE).groupBy("py", F.col("at").alias("px")).agg(F.min(F.col("dx") * F.col("dx") + F.col("g") * F.col("g")).alias("d"))
     straight = F.col("h") * F.col("h")
-    return ways.join(met, PLACE).select(*PLACE, F.least("d", straight).cast("long").alias("d2"))
+    return ways.join(met.hint("merge"), PLACE).select(*PLACE, F.least("d", straight).cast("long").alias("d2"))
 
 
 def nucleus_markers(fg: DataFrame, pix: DataFrame, share: float = MARKER_SHARE, v: str = "stain") -> DataFrame:
@@ -159,7 +197,7 @@ def nucleus_markers(fg: DataFrame, pix: DataFrame, share: float = MARKER_SHARE,
     """
     fg, top = fg.select(*PLACE), pix.agg(F.max(v).alias("_dark"), F.min(v).alias("_bright"))
     darkness = F.coalesce(F.try_divide((F.col("_dark") - F.col(v)) * 255.0, F.col("_dark") - F.col("_bright")), F.lit(0.0))
-    objects = label_components(fg, EIGHT).join(distance_transform(fg), PLACE).join(pix.select(*PLACE, v), PLACE).crossJoin(F.broadcast(top))
+    objects = label_components(fg, EIGHT).join(distance_transform(fg).hint("merge"), PLACE).join(pix.select(*PLACE, v).hint("merge"), PLACE).crossJoin(F.broadcast(top))
     objects = materialize(objects.select("component", *PLACE, F.sqrt("d2").alias("depth"), darkness.alias("dark")))
     extent = lambda c: F.max(c) - F.min(c) + 1
     full = F.count("*") == extent("py") * extent("px")
@@ -222,8 +260,8 @@ def watershed(pix: DataFrame, markers: DataFrame, compactness: float = COMPACTNE
     large = objects.groupBy("component").count().where(F.col("count") > WHOLE_PIXELS).select("component", F.lit(True).alias("_large"))
     tile = lambda c: F.when(F.col("_large"), F.floor(F.col(c) / TILE)).otherwise(0).cast("int")
     key = ["oy", "ox", "ty", "tx"]
-    placed = objects.join(large, "component", "left").select(F.col("component.py").alias("oy"), F.col("component.px").alias("ox"), tile("py").alias("ty"), tile("px").alias("tx"), *PLACE)
-    met = placed.join(pix.select(*PLACE, F.col(v).cast("double").alias("v")), PLACE).join(markers.select(*PLACE, F.col("label").cast("long")), PLACE, "left")
+    placed = objects.join(broadcast_if_small(materialize(large)), "component", "left").select(F.col("component.py").alias("oy"), F.col("component.px").alias("ox"), tile("py").alias("ty"), tile("px").alias("tx"), *PLACE)
+    met = placed.join(pix.select(*PLACE, F.col(v).cast("double").alias("v")).hint("merge"), PLACE).join(markers.select(*PLACE, F.col("label").cast("long")).hint("merge"), PLACE, "left")
     dealt = met.select(*key, "py", "px", "v", F.coalesce("label", F.lit(0)).alias("label")).repartition(*key).sortWithinPartitions(*key, *PLACE)
 
     def run(batches):
@@ -260,13 +298,13 @@ def perimeters(pix: DataFrame, key: str = "label") -> DataFrame:
     own = pix.select(key, *PLACE)
     shifted = lambda df, moves: df.select(key, F.inline(F.array(*[F.struct((F.col("py") + a).alias("py"), (F.col("px") + b).alias("px"), F.lit(abs(a) + abs(b)).alias("step")) for a, b in moves])))
     inner = shifted(own, FOUR).groupBy(key, *PLACE).count().where("count = 4").select(key, *PLACE)
-    border = materialize(own.join(inner, [key, *PLACE], "left_anti"))
+    border = materialize(own.join(inner.hint("merge"), [key, *PLACE], "left_anti"))
     near = shifted(border, EIGHT).groupBy(key, *PLACE).agg(F.count_if(F.col("step") == 1).alias("a"), F.count_if(F.col("step") == 2).alias("b"))
     # fixed values: lengths by (four-neighbours, diagonal neighbours)
     straight, slanted, mixed = [(2, 0), (3, 0), (2, 1), (3, 1), (2, 2), (3, 2)], [(0, 2), (1, 3)], [(1, 1), (1, 2)]
     among = lambda pairs: F.struct("a", "b").isin(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in pairs])
     length = F.when(among(straight), 1.0).when(among(slanted), math.sqrt(2)).when(among(mixed), (1 + math.sqrt(2)) / 2).otherwise(0.0)
-    found = border.join(near, [key, *PLACE], "left").withColumn("length", length)
+    found = border.join(near.hint("merge"), [key, *PLACE], "left").withColumn("length", length)
     return found.groupBy(key).agg(F.sum("length").alias("perimeter"))
 
 
@@ -288,7 +326,7 @@ def detect_nuclei(
     level = materialize(stain_level(pix, inverse))
     fg = refine_objects(materialize(local_foreground(level, limit)), level)
     fg = materialize(median_disk(fg, level))
-    grown = watershed(level.join(fg, PLACE, "left_semi"), nucleus_markers(fg, level), compactness)
+    grown = watershed(level.join(fg.hint("merge"), PLACE, "left_semi"), nucleus_markers(fg, level), compactness)
     regions = materialize(grown.where("label IS NOT NULL"))
     shape = region_properties(regions).join(perimeters(regions), "label")
     good = (F.col("area") >= least_area) & (F.col("euler") >= -1) & F.coalesce(circularity(F.col("area"), F.col("perimeter")) >= 0.3, F.lit(True))

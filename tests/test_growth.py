@@ -233,3 +233,25 @@ def test_splits_order_only_the_range_of_the_cut(spark, share):
         assert sorted((r["k"], r["train"]) for r in got.where(F.col("y") == y).collect()) == want
     assert got.where("y IS NULL").isEmpty()
     assert _plan(got).count("Exchange hashpartitioning") == 1
+
+
+def test_windows_meet_pixels_without_rows_of_pairs(spark):
+    from pointweave.operators import detection
+
+    rng = np.random.default_rng(9)
+    pix = [(y, x, int(rng.integers(0, 6))) for y in range(-5, 90) for x in range(70) if rng.random() < 0.7]
+    boxes = [((k, k), float(a), float(a + h), float(b), float(b + w), k % 5) for k, (a, b, h, w) in enumerate(rng.integers(-20, 80, (30, 4)).tolist())]
+    p = spark.createDataFrame(pix, "py int, px int, v int")
+    win = spark.createDataFrame(boxes, "component struct<py:int,px:int>, y0 double, y1 double, x0 double, x1 double, threshold int")
+    held = lambda y, x, b: b[1] <= y < b[2] and b[3] <= x < b[4]
+    want: dict = {}
+    for b in boxes:
+        for y, x, g in pix:
+            if held(y, x, b):
+                want[b[0][0], g] = want.get((b[0][0], g), 0) + 1
+    got = detection.window_levels(p, win, "v")
+    assert "Join" not in _plan(got)
+    found = got.groupBy("component.py", "v").agg(F.sum("n").alias("n"))
+    assert {(r["py"], r["v"]): r["n"] for r in found.collect()} == want
+    dark = sorted((y, x) for y, x, g in pix if any(held(y, x, b) and g < b[5] for b in boxes))
+    assert sorted(map(tuple, detection.darker_in_windows(p, win, "v").collect())) == dark
