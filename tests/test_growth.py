@@ -170,6 +170,29 @@ def test_rounds_of_components_broadcast_nothing(spark, monkeypatch, key):
     assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
 
 
+def test_broadcasts_of_regions_do_not_follow_the_height(spark, monkeypatch):
+    """A column over 3 or 60 tiles: more tiles take more rounds, but no more broadcasts."""
+    from pointweave.operators import pixels
+
+    plans, write = [], components.materialize
+
+    def written(df):
+        plans.append(_plan(df))
+        return write(df)
+
+    for module in (components, raster, pixels):
+        monkeypatch.setattr(module, "materialize", written)
+    monkeypatch.setattr(raster, "LABEL_TILE", 5)
+    sent, rounds = [], []
+    for height in (15, 300):
+        plans.clear()
+        got = pixels.large_regions(spark.range(height).selectExpr("int(id) py", "1 px"), 9)
+        assert {tuple(r) for r in got.collect()} == {(y, 1, (0, 1)) for y in range(height)}
+        sent.append(sum(p.count("BroadcastExchange") for p in [*plans, _plan(got)]))
+        rounds.append(len(plans))
+    assert rounds[0] < rounds[1] and sent[0] == sent[1]
+
+
 def test_superpixels_copy_no_pixel(spark):
     rows = [(y, x, (y * 37 + x * 11) % 256, (y * x) % 256, (x * 5) % 256) for y in range(23) for x in range(17)]
     got = stains.superpixels(spark.createDataFrame(rows, "py int, px int, r int, g int, b int"), 6, rounds=2)
