@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.storage import materialize, release
 
@@ -22,9 +23,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     edges: columns a and b of one orderable type. Each round reattaches the neighbours above a node to the least node
     around it, then a node's own parents to their least. Rounds are written to the shared folder; their number grows
-    with the logarithm of the longest path, and the least neighbour is a partial aggregate, so hubs stay cheap. Joins are
-    shuffled, so no round sends a table to the driver: a broadcast of any rows takes a whole memory page there.
+    with the logarithm of the longest path, and the least neighbour is a partial aggregate, so hubs stay cheap. Nodes
+    that are structs meet in shuffled joins: a broadcast of such keys, in every round, takes a whole memory page of the
+    driver however few its rows; one of longs takes what its rows need and is left to the planner.
     """
+    met = lambda df: df.hint("merge") if isinstance(edges.schema["a"].dataType, T.StructType) else df
     out = materialize(
         edges.where(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent"))
@@ -35,8 +38,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return out
         up = out.select(F.col("parent").alias("u"), F.col("child").alias("v"))
         least = up.unionAll(out.select("child", "parent")).groupBy("u").agg(F.min("v").alias("m"))
-        large = up.join(least.hint("merge"), "u").select(F.col("v").alias("child"), F.least("u", "m").alias("parent"))
-        small = large.join(large.groupBy("child").agg(F.min("parent").alias("m")).hint("merge"), "child")
+        large = up.join(met(least), "u").select(F.col("v").alias("child"), F.least("u", "m").alias("parent"))
+        small = large.join(met(large.groupBy("child").agg(F.min("parent").alias("m"))), "child")
         moved = small.where("parent <> m").select(F.col("parent").alias("child"), "m")
         before = out
         out = materialize(small.select("child", F.col("m").alias("parent")).unionAll(moved).distinct())
