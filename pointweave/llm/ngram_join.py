@@ -49,6 +49,8 @@ BROADCAST_ROWS = 1_000_000
 REMEMBERED = 1 << 20
 #: Shingles for each count of a set's vector, about, and the least length of a vector.
 VECTOR_SHARE, VECTOR_LEAST = 4, 32
+#: Rows or shingles that a task hands on at once, and numbers of vectors that it compares at once, about.
+HANDED_ON, COMPARED = 1 << 18, 1 << 20
 #: Steps of a word's level for a doubling of its frequency; levels are far below LAST, where frequent shingles start.
 LEVEL_STEPS, LAST = 4, 1 << 32
 
@@ -80,6 +82,15 @@ def vector_gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.abs(fold(a, k) - fold(b, k)).sum(1)
 
 
+def repeated(s: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that s holds at least so many times, in order, and how often; s is put in order in its place."""
+    s.sort()
+    same = s[least - 1 :] == s[: len(s) - least + 1]
+    same[1:] &= s[1 : len(same)] != s[: max(len(same) - 1, 0)]
+    found = s[: len(same)][same]
+    return found, np.searchsorted(s, found, "right") - np.flatnonzero(same)
+
+
 def sketch(docs: DataFrame, size: int) -> DataFrame:
     """Rows (n, sig1, sig2, vector) of documents, (shingle, count) of shingles frequent in a block, (bucket, count) of words."""
     names = ["doc_id", "text_key", "n", "sig1", "sig2", "vector", "shingle", "bucket", "count"]
@@ -90,14 +101,11 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def run(batches):
-        held, many = [], 0
+        held, many = None, 0
         word_count = np.zeros(WORD_BUCKETS, np.int64)
 
         def counted():
-            if not held:
-                return rows(0)
-            s, c = np.unique(np.concatenate(held), return_counts=True)
-            s, c = s[c >= COUNT_LEAST], c[c >= COUNT_LEAST]
+            s, c = repeated(held[:many], COUNT_LEAST) if many else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             return rows(len(s), shingle=_long(s), count=c)
 
         for batch in batches:
@@ -108,11 +116,16 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
                 if len(s):
                     a[row], b[row] = _signature(s)
                     vectors[row] = set_vector(s)
-                    held.append(s)
+                    if many + len(s) > (0 if held is None else len(held)):
+                        # a block and the set that fills it up
+                        wider = np.empty(max(COUNT_BLOCK + COUNT_BLOCK // 64, many + len(s)), np.uint64)
+                        wider[:many] = held[:many] if many else 0
+                        held = wider
+                    held[many : many + len(s)] = s
                     many += len(s)
                 if many >= COUNT_BLOCK:
                     yield counted()
-                    held, many = [], 0
+                    many = 0
             yield rows(
                 k, doc_id=batch.column("doc_id"), text_key=batch.column("text_key"), n=n, sig1=_long(a), sig2=_long(b),
                 vector=vectors,
@@ -138,8 +151,24 @@ def region_rows(docs: DataFrame, size: int, percent: int, statistics) -> DataFra
     def run(batches):
         known, order, hot, levels = statistics.value
         seen: set[tuple[int, int]] = set()
+        pivots, places, sigs, sizes, widths = [], [], [], [], []
+
+        def handed():
+            batch = pa.RecordBatch.from_arrays(
+                [
+                    pa.array(_long(np.concatenate(pivots))),
+                    pa.array(_long(np.repeat(np.array(sigs, np.uint64), widths))),
+                    pa.array(np.repeat(np.array(sizes, np.int32), widths)),
+                    pa.array(np.concatenate(places)),
+                ],
+                names=["pivot", "sig", "n", "place"],
+            )
+            for x in (pivots, places, sigs, sizes, widths):
+                x.clear()
+            return batch
+
         for batch in batches:
-            pivots, places, sigs, sizes, widths = [], [], [], [], []
+            many = 0
             for _, s, level in shingle_sets(batch.column("text"), size, levels):
                 if not len(s) or (sig := _signature(s)) in seen:
                     continue
@@ -158,16 +187,12 @@ def region_rows(docs: DataFrame, size: int, percent: int, statistics) -> DataFra
                 sigs.append(sig[0])
                 sizes.append(len(s))
                 widths.append(len(first))
+                many += len(first)
+                if many >= HANDED_ON:
+                    yield handed()
+                    many = 0
             if pivots:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(_long(np.concatenate(pivots))),
-                        pa.array(_long(np.repeat(np.array(sigs, np.uint64), widths))),
-                        pa.array(np.repeat(np.array(sizes, np.int32), widths)),
-                        pa.array(np.concatenate(places)),
-                    ],
-                    names=["pivot", "sig", "n", "place"],
-                )
+                yield handed()
 
     return docs.mapInArrow(run, "pivot long, sig long, n int, place int")
 
@@ -257,11 +282,13 @@ def within_bound(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             may = np.ones(batch.num_rows, bool)
             for x, y in set(zip(la.tolist(), lb.tolist(), strict=True)):
                 if x and y:
-                    at = np.flatnonzero((la == x) & (lb == y))
-                    va, vb = (
-                        np.frombuffer(b"".join(v.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1) for v in (a, b)
-                    )
-                    may[at] = (100 + percent) * (n[at] - vector_gap(va, vb)) >= 2 * percent * n[at]
+                    met = np.flatnonzero((la == x) & (lb == y))
+                    step = max(1, COMPARED // max(x, y))
+                    for at in (met[k : k + step] for k in range(0, len(met), step)):
+                        va, vb = (
+                            np.frombuffer(b"".join(v.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1) for v in (a, b)
+                        )
+                        may[at] = (100 + percent) * (n[at] - vector_gap(va, vb)) >= 2 * percent * n[at]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(may)) for c in (batch.column("a"), batch.column("b"))], names=["a", "b"])
 
     return met.select("a", "b", "n_a", "n_b", "v_a", "v_b").mapInArrow(run, "a long, b long")
@@ -275,11 +302,14 @@ def stored_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
         (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")),
     )
 
+    def handed(ids, sets):
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["sid", "s"])
+
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             sid, one, two = (batch.column(c).to_numpy() for c in ("sid", "sig1", "sig2"))
-            ids, sets = [], []
+            ids, sets, many = [], [], 0
             for row, s, _ in shingle_sets(batch.column("text"), size):
                 x = int(sid[row])
                 if x not in seen and np.array_equal(_long(list(_signature(s))), [one[row], two[row]]):
@@ -288,7 +318,11 @@ def stored_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                     seen.add(x)
                     ids.append(x)
                     sets.append(_long(s))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["sid", "s"])
+                    many += len(s)
+                if many >= HANDED_ON:
+                    yield handed(ids, sets)
+                    ids, sets, many = [], [], 0
+            yield handed(ids, sets)
 
     return met.select("sid", "sig1", "sig2", "text").mapInArrow(run, "sid long, s array<long>").dropDuplicates(["sid"])
 
@@ -328,9 +362,11 @@ def with_vectors(split: DataFrame, sets: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
-            lists = [np.frombuffer(v, np.uint8).astype(np.int16) if v else None for v in batch.column("vector").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(lists, pa.list_(pa.int16()))], names=["sid", "v"])
+        for whole in batches:
+            step = max(1, HANDED_ON * whole.num_rows // max(1, whole.nbytes))
+            for batch in (whole.slice(k, step) for k in range(0, whole.num_rows, step)):
+                lists = [np.frombuffer(v, np.uint8).astype(np.int16) if v else None for v in batch.column("vector").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(lists, pa.list_(pa.int16()))], names=["sid", "v"])
 
     wanted = sets.select("sid", "vector").join(split.select("sid").distinct(), "sid", "left_semi")
     order = F.transform(F.sort_array(F.collect_list(F.struct("place", "pivot"))), lambda x: x["pivot"])

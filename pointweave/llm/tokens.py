@@ -37,18 +37,19 @@ def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int
     """(first row, end row, bytes with a blank after each text, start of each text); null texts are empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
     n = len(texts)
-    if not n:
-        return
-    _, offsets, data = texts.buffers()
-    off = np.frombuffer(offsets, np.int64, n + 1, texts.offset * 8)
-    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
-        d = np.insert(raw[off[i] : off[j]], off[i + 1 : j + 1] - off[i], 0x20)
-        yield i, j, d, off[i:j] - off[i] + np.arange(j - i)
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + limit, "right")) - 1)
+        # piece by piece: filled nulls would copy all texts
+        part = pc.fill_null(texts.slice(i, j - i), "").cast(pa.large_string())
+        _, offsets, data = part.buffers()
+        off = np.frombuffer(offsets, np.int64, j - i + 1, part.offset * 8)
+        raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        d = np.insert(raw[off[0] : off[-1]], off[1:] - off[0], 0x20)
+        yield i, j, d, off[:-1] - off[0] + np.arange(j - i)
         i = j
 
 

@@ -3,12 +3,15 @@
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import corpus_pipeline
 from pointweave.llm import chat, decontaminate, ngram_join, quality_model, registry, secrets, tokens, toxicity
@@ -92,6 +95,73 @@ def test_join_against_brute_force(spark, monkeypatch, seed, paired, hot, batch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+class Caught:
+    """Stands for a DataFrame and gives back the function that mapInArrow is handed."""
+
+    sparkSession = property(lambda self: self)
+    sparkContext = property(lambda self: self)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+
+    def broadcast(self, value):
+        return SimpleNamespace(value=value)
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def batch_of(texts):
+    ids = pa.array(range(len(texts)), pa.int64())
+    return pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string()), ids], names=["doc_id", "text", "text_key"])
+
+
+def test_counting_shingles_takes_little_more_than_the_block(monkeypatch):
+    monkeypatch.setattr(ngram_join, "COUNT_BLOCK", 1 << 20)
+    texts = [" ".join(str(k % 9_000 + 7 * t) for k in range(9_000)) for t in range(100)] * 2
+    batches = [batch_of(texts[k : k + 10]) for k in range(0, len(texts), 10)]
+    run = ngram_join.sketch(Caught(), 5)
+    tracemalloc.start()
+    out = list(run(batches))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 22 << 20
+    sets = [s for b in batches for _, s, _ in tokens.shingle_sets(b.column("text"), 5)]
+    ends = np.cumsum([len(s) for s in sets])
+    cut = int(np.searchsorted(ends, 1 << 20)) + 1
+    want = []
+    for block in (sets[:cut], sets[cut:]):
+        value, count = np.unique(np.concatenate(block), return_counts=True)
+        want += zip(value[count >= 3].view(np.int64).tolist(), count[count >= 3].tolist(), strict=True)
+    got = [(r["shingle"], r["count"]) for b in out for r in b.to_pylist() if r["shingle"] is not None]
+    assert got == want and len(want) > 1000
+
+
+@pytest.mark.parametrize("values", [[], [5], [5, 5], [5, 5, 5], [1, 2, 2, 2, 2, 3, 9, 9, 9], [4, 4, 4, 4, 7]])
+def test_repeated_shingles(values):
+    value, count = ngram_join.repeated(np.array(values, np.uint64), 3)
+    assert dict(zip(value.tolist(), count.tolist(), strict=True)) == {v: values.count(v) for v in values if values.count(v) > 2}
+
+
+def test_rows_of_regions_and_scores_are_handed_on_in_parts(monkeypatch):
+    monkeypatch.setattr(ngram_join, "HANDED_ON", 1000, raising=False)
+    texts = [None, ""] + [prose(k, 500) for k in range(60)]
+    nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(tokens.WORD_BUCKETS, np.int64)
+    parts = list(ngram_join.region_rows(Caught(), 5, 80, SimpleNamespace(value=nothing))([batch_of(texts)]))
+    assert len(parts) > 3 and max(p.num_rows for p in parts) < 1200
+    assert sum(p.num_rows for p in parts) == sum(ngram_join.boundary_width(len(set(brute_words(t, 5))), 80) for t in texts[2:])
+    long = [None, "", *(prose(k, 12_000) for k in range(40))]
+    run = quality_model.score_texts(Caught(), quality_model.fit([], np.zeros(0)), ["doc_id", "text"])
+    parts = list(run([batch_of(long)]))
+    assert len(parts) > 1 and [x for p in parts for x in p.column("text").to_pylist()] == long
+    net = quality_model.fit([], np.zeros(0))
+    for p in parts:
+        assert p.column("score").to_pylist() == net.scores([(t or "").encode() for t in p.column("text").to_pylist()]).tolist()
+
+
+def brute_words(text, size):
+    w = text.split()
+    return [tuple(w[k : k + size]) for k in range(len(w) - size + 1)]
+
+
 def test_join_of_repeated_and_missing_ids(spark):
     a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
     near = lambda t: t + " end"
