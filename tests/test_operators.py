@@ -322,3 +322,14 @@ def test_ids_with_padded_and_versioned_forms(spark):
     known = spark.createDataFrame([("a-01",), ("a-01V0",), ("a-02V0",)], "known_id string")
     got = {r["id"]: r["known_id"] for r in tables.match_ids(ids, known).collect()}
     assert got == {"a-1": "a-01", "a-2": "a-02V0", "a-3": None}
+
+
+def test_nearest_resampling_of_a_tall_raster(spark):
+    """Places whose products leave an int; pixels outside the raster or without place give nothing."""
+    h, m = 90_000, 60_000
+    rows = [(y, x, y * 10 + x) for y in (0, 1, 2, 44_999, 89_997, 89_998, 89_999) for x in (0, 1, 2)] + [(-1, 0, 1), (h, 0, 1), (None, 1, 1), (5, 3, 1)]
+    pix = spark.createDataFrame(rows, "py int, px int, label int")
+    for n in (m, 2 * h):
+        got = sorted(map(tuple, raster.resize_nearest(pix, h, 3, n, 4).select("i", "j", "label").collect()))
+        held = {(y, x): v for y, x, v in rows if y is not None and 0 <= y < h and x < 3}
+        assert got == sorted((i, j, held[y, x]) for i in range(n) for j in range(4) if (y := i * h // n, x := j * 3 // 4) in held)
