@@ -1,8 +1,8 @@
 """Nuclei from pixels: local thresholds, refinement of objects, markers and a watershed, over the whole slide at once.
 
 Rasters are rows (py, px, value); objects are components of a slide, so no tile border cuts one. A threshold of each
-object is a grouped histogram and a neighbourhood is a join on places. Only the flood holds one object in a task, of a bounded
-size.
+object is a grouped histogram and a neighbourhood is a join on places. Only the flood holds one object in a task, as plain
+arrays.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -22,9 +23,8 @@ from .raster import EIGHT, FOUR, label_components, otsu, region_properties, remo
 PLACE = ["py", "px"]
 #: Side of the cells through which windows meet pixels.
 CELL = 64
-#: Pixels of an object that is flooded whole, and the side of the tiles in which larger ones are.
-TILE = 1024
-WHOLE_PIXELS = TILE * TILE
+#: Pixels whose neighbours a flood looks up at once, and rows of a batch that it hands on.
+WHOLE_PIXELS, ROWS = 1024 * 1024, 100_000
 #: Share of the marker threshold, and weight of a pixel's way to its marker in the flood.
 MARKER_SHARE, COMPACTNESS = 0.85, 50.0
 
@@ -218,72 +218,82 @@ def nucleus_markers(fg: DataFrame, pix: DataFrame, share: float = MARKER_SHARE,
     return label_components(cores, EIGHT).select(*PLACE, number.alias("label"))
 
 
-def flood(y: np.ndarray, x: np.ndarray, v: np.ndarray, label: np.ndarray, compactness: float) -> np.ndarray:
+def flood(y: np.ndarray, x: np.ndarray, v: np.ndarray, label: np.ndarray, compactness: float, block: int = WHOLE_PIXELS) -> np.ndarray:
     """Labels of the pixels of one object after a flood from those with a label above 0; 0 on lines and where none comes.
 
-    Pixels wait in a queue by their level plus compactness times the distance to the marker pixel from which they were
-    reached, then in the order in which they were reached. One that leaves the queue takes its marker's label and puts
-    its four-neighbours in, unless it touches another label: then it is part of a line.
+    Pixels come by row and column. They wait in a queue by their level plus compactness times the distance to the marker
+    pixel from which they were reached, then in the order in which they were reached. One that leaves the queue takes its
+    marker's label and puts its four-neighbours in, unless it touches another label: then it is part of a line. An object
+    takes some 40 bytes a pixel besides the queue, whatever its size; block pixels look up their neighbours at once.
     """
-    at = {place: k for k, place in enumerate(zip(y.tolist(), x.tolist(), strict=True))}
-    near = [[at[q] for q in ((r - 1, c), (r, c - 1), (r, c + 1), (r + 1, c)) if q in at] for r, c in at]
-    out = np.where(label > 0, label, 0).tolist()
-    level, order = v.tolist(), itertools.count()
+    size, y, x = len(y), y.astype(np.int64), x.astype(np.int64)
+    wide = int(np.ptp(x)) + 2 if size else 2
+    place = (y - y[:1]) * wide + x - (x.min() if size else 0)
+    near = np.empty((size, 4), np.int64)
+    for at in range(0, size, block):
+        for c, step in enumerate((-wide, -1, 1, wide)):
+            wanted = place[at : at + block] + step
+            k = np.minimum(np.searchsorted(place, wanted), size - 1)
+            near[at : at + block, c] = np.where(place[k] == wanted, k, -1)
+    del place
+    out, level, order = array("q", np.where(label > 0, label, 0).astype(np.int64).tobytes()), array("d", v.astype(np.float64).tobytes()), itertools.count()
+    beside, ys, xs = array("q", near.tobytes()), array("q", y.tobytes()), array("q", x.tobytes())
+    del near
 
     def reach(k, source):
-        for n in near[k]:
-            if not out[n]:
-                way = math.hypot(y[n] - y[source], x[n] - x[source])
+        for n in beside[4 * k : 4 * k + 4]:
+            if n >= 0 and not out[n]:
+                way = math.hypot(ys[n] - ys[source], xs[n] - xs[source])
                 heapq.heappush(queue, (level[n] + compactness * way, next(order), n, source))
 
     queue: list = []
-    for k in sorted(np.flatnonzero(label > 0).tolist(), key=level.__getitem__):
+    marked = np.flatnonzero(label > 0)
+    for k in marked[np.argsort(v[marked], kind="stable")].tolist():
         reach(k, k)
     while queue:
         _, _, k, source = heapq.heappop(queue)
-        if out[k] or any(out[n] not in (0, out[source]) for n in near[k]):
+        if out[k] or any(n >= 0 and out[n] not in (0, out[source]) for n in beside[4 * k : 4 * k + 4]):
             continue
         out[k] = out[source]
         reach(k, source)
-    return np.array(out, np.int64)
+    return np.frombuffer(out, np.int64)
 
 
 def watershed(pix: DataFrame, markers: DataFrame, compactness: float = COMPACTNESS, v: str = "stain") -> DataFrame:
     """(py, px, label) of pix (py, px, v), flooded from markers (py, px, label long above 0); null on lines and unreached.
 
-    Eight-connected objects are flooded one by one, see flood, whatever tiles they cross. An object of more than
-    WHOLE_PIXELS, which is no nucleus or clump of them, is flooded in tiles of TILE pixels, so a task never holds more.
+    Eight-connected objects are flooded one by one, see flood, each whole in one task: a flood has one order of its pixels,
+    so a cut of an object would move its lines.
     """
     import pyarrow as pa
 
+    block = WHOLE_PIXELS
     objects = materialize(label_components(pix.select(*PLACE), EIGHT))
-    large = objects.groupBy("component").count().where(F.col("count") > WHOLE_PIXELS).select("component", F.lit(True).alias("_large"))
-    tile = lambda c: F.when(F.col("_large"), F.floor(F.col(c) / TILE)).otherwise(0).cast("int")
-    key = ["oy", "ox", "ty", "tx"]
-    placed = objects.join(broadcast_if_small(materialize(large)), "component", "left").select(F.col("component.py").alias("oy"), F.col("component.px").alias("ox"), tile("py").alias("ty"), tile("px").alias("tx"), *PLACE)
+    key = ["oy", "ox"]
+    placed = objects.select(F.col("component.py").alias("oy"), F.col("component.px").alias("ox"), *PLACE)
     met = placed.join(pix.select(*PLACE, F.col(v).cast("double").alias("v")).hint("merge"), PLACE).join(markers.select(*PLACE, F.col("label").cast("long")).hint("merge"), PLACE, "left")
     dealt = met.select(*key, "py", "px", "v", F.coalesce("label", F.lit(0)).alias("label")).repartition(*key).sortWithinPartitions(*key, *PLACE)
 
     def run(batches):
         def done(parts):
-            cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int32()), pa.array(flood(*cols[4:8], compactness))], names=["py", "px", "label"]
-            )
+            y, x, v, label = (np.concatenate(c) for c in list(zip(*parts, strict=True))[2:])
+            label = flood(y, x, v, label, compactness, block)
+            for at in range(0, len(y), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + ROWS], kind) for c, kind in ((y, pa.int32()), (x, pa.int32()), (label, pa.int64()))], names=["py", "px", "label"])
 
         held: list = []
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            keys = np.stack(cols[:4])
+            keys = np.stack(cols[:2])
             cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
             for a, b in itertools.pairwise(cuts):
-                if held and a < b and any(held[0][i][0] != cols[i][a] for i in range(4)):
-                    yield done(held)
+                if held and a < b and any(held[0][i][0] != cols[i][a] for i in range(2)):
+                    yield from done(held)
                     held = []
                 if a < b:
                     held.append([c[a:b] for c in cols])
         if held:
-            yield done(held)
+            yield from done(held)
 
     flooded = dealt.mapInArrow(run, "py int, px int, label long")
     return flooded.select(*PLACE, F.when(F.col("label") > 0, F.col("label")).alias("label"))

@@ -161,6 +161,21 @@ def test_watershed_equals_a_plain_flood(spark, compactness):
     assert {q: n for q, n in got.items() if n is not None} == want
 
 
+def test_watershed_does_not_depend_on_an_object_s_size(spark, monkeypatch):
+    """An object over the corner of four tiles of 1024 is flooded as a whole, whatever counts as large."""
+    monkeypatch.setattr(detection, "WHOLE_PIXELS", 10)
+    level = {(1010 + y, 1008 + x): v for (y, x), v in blobs(7, 30).items() if v < 200}
+    r, fg = random.Random(4), sorted(level)
+    marked = {q: 1 + k for k, q in enumerate(r.sample(fg, 6))}
+    got = detection.watershed(frame(spark, level), frame(spark, marked, "py int, px int, label long"))
+    want = {}
+    for c in parts(set(fg), EIGHT):
+        want |= flood_by_hand({q: level[q] for q in c}, {q: n for q, n in marked.items() if q in c}, detection.COMPACTNESS)
+    assert any(len({(y // 1024, x // 1024) for y, x in c}) > 1 and sum(q in c for q in marked) > 1 for c in parts(set(fg), EIGHT))
+    rows = {(x["py"], x["px"]): x["label"] for x in got.collect()}
+    assert set(rows) == set(fg) and {q: n for q, n in rows.items() if n is not None} == want
+
+
 def discs(centres, radius, top=0, left=0):
     return {(top + y, left + x) for y in range(64) for x in range(64) if any((y - a) ** 2 + (x - b) ** 2 <= radius**2 for a, b in centres)}
 
