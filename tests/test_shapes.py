@@ -98,6 +98,18 @@ def test_holes_of_kept_triangles_are_filled(spark):
     assert (got[4]["kept_area"], got[4]["enclosed_area"], got[4]["area"]) == (0, 0, 0)
 
 
+def test_concave_area_fills_what_kept_triangles_enclose(spark, monkeypatch):
+    from pointweave import catalog_points
+
+    outer, inner = ring_points(500, 48), ring_points(440, 48)
+    rows = [(1, n, x, y) for n, (x, y) in enumerate(outer + inner)] + [(2, n, x, y) for n, (x, y) in enumerate([(0, 0), (9000, 1), (4000, 7000)])]
+    p = spark.createDataFrame(rows, "image_id int, nid long, x long, y long")
+    monkeypatch.setattr(catalog_points, "_triangulated", lambda spark, d: (p, delaunay.delaunay_corners(p)))
+    got = {r["image_id"]: r for r in catalog_points.concave_area(spark, "").collect()}
+    assert abs(got[1]["area"] - shoelace(outer)) < 1 and abs(got[1]["enclosed_area"] - shoelace(inner)) < 1 and got[1]["n"] == 96
+    assert (got[2]["kept_area"], got[2]["enclosed_area"], got[2]["area"], got[2]["n"]) == (0, 0, 0, 0)
+
+
 @pytest.fixture(scope="module")
 def small(spark):
     """Two images of points in general position, with triangles by testing every triple's circle against every point."""
