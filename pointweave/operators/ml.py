@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture
@@ -13,9 +15,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import broadcast_if_small, materialize
+from ..sources.storage import broadcast_if_small, materialize, release
 from . import cohort
 
+#: Repeats whose splits and scores are made in the same jobs, and fits that run side by side.
+AT_ONCE, FITS = 20, 4
+
 
 def vectors(df: DataFrame, columns: list[str] | None = None, array: str | None = None) -> DataFrame:
     if array:
@@ -136,18 +141,28 @@ def backward_elimination(fit, train: DataFrame, test: DataFrame, columns: list[s
 def repeated_scores(fit, data: DataFrame, columns: list[str], y: str, key: str, repeats: int = 100, share: float = 0.75) -> DataFrame:
     """(score, mean, spread) of auc, accuracy, f1 and fm over repeated stratified splits of data, y being 0 or 1.
 
-    fit(train with features, y) gives a model with probabilities. Each repeat is one split by its own salt; one row of
+    fit(train with features, y) gives a model with probabilities. Each repeat is one split by its own salt. AT_ONCE repeats
+    share the jobs of their splits and scores and are fitted side by side, since a fit is many short jobs; one row of
     scores a repeat reaches the driver.
     """
     rows = materialize(data.select(key, *columns, y).dropna(subset=columns))
-    out = []
-    for k in range(repeats):
-        parts = vectors(cohort.stratified_split(rows, y, key, share, f"{k}:"), columns)
-        model = fit(parts.where("train").drop("train"), y)
-        tested = model.transform(parts.where("NOT train").drop("train"))
-        tested = tested.select(F.col(y).cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"), vector_to_array("probability")[1].alias("score"))
-        row = cohort.scores(tested).crossJoin(cohort.roc_auc(tested)).first()
-        out += [(c, None if row[c] is None else float(row[c])) for c in ("auc", "accuracy", "f1", "fm")]
+    names, out = ("auc", "accuracy", "f1", "fm"), []
+    for first in range(0, repeats, AT_ONCE):
+        salts = [f"{k}:" for k in range(first, min(first + AT_ONCE, repeats))]
+        split = materialize(cohort.stratified_splits(rows, y, key, share, salts))
+        parts = lambda k, held, split=split: vectors(split.where(F.col("train")[k] == held).drop("train"), columns)
+        with ThreadPool(min(FITS, len(salts))) as pool:
+            models = pool.map(inheritable_thread_target(data.sparkSession)(lambda k, parts=parts: fit(parts(k, True), y)), range(len(salts)), 1)
+        tested = None
+        for k, model in enumerate(models):
+            one = model.transform(parts(k, False))
+            one = one.select(F.lit(k).alias("k"), F.col(y).cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"), vector_to_array("probability")[1].alias("score"))
+            tested = one if tested is None else tested.unionAll(one)
+        tested = materialize(tested)
+        area = cohort.auc_by(tested.select("k", "y", "score"), ["k"])
+        for row in cohort.scores(tested, ("k",)).join(area, "k", "left").orderBy("k").collect():
+            out += [(c, None if row[c] is None else float(row[c])) for c in names]
+        release(split, tested)
     each = data.sparkSession.createDataFrame(out, "score string, v double")
     return each.groupBy("score").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("spread"))
 

@@ -89,3 +89,27 @@ def test_lookup_fails_at_a_miss(spark):
     for missing in (3, None):
         with pytest.raises(Exception, match="no row for k"):
             rows([1, missing])
+
+
+def test_splits_of_all_salts_equal_those_of_each(spark):
+    """Keys of one hash on both sides of a cut, classes of few rows, keys and classes that are null."""
+    rows = [(k // 3, k % 5 % 3) for k in range(900)] + [(7, 9), (8, 9), (None, 1), (3, None)] + [(1, 5)] * 7
+    df = spark.createDataFrame(rows, "k int, y int")
+    salts = [f"{k}:" for k in range(12)]
+    got = cohort.stratified_splits(df, "y", "k", 0.75, salts).collect()
+    assert sum(len(r["train"]) == 12 and None not in r["train"] for r in got) == len(rows) - 2
+    for k, salt in enumerate(salts):
+        want = cohort.stratified_split(df, "y", "k", 0.75, salt).collect()
+        assert sorted((r["y"], r["k"], r["train"]) for r in want) == sorted((r["y"], r["k"], r["train"][k]) for r in got)
+
+
+def test_repeats_share_the_jobs_of_their_splits_and_scores(spark):
+    """Jobs besides those of the fits do not follow the number of repeats."""
+    df = spark.createDataFrame([(k, float(k % 10), float(k * 7 % 31), int(k % 10 > 6)) for k in range(400)], "k int, a double, b double, y int")
+    model, tracker, jobs = ml.logistic(ml.vectors(df, ["a", "b"]), "y"), spark.sparkContext.statusTracker(), []
+    for repeats in (2, 6):
+        spark.sparkContext.setJobGroup(f"repeats {repeats}", "")
+        assert ml.repeated_scores(lambda *_: model, df, ["a", "b"], "y", "k", repeats=repeats).count() == 4
+        jobs.append(len(tracker.getJobIdsForGroup(f"repeats {repeats}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[1] <= jobs[0] + 4
