@@ -295,3 +295,20 @@ def test_windows_meet_pixels_without_rows_of_pairs(spark):
     assert {(r["py"], r["v"]): r["n"] for r in found.collect()} == want
     dark = sorted((y, x) for y, x, g in pix if any(held(y, x, b) and g < b[5] for b in boxes))
     assert sorted(map(tuple, detection.darker_in_windows(p, win, "v").collect())) == dark
+
+
+@pytest.mark.parametrize(("width", "kind", "pairs"), [(150, "long", 50), (900, "int", 2_000_000), (900, "double", 300)])
+def test_radius_edges_equal_loops_and_carry_few_rows(spark, monkeypatch, width, kind, pairs):
+    """Copies of positions, squares shared by tasks, points below zero and without place; a point travels at most twice on average."""
+    monkeypatch.setattr(spatial, "PAIRS", pairs)
+    monkeypatch.setattr(spatial, "SQUARE_POINTS", 70)
+    at = np.random.default_rng(width).integers(-width // 2, width // 2, (400, 2)).tolist()
+    rows = [(k % 2, 5000 - k, a, b) for k, (a, b) in enumerate(at + at[:40])] + [(1, 9000, None, 3), (None, 9001, 2, 3)]
+    p = spark.createDataFrame(rows, "image_id int, nid long, x long, y long").withColumns({c: F.col(c).cast(kind) for c in "xy"})
+    got = sorted(map(tuple, spatial.radius_edges(p, 40).collect()))
+    far = lambda a, b: (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2
+    known = sorted((r for r in rows if None not in r), key=lambda r: r[1])
+    want = sorted((a[0], a[1], b[1], far(a, b) ** 0.5) for i, a in enumerate(known) for b in known[i + 1 :] if a[0] == b[0] and far(a, b) <= 1600)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 1e-9 for g, w in zip(got, want, strict=True))
+    plan = spatial.radius_edges(p, 40)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan
