@@ -312,3 +312,39 @@ def test_radius_edges_equal_loops_and_carry_few_rows(spark, monkeypatch, width,
     assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 1e-9 for g, w in zip(got, want, strict=True))
     plan = spatial.radius_edges(p, 40)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" not in plan
+
+
+@pytest.mark.parametrize(("width", "reach"), [(60, 100), (700, 40), (5000, 90)])
+def test_forest_in_ranges_equals_the_forest_of_all_edges(spark, monkeypatch, width, reach):
+    """Ranges of few points, ties of weights on dense lattices, parts that are apart and positions on one line."""
+    line = [(3, k, 7 * k, 0) for k in range(30)] + [(4, 5, 9, 9), (4, 6, 9, 9)]
+    rows = [(k % 2, 10_000 - k, a, b) for k, (a, b) in enumerate(np.random.default_rng(width).integers(0, width, (900, 2)).tolist())]
+    p = spark.createDataFrame(rows + line, "image_id int, nid long, x long, y long").localCheckpoint()
+    for points, joined in ((20, 2), (65_536, 16)):
+        monkeypatch.setattr(delaunay.forest_in_ranges, "__defaults__", (points,))
+        monkeypatch.setattr(delaunay, "RANGES_JOINED", joined)
+        got = delaunay.spanning_forest(p, reach).collect()
+        by_image = {}
+        for e in spatial.radius_edges(p, reach).collect():
+            by_image.setdefault(e["image_id"], []).append((e["weight"], e["src"], e["dst"]))
+        for image in (0, 1, 3, 4):
+            want = plain_forest(by_image.get(image, []))
+            mine = [(r["src"], r["dst"], r["weight"]) for r in got if r["image_id"] == image]
+            assert len(mine) == len(want) == len(plain_forest([(w, a, b) for a, b, w in mine]))
+            assert abs(sum(w for *_, w in mine) - sum(w for w, *_ in want)) < 1e-6
+
+
+def plain_forest(edges):
+    up, out = {}, []
+
+    def top(k):
+        while up.get(k, k) != k:
+            k = up[k]
+        return k
+
+    for w, a, b in sorted(edges):
+        p, q = top(a), top(b)
+        if p != q:
+            up[p] = q
+            out.append((w, a, b))
+    return out
