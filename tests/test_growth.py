@@ -297,23 +297,6 @@ def test_windows_meet_pixels_without_rows_of_pairs(spark):
     assert sorted(map(tuple, detection.darker_in_windows(p, win, "v").collect())) == dark
 
 
-@pytest.mark.parametrize(("width", "kind", "pairs"), [(150, "long", 50), (900, "int", 2_000_000), (900, "double", 300)])
-def test_radius_edges_equal_loops_and_carry_few_rows(spark, monkeypatch, width, kind, pairs):
-    """Copies of positions, squares shared by tasks, points below zero and without place; a point travels at most twice on average."""
-    monkeypatch.setattr(spatial, "PAIRS", pairs)
-    monkeypatch.setattr(spatial, "SQUARE_POINTS", 70)
-    at = np.random.default_rng(width).integers(-width // 2, width // 2, (400, 2)).tolist()
-    rows = [(k % 2, 5000 - k, a, b) for k, (a, b) in enumerate(at + at[:40])] + [(1, 9000, None, 3), (None, 9001, 2, 3)]
-    p = spark.createDataFrame(rows, "image_id int, nid long, x long, y long").withColumns({c: F.col(c).cast(kind) for c in "xy"})
-    got = sorted(map(tuple, spatial.radius_edges(p, 40).collect()))
-    far = lambda a, b: (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2
-    known = sorted((r for r in rows if None not in r), key=lambda r: r[1])
-    want = sorted((a[0], a[1], b[1], far(a, b) ** 0.5) for i, a in enumerate(known) for b in known[i + 1 :] if a[0] == b[0] and far(a, b) <= 1600)
-    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 1e-9 for g, w in zip(got, want, strict=True))
-    plan = spatial.radius_edges(p, 40)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join Inner" not in plan
-
-
 @pytest.mark.parametrize(("width", "reach"), [(60, 100), (700, 40), (5000, 90)])
 def test_forest_in_ranges_equals_the_forest_of_all_edges(spark, monkeypatch, width, reach):
     """Ranges of few points, ties of weights on dense lattices, parts that are apart and positions on one line."""
@@ -348,3 +331,64 @@ def plain_forest(edges):
             up[p] = q
             out.append((w, a, b))
     return out
+
+
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_densities_of_tasks_equal_those_of_the_whole_table(spark, kind):
+    """Cells of few points: shared triangles, points open along the hull, and an image of one cell."""
+    at = np.unique(np.random.default_rng(9).integers(0, 900, (7000, 2)), axis=0)
+    rows = [(1, k, a, b) for k, (a, b) in enumerate(at.tolist())] + [(2, k, a, b) for k, (a, b) in enumerate(at[:20].tolist())]
+    p = spark.createDataFrame(rows, "image_id int, nid long, x long, y long").withColumns({c: F.col(c).cast(kind) for c in "xy"})
+    plain = delaunay.delaunay_corners(p, 32).localCheckpoint()
+    want = {(r["image_id"], r["nid"]): r["dtfe"] for r in delaunay.density(plain).collect()}
+    got = delaunay.delaunay_corners(p, 32, densities=True).collect()
+    assert sorted((r["image_id"], r["a"], r["b"], r["c"]) for r in got) == sorted((r["image_id"], r["a"], r["b"], r["c"]) for r in plain.collect())
+    assert all(r[f"{c}d"] == want[r["image_id"], r[c]] for r in got for c in "abc") and len({r[c] for r in got for c in "abc"}) == len(at)
+
+
+def test_sides_within_reach_need_no_graph(spark):
+    p = _cloud(spark, 400, 900).groupBy("image_id", "x", "y").agg(F.min("nid").alias("nid")).localCheckpoint()
+    corners = delaunay.delaunay_corners(p).localCheckpoint()
+    for complete in (True, False):
+        want = sorted(map(tuple, delaunay.constrained(corners, spatial.radius_edges(p, 50), complete).collect()))
+        assert sorted(map(tuple, delaunay.constrained_by_length(corners, 50, complete).collect())) == want and want
+
+
+def test_triangulation_queries_shuffle_no_triangles(spark, monkeypatch):
+    """Triangles are written once, and neither densities nor lengths need a join of all of them."""
+    from pointweave import catalog
+    from tests.compare import SF
+
+    monkeypatch.setattr(spatial, "radius_edges", None)
+    for name in ("trace_simplices", "constrained_dtfe"):
+        df = catalog.queries()[name](spark, SF)
+        assert df.count() > 0
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    p = _cloud(spark, 3000, 700).groupBy("image_id", "x", "y").agg(F.min("nid").alias("nid")).localCheckpoint()
+    corners = delaunay.delaunay_corners(p)
+    written, write = [], delaunay.materialize
+
+    def counted(df):
+        written.append((back := write(df)).count())
+        return back
+
+    monkeypatch.setattr(delaunay, "materialize", counted)
+    inner = delaunay.enclosed_triangles(corners, delaunay.within_alpha(0.01)).count()
+    assert inner < corners.count() / 10 and max(written) < corners.count() / 10
+
+
+@pytest.mark.parametrize(("width", "kind", "pairs"), [(150, "long", 50), (900, "int", 2_000_000), (900, "double", 300)])
+def test_radius_edges_equal_loops_and_carry_few_rows(spark, monkeypatch, width, kind, pairs):
+    """Copies of positions, squares shared by tasks, points below zero and without place; a point travels at most twice on average."""
+    monkeypatch.setattr(spatial, "PAIRS", pairs)
+    monkeypatch.setattr(spatial, "SQUARE_POINTS", 70)
+    at = np.random.default_rng(width).integers(-width // 2, width // 2, (400, 2)).tolist()
+    rows = [(k % 2, 5000 - k, a, b) for k, (a, b) in enumerate(at + at[:40])] + [(1, 9000, None, 3), (None, 9001, 2, 3)]
+    p = spark.createDataFrame(rows, "image_id int, nid long, x long, y long").withColumns({c: F.col(c).cast(kind) for c in "xy"})
+    got = sorted(map(tuple, spatial.radius_edges(p, 40).collect()))
+    far = lambda a, b: (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2
+    known = sorted((r for r in rows if None not in r), key=lambda r: r[1])
+    want = sorted((a[0], a[1], b[1], far(a, b) ** 0.5) for i, a in enumerate(known) for b in known[i + 1 :] if a[0] == b[0] and far(a, b) <= 1600)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 1e-9 for g, w in zip(got, want, strict=True))
+    plan = spatial.radius_edges(p, 40)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan
