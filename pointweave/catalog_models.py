@@ -141,8 +141,9 @@ def pixels_in_hull(spark, d):
 def dtfe_grid_fitted(spark, d):
     """Densities to a square of 256 pixels, so that the fitted grid is finer than one place a nucleus."""
     p = materialize(ad.positions(ad.nuclei(spark, d)))
-    c = materialize(delaunay.delaunay_corners(p))
-    per_square = materialize(delaunay.density(c).withColumn("dtfe", F.col("dtfe") * 65536))
+    c = delaunay.delaunay_corners(p, densities=True)
+    per_square = materialize(delaunay.density(c).withColumn("dtfe", F.col("dtfe") * 65536).select("image_id", "nid", "dtfe"))
+    c = c.withColumns({f"{k}d": F.col(f"{k}d") * 65536 for k in "abc"})
     return delaunay.gridded_to_fit(c, per_square).withColumn("density", F.round("density", 6))
 
 
